@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, exact_dedup, packing, simhash
+from massloom.llm import chat, decontaminate, exact_dedup, packing, simhash, warc
 from massloom.llm.common import read
 
 BYTE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -73,3 +73,50 @@ from plain"""
 
 QUERIES = {"op1_packing": op1_packing, "op2_chat": op2_chat, "op3_simhash": op3_simhash, "op4_exact_dedup": op4_exact_dedup}
 ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(spark, read(spark, sf_dir, "pages"))
+    found = index.read(index.entries())
+    page = lambda c: F.expr(f"try_cast({c} as bigint)")
+    return found.select(page("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, strlen(body) as payload_bytes, sha1(body) as payload_digest, max(page_id) over (partition by body) as top from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+from d"""
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP10_SQL = r"""
+with dw as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents),
+iw as (select cast(item_id as varchar) as item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from benchmark),
+sizes as (select distinct least(10, len(ws)) as k from iw where len(ws) > 0),
+win as (select distinct item, k, array_to_string(ws[i:i + k - 1], ' ') as w from
+  (select item, ws, least(10, len(ws)) as k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i from iw where len(ws) > 0)),
+dwin as (select doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') as w from
+  (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as i from dw, sizes where len(ws) >= k)),
+hits as (select distinct d.doc_id, d.i, d.k, win.item from dwin d join win on d.w = win.w and d.k = win.k),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join covered using (doc_id) left join found using (doc_id)"""
+
+QUERIES |= {"op6_warc": op6_warc, "op10_decontaminate": op10_decontaminate}
+ORACLES |= {"op6_warc": OP6_SQL, "op10_decontaminate": OP10_SQL}
