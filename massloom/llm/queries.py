@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, decontaminate, exact_dedup, packing, simhash, warc
+from massloom.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, simhash, warc
 from massloom.llm.common import read
 
 BYTE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -120,3 +120,34 @@ from dw left join covered using (doc_id) left join found using (doc_id)"""
 
 QUERIES |= {"op6_warc": op6_warc, "op10_decontaminate": op10_decontaminate}
 ORACLES |= {"op6_warc": OP6_SQL, "op10_decontaminate": OP10_SQL}
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["exact"])
+    starts = F.transform(base, lambda m: m["start"])
+    names = lambda part: F.array_join(F.array_sort(F.array_distinct(F.transform(part, lambda m: m["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("score"),
+    )
+
+
+#: A document whose score is below is rejected.
+GOOD = 0.3
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels").filter(~quality.held_out()))
+    found = quality.scores(docs, model)
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+QUERIES |= {"op5_licenses": op5_licenses, "op8_quality": op8_quality}
