@@ -40,3 +40,22 @@ def ascii_lower(text: Column) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def bit_place(hashed: Column, words: int) -> tuple[Column, Column]:
+    """Word and one-bit mask of a hash in a bit table of ``words`` (a power of two) 64-bit words."""
+    at = hashed.bitwiseAND(F.lit(64 * words - 1).cast("long"))
+    return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+
+def bit_table(df: DataFrame, hashed: Column, words: int) -> DataFrame:
+    """word, bits: a filter of the hashes in at most ``words`` rows, whatever df's size. A set bit means: perhaps."""
+    word, bit = bit_place(hashed, words)
+    return df.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def marked(df: DataFrame, hashed: Column, table: DataFrame, words: int) -> DataFrame:
+    """df with ``maybe``: whether the row's hash is perhaps in the bit table, which is broadcast (its size is bounded)."""
+    word, bit = bit_place(hashed, words)
+    held = df.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(table.withColumnRenamed("word", "__word")), "__word", "left")
+    return held.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))).drop("__word", "__bit", "bits")

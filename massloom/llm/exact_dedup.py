@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.common import shared_dir, text_or_empty, written
+from massloom.llm.common import bit_table, marked, shared_dir, text_or_empty, written
 
 #: Words of 64 bits in the filter of digests with several rows: at most 2 MB, whatever the input.
 FILTER_WORDS = 1 << 17
@@ -59,15 +59,6 @@ class DigestIndex:
         return self.runs().filter(F.col("digest").isin([bytearray(d) for d in digests]))
 
 
-def _bits(digest: Column) -> tuple[Column, Column]:
-    at = F.xxhash64(digest).bitwiseAND(F.lit(64 * FILTER_WORDS - 1))
-    return F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
-
-
-def _one(bit: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-
-
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per input row: the id, ``keep_id``, ``group_size``, ``kept`` and ``digest`` (binary).
 
@@ -84,9 +75,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", di
     classes = index.compact()
 
     # Bytes of all hits: the filter, of bounded size, lets only rows with shared digests carry their text on.
-    word, bit = _bits(F.col("digest"))
-    filters = classes.filter("n > 1").groupBy(word.alias("word")).agg(F.bit_or(_one(bit)).alias("bits"))
-    hits = plain.select("digest", "text", word.alias("word"), _one(bit).alias("bit")).join(F.broadcast(filters), "word").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    key = F.xxhash64("digest")
+    hits = marked(plain, key, bit_table(classes.filter("n > 1"), key, FILTER_WORDS), FILTER_WORDS).filter("maybe")
     texts = hits.groupBy("digest", "text").agg(F.count("*").alias("n"))
     clashes = written(texts.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"), "digest-clashes")
 

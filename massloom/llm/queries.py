@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, simhash, warc
+from massloom.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, simhash, substrings, warc
 from massloom.llm.common import read
 
 BYTE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -151,3 +151,22 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_licenses": op5_licenses, "op8_quality": op8_quality}
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+w as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from d where len(ws) >= 13)),
+f as (select win, min(doc_id) as first from w group by win),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from w join f using (win) where first < doc_id),
+placed as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as word from d),
+kept as (select doc_id, string_agg(word, ' ' order by p) as said, count(*) as n from placed anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(said, '')) as kept_sha256
+from d left join kept using (doc_id)"""
+
+QUERIES |= {"op9_substrings": op9_substrings}
+ORACLES |= {"op9_substrings": OP9_SQL}
