@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, simhash, substrings, warc
+from massloom.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, simhash, substrings, token_files, warc
 from massloom.llm.common import read
 
 BYTE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -170,3 +170,11 @@ from d left join kept using (doc_id)"""
 
 QUERIES |= {"op9_substrings": op9_substrings}
 ORACLES |= {"op9_substrings": OP9_SQL}
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_files.store(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select(F.expr("cast(id as bigint)").alias("doc_id"), "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES |= {"op7_token_files": op7_token_files}
