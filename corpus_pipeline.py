@@ -1,15 +1,58 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality filter, exact and near deduplication, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns the rows that it keeps
+with the columns of ``documents``; the last one returns the packed pieces. ``run`` writes each stage's result as Parquet
+below the shared folder and rereads it.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from massloom.llm import decontaminate, exact_dedup, packing, quality, simhash
+from massloom.llm.common import read, without_ids, written
+from massloom.llm.queries import BYTE_BPE, BYTE_RANKS, GOOD
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labelled rows outside the held-out fold, scores below GOOD go."""
+    model = quality.train(docs, read(spark, sf_dir, "labels").filter(~quality.held_out()))
+    return quality.keep(docs, model, GOOD)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal up to white space, the row with the smallest id stays."""
+    return exact_dedup.keep_first(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked fingerprints, the document with the smallest id stays."""
+    found = simhash.near_duplicates(docs)
+    return without_ids(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
+    return without_ids(docs, found.filter("n_hit > 0"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in windows of 2048."""
+    return packing.pack(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(BYTE_RANKS))
+
+
+STAGES = [("quality", quality_filter), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("decontaminate", benchmark_leaks), ("packing", packed)]
 
-STAGES: list = []
+#: Trained models and tokenizers are not SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -67,3 +67,17 @@ def marked(df: DataFrame, hashed: Column, table: DataFrame, words: int) -> DataF
     word, bit = bit_place(hashed, words)
     held = df.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(table.withColumnRenamed("word", "__word")), "__word", "left")
     return held.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))).drop("__word", "__bit", "bits")
+
+
+#: Words of the row filters below: at most 2 MB, whatever the input.
+ROW_FILTER_WORDS = 1 << 17
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in ``gone`` (same column name). Only rows that a bounded filter marks are shuffled."""
+    key = F.xxhash64(F.col(id_col))
+    gone = gone.select(id_col).distinct()
+    part = marked(docs, key, bit_table(gone, key, ROW_FILTER_WORDS), ROW_FILTER_WORDS)
+    rest, gone = part.filter("maybe"), gone.withColumnRenamed(id_col, "__gone")
+    left = rest.join(gone, rest[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    return part.filter("not maybe").drop("maybe").unionByName(left.drop("maybe"))

@@ -104,8 +104,16 @@ def _decided(entries: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that ``dedup`` keeps, with their columns."""
-    digests = docs.withColumn("__digest", sha256(normalised(text_col)))
-    kept = dedup(docs, id_col=id_col, text_col=text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("digest").alias("__kept"))
-    same = digests["__digest"].eqNullSafe(kept["__kept"]) & digests[id_col].eqNullSafe(kept["__id"])
-    return digests.join(kept, same, "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")
+    """The rows of docs that ``dedup`` keeps, with all their columns. Only rows that it may drop are shuffled with their texts."""
+    found = dedup(docs, id_col=id_col, text_col=text_col)
+    pairs = found.groupBy(F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))
+    touched = written(pairs.filter("not __kept or __n > 1"), "dropped")
+    key = F.xxhash64("__id")
+    part = marked(docs, F.xxhash64(F.col(id_col)), bit_table(touched, key, FILTER_WORDS), FILTER_WORDS)
+    rest = part.filter("maybe").withColumn("__text_digest", sha256(normalised(text_col)))
+    same = rest[id_col].eqNullSafe(touched["__id"]) & (rest["__text_digest"] == touched["__digest"])
+    joined = rest.join(touched, same, "left").filter("__kept is null or __kept")
+    names = docs.columns
+    out = part.filter("not maybe").select(names).unionByName(joined.filter("__kept is null").select(names))
+    repeated = joined.filter("__kept")
+    return out if touched.filter("__kept").isEmpty() else out.unionByName(repeated.dropDuplicates(["__id", "__digest"]).select(names))

@@ -151,6 +151,19 @@ def scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model, least: float, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is ``least`` or more, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = [held.value.score(features(t.as_py() or "")) >= least for t in batch.column(at)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no fit may learn from: crc32 of the id as text is divisible by 5. A null id is never learnt from either."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
