@@ -1,5 +1,8 @@
-"""The registered queries and their DuckDB oracles, gathered from the operator modules."""
+"""The registered queries and their DuckDB oracles, gathered from the plan modules."""
+
+from massloom.plans import spectra
 
 FLAGSHIP = "unweighted_spectral_entropy"
-QUERIES: dict = {}
-ORACLES: dict = {}
+MODULES = (spectra,)
+QUERIES: dict = {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
+ORACLES: dict = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
