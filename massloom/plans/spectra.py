@@ -207,7 +207,7 @@ def ms2_window_filter(spark, sf_dir):
 @register(
     "merge_close_mz",
     with_views(
-        """select psm, round(mz, 4) as mz, round(intensity, 6) as intensity, ion_type, n from (
+        """select psm, mz, round(intensity, 6) as intensity, ion_type, n from (
 select psm, island, list_reduce(list(mz order by mz, pos), lambda a, b: (a + b)/2) as mz, sum(intensity) as intensity,
   first(ion_type order by pri, mz, pos) as ion_type, count(*) as n from (
   select *, sum(case when prev is null or mz - prev >= 25 then 1 else 0 end) over (partition by psm order by mz, pos) as island from (
@@ -218,7 +218,7 @@ select psm, island, list_reduce(list(mz order by mz, pos), lambda a, b: (a + b)/
 )
 def merge_close_mz(spark, sf_dir):
     rows = kept(spark, sf_dir).withColumn("priority", F.when(F.col("ion_type") == "y", 1).otherwise(2))
-    return library.merge_close(rows, 25.0).select("psm", F.round("mz", 4).alias("mz"), F.round("intensity", 6).alias("intensity"), "ion_type", "n")
+    return library.merge_close(rows, 25.0).select("psm", "mz", F.round("intensity", 6).alias("intensity"), "ion_type", "n")
 
 
 GROUPS = [("yb", "b", "main"), ("yb", "y", "main"), ("each", "b", "b"), ("each", "y", "y")]
