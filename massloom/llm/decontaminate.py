@@ -36,7 +36,7 @@ def _prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 2))
     shingles = windows.select("words", "items", F.explode(places).alias("i")).select("words", "items", pair.alias("s"))
     ranked = shingles.join(counts, F.col("s.key") == counts["key"], "left").groupBy("words").agg(F.first("items").alias("items"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "s")).alias("rarest"))
-    return ranked.select(F.col("rarest.s.key").alias("key"), F.col("rarest.s.place").alias("place"), F.col("words").alias("window"), F.size("words").alias("size"), "items")
+    return ranked.select(F.col("rarest.s.key").alias("key"), F.col("rarest.s.place").alias("place"), F.array_join("words", " ").alias("window"), F.size("words").alias("size"), "items")
 
 
 def _exploded(rows: DataFrame, single: bool) -> DataFrame:
@@ -59,10 +59,14 @@ def _parted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _verified() -> Column:
-    """Length and positional bounds, then the words themselves."""
+    """Length and positional bounds, then the words themselves.
+
+    Built of functions that Spark compiles with the explode before it, so that only verified rows leave that loop; a
+    lambda here would hold one copy of a text's words for each of its words.
+    """
     start = F.col("pos") - F.col("place")
     inside = (start >= F.col("lead")) & (start + F.col("size") <= F.col("lead") + F.col("n_words"))
-    words = F.transform(F.slice("parts", F.greatest(start, F.lit(0)) + 1, F.col("size")), ascii_lower)
+    words = ascii_lower(F.array_join(F.slice("parts", F.greatest(start, F.lit(0)) + 1, F.col("size")), " "))
     return F.col("size").isNotNull() & inside & (words == F.col("window"))
 
 
