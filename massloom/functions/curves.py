@@ -246,18 +246,19 @@ def value_at(x: Column, knots: Column, coeffs: Column) -> Column:
     return F.when(x <= at(knots, F.lit(1)), first).when(x >= at(knots, n), last).otherwise(inner)
 
 
-def inverse_at(y: Column, knots: Column, coeffs: Column, steps: int = 60, near: float = 1e-4) -> Column:
+def invert(curve: Curve, y, steps: int = 60, near: float = 1e-4) -> np.ndarray:
     """x with the curve's value y, by bisection between the outer knots, which also bound the answer. A line is solved outright."""
-    n = F.size(knots)
-    low, high = F.element_at(knots, F.lit(1)), F.element_at(knots, n)
-
-    def half(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        got = value_at(mid, knots, coeffs)
-        hit = F.abs(got - y) < near
-        return F.struct(F.when(hit | (got < y), mid).otherwise(s["lo"]).alias("lo"), F.when(hit | (got >= y), mid).otherwise(s["hi"]).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(low.alias("lo"), high.alias("hi")), half, lambda s: (s["lo"] + s["hi"]) / 2)
-    solved = low + F.try_divide(y - F.element_at(coeffs, F.lit(1)), F.element_at(coeffs, F.lit(2)))
-    inside = F.when(y <= value_at(low, knots, coeffs), low).when(y >= value_at(high, knots, coeffs), high).otherwise(found)
-    return F.when(n == 1, solved).otherwise(inside)
+    knots, c = curve
+    y = np.asarray(y, float)
+    if len(knots) == 1:
+        return knots[0] + (y - c[0, 0]) / c[0, 1] if c[0, 1] else np.full(len(y), knots[0])
+    low, high = np.full(len(y), knots[0]), np.full(len(y), knots[-1])
+    below, above = y <= evaluate(curve, low), y >= evaluate(curve, high)
+    for _ in range(steps):
+        mid = (low + high) / 2
+        got = evaluate(curve, mid)
+        hit, less = np.abs(got - y) < near, got < y
+        low, high = np.where(hit | less, mid, low), np.where(hit | ~less, mid, high)
+        if hit.all():
+            break
+    return np.where(below, knots[0], np.where(above, knots[-1], (low + high) / 2))

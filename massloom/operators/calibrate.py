@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,14 +42,31 @@ def fit_curves(anchors: DataFrame, by: tuple[str, ...], prop: str = "rt", *, ord
     return bounded.groupBy(*by).applyInPandas(one, schema)
 
 
+@F.pandas_udf(T.DoubleType())
+def inverse_at(y: pd.Series, curve: pd.Series, knots: pd.Series, coeffs: pd.Series) -> pd.Series:
+    """Bulk inversion: the rows of an Arrow batch that share a curve are solved together."""
+    out = np.full(len(y), np.nan)
+    for at in y.groupby(curve).indices.values():
+        first = at[0]
+        out[at] = curves.invert((np.asarray(knots.iloc[first]), np.asarray(coeffs.iloc[first]).reshape(-1, 2)), y.to_numpy()[at])
+    return pd.Series(out)
+
+
+def _use(prop: str, by: tuple[str, ...], value: str) -> Column:
+    if prop == "rt":
+        return inverse_at(F.col(value).cast("double"), F.concat_ws("|", *(F.col(b).cast("string") for b in by)), "knots", "coeffs")
+    return curves.value_at(F.col(value), F.col("knots"), F.col("coeffs"))
+
+
 def calibrated(rows: DataFrame, fitted: DataFrame, by: tuple[str, ...], prop: str = "rt", measured: str = "exp_rt") -> DataFrame:
     """Adds ``calibrated``: the prediction that the group's curve gives for the measured value; null without a curve.
 
     Curves are one row per group; Spark picks a broadcast or a shuffle by their size.
     """
-    use = curves.inverse_at if prop == "rt" else curves.value_at
-    joined = rows.join(fitted.filter("kind <> 'none'").select(*by, "knots", "coeffs"), list(by), "left")
-    return joined.withColumn("calibrated", F.when(F.col("knots").isNotNull(), use(F.col(measured), F.col("knots"), F.col("coeffs")))).drop("knots", "coeffs")
+    known = fitted.filter("kind <> 'none'").select(*by, "knots", "coeffs")
+    hit = rows.join(known, list(by)).withColumn("calibrated", _use(prop, by, measured)).drop("knots", "coeffs")
+    miss = rows.join(known.select(*by), list(by), "left_anti").withColumn("calibrated", F.lit(None).cast("double"))
+    return hit.unionByName(miss)
 
 
 def pick(matched: DataFrame, *, cap: float = CAP_RT, predicted: str = "pred_rt", key: str = "psm_id") -> DataFrame:
@@ -70,8 +87,7 @@ def grid(psms: DataFrame, fitted: DataFrame, by: tuple[str, ...], prop: str = "r
     ends = psms.groupBy("run").agg(F.min(measured).alias("low"), F.max(measured).alias("high"))
     rows = fitted.filter("kind <> 'none'").join(F.broadcast(ends), "run").select(*by, "knots", "coeffs", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
     x = F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / (steps - 1)
-    use = curves.inverse_at if prop == "rt" else curves.value_at
-    return rows.withColumn("x", x).select(*by, "i", "x", use(F.col("x"), F.col("knots"), F.col("coeffs")).alias("y"))
+    return rows.withColumn("x", x).select(*by, "i", "x", _use(prop, by, "x").alias("y"))
 
 
 def samples(anchors: DataFrame, fitted: DataFrame, by: tuple[str, ...], n: int = 1000) -> DataFrame:
