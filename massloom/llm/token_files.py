@@ -23,16 +23,22 @@ SHARD_IDS, ROUNDS, RULES = 4 << 20, 6, 2048
 _BUCKETS = 1 << 20
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed pairs that occur ``least`` times or more, most frequent first, and their counts."""
-    at = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(12)
-    often = np.bincount(at, minlength=_BUCKETS) >= least  # a pair is at most as frequent as its bucket
-    mask = often[at]
-    pairs, counts = np.unique(left[mask].astype(np.uint64) << np.uint64(32) | right[mask], return_counts=True)
-    keep = counts >= least
-    pairs, counts = pairs[keep], counts[keep]
-    order = np.lexsort((pairs, -counts))
-    return pairs[order], counts[order]
+def _frequent(symbols: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
+    """Packed neighbouring pairs within documents that occur ``least`` times or more, most frequent first.
+
+    Pairs are hashed to buckets, and the exact count is that of the pair that a bucket holds; of pairs that share a
+    bucket, the others wait for a later round.
+    """
+    left, right = symbols[:-1], symbols[1:]
+    at = ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(12)).astype(np.intp)
+    at[last[:-1]] = _BUCKETS
+    key = left.astype(np.uint64) << np.uint64(32) | right
+    held = np.zeros(_BUCKETS + 1, np.uint64)
+    held[at] = key
+    counts = np.bincount(at[held[at] == key], minlength=_BUCKETS + 1)
+    counts[_BUCKETS] = 0
+    often = np.flatnonzero(counts >= least)
+    return held[often[np.lexsort((held[often], -counts[often]))]]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, *, rounds: int = ROUNDS, rules: int = RULES, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,8 +55,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, *, rounds: int
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        inner = np.flatnonzero(~last[:-1])
-        pairs, _ = _frequent(symbols[inner], symbols[inner + 1], max(least, len(symbols) // 20_000))
+        pairs = _frequent(symbols, last, max(least, len(symbols) // 20_000))
         side: dict[int, bool] = {}
         chosen: list[int] = []
         for pair in pairs.tolist():
@@ -67,7 +72,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, *, rounds: int
         lefts, rights = np.zeros(first, bool), np.zeros(first, bool)
         lefts[[p >> 32 for p in chosen]] = True
         rights[[p & 0xFFFFFFFF for p in chosen]] = True
-        at = inner[lefts[symbols[inner]] & rights[symbols[inner + 1]]]
+        at = np.flatnonzero(lefts[symbols[:-1]] & rights[symbols[1:]] & ~last[:-1])
         keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         table = np.array(chosen, np.uint64)
         order = np.argsort(table)
@@ -218,7 +223,9 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 
     order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("ids").over(order), F.lit(0)))
-    return placed.select("file", "before").repartition("file").mapInArrow(run, "id string, start long, ids binary")
+    # A number of its own, as Spark would merge the few manifest rows, and with them all the reading, into one task.
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.select("file", "before").repartition(parts, "file").mapInArrow(run, "id string, start long, ids binary")
 
 
 def store(docs: DataFrame, tokenizer: str, **columns) -> DataFrame:
