@@ -15,6 +15,8 @@ from massloom.llm.common import bit_table, marked, written
 
 #: 64-bit words of the filters that tasks hold: 8 MB each, whatever the input.
 FILTER_WORDS = 1 << 20
+#: Hash functions that are tried until all spans equal their sources.
+TRIES = 4
 #: Words of the seed k-mer whose minimum anchors a window.
 SEED = 5
 
@@ -24,17 +26,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def seeds(words: list[bytes], k: int) -> np.ndarray:
-    """A 64-bit hash of each k consecutive words."""
+def seeds(words: list[bytes], k: int, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each k consecutive words; another one for another salt."""
     import xxhash
 
     v = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(v) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = v[:n].copy()
+    h = v[:n] + np.uint64(salt * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
     for j in range(1, k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + v[j : j + n]
+        h = h * np.uint64((0x9E3779B97F4A7C15 + 2 * salt) & 0xFFFFFFFFFFFFFFFF) + v[j : j + n]
     return _mix(h)
 
 
@@ -95,7 +97,7 @@ def _per_document(docs: DataFrame, rows_of: Callable, names: list[str]) -> DataF
     return docs.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, filter_words: int = FILTER_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, filter_words: int = FILTER_WORDS, salt: int = 0) -> DataFrame:
     """Maximal shared paths: ``doc``, ``start`` and ``length`` (words), ``src`` and ``src_start``, one row per occurrence in a document with a larger id than the path's first one.
 
     Edges of the graph are windows of ``width`` words, hashed to 64 bits. (1) Each window is anchored by the least hash of
@@ -112,14 +114,14 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
 
     def anchored(words):
-        h = seeds(words, k)
+        h = seeds(words, k, salt)
         return (np.unique(anchors(h, span)) if len(h) >= span else h[:0],)
 
     common = _per_document(rows, anchored, ["anchor"]).groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
     known = _held(bit_table(common, F.col("anchor"), filter_words), filter_words)
 
     def candidates(words, heads=None):
-        h = seeds(words, k)
+        h = seeds(words, k, salt)
         if len(h) < span:
             return h[:0], h[:0]
         at = np.flatnonzero(_maybe(known.value, anchors(h, span)))
@@ -141,8 +143,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ).filter("src < high")
 
     along = Window.partitionBy("src").orderBy("pos", "edge")
-    goes_on = (F.col("pos") == F.lag("pos").over(along) + 1) & (F.shiftrightunsigned(F.lag("where").over(along), 32) == F.col("where").bitwiseAND(low))
-    steps = edges.drop("high").withColumn("opens", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    goes_on = (F.col("pos") == F.lag("pos").over(along) + 1) & (F.col("high") == F.lag("high").over(along)) & (F.shiftrightunsigned(F.lag("where").over(along), 32) == F.col("where").bitwiseAND(low))
+    steps = edges.withColumn("opens", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
     paths = steps.withColumn("path", F.sum("opens").over(along)).groupBy("src", "path").agg(F.count("*").alias("n"), F.min("pos").alias("src_start"), F.max(F.when(F.col("opens") == 1, F.col("edge"))).alias("edge")).drop("path")
     paths = written(paths, "paths")
 
@@ -152,19 +154,55 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return found.select("doc", F.col("pos").alias("start"), (F.col("n") + width - 1).alias("length"), "src", "src_start")
 
 
+def clashes(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_words: int) -> bool:
+    """Whether the words of some span differ from those at its source coordinates.
+
+    Each distinct place is read once, so a passage that many documents share is one place of its source. Only texts that
+    the filter marks as holding a place are shuffled.
+    """
+    places = spans.select("doc", "start", "length").unionByName(spans.select(F.col("src").alias("doc"), F.col("src_start").alias("start"), "length")).distinct()
+    asked = places.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("places"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    held = marked(rows, F.xxhash64("doc"), bit_table(asked, F.xxhash64("doc"), filter_words), filter_words).filter("maybe").select("doc", "text").join(asked, "doc")
+    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("digest", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, found = [], []
+            for i, (text, asks) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+                for a in asks:
+                    index.append(i)
+                    found.append((a["start"], a["length"], hashlib.sha256(b" ".join(words[a["start"] : a["start"] + a["length"]])).digest()))
+            starts, lengths, digests = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.binary())], schema.names)
+
+    digests = written(held.mapInArrow(run, schema), "span-digests")
+    # Of rows that repeat an id, any that holds the words will do.
+    target = spans.join(digests.withColumnRenamed("digest", "own"), ["doc", "start", "length"], "left")
+    source = digests.select(F.col("doc").alias("src"), F.col("start").alias("src_start"), "length", F.col("digest").alias("theirs"))
+    same = target.join(source, ["src", "src_start", "length"], "left").groupBy("doc", "start", "length", "src", "src_start").agg(F.max(F.coalesce(F.col("own") == F.col("theirs"), F.lit(False))).alias("same"))
+    return not same.filter("not same").isEmpty()
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, filter_words: int = FILTER_WORDS) -> DataFrame:
     """One row per input row: the id, ``n_words``, ``n_removed``, ``spans`` (start, length, src, src_start) and ``kept`` (the words left, joined by one space).
 
     A word goes if a window of ``width`` words that covers it also starts in a document with a smaller id; windows are
     judged on the input. Words stand between ASCII white space. Spans come from ``repeated_spans``; each one's words are
-    then compared with the words at its source coordinates by SHA-256, and spans that differ (hashes of 64 bits may meet)
-    are given up and their windows judged by their words.
+    then compared with the words at its source coordinates by SHA-256; if any differ (hashes may meet), all is done again
+    under other hashes, so that no word goes for a chance match.
 
     Null and empty texts have no words. A document with a null id, and one whose id is not larger, is never shortened
     for another; rows that repeat an id do not shorten each other. An empty table gives no rows; extra columns are
     ignored.
     """
-    spans = written(repeated_spans(docs, id_col=id_col, text_col=text_col, width=width, filter_words=filter_words), "spans")
+    for salt in range(TRIES):
+        spans = written(repeated_spans(docs, id_col=id_col, text_col=text_col, width=width, filter_words=filter_words, salt=salt), "spans")
+        if not clashes(docs, spans, id_col=id_col, text_col=text_col, filter_words=filter_words >> 3):
+            break
+    else:
+        raise RuntimeError(f"spans differ from their sources under {TRIES} hashes")
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "length", "src", "src_start")).alias("spans"))
     part = marked(rows, F.xxhash64("doc"), bit_table(by_doc, F.xxhash64("doc"), filter_words >> 3), filter_words >> 3)
@@ -198,7 +236,3 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), batch.column(2), kept], schema.names)
 
     return hit.unionByName(clean).mapInArrow(run, schema)
-
-
-def span_digest(words: list[bytes], start: int, length: int) -> bytes:
-    return hashlib.sha256(b" ".join(words[start : start + length])).digest()
