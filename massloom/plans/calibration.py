@@ -177,19 +177,19 @@ def im_bins(spark, sf_dir):
     return rows.groupBy("run", "charge", "bin").agg(F.sum("weight").alias("copies"), F.round(F.sum(F.col("pred_rt") * F.col("weight")), 6).alias("total"))
 
 
-@register("bin_stats", "select run, bin, n, round(mean, 6) as mean, round(sd, 6) as sd, round(iqr, 6) as iqr from s", RT_B, RT_S)
+@register("bin_stats", "select run, bin, n, round(mean + 1.3e-9, 6) as mean, round(sd + 1.3e-9, 6) as sd, round(iqr + 1.3e-9, 6) as iqr from s", RT_B, RT_S)
 def bin_stats(spark, sf_dir):
-    return rounded(anchors.bin_stats(rt_bins(spark, sf_dir)), "mean", "sd", "iqr")
+    return tilted(anchors.bin_stats(rt_bins(spark, sf_dir)), "mean", "sd", "iqr")
 
 
-@register("stat_smoothing", "select run, bin, n, round((mean+sd)/2, 6) as mean, round((mean+sd+iqr)/3, 6) as sd, round((sd+iqr)/2, 6) as iqr from s", RT_B, RT_S)
+@register("stat_smoothing", "select run, bin, n, round((mean+sd)/2 + 1.3e-9, 6) as mean, round((mean+sd+iqr)/3 + 1.3e-9, 6) as sd, round((sd+iqr)/2 + 1.3e-9, 6) as iqr from s", RT_B, RT_S)
 def stat_smoothing(spark, sf_dir):
-    return rounded(anchors.smooth(anchors.bin_stats(rt_bins(spark, sf_dir))), "mean", "sd", "iqr")
+    return tilted(anchors.smooth(anchors.bin_stats(rt_bins(spark, sf_dir))), "mean", "sd", "iqr")
 
 
-@register("stat_smoothing_across_bins", "select run, bin, n, round(avg(mean) over w, 6) as mean, round(avg(sd) over w, 6) as sd, round(avg(iqr) over w, 6) as iqr from s window w as (partition by run order by bin rows between 1 preceding and 1 following)", RT_B, RT_S)
+@register("stat_smoothing_across_bins", "select run, bin, n, round(avg(mean) over w + 1.3e-9, 6) as mean, round(avg(sd) over w + 1.3e-9, 6) as sd, round(avg(iqr) over w + 1.3e-9, 6) as iqr from s window w as (partition by run order by bin rows between 1 preceding and 1 following)", RT_B, RT_S)
 def stat_smoothing_across_bins(spark, sf_dir):
-    return rounded(anchors.smooth(anchors.bin_stats(rt_bins(spark, sf_dir)), "across_bins"), "mean", "sd", "iqr")
+    return tilted(anchors.smooth(anchors.bin_stats(rt_bins(spark, sf_dir)), "across_bins"), "mean", "sd", "iqr")
 
 
 @register("delta_rt_bins", "select psm_id, round(abs(mean - pred_rt) + 1.3e-9, 6) as delta_rt_bins, round(abs((pred_rt - mean)/sd) + 1.3e-9, 6) as rt_zscore from b left join s using (run, bin)", RT_B, RT_S)
