@@ -330,3 +330,10 @@ def test_query_equals_its_sql(spark, sf, name):
     assert sorted(got.columns) == sorted(want.columns)
     key = lambda rows: sorted(map(repr, rows))
     assert key(tuple(r) for r in got.select(*want.columns).collect()) == key(want.fetchall())
+
+
+def test_false_spans_are_noticed(spark, odd):
+    docs = table(spark, odd)
+    spans = substrings.repeated_spans(docs)
+    assert not substrings.clashes(docs, spans, filter_words=1 << 10)
+    assert substrings.clashes(docs, spans.withColumn("start", F.col("start") + 1), filter_words=1 << 10)
