@@ -178,11 +178,19 @@ def clashes(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(digests, pa.binary())], schema.names)
 
     digests = written(held.mapInArrow(run, schema), "span-digests")
-    # Of rows that repeat an id, any that holds the words will do.
     target = spans.join(digests.withColumnRenamed("digest", "own"), ["doc", "start", "length"], "left")
     source = digests.select(F.col("doc").alias("src"), F.col("start").alias("src_start"), "length", F.col("digest").alias("theirs"))
-    same = target.join(source, ["src", "src_start", "length"], "left").groupBy("doc", "start", "length", "src", "src_start").agg(F.max(F.coalesce(F.col("own") == F.col("theirs"), F.lit(False))).alias("same"))
-    return not same.filter("not same").isEmpty()
+    place = ["src", "src_start", "length"]
+    # All spans of one source place that hold the same words are one row before they meet the source.
+    kinds = target.groupBy(*place, "own").agg(F.count("*").alias("n")).drop("n")
+    equal = F.coalesce(F.col("own") == F.col("theirs"), F.lit(False))
+    odd = kinds.join(source, place, "left").groupBy(*place, "own").agg(F.max(equal).alias("same")).filter("not same").select(*place, "own")
+    odd = written(odd, "odd-spans")
+    if odd.isEmpty():
+        return False
+    # Rows may repeat an id with another text: a span stands if any row of its id holds the words of any row of its source.
+    doubtful = target.join(odd.drop("own").distinct(), place, "left_semi").join(source, place, "left")
+    return not doubtful.groupBy("doc", "start", *place).agg(F.max(equal).alias("same")).filter("not same").isEmpty()
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, filter_words: int = FILTER_WORDS) -> DataFrame:
