@@ -63,10 +63,10 @@ def bit_table(df: DataFrame, hashed: Column, words: int) -> DataFrame:
 
 
 def marked(df: DataFrame, hashed: Column, table: DataFrame, words: int) -> DataFrame:
-    """df with ``maybe``: whether the row's hash is perhaps in the bit table, which is broadcast (its size is bounded)."""
+    """df with ``__maybe``: whether the row's hash is perhaps in the bit table, which is broadcast (its size is bounded)."""
     word, bit = bit_place(hashed, words)
-    held = df.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(table.withColumnRenamed("word", "__word")), "__word", "left")
-    return held.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))).drop("__word", "__bit", "bits")
+    held = df.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(table.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))), "__word", "left")
+    return held.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))).drop("__word", "__bit", "__bits")
 
 
 #: Words of the row filters below: at most 2 MB, whatever the input.
@@ -78,6 +78,6 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> Dat
     key = F.xxhash64(F.col(id_col))
     gone = gone.select(id_col).distinct()
     part = marked(docs, key, bit_table(gone, key, ROW_FILTER_WORDS), ROW_FILTER_WORDS)
-    rest, gone = part.filter("maybe"), gone.withColumnRenamed(id_col, "__gone")
+    rest, gone = part.filter("__maybe"), gone.withColumnRenamed(id_col, "__gone")
     left = rest.join(gone, rest[id_col].eqNullSafe(gone["__gone"]), "left_anti")
-    return part.filter("not maybe").drop("maybe").unionByName(left.drop("maybe"))
+    return part.filter("not __maybe").drop("__maybe").unionByName(left.drop("__maybe"))

@@ -76,7 +76,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", di
 
     # Bytes of all hits: the filter, of bounded size, lets only rows with shared digests carry their text on.
     key = F.xxhash64("digest")
-    hits = marked(plain, key, bit_table(classes.filter("n > 1"), key, FILTER_WORDS), FILTER_WORDS).filter("maybe")
+    hits = marked(plain, key, bit_table(classes.filter("n > 1"), key, FILTER_WORDS), FILTER_WORDS).filter("__maybe")
     texts = hits.groupBy("digest", "text").agg(F.count("*").alias("n"))
     clashes = written(texts.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"), "digest-clashes")
 
@@ -110,10 +110,10 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     touched = written(pairs.filter("not __kept or __n > 1"), "dropped")
     key = F.xxhash64("__id")
     part = marked(docs, F.xxhash64(F.col(id_col)), bit_table(touched, key, FILTER_WORDS), FILTER_WORDS)
-    rest = part.filter("maybe").withColumn("__text_digest", sha256(normalised(text_col)))
+    rest = part.filter("__maybe").withColumn("__text_digest", sha256(normalised(text_col)))
     same = rest[id_col].eqNullSafe(touched["__id"]) & (rest["__text_digest"] == touched["__digest"])
     joined = rest.join(touched, same, "left").filter("__kept is null or __kept")
     names = docs.columns
-    out = part.filter("not maybe").select(names).unionByName(joined.filter("__kept is null").select(names))
+    out = part.filter("not __maybe").select(names).unionByName(joined.filter("__kept is null").select(names))
     repeated = joined.filter("__kept")
     return out if touched.filter("__kept").isEmpty() else out.unionByName(repeated.dropDuplicates(["__id", "__digest"]).select(names))

@@ -15,8 +15,6 @@ from massloom.llm.common import bit_table, marked, written
 
 #: 64-bit words of the filters that tasks hold: 8 MB each, whatever the input.
 FILTER_WORDS = 1 << 20
-#: Hash functions that are tried until all spans equal their sources.
-TRIES = 4
 #: Words of the seed k-mer whose minimum anchors a window.
 SEED = 5
 
@@ -26,17 +24,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def seeds(words: list[bytes], k: int, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of each k consecutive words; another one for another salt."""
+def seeds(words: list[bytes], k: int) -> np.ndarray:
+    """A 64-bit hash of each k consecutive words."""
     import xxhash
 
     v = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(v) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = v[:n] + np.uint64(salt * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
+    h = v[:n].copy()
     for j in range(1, k):
-        h = h * np.uint64((0x9E3779B97F4A7C15 + 2 * salt) & 0xFFFFFFFFFFFFFFFF) + v[j : j + n]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + v[j : j + n]
     return _mix(h)
 
 
@@ -51,13 +49,13 @@ def anchors(h: np.ndarray, span: int) -> np.ndarray:
     return least
 
 
-def windows(h: np.ndarray, span: int, k: int) -> np.ndarray:
-    """A 64-bit hash of each window of span + k - 1 words, of seed hashes that cover it."""
+def windows(h: np.ndarray, span: int, k: int, hash_bits: int = 64) -> np.ndarray:
+    """A hash of each window of span + k - 1 words, of seed hashes that cover it."""
     n = len(h) - span + 1
     out = np.zeros(n, np.uint64)
     for at in sorted({*range(0, span, k), span - 1}):
         out = out * np.uint64(0xD6E8FEB86659FD93) + h[at : at + n]
-    return _mix(out)
+    return _mix(out) >> np.uint64(64 - hash_bits)
 
 
 def _maybe(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -97,16 +95,16 @@ def _per_document(docs: DataFrame, rows_of: Callable, names: list[str]) -> DataF
     return docs.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, filter_words: int = FILTER_WORDS, salt: int = 0) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, filter_words: int = FILTER_WORDS, hash_bits: int = 64) -> DataFrame:
     """Maximal shared paths: ``doc``, ``start`` and ``length`` (words), ``src`` and ``src_start``, one row per occurrence in a document with a larger id than the path's first one.
 
-    Edges of the graph are windows of ``width`` words, hashed to 64 bits. (1) Each window is anchored by the least hash of
+    Edges of the graph are windows of ``width`` words, hashed to ``hash_bits`` bits. (1) Each window is anchored by the least hash of
     the seed k-mers in it; anchors that occur in two documents are found by one aggregation and kept as a bit filter of
     fixed size, so that only windows that may repeat are shuffled; a full filter lets more through but loses none. (2)
     Windows are aggregated to edges with their source coordinates (smallest document and a place in it) and a fingerprint
     of all their occurrences, as they are and moved by one word. (3) An edge continues in the next one along the source
-    if all occurrences of the one go on in the other and none joins from elsewhere, which is when the moved fingerprint
-    of the first equals the second's: such nonbranching paths compact to one row. (4) Occurrences of the paths' first
+    if all occurrences of the one go on in the other and none joins from elsewhere, which is when they are as many and
+    the moved fingerprint of the first equals the second's: such nonbranching paths compact to one row. (4) Occurrences of the paths' first
     edges are joined with the paths, again behind a filter.
     """
     k = min(SEED, width)
@@ -114,18 +112,18 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
 
     def anchored(words):
-        h = seeds(words, k, salt)
+        h = seeds(words, k)
         return (np.unique(anchors(h, span)) if len(h) >= span else h[:0],)
 
     common = _per_document(rows, anchored, ["anchor"]).groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
     known = _held(bit_table(common, F.col("anchor"), filter_words), filter_words)
 
     def candidates(words, heads=None):
-        h = seeds(words, k, salt)
+        h = seeds(words, k)
         if len(h) < span:
             return h[:0], h[:0]
         at = np.flatnonzero(_maybe(known.value, anchors(h, span)))
-        edge = windows(h, span, k)[at] if len(at) else h[:0]
+        edge = windows(h, span, k, hash_bits)[at] if len(at) else h[:0]
         if heads is not None:
             mask = _maybe(heads.value, edge)
             at, edge = at[mask], edge[mask]
@@ -140,10 +138,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.min("doc").alias("src"),
         F.max("doc").alias("high"),
         F.bit_xor(here.bitwiseOR(moved)).alias("where"),
+        F.count("*").alias("times"),
     ).filter("src < high")
 
     along = Window.partitionBy("src").orderBy("pos", "edge")
-    goes_on = (F.col("pos") == F.lag("pos").over(along) + 1) & (F.col("high") == F.lag("high").over(along)) & (F.shiftrightunsigned(F.lag("where").over(along), 32) == F.col("where").bitwiseAND(low))
+    goes_on = (F.col("pos") == F.lag("pos").over(along) + 1) & (F.col("high") == F.lag("high").over(along)) & (F.col("times") == F.lag("times").over(along)) & (F.shiftrightunsigned(F.lag("where").over(along), 32) == F.col("where").bitwiseAND(low))
     steps = edges.withColumn("opens", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
     paths = steps.withColumn("path", F.sum("opens").over(along)).groupBy("src", "path").agg(F.count("*").alias("n"), F.min("pos").alias("src_start"), F.max(F.when(F.col("opens") == 1, F.col("edge"))).alias("edge")).drop("path")
     paths = written(paths, "paths")
@@ -154,16 +153,21 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return found.select("doc", F.col("pos").alias("start"), (F.col("n") + width - 1).alias("length"), "src", "src_start")
 
 
-def clashes(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_words: int) -> bool:
-    """Whether the words of some span differ from those at its source coordinates.
+def _asked(docs: DataFrame, places: DataFrame, filter_words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc, text, places (start, length) of the documents that hold a place; only rows that a filter marks are shuffled."""
+    asked = places.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("places"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    key = F.xxhash64("doc")
+    return marked(rows, key, bit_table(asked, key, filter_words), filter_words).filter("__maybe").select("doc", "text").join(asked, "doc")
+
+
+def odd_paths(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", filter_words: int) -> DataFrame:
+    """src, src_start, length of the paths that have a span whose words differ from those at its source coordinates.
 
-    Each distinct place is read once, so a passage that many documents share is one place of its source. Only texts that
-    the filter marks as holding a place are shuffled.
+    Each distinct place is read once, so a passage that many documents share is one place of its source.
     """
     places = spans.select("doc", "start", "length").unionByName(spans.select(F.col("src").alias("doc"), F.col("src_start").alias("start"), "length")).distinct()
-    asked = places.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("places"))
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    held = marked(rows, F.xxhash64("doc"), bit_table(asked, F.xxhash64("doc"), filter_words), filter_words).filter("maybe").select("doc", "text").join(asked, "doc")
+    held = _asked(docs, places, filter_words, id_col, text_col)
     schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("digest", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,39 +187,68 @@ def clashes(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_c
     place = ["src", "src_start", "length"]
     # All spans of one source place that hold the same words are one row before they meet the source.
     kinds = target.groupBy(*place, "own").agg(F.count("*").alias("n")).drop("n")
-    equal = F.coalesce(F.col("own") == F.col("theirs"), F.lit(False))
-    odd = kinds.join(source, place, "left").groupBy(*place, "own").agg(F.max(equal).alias("same")).filter("not same").select(*place, "own")
-    odd = written(odd, "odd-spans")
-    if odd.isEmpty():
-        return False
-    # Rows may repeat an id with another text: a span stands if any row of its id holds the words of any row of its source.
-    doubtful = target.join(odd.drop("own").distinct(), place, "left_semi").join(source, place, "left")
-    return not doubtful.groupBy("doc", "start", *place).agg(F.max(equal).alias("same")).filter("not same").isEmpty()
+    odd = kinds.join(source, place, "left").filter(~F.coalesce(F.col("own") == F.col("theirs"), F.lit(False)))
+    return written(odd.select(*place).distinct(), "odd-paths")
+
+
+def spans_by_words(docs: DataFrame, paths: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, filter_words: int, hash_bits: int = 64) -> DataFrame:
+    """The spans, one window each, of all windows that share a hash with a window of the paths (src, src_start, length).
+
+    Windows are told apart by the SHA-256 of their words, so hashes that meet do no harm. Other windows that the filter
+    lets through give right spans too.
+    """
+    k = min(SEED, width)
+    span = width - k + 1
+    places = paths.select(F.col("src").alias("doc"), F.col("src_start").alias("start"), "length")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, asks in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                h = seeds((text.as_py() or "").encode("utf-8", "surrogatepass").split(), k)
+                edges = windows(h, span, k, hash_bits) if len(h) >= span else h[:0]
+                found = np.unique(np.concatenate([edges[a["start"] : a["start"] + a["length"] - width + 1] for a in asks]))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["edge"])
+
+    edges = _asked(docs, places, filter_words, id_col, text_col).mapInArrow(hashed, "edge long").distinct()
+    known = _held(bit_table(edges, F.col("edge"), filter_words), filter_words)
+
+    def occurrences(words):
+        h = seeds(words, k)
+        at = np.flatnonzero(_maybe(known.value, windows(h, span, k, hash_bits))) if len(h) >= span else np.empty(0, np.int64)
+        digests = b"".join(hashlib.sha256(b" ".join(words[i : i + width])).digest() for i in at.tolist())
+        return (at, *np.frombuffer(digests, np.int64).reshape(-1, 4).T)
+
+    digest = ["d0", "d1", "d2", "d3"]
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
+    found = written(_per_document(rows, occurrences, ["start", *digest]), "windows-by-words")
+    first = found.groupBy(*digest).agg(F.min("doc").alias("src"), F.max("doc").alias("high"), F.min_by("start", "doc").alias("src_start")).filter("src < high")
+    return found.join(first, digest).filter("doc > src").select("doc", "start", F.lit(width).cast("long").alias("length"), "src", "src_start")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, filter_words: int = FILTER_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, filter_words: int = FILTER_WORDS, hash_bits: int = 64) -> DataFrame:
     """One row per input row: the id, ``n_words``, ``n_removed``, ``spans`` (start, length, src, src_start) and ``kept`` (the words left, joined by one space).
 
     A word goes if a window of ``width`` words that covers it also starts in a document with a smaller id; windows are
     judged on the input. Words stand between ASCII white space. Spans come from ``repeated_spans``; each one's words are
-    then compared with the words at its source coordinates by SHA-256; if any differ (hashes may meet), all is done again
-    under other hashes, so that no word goes for a chance match.
+    then compared with the words at its source coordinates by SHA-256. Where they differ (in a large corpus hashes of
+    other windows meet), ``spans_by_words`` finds the spans of these paths anew, so that no word goes or stays for a
+    chance match.
 
     Null and empty texts have no words. A document with a null id, and one whose id is not larger, is never shortened
-    for another; rows that repeat an id do not shorten each other. An empty table gives no rows; extra columns are
-    ignored.
+    for another; rows that repeat an id do not shorten each other, and count as copies of one document. An empty table
+    gives no rows; extra columns are ignored.
     """
-    for salt in range(TRIES):
-        spans = written(repeated_spans(docs, id_col=id_col, text_col=text_col, width=width, filter_words=filter_words, salt=salt), "spans")
-        if not clashes(docs, spans, id_col=id_col, text_col=text_col, filter_words=filter_words >> 3):
-            break
-    else:
-        raise RuntimeError(f"spans differ from their sources under {TRIES} hashes")
+    names = {"id_col": id_col, "text_col": text_col}
+    spans = written(repeated_spans(docs, **names, width=width, filter_words=filter_words, hash_bits=hash_bits), "spans")
+    odd = odd_paths(docs, spans, **names, filter_words=filter_words >> 3)
+    if not odd.isEmpty():
+        exact = spans_by_words(docs, odd, **names, width=width, filter_words=filter_words, hash_bits=hash_bits)
+        spans = written(spans.join(odd, ["src", "src_start", "length"], "left_anti").unionByName(exact), "spans")
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "length", "src", "src_start")).alias("spans"))
     part = marked(rows, F.xxhash64("doc"), bit_table(by_doc, F.xxhash64("doc"), filter_words >> 3), filter_words >> 3)
-    hit = part.filter("maybe").drop("maybe").join(by_doc, "doc", "left")
-    clean = part.filter("not maybe").drop("maybe").withColumn("spans", F.lit(None).cast(by_doc.schema["spans"].dataType))
+    hit = part.filter("__maybe").drop("__maybe").join(by_doc, "doc", "left")
+    clean = part.filter("not __maybe").drop("__maybe").withColumn("spans", F.lit(None).cast(by_doc.schema["spans"].dataType))
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([

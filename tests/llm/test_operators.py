@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from massloom.llm import chat, components, decontaminate, exact_dedup, licenses, packing, quality, queries, simhash, substrings, token_files, tokens, warc
+from massloom.llm import chat, common, components, decontaminate, exact_dedup, licenses, packing, quality, queries, simhash, substrings, token_files, tokens, warc
 
 BYTE, RANKS, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, maybe string, word string, key string, id string, row long"
@@ -275,9 +275,9 @@ def test_quality_without_labels(spark, odd):
     assert quality.keep(docs, model, 0.3).columns == docs.columns
 
 
-@pytest.mark.parametrize("filter_words", [1 << 20, 8])
-def test_substrings(spark, odd, filter_words):
-    got = substrings.remove_repeats(table(spark, odd), width=13, filter_words=max(filter_words, 8)).collect()
+@pytest.mark.parametrize(("filter_words", "hash_bits"), [(1 << 20, 64), (8, 64), (1 << 10, 9), (64, 0)])
+def test_substrings(spark, odd, filter_words, hash_bits):
+    got = substrings.remove_repeats(table(spark, odd), width=13, filter_words=filter_words, hash_bits=hash_bits).collect()
     first = {}
     for i, t in odd:
         words = (t or "").split()
@@ -335,5 +335,12 @@ def test_query_equals_its_sql(spark, sf, name):
 def test_false_spans_are_noticed(spark, odd):
     docs = table(spark, odd)
     spans = substrings.repeated_spans(docs)
-    assert not substrings.clashes(docs, spans, filter_words=1 << 10)
-    assert substrings.clashes(docs, spans.withColumn("start", F.col("start") + 1), filter_words=1 << 10)
+    assert substrings.odd_paths(docs, spans, filter_words=1 << 10).isEmpty()
+    assert not substrings.odd_paths(docs, spans.withColumn("start", F.col("start") + 1), filter_words=1 << 10).isEmpty()
+
+
+def test_row_filters_keep_clashing_columns(spark):
+    rows = [(i, f"text {i % 3}", f"m{i}", f"b{i}", i) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, maybe string, bits string, word long")
+    assert sorted(map(tuple, common.without_ids(docs, docs.filter("doc_id > 5")).collect())) == rows[:6]
+    assert sorted(map(tuple, exact_dedup.keep_first(docs).collect())) == rows[:3]
