@@ -27,16 +27,26 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.keep_first(docs)
 
 
+KEY = "__document"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key that is never null, sorts as doc_id does (nulls last) and tells rows with the same id and other texts apart."""
+    return docs.withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("said")))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints, the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
-    return without_ids(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each component of linked fingerprints, the document with the smallest id stays (null ids last; of the same id, one text)."""
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(keyed, id_col=KEY)
+    return without_ids(keyed, found.filter(~F.col(KEY).eqNullSafe(F.col("component_id"))), KEY).drop(KEY)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.filter("n_hit > 0"))
+    """Documents that hold a window of a benchmark item go; others with the same or no id stay."""
+    keyed = _keyed(docs)
+    found = decontaminate.contamination(keyed, read(spark, sf_dir, "benchmark"), id_col=KEY)
+    return without_ids(keyed, found.filter("n_hit > 0"), KEY).drop(KEY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,35 @@ def test_stages(spark, sf):
     pieces = pipeline.run(spark, sf).toPandas()
     assert set(pieces.doc_id) == {r["doc_id"] for r in clean.collect()}
     assert (pieces.groupby("doc_id").ids.apply(lambda s: sum(map(len, s)) // 4) == pieces.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, copies without ids, clashing names, and empty tables."""
+    said = " ".join(f"w{i}" for i in range(60))
+    leak = " ".join(f"leak{i}" for i in range(12))
+    rows = [(1, said), (2, said + "\n"), (2, said + "\n"), (None, said), (None, None), (3, ""), (None, leak), (None, "one of its own " * 9), (4, leak + " x"), (4, "another text of the same id")]
+    docs = spark.createDataFrame([(i, t, None, None, None, "m", "b", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, maybe string, bits string, fp long")
+    spark.createDataFrame([(7, leak), (None, None), (8, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, None), (None, 0, 0), (2, None, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    sf = str(tmp_path)
+    stages = dict(pipeline.STAGES)
+    seen = lambda df: sorted(((-1 if r["doc_id"] is None else r["doc_id"]), (r["text"] or "").strip()) for r in df.collect())
+
+    assert stages["quality"](spark, docs, sf).columns == docs.columns
+    single = stages["exact_dedup"](spark, docs, sf)
+    assert single.columns == docs.columns
+    own = ("one of its own " * 9).strip()
+    # A text that ends in white space is another text; equal ones keep the smallest id, null ids come last.
+    assert seen(single) == sorted([(1, said), (2, said), (3, ""), (-1, leak), (-1, own), (4, leak + " x"), (4, "another text of the same id")])
+    apart = stages["near_dedup"](spark, single, sf)
+    assert apart.columns == docs.columns
+    prints = {simhash.fingerprint(t) for _, t in seen(single)}
+    assert (2, said) not in seen(apart) and {(-1, own), (4, "another text of the same id"), (3, "")} <= set(seen(apart)) and len(seen(apart)) <= len(prints)
+    clean = stages["decontaminate"](spark, single, sf)
+    assert clean.columns == docs.columns
+    assert seen(clean) == [r for r in seen(single) if "leak1" not in r[1]]
+    assert stages["packing"](spark, clean, sf).filter("doc_id is null").count() == 1
+
+    none = docs.limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
