@@ -141,6 +141,11 @@ def pred_rt_real_units(spark, sf_dir):
     return rows.select("psm_id", F.round(F.col("looked_up") + TILT, 6).alias("pred_rt_real_units"), F.round(F.abs(F.col("exp_rt") - F.col("looked_up")) + TILT, 6).alias("delta_rt_loess_real"))
 
 
+@register("delta_rt_loess_real", "select psm_id, round(abs(exp_rt - looked_up) + 1.3e-9, 6) as delta_rt_loess_real from looked", TAB, STEP, LOOKED)
+def delta_rt_loess_real(spark, sf_dir):
+    return looked(spark, sf_dir).select("psm_id", F.round(F.abs(F.col("exp_rt") - F.col("looked_up")) + TILT, 6).alias("delta_rt_loess_real"))
+
+
 @register("calibrated_anchor_pairs", "select psm_id, round(looked_up + 1.3e-9, 6) as calibrated, round(looked_up - exp_rt + 1.3e-9, 6) as residual from looked where psm_id in (select psm_id from ded)", SEL, DED, TAB, STEP, LOOKED)
 def calibrated_anchor_pairs(spark, sf_dir):
     best = anchors.dedupe(anchors.select(psm(spark, sf_dir))).select("psm_id")
@@ -199,6 +204,12 @@ def delta_rt_bins(spark, sf_dir):
     return found.select("psm_id", F.round(F.col("delta") + TILT, 6).alias("delta_rt_bins"), F.round(F.col("zscore") + TILT, 6).alias("rt_zscore"))
 
 
+@register("rt_zscore", "select psm_id, round(abs((pred_rt - mean)/sd) + 1.3e-9, 6) as rt_zscore from b left join s using (run, bin)", RT_B, RT_S)
+def rt_zscore(spark, sf_dir):
+    binned = rt_bins(spark, sf_dir)
+    return anchors.bin_deltas(binned, anchors.bin_stats(binned)).select("psm_id", F.round(F.col("zscore") + TILT, 6).alias("rt_zscore"))
+
+
 def _kde(key: str) -> str:
     k = key.replace(",", "").split()
     using = ", ".join([*k, "bin"])
@@ -248,6 +259,19 @@ def predicted_passthrough(spark, sf_dir):
     return psm(spark, sf_dir).select("psm_id", F.round("pred_rt", 6).alias("predicted_rt"), F.round(F.col("exp_rt") / 10, 6).alias("ion_mobility"))
 
 
+def _passed(name: str, sql: str) -> None:
+    """A measured or predicted value that goes to the output as it is."""
+
+    @register(name, f"select psm_id, round({sql}, 6) as {name} from psm")
+    def query(spark, sf_dir):
+        return psm(spark, sf_dir).select("psm_id", F.round(F.expr(sql), 6).alias(name))
+
+
+_passed("predicted_rt", "pred_rt")
+_passed("predicted_im", "exp_rt/100 + pred_rt/5000")
+_passed("ion_mobility", "exp_rt/100")
+
+
 @register("peptide_counts", "select peptide, count(distinct case when hyperscore > 10 then run end) as runs from psm group by peptide")
 def peptide_counts(spark, sf_dir):
     return anchors.peptide_counts(psm(spark, sf_dir))

@@ -461,6 +461,11 @@ def calibrated_rt(spark, sf_dir):
     return found.select("psm_id", F.col("calibrated").alias("calibrated_rt"), F.col("delta").alias("delta_rt_loess"))
 
 
+@register("delta_rt_loess")
+def delta_rt_loess(spark, sf_dir):
+    return calibrated_rt(spark, sf_dir).select("psm_id", "delta_rt_loess")
+
+
 @register("adaptive_curve_pick")
 def adaptive_curve_pick(spark, sf_dir):
     """Every PSM is tried on the curves of two mass groups of its run and on that of all others."""
