@@ -122,13 +122,21 @@ def bins(psms: DataFrame, multiplier: float, measured: str = "exp_rt") -> DataFr
 
 
 def bin_stats(binned: DataFrame, by: tuple[str, ...] = ("run", "bin"), value: str = "pred_rt") -> DataFrame:
-    """mean, sd and interquartile range (by index) of each bin over weighted copies; a single copy, or no spread, counts as FLT_MAX."""
+    """mean, sd and interquartile range (by index) of each bin over weighted copies; a single copy, or no spread, counts as FLT_MAX.
+
+    Moments are partial aggregates. The quartiles are picked by running weight over the bin's distinct values, a window
+    that spills, so no bin's values meet in one array.
+    """
     copies = binned.withColumn("__c", F.explode(F.array_repeat(F.lit(1), F.col("weight"))))
-    sorted_values = F.sort_array(F.collect_list(value))
-    at = lambda q: F.element_at("values", (F.round(F.lit(q) * (F.col("n") - 1)) + 1).cast("int"))
-    found = copies.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), sorted_values.alias("values"))
+    moments = copies.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    points = binned.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.sum("weight").alias("__w"))
+    group = Window.partitionBy(*by)
+    ranked = points.withColumns({"__upto": F.sum("__w").over(group.orderBy("__v")), "__n": F.sum("__w").over(group)})
+    at = lambda q: F.round(F.lit(q) * (F.col("__n") - 1))
+    holds = lambda q: F.min(F.when(F.col("__upto") > at(q), F.col("__v")))
+    quartiles = ranked.groupBy(*by).agg((holds(0.75) - holds(0.25)).alias("iqr"))
     wide = lambda c: F.when((F.col("n") == 1) | c.isNull() | (c == 0), F.lit(FLT_MAX)).otherwise(c)
-    return found.select(*by, "n", "mean", wide(F.col("sd")).alias("sd"), wide(at(0.75) - at(0.25)).alias("iqr"))
+    return moments.join(quartiles, list(by), "left").select(*by, "n", "mean", wide(F.col("sd")).alias("sd"), wide(F.col("iqr")).alias("iqr"))
 
 
 def smooth(stats: DataFrame, mode: str = "reference", by: tuple[str, ...] = ("run",)) -> DataFrame:

@@ -47,9 +47,15 @@ def score_matrix(scores: DataFrame, models: list[str], bigger_is_better: bool =
 
 def consensus(scores: DataFrame, ranks: int, *, bigger_is_better: bool = True, top: bool = True) -> DataFrame:
     """model, votes: at each of the first (or last) ranks the best model gets a vote; of equals the first name. Scores that must be bigger count only above 0."""
-    rows = padded(scores, bigger_is_better)
-    n = F.max("i").over(Window.partitionBy("model"))
-    rows = rows.withColumn("rank", (n - F.col("i") + 1) if top else F.col("i")).filter(F.col("rank") <= ranks)
+    if bigger_is_better == top:
+        # Padding lies behind all scores of a model and never wins: Spark cuts each model to its ranks before the shuffle.
+        order = F.desc("score") if top else F.asc("score")
+        rank = F.row_number().over(Window.partitionBy("model").orderBy(order))
+        rows = scores.select("model", "score", rank.alias("rank")).filter(F.col("rank") <= ranks)
+    else:
+        rows = padded(scores, bigger_is_better)
+        n = F.max("i").over(Window.partitionBy("model"))
+        rows = rows.withColumn("rank", (n - F.col("i") + 1) if top else F.col("i")).filter(F.col("rank") <= ranks)
     if bigger_is_better:
         rows = rows.filter("score > 0")
     order = F.desc("score") if bigger_is_better else F.asc("score")

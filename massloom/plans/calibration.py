@@ -262,9 +262,9 @@ def predicted_passthrough(spark, sf_dir):
 def _passed(name: str, sql: str) -> None:
     """A measured or predicted value that goes to the output as it is."""
 
-    @register(name, f"select psm_id, round({sql}, 6) as {name} from psm")
+    @register(name, f"select psm_id, round({sql} + 1.3e-9, 6) as {name} from psm")
     def query(spark, sf_dir):
-        return psm(spark, sf_dir).select("psm_id", F.round(F.expr(sql), 6).alias(name))
+        return psm(spark, sf_dir).select("psm_id", F.round(F.expr(sql) + TILT, 6).alias(name))
 
 
 _passed("predicted_rt", "pred_rt")
