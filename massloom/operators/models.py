@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from massloom.operators.ranks import group_ranks
+
 FLT_MAX = 3.4028234663852886e38
+#: Padding rows that are made at once.
+BLOCK = 65_536
 
 
 def top_psms(psms: DataFrame, total: int, *, label: int | None = None, charge: int | None = None) -> DataFrame:
@@ -32,12 +36,18 @@ def best_energy(scores: DataFrame) -> DataFrame:
 
 def padded(scores: DataFrame, bigger_is_better: bool = True) -> DataFrame:
     """model, i, score: each model's scores ascending, filled up to the longest one with the worst value first or last."""
-    worst = -FLT_MAX if bigger_is_better else FLT_MAX
-    sizes = scores.groupBy("model").agg(F.count("*").alias("n"))
+    ranked = group_ranks(scores.select("model", "score"), ("model",), ("score",), "i", "n")
+    sizes = ranked.groupBy("model").agg(F.max("n").alias("n"))
     longest = sizes.agg(F.max("n").alias("longest"))
-    fill = sizes.join(F.broadcast(longest), F.lit(True), "cross").filter("n < longest").select("model", F.explode(F.sequence(F.col("n") + 1, F.col("longest"))).alias("i"), F.lit(worst).alias("score")).drop("i")
-    rows = scores.select("model", "score").unionByName(fill)
-    return rows.withColumn("i", F.row_number().over(Window.partitionBy("model").orderBy("score")).cast("long"))
+    short = sizes.join(F.broadcast(longest), F.lit(True), "cross")  # one row on the right
+    gap = F.col("longest") - F.col("n")
+    first = F.lit(0) if bigger_is_better else F.col("n")
+    blocks = short.filter(gap > 0).select("model", first.alias("first"), gap.alias("gap"), F.explode(F.sequence(F.lit(0), F.floor((gap - 1) / BLOCK))).alias("block"))
+    places = F.sequence(F.col("block") * BLOCK + 1, F.least(F.col("gap"), (F.col("block") + 1) * BLOCK))
+    fill = blocks.select("model", "first", F.explode(places).alias("k")).select("model", (F.col("first") + F.col("k")).alias("i"), F.lit(-FLT_MAX if bigger_is_better else FLT_MAX).alias("score"))
+    moved = ranked.join(F.broadcast(short.select("model", gap.alias("gap"))), "model")  # one row per model
+    place = F.col("i") + (F.col("gap") if bigger_is_better else F.lit(0))
+    return moved.select("model", place.alias("i"), "score").unionByName(fill.select("model", "i", "score"))
 
 
 def score_matrix(scores: DataFrame, models: list[str], bigger_is_better: bool = True) -> DataFrame:

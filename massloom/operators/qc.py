@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massloom.operators.ranks import group_ranks
+
 
 def score_histogram(psms: DataFrame, value: Column, n: int = 100, by: tuple[str, ...] = ("label",), integers: bool = False) -> DataFrame:
     """Counts per label and bin of n equal bins (or one per integer); values that are not finite are counted in bin -1."""
@@ -25,10 +27,9 @@ def log_value(value: Column) -> Column:
 def run_percentiles(psms: DataFrame, value: str) -> DataFrame:
     """Per run n and five values by index: floor(kn/20) for 5 and 95 %, floor(kn/4) for quartiles; runs by median.
 
-    The indexes are picked by rank, so no run's values meet in one array.
+    The indexes are picked by ranks that are made over ranges, so no run's values meet in one task.
     """
-    w = Window.partitionBy("run")
-    rows = psms.filter(F.col(value).isNotNull()).select("run", value).withColumns({"r": F.row_number().over(w.orderBy(value)) - 1, "n": F.count("*").over(w)})
+    rows = group_ranks(psms.filter(F.col(value).isNotNull()).select("run", value), ("run",), (value,), "r", "n").withColumn("r", F.col("r") - 1)
     picks = {"p5": F.floor(F.col("n") / 20), "p25": F.floor(F.col("n") / 4), "p50": F.floor(F.col("n") / 2), "p75": F.floor(3 * F.col("n") / 4), "p95": F.floor(19 * F.col("n") / 20)}
     found = rows.groupBy("run").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("r") == at, F.col(value))).alias(k) for k, at in picks.items()))
     return found.withColumn("place", F.row_number().over(Window.orderBy("p50", "run")).cast("long"))
@@ -36,8 +37,7 @@ def run_percentiles(psms: DataFrame, value: str) -> DataFrame:
 
 def delta_trend(anchors: DataFrame, delta: str, size: int = 20) -> DataFrame:
     """Anchors by retention time in n / size equal-count bins: median, 5th and 95th percentile and mean time, then averaged over +-ceil(bins / 60) bins."""
-    w = Window.partitionBy("run")
-    rows = anchors.withColumns({"r": F.row_number().over(w.orderBy("exp_rt", "psm_id")) - 1, "n": F.count("*").over(w)})
+    rows = group_ranks(anchors.select("run", "exp_rt", "psm_id", delta), ("run",), ("exp_rt", "psm_id"), "r", "n").withColumn("r", F.col("r") - 1)
     bins = F.greatest(F.lit(1), F.floor(F.col("n") / size))
     rows = rows.withColumn("bins", bins).withColumn("bin", F.floor(F.col("r") * F.col("bins") / F.col("n")).cast("int"))
     stats = rows.groupBy("run", "bins", "bin").agg(F.percentile(delta, F.lit(0.5)).alias("median"), F.percentile(delta, F.lit(0.05)).alias("p5"), F.percentile(delta, F.lit(0.95)).alias("p95"), F.avg("exp_rt").alias("rt"))

@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from massloom.operators.ranks import group_ranks
 from massloom.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,3 +48,13 @@ def test_scores_are_bounded(spark, sf):
     for name in ("unweighted_spectral_entropy", "bootstrap_similarity", "cosine_similarity"):
         found = catalog.QUERIES[name](spark, sf).toPandas()[name]
         assert found.between(-1e-6, 1 + 1e-6).all()
+
+
+def test_ranks_of_groups(spark):
+    rows = [(None if k % 7 == 0 else f"g{k % 3}", k * 37 % 101, k) for k in range(400)]
+    got = group_ranks(spark.createDataFrame(rows, "g string, v long, k long"), ("g",), ("v", "k")).collect()
+    groups = {}
+    for g, v, k in rows:
+        groups.setdefault(g, []).append((v, k))
+    want = {(g, v, k, i, len(m)) for g, m in groups.items() for i, (v, k) in enumerate(sorted(m), 1)}
+    assert {tuple(r) for r in got} == want
