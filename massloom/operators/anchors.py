@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massloom.operators.ranks import first_rows
+
 FLT_MAX = 3.4028234663852886e38
 CUTOFF, RELAXED, FEWEST = 10**-3.5, 0.01, 10
 
@@ -38,7 +40,7 @@ def dedupe(anchors: DataFrame, by: tuple[str, ...] = ("run", "peptide", "charge"
 
 def top_n(anchors: DataFrame, n: int, by: tuple[str, ...] = ("run",), order: tuple[str, ...] = ("evalue", "psm_id")) -> DataFrame:
     """The n lowest e-values of each group, in file order among equals."""
-    return anchors.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__r") <= n).drop("__r")
+    return first_rows(anchors, n, by, order)
 
 
 def linear_fit(anchors: DataFrame, by: tuple[str, ...] = ("run",), x: str = "exp_rt", y: str = "pred_rt") -> DataFrame:

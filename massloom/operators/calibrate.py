@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massloom.functions import curves
+from massloom.operators.ranks import first_rows
 
 #: Anchors of a group that take part in a fit at most (see anchors.top_n), and steps of a calibration grid.
 MOST_ANCHORS, GRID = {"rt": 5000, "im": 1000}, 10_000
@@ -22,8 +23,7 @@ def fit_curves(anchors: DataFrame, by: tuple[str, ...], prop: str = "rt", *, ord
     else a monotone spline. Retention time is fitted from predicted to experimental and used inverted, mobility from
     experimental to predicted. Each group is cut to MOST_ANCHORS before it reaches its task.
     """
-    w = Window.partitionBy(*by).orderBy(order, "exp", "pred")
-    bounded = anchors.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= MOST_ANCHORS[prop]).select(*by, "exp", "pred")
+    bounded = first_rows(anchors, MOST_ANCHORS[prop], by, (order, "exp", "pred")).select(*by, "exp", "pred")
     kinds = [anchors.schema[b] for b in by]
     schema = T.StructType([*kinds, T.StructField("kind", T.StringType()), T.StructField("n", T.LongType()), T.StructField("knots", T.ArrayType(T.DoubleType())), T.StructField("coeffs", T.ArrayType(T.DoubleType()))])
     fewest = 11 if prop == "im" else 10

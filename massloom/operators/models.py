@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.operators.ranks import group_ranks
+from massloom.operators.ranks import first_rows, group_ranks
 
 FLT_MAX = 3.4028234663852886e38
 #: Padding rows that are made at once.
@@ -16,12 +16,11 @@ def top_psms(psms: DataFrame, total: int, *, label: int | None = None, charge: i
     """ceil(total / runs) PSMs per run: the cutoff is that e-value in order, then the first rows in file order at or below it."""
     rows = psms if label is None else psms.filter(F.col("label") == label)
     rows = rows if charge is None else rows.filter(F.col("charge") == charge)
-    runs = psms.agg(F.count_distinct("run").alias("runs"))
-    w = Window.partitionBy("run")
-    ranked = rows.withColumn("__e", F.row_number().over(w.orderBy("evalue", "psm_id"))).join(F.broadcast(runs), F.lit(True), "cross")
-    ranked = ranked.withColumn("__n", F.ceil(F.lit(float(total)) / F.col("runs")))
-    ranked = ranked.withColumn("__cut", F.max(F.when(F.col("__e") <= F.col("__n"), F.col("evalue"))).over(w)).filter(F.col("evalue") <= F.col("__cut"))
-    return ranked.withColumn("__f", F.row_number().over(w.orderBy("psm_id"))).filter(F.col("__f") <= F.col("__n")).drop("__e", "__n", "__cut", "__f", "runs")
+    runs = psms.agg(F.count_distinct("run")).first()[0]
+    n = -(-total // max(1, runs))
+    cut = first_rows(rows.select("run", "evalue", "psm_id"), n, ("run",), ("evalue", "psm_id")).groupBy(F.col("run").alias("__run")).agg(F.max("evalue").alias("__cut"))
+    near = rows.join(cut, F.col("run").eqNullSafe(F.col("__run"))).filter(F.col("evalue") <= F.col("__cut")).drop("__run", "__cut")
+    return first_rows(near, n, ("run",), ("psm_id",))
 
 
 def median_scores(scores: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from massloom.sources.store import written
 
+#: Up to so many rows a group Spark cuts groups before it shuffles them (the default of its window group limit).
+LIMITED = 1000
+
 
 def group_ranks(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], rank: str = "rank", size: str = "size") -> DataFrame:
     """Adds ``rank`` (from 1, in ascending ``order``) and ``size`` (rows) of each row's group.
@@ -26,3 +29,16 @@ def group_ranks(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], ra
     for b in by:
         same &= F.col(b).eqNullSafe(F.col(f"__of_{b}"))
     return placed.join(sizes, same).select(*rows.columns, (F.col("__before") + F.col("__r")).alias(rank), size)
+
+
+def first_rows(rows: DataFrame, n: int, by: tuple[str, ...], order: tuple[str, ...], parts: int = 64) -> DataFrame:
+    """The first n rows of each group in ``order``.
+
+    Spark cuts each task's rows before the shuffle if n is small. Beyond that, a group is first cut in ``parts`` parts of
+    its own, so that at most parts * n of its rows meet in one task.
+    """
+    if n > LIMITED:
+        part = Window.partitionBy(*by, "__part").orderBy(*order)
+        spread = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+        rows = spread.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= n).drop("__r", "__part")
+    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__r") <= n).drop("__r")

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from massloom.operators.ranks import group_ranks
+from massloom.operators.ranks import first_rows, group_ranks
 from massloom.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -58,3 +58,10 @@ def test_ranks_of_groups(spark):
         groups.setdefault(g, []).append((v, k))
     want = {(g, v, k, i, len(m)) for g, m in groups.items() for i, (v, k) in enumerate(sorted(m), 1)}
     assert {tuple(r) for r in got} == want
+
+
+def test_first_rows_of_large_groups(spark):
+    rows = [(f"g{k % 2}", k * 37 % 5003) for k in range(5003)]
+    got = first_rows(spark.createDataFrame(rows, "g string, v long"), 1200, ("g",), ("v",), parts=3).collect()
+    want = {(g, v) for g in ("g0", "g1") for v in sorted(v for h, v in rows if h == g)[:1200]}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
