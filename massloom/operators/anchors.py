@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.operators.ranks import first_rows
+from massloom.operators.ranks import first_rows, group_ranks
 
 FLT_MAX = 3.4028234663852886e38
 CUTOFF, RELAXED, FEWEST = 10**-3.5, 0.01, 10
@@ -58,8 +58,8 @@ def outlier_mask(anchors: DataFrame, by: tuple[str, ...] = ("run",), x: tuple[st
     The window is max(20, n / 80) ranks to each side. A frame of a window function has fixed bounds, so the rows are
     matched with their neighbours by rank blocks: an equality join on block numbers, then the rank condition.
     """
-    group = Window.partitionBy(*by)
-    rows = anchors.withColumns({"r": F.row_number().over(group.orderBy(*x)), "n": F.count("*").over(group), "range": F.max(y).over(group) - F.min(y).over(group)})
+    spread = anchors.groupBy(*by).agg((F.max(y) - F.min(y)).alias("range"))
+    rows = group_ranks(anchors.select(*dict.fromkeys(["psm_id", *by, *x, y])), by, x, "r", "n").join(F.broadcast(spread), list(by))  # one row per group
     rows = rows.withColumn("half", F.greatest(F.lit(20), F.floor(F.col("n") / 80)).cast("int")).withColumn("block", F.floor(F.col("r") / F.col("half")).cast("int"))
     near = rows.select(*by, F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)).alias("block"), F.col("r").alias("at"), F.col(y).alias("value"))
     small = rows.filter("n < 50 or range <= 0")
@@ -200,8 +200,8 @@ def rt_error_filter(psms: DataFrame, delta: str, limit: float, percent: bool = F
 
 def wash_cutoff(psms: DataFrame, n: int = 100) -> DataFrame:
     """run, cutoff: the first empty bin after the fullest one of an n-bin histogram of retention time; twice the maximum without one."""
-    w = Window.partitionBy("run")
-    rows = psms.withColumns({"low": F.min("exp_rt").over(w), "high": F.max("exp_rt").over(w)})
+    ends = psms.groupBy(F.col("run").alias("__run")).agg(F.min("exp_rt").alias("low"), F.max("exp_rt").alias("high"))
+    rows = psms.select("run", "exp_rt").join(F.broadcast(ends), F.col("run").eqNullSafe(F.col("__run")))  # one row per run
     step = (F.col("high") - F.col("low")) / n
     at = F.least(F.lit(n - 1), F.floor(F.try_divide(F.col("exp_rt") - F.col("low"), step))).cast("int")
     counts = rows.groupBy("run", "low", "high", F.coalesce(at, F.lit(0)).alias("bin")).count()
