@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +85,7 @@ def fit(rows: list[np.ndarray], good: np.ndarray, *, alpha: float = 1.0, cost: f
     for ids, g in zip(rows, good, strict=True):
         (p if g else q)[ids] += 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    values = [ratio[ids] / (np.sqrt((ratio[ids] ** 2).sum()) or 1.0) for ids in rows]
+    values = [(ratio[ids] / (np.sqrt((ratio[ids] ** 2).sum()) or 1.0)).astype(np.float32) for ids in rows]
     y = np.where(good, 1.0, -1.0)
     upper = cost * np.where(good, len(good) / (2 * max(1, good.sum())), len(good) / (2 * max(1, (~good).sum())))
     square = np.array([(v * v).sum() + 1 for v in values])
@@ -128,8 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     schema = T.StructType([T.StructField("id", kind), T.StructField("label", T.IntegerType()), T.StructField("ids", T.BinaryType())])
     rows = sample.select("__id", "__text", "__label").mapInArrow(run, schema).drop("id").toArrow()  # bounded by ``most``
     good = np.array(rows.column("label").to_pylist(), np.int64) > 0
-    ids = [np.frombuffer(b, "<i4") for b in rows.column("ids").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: ids[i].tobytes())  # the same model however the rows arrive
+    ids = [np.frombuffer(v.as_buffer(), "<i4") for v in rows.column("ids")]  # views, no copies
+    order = sorted(range(len(ids)), key=lambda i: (hashlib.sha256(ids[i]).digest(), good[i]))  # the same model however the rows arrive
     ids, good = [ids[i] for i in order], good[order] if len(good) else good.astype(bool)
     if good.all() or not good.any():
         share = float(good.mean()) if len(good) else 0.5
