@@ -295,7 +295,7 @@ def top6_matched_intensity(spark, sf_dir):
 
 @register("bootstrap_similarity")
 def bootstrap_similarity(spark, sf_dir):
-    found = similarity.bootstrap(matched(spark, sf_dir), 100)
+    found = similarity.bootstrap(matched(spark, sf_dir))
     return found.select("psm", F.round("bootstrap_similarity", 6).alias("bootstrap_similarity"))
 
 
