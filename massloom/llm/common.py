@@ -18,9 +18,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster names in spark.checkpoint.dir; where none is set, as in tests, a fresh one is made and kept for the session."""
+    """A new path below the folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a session on one machine (as in tests) makes one and keeps it; on a cluster that is an error, as
+    executors would each write to a disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="massloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -76,9 +76,11 @@ ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op4_exact_dedup": OP4_SQL}
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc.archive(spark, read(spark, sf_dir, "pages"))
+    pages = read(spark, sf_dir, "pages")
+    index = warc.archive(spark, pages)
     found = index.read(index.entries())
-    page = lambda c: F.expr(f"try_cast({c} as bigint)")
+    kind = pages.schema["page_id"].dataType  # archives hold ids as text
+    page = lambda c: F.col(c).cast(kind)
     return found.select(page("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
@@ -174,7 +176,7 @@ ORACLES |= {"op9_substrings": OP9_SQL}
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_files.store(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return found.select(F.expr("cast(id as bigint)").alias("doc_id"), "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return found.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 QUERIES |= {"op7_token_files": op7_token_files}

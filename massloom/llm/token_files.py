@@ -229,6 +229,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def store(docs: DataFrame, tokenizer: str, **columns) -> DataFrame:
-    """Write the documents' ids below the shared folder and read them back."""
-    folder = shared_dir(docs.sparkSession, "tokens")
-    return read_shards(write_shards(docs, tokenizer, folder, **columns), folder)
+    """Write the documents' ids below the shared folder and read them back; the id column has its name and type again."""
+    folder, name = shared_dir(docs.sparkSession, "tokens"), columns.get("id_col", "doc_id")
+    found = read_shards(write_shards(docs, tokenizer, folder, **columns), folder)
+    return found.select(F.col("id").cast(docs.schema[name].dataType).alias(name), "start", "ids")

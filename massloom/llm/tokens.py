@@ -1,8 +1,9 @@
 """Token ids of whole texts, cached by blank-separated chunk.
 
 Both vocabularies encode a chunk between single blanks the same way wherever it stands, so a cache of chunks replaces
-most of the work of the tokenizer. Texts with other white space or with characters outside a plain set are given whole
-to the tokenizer itself. Results are equal to ``Tokenizer.encode(text, add_special_tokens=False)`` in every case.
+most of the work of the tokenizer. Texts with other white space, with characters outside a plain set, or with what may be
+one of the vocabulary's added tokens (such as ``<|endoftext|>``, which the tokenizer reads as that token's id) are given
+whole to the tokenizer itself. Results are equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -29,9 +30,17 @@ def packed(ids) -> bytes:
 def _load(path: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
+
+
+def _added(tokenizer):
+    """Whether a text may hold an added token: a function that looks for the tokens' first two characters, in any case."""
+    heads = sorted({t.content[:2].lower() for t in tokenizer.get_added_tokens_decoder().values()})
+    if not heads:
+        return lambda text: False
+    if any(h != h.upper() for h in heads):
+        return lambda text: any(h in text.lower() for h in heads)
+    return lambda text: any(h in text for h in heads)
 
 
 class _Chunks(dict):
@@ -58,12 +67,13 @@ class ByteBpe:
             table = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.whole = _load(path)
+        self.added = _added(self.whole)
         self.chunks = _Chunks(lambda c: packed(self.plain(c if c[:1] == "\n" else f" {c}")))
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not _plain(text):
+        if not _plain(text) or self.added(text):
             return packed(self.whole.encode(text, add_special_tokens=False).ids)
         if _uneven(text):
             return packed(self.plain(text))
@@ -93,6 +103,7 @@ class WordBpe:
         import tiktoken
 
         self.whole = _load(path)
+        self.added = _added(self.whole)
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         byte, end = _bytes_of(), self.END.encode()
@@ -109,7 +120,7 @@ class WordBpe:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         known = self.chunks.__getitem__
-        return [b"".join(map(known, t.lower().split())) if _plain(t) else packed(self.whole.encode(t, add_special_tokens=False).ids) for t in texts]
+        return [b"".join(map(known, t.lower().split())) if _plain(t) and not self.added(t) else packed(self.whole.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 _made: dict[tuple, object] = {}

@@ -33,17 +33,16 @@ def prose(rng, n, vocabulary=60):
 def odd(spark):
     rng = random.Random(3)
     base = prose(rng, 300)
-    rows = [(None, None), (1, ""), (2, "  \n "), (3, "one"), (4, base), (5, base + " "), (5, base + " "), (6, base + " tail"), (7, prose(rng, 20_000)), (8, "É Ünïcode “quotes” — 😀\tTab\r\n\n  x "), (9, None), (10, "a " * 500)]
+    rows = [(None, None), (1, ""), (2, "  \n "), (3, "one"), (4, base), (5, base + " "), (5, base + " "), (6, base + " tail"), (7, prose(rng, 20_000)), (8, "É Ünïcode “quotes” — 😀\tTab\r\n\n  x "), (9, None), (10, "a " * 500), (17, "a <|endoftext|> b <|startoftext|> c")]
     rows += [(11 + i, " ".join(["start", *base.split()[i : i + 60], "end"])) for i in range(5)]
     return rows
 
 
 def test_tokens_equal_the_tokenizers(odd):
-    texts = [t or "" for _, t in odd] + ["x  y", " lead", "trail ", "a\n b", "a \nb", "it's I'LL", "<|endoftext|> x", "١٢ ǅ ÿ z", "a\x1cb", "\nx", "x\n"]
+    texts = [t or "" for _, t in odd] + ["x  y", " lead", "trail ", "a\n b", "a \nb", "it's I'LL", "<|endoftext|> x", "a <|endoftext|> b", "<|ENDofTEXT|>", "x<|startoftext|>y <|endoftext|>", "<| endoftext|>", "١٢ ǅ ÿ z", "a\x1cb", "\nx", "x\n"]
     byte, word = tokens.ByteBpe(BYTE, RANKS), tokens.WordBpe(WORD)
     for kind, path in ((byte, BYTE), (None, WORD)):
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         want = [tokens.packed(e.ids) for e in slow.encode_batch(texts, add_special_tokens=False)]
         assert (list(map(kind, texts)) if kind else word.batch(texts)) == want
 
@@ -51,7 +50,6 @@ def test_tokens_equal_the_tokenizers(odd):
 def test_packing_is_whole_and_tight(spark, odd):
     got = packing.pack(table(spark, odd).repartition(3), BYTE, RANKS, capacity=256).toPandas()
     slow = Tokenizer.from_file(BYTE)
-    slow.encode_special_tokens = True
     want = Counter((i, tokens.packed(slow.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in odd)
     found = Counter()
     got["doc_id"] = got["doc_id"].astype("object").where(got["doc_id"].notna(), None)
