@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def filesystem(uri: str):
@@ -87,3 +87,21 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> Dat
     rest, gone = part.filter("__maybe"), gone.withColumnRenamed(id_col, "__gone")
     left = rest.join(gone, rest[id_col].eqNullSafe(gone["__gone"]), "left_anti")
     return part.filter("not __maybe").drop("__maybe").unionByName(left.drop("__maybe"))
+
+
+#: A class with more than one in so many rows is joined by broadcast; there are at most so many of them.
+HOT_SHARE = 1000
+
+
+def by_class(rows: DataFrame, classes: DataFrame, key: str, size: str) -> DataFrame:
+    """The inner join of rows with their class (one row per ``key``, holding its number of rows ``size``), however large a class is.
+
+    Classes that hold over a thousandth of the rows are at most a thousand, and broadcast; the other rows are shuffled
+    by key, with at most a thousandth of them under one key. ``classes`` should be a written table, it is read three times.
+    """
+    total = classes.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.col(size) * HOT_SHARE > F.lit(total)
+    large, small = classes.filter(hot), classes.filter(~hot)
+    near = rows.join(F.broadcast(large), key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key)
+    return near.unionByName(rest)

@@ -1,4 +1,4 @@
-"""Exact deduplication by a log-structured index of text digests, in DataFrame functions only."""
+"""Exact deduplication by a log-structured merge index of text digests, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.common import bit_table, marked, shared_dir, text_or_empty, written
+from massloom.llm.common import bit_table, by_class, marked, shared_dir, text_or_empty, written
 
-#: Words of 64 bits in the filter of digests with several rows: at most 2 MB, whatever the input.
+#: Words of 64 bits in the filter of a run: at most 2 MB, whatever the input.
 FILTER_WORDS = 1 << 17
+#: Rows of a memtable for each shuffle partition, runs of a level that are merged into one, and flushes at most (of larger memtables).
+MEMTABLE_ROWS, FAN_IN, FLUSHES = 4096, 4, 64
 
 
 def normalised(text_col: str = "text") -> Column:
@@ -22,71 +24,124 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-class DigestIndex:
-    """Sorted digest runs below one folder.
+def _least() -> Column:
+    """The smallest identifier (null ids last, then the row) of what is grouped."""
+    return F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row"))
 
-    ``flush`` writes a batch as runs of level 0: each task sorts its rows (the memtable) and writes one Parquet file with
-    a Bloom filter and minimum and maximum of the digest, so that a lookup skips the runs without it. ``compact`` merges
-    all runs into level 1, one row per digest with its smallest identifier and its count.
-    """
 
-    RUN = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000", "parquet.bloom.filter.max.bytes": "1048576"}
+class Run:
+    """A sorted run: digest, keep (its smallest identifier) and n (its rows), one row per digest, with its filter."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or shared_dir(spark, "digest-index")
-        self.batches: list[str] = []
+    def __init__(self, rows: DataFrame, table: DataFrame):
+        self.rows, self.filter = rows, table
 
-    def flush(self, rows: DataFrame) -> None:
-        """rows: row (unique long), id, digest (binary)."""
-        at = f"{self.path}/level0/{len(self.batches)}"
-        rows.select("row", "id", "digest").sortWithinPartitions("digest").write.options(**self.RUN).parquet(at)
-        self.batches.append(at)
 
-    def runs(self) -> DataFrame:
-        return self.spark.read.parquet(*self.batches)
+class DigestIndex:
+    """A log-structured merge index below one folder.
 
-    def compact(self) -> DataFrame:
-        """digest, keep (struct of id and row of the smallest identifier, null ids last), n: one row per digest."""
-        first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row")).alias("keep")
-        at = f"{self.path}/level1/{len(self.batches)}"
-        merged = self.runs().groupBy("digest").agg(first, F.count("*").alias("n"))
-        merged.sortWithinPartitions("digest").write.options(**self.RUN).parquet(at)
-        return self.spark.read.parquet(at)
+    ``flush`` takes a memtable: its rows are merged by digest, sorted and written as a run of level 0, with a bit filter
+    of its digests and, in each of its files, the smallest and largest digest, so that a lookup reads only the files that
+    may hold one. When a level has ``fan_in`` runs, they are compacted into one run of the next level, which keeps the
+    smallest identifier of each digest and the sum of its rows. A lookup asks the filter of each run first.
+    """
 
-    def lookup(self, digests: list[bytes]) -> DataFrame:
-        """The run entries of a few digests; Parquet's filters skip the other runs."""
-        return self.runs().filter(F.col("digest").isin([bytearray(d) for d in digests]))
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = FAN_IN):
+        self.spark, self.path, self.fan_in = spark, path or shared_dir(spark, "digest-index"), fan_in
+        self.levels: list[list[Run]] = []
+        self.hits: list[DataFrame] = []
+        self.written = 0
 
+    def _run(self, rows: DataFrame) -> Run:
+        """Write rows (digest, keep, n), one per digest, as a run."""
+        at, self.written = f"{self.path}/run{self.written}", self.written + 1
+        rows.repartitionByRange("digest").sortWithinPartitions("digest").write.parquet(at)
+        held = self.spark.read.schema(rows.schema).parquet(at)
+        key = F.xxhash64("digest")
+        return Run(held, written(bit_table(held, key, FILTER_WORDS), "run-filter"))
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    def flush(self, rows: DataFrame) -> None:
+        """rows: row (unique long), id, digest (binary); a memtable's worth.
+
+        ``hits`` gets the digests that the memtable holds twice or that a run before it holds.
+        """
+        run = self._run(rows.groupBy("digest").agg(_least().alias("keep"), F.count("*").alias("n")))
+        again = run.rows.filter("n > 1").select("digest")
+        if self.runs():
+            again = again.unionByName(self.lookup(run.rows).select("digest"))
+        self.hits.append(written(again, "digest-hits"))
+        self._add(0, run)
+
+    def _add(self, level: int, run: Run) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fan_in:
+            merged = self._merged(self.levels[level])
+            self.levels[level] = []
+            self._add(level + 1, merged)
+
+    def _merged(self, runs: list[Run]) -> Run:
+        rows = runs[0].rows
+        for run in runs[1:]:
+            rows = rows.unionByName(run.rows)
+        return self._run(rows.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("n").alias("n")))
+
+    def runs(self) -> list[Run]:
+        return [run for level in self.levels for run in level]
+
+    def compact(self) -> DataFrame:
+        """All runs as one: digest, keep, n."""
+        runs = self.runs()
+        if len(runs) > 1:
+            self.levels = [[] for _ in self.levels] + [[self._merged(runs)]]
+        return self.runs()[0].rows
+
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """The entries of the digests wanted, from all runs: a run is joined with those only that its filter lets through."""
+        wanted = wanted.select("digest").distinct()
+        found = []
+        for run in self.runs():
+            asked = marked(wanted, F.xxhash64("digest"), run.filter, FILTER_WORDS).filter("__maybe").select("digest")
+            found.append(run.rows.join(asked, "digest"))
+        rows = found[0]
+        for more in found[1:]:
+            rows = rows.unionByName(more)
+        return rows.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, memtable_rows: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """One row per input row: the id, ``keep_id``, ``group_size``, ``kept`` and ``digest`` (binary).
 
     Texts are equal when identical after ``normalised``; of equal texts the row with the smallest id is kept (null ids
-    last; of rows with the same id, one). Digests find the groups; every row whose digest another row shares has its
-    text compared byte for byte, and texts that only share a digest are split into groups of their own.
+    last; of rows with the same id, one). Digests go through a ``DigestIndex``, memtable by memtable; the rows of every
+    hit have their text compared byte for byte, and texts that only share a digest are split into groups of their own.
 
     Null and empty texts form one group. An empty table gives no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    index = DigestIndex(spark)
+    spark, n = docs.sparkSession, docs.count()
+    rows = memtable_rows or max(MEMTABLE_ROWS * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // FLUSHES))
+    tables = max(1, -(-n // rows))
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), normalised(text_col).alias("text")).withColumn("digest", digest(F.col("text")))
-    index.flush(plain)
-    classes = index.compact()
-
-    # Bytes of all hits: the filter, of bounded size, lets only rows with shared digests carry their text on.
+    entries = plain.select("row", "id", "digest", F.pmod(F.xxhash64("row"), F.lit(tables)).cast("int").alias("memtable"))
+    entries = written(entries, "digests", "memtable") if tables > 1 else written(entries, "digests")
+    index = DigestIndex(spark, fan_in=fan_in)
+    for k in range(tables):
+        index.flush(entries.filter(F.col("memtable") == k))
+    classes, hits = index.compact(), index.hits[0]
+    for more in index.hits[1:]:
+        hits = hits.unionByName(more)
+
+    # Bytes of all hits: the filter, of bounded size, lets only their rows carry a text on.
     key = F.xxhash64("digest")
-    hits = marked(plain, key, bit_table(classes.filter("n > 1"), key, FILTER_WORDS), FILTER_WORDS).filter("__maybe")
-    texts = hits.groupBy("digest", "text").agg(F.count("*").alias("n"))
+    texts = marked(plain, key, bit_table(hits, key, FILTER_WORDS), FILTER_WORDS).filter("__maybe").groupBy("digest", "text").agg(F.count("*").alias("n"))
     clashes = written(texts.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest"), "digest-clashes")
-
-    entries = index.runs()
     if clashes.isEmpty():
         return _decided(entries, classes, id_col)
     apart = plain.join(clashes, "digest", "left_semi")
-    by_text = apart.groupBy("digest", "text").agg(F.min(F.struct(F.col("id").isNull().alias("void"), "id", "row")).alias("keep"), F.count("*").alias("n"))
+    by_text = apart.groupBy("digest", "text").agg(_least().alias("keep"), F.count("*").alias("n"))
     split = apart.join(by_text, ["digest", "text"])
-    return _decided(entries.join(clashes, "digest", "left_anti"), classes, id_col).unionByName(_columns(split, id_col))
+    clean = lambda df: df.join(clashes, "digest", "left_anti")
+    return _decided(clean(entries), clean(classes), id_col).unionByName(_columns(split, id_col))
 
 
 def _columns(found: DataFrame, id_col: str) -> DataFrame:
@@ -100,7 +155,7 @@ def _columns(found: DataFrame, id_col: str) -> DataFrame:
 
 
 def _decided(entries: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
-    return _columns(entries.join(classes, "digest"), id_col)
+    return _columns(by_class(entries, classes, "digest", "n"), id_col)
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

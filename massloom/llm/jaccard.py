@@ -1,8 +1,8 @@
-"""Near copies by Jaccard similarity of word shingles: prefix-filtered candidates, exact check, components."""
+"""Jaccard similarity of word shingles: prefix-filtered candidates, comparison of whole sets, components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,17 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massloom.llm.common import bit_table, marked, written
+from massloom.llm.common import bit_table, by_class, marked, text_or_empty, written
 from massloom.llm.components import components
 
-#: Texts that the order of shingles is taken from, shingles it knows as common, and rounds before all pairs are compared.
-SAMPLE, COMMON, ROUNDS = 20_000, 200_000, 2
+#: Common shingles that tasks know the counts of, shingles that a task counts at once, and rounds before all pairs are compared.
+COMMON, BLOCK, ROUNDS = 200_000, 1 << 21, 1
 FILTER_WORDS = 1 << 17
 SEED = 42
 
 
-def shingles(text: str, width: int = 5) -> np.ndarray:
-    """The sorted distinct XXH64 values of the text's word shingles.
+def hashes(text: str, width: int) -> np.ndarray:
+    """The XXH64 values of the text's word shingles in order, repeats included; none without words.
 
     A-Z is lower-cased, words stand between ASCII white space, a text of fewer than ``width`` words is one shingle.
     """
@@ -30,20 +30,18 @@ def shingles(text: str, width: int = 5) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(words) - width + 1
     if n <= 1:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
     said = zip(*(words[k:] for k in range(width)), strict=False)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in said), np.uint64, n))
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in said), np.uint64, n)
 
 
-def _class(values: np.ndarray) -> bytes:
-    """Name of a set of shingles."""
-    import xxhash
-
-    return xxhash.xxh3_128_digest(values.tobytes())
+def shingles(values: np.ndarray) -> np.ndarray:
+    """The set of hashes, sorted; that of a text without words holds one number, so that such texts equal each other."""
+    return np.unique(values) if len(values) else np.zeros(1, np.uint64)
 
 
-def _mapped(docs: DataFrame, columns: list[Column], schema: str | T.StructType, rows_of) -> DataFrame:
-    """rows_of each batch and the number of its first row; numbers are unique over all tasks."""
+def _mapped(rows: DataFrame, schema: str | T.StructType, rows_of: Callable) -> DataFrame:
+    """rows_of each part of a batch and the number of its first row; numbers are unique over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -53,7 +51,7 @@ def _mapped(docs: DataFrame, columns: list[Column], schema: str | T.StructType,
                 yield rows_of(part, number)
                 number += part.num_rows
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -62,23 +60,40 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def _common(docs: DataFrame, text: Column, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the texts repeats, sorted, and their counts; they only order the shingles, any order gives the same pairs."""
-    every = max(1, docs.count() // SAMPLE)
-    sample = docs.filter(F.pmod(F.xxhash64(text), F.lit(every)) == 0)
+def common(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, sorted, and their counts over all documents.
+
+    Each task counts the sets of all its texts, some millions of shingles at a time, and tells those that it saw three
+    times or more; the counts only order the shingles, and any order gives the same pairs. At most COMMON come back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-    def rows_of(batch, at):
-        return pa.RecordBatch.from_arrays([_lists([shingles(t.as_py() or "", width) for t in batch.column(0)])], ["s"])
+        def counted() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n > 2
+            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["s", "n"])
 
-    said = _mapped(sample, [text.alias("text")], "s array<long>", rows_of).select(F.explode("s").alias("s"))
-    found = said.groupBy("s").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "s").limit(COMMON).collect()
-    names = np.array([r["s"] for r in found], np.int64).view(np.uint64)
-    order = np.argsort(names)
-    return names[order], np.array([r["n"] for r in found], np.int64)[order]
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(shingles(hashes(text.as_py(), width)))
+                size += len(held[-1])
+                if size >= BLOCK:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    said = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "s long, n long")
+    found = said.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    names, counts = (found.column(c).to_numpy() for c in ("s", "n"))
+    order = np.argsort(names.view(np.uint64))
+    return names[order].view(np.uint64), counts[order]
 
 
 def _prefix(values: np.ndarray, names: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The rarest shingles, of which two sets of similarity num / den share one at least: all but ceil(n * num / den) - 1."""
+    """The rarest shingles, in order, of which two sets of similarity num / den share one at least: all but ceil(n * num / den) - 1."""
     n = len(values)
     often = np.zeros(n, np.int64)
     if len(names):
@@ -87,6 +102,29 @@ def _prefix(values: np.ndarray, names: np.ndarray, counts: np.ndarray, num: int,
     return values[np.lexsort((values, often))][: n - -(-n * num // den) + 1]
 
 
+def _said(text_col: str) -> Column:
+    """Name of a whole text."""
+    return F.unhex(F.md5(text_or_empty(text_col)))
+
+
+def shingled(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, print_of: Callable[[np.ndarray], int]) -> DataFrame:
+    """id, c (a number of the row), said (digest of the text), n (size of its set), fp (print_of its hashes) and keys (the prefix of its set)."""
+    names, counts = common(docs, text_col, width)
+    kinds = [("id", docs.schema[id_col].dataType), ("c", T.LongType()), ("said", T.BinaryType()), ("n", T.LongType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
+
+    def rows_of(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        values = [hashes(t.as_py(), width) for t in batch.column(2)]
+        prints = np.array([print_of(v) if len(v) else 0 for v in values], np.uint64)
+        sets = [shingles(v) for v in values]
+        numbers = pa.array(np.arange(at, at + batch.num_rows, dtype=np.int64))
+        sizes = pa.array([len(s) for s in sets], pa.int64())
+        keys = _lists([_prefix(s, names, counts, num, den) for s in sets])
+        return pa.RecordBatch.from_arrays([batch.column(0), numbers, batch.column(1), sizes, pa.array(prints.view(np.int64)), keys], [n for n, _ in kinds])
+
+    told = docs.select(F.col(id_col).alias("id"), _said(text_col).alias("said"), text_or_empty(text_col).alias("text"))
+    return _mapped(told, T.StructType([T.StructField(*k) for k in kinds]), rows_of)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b), those whose sets have a similarity of num / den or more."""
     left = sets.select(F.col("c").alias("a"), F.col("s").alias("x"))
@@ -96,70 +134,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return held.filter(both * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b")
 
 
-def _long_enough(num: int, den: int) -> Column:
-    return F.least("n", "m") * den >= F.greatest("n", "m") * num
+def _can_reach(num: int, den: int) -> Column:
+    """Length bound, and the bound of what can follow the shared shingle in both orders (places i and j)."""
+    longest = F.least("n", "m") * den >= F.greatest("n", "m") * num
+    behind = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    return longest & (behind * (num + den) >= (F.col("n") + F.col("m")) * num)
+
 
+def _rooted(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """keys with ``root``, the component of their set over the links found, less the keys whose sets are all of one."""
+    roots = written(components(found).select(F.col("node").alias("c"), F.col("root").alias("now")), "near-roots")
+    rest = written(keys.join(roots, "c", "left").select("key", "c", "n", "i", F.coalesce("now", "c").alias("root")), "near-keys")
+    mixed = written(rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).filter("lo <> hi").select("key", "many"), "mixed-keys")
+    return by_class(rest, mixed, "key", "many")
 
-def links(keys: DataFrame, sets: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
-    """Pairs (a, b) of sets at num / den or more that form the same components as all such pairs.
 
-    keys: ``key``, ``c``, ``n`` (prefix shingle, set, its size). In each of the first rounds a set is compared with one
-    other only, the smallest under any of its keys, and a key whose sets are all of one component is done: groups of
-    copies fall together in a number of comparisons linear in their sets. Of the keys that are left, all pairs of
-    different components are compared.
+def links(keys: DataFrame, sets: DataFrame, found: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
+    """Pairs (a, b) of sets at num / den or more that, with the links found before, form the same components as all such pairs.
+
+    keys: ``key``, ``c``, ``n``, ``i`` (prefix shingle, set, its size, the shingle's place in it). In each of the first
+    rounds a set is compared with one other only, the smallest under any of its keys, and a key whose sets are all of one
+    component is done: groups of copies fall together in a number of comparisons linear in their sets. Of the keys that
+    are left, all pairs of different components are compared that can reach the similarity.
     """
-    found = sets.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
-    left = keys.select("key", "c", "n", F.col("c").alias("root"))
     for _ in range(rounds):
-        first = left.groupBy("key").agg(F.min(F.struct("c", "n", "root")).alias("f"))
-        pairs = left.join(first, "key").withColumn("m", F.col("f.n")).filter((F.col("root") != F.col("f.root")) & _long_enough(num, den))
+        left = written(_rooted(keys, found).select("key", "c", "n", "i", "root"), "near-left")
+        first = written(left.groupBy("key").agg(F.min(F.struct("c", "n", "i", "root")).alias("f"), F.count("*").alias("many")), "near-first")
+        pairs = by_class(left, first, "key", "many").withColumns({"m": F.col("f.n"), "j": F.col("f.i")})
+        pairs = pairs.filter((F.col("root") != F.col("f.root")) & _can_reach(num, den))
         pairs = written(pairs.groupBy(F.col("c").alias("b")).agg(F.min("f.c").alias("a")), "near-pairs")
         if pairs.isEmpty():
             break
         found = written(found.unionAll(_verified(pairs, sets, num, den)), "near-links")
-        roots = written(components(found).select(F.col("node").alias("c"), F.col("root").alias("now")), "near-roots")
-        rest = keys.join(roots, "c", "left").select("key", "c", "n", F.coalesce("now", "c").alias("root"))
-        mixed = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        left = written(rest.join(mixed, "key", "left_semi"), "near-keys")
-    one = left.select("key", F.col("c").alias("a"), "n", F.col("root").alias("r"))
-    two = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("root").alias("q"))
-    pairs = one.join(two, "key").filter("a < b and r <> q").filter(_long_enough(num, den)).select("a", "b").distinct()
+    left = written(_rooted(keys, found).select("key", "c", "n", "i", "root"), "near-left")
+    one = left.select("key", F.col("c").alias("a"), "n", "i", F.col("root").alias("r"))
+    two = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("q"))
+    pairs = one.join(two, "key").filter("a < b and r <> q").filter(_can_reach(num, den)).select("a", "b").distinct()
     return found.unionAll(_verified(pairs, sets, num, den))
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One row per input row: the id and ``component_id``, the smallest id reachable over texts whose shingle sets have a Jaccard similarity of num / den or more.
-
-    Null and empty texts are copies of each other. Nothing is sampled or capped: two sets of that similarity share a
-    shingle of their prefixes, and every such pair is compared or already of one component.
-    """
-    text = F.col(text_col).cast("string")
-    names, counts = _common(docs, text, width)
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("c", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-
-    def prefixes(batch, at):
-        values = [shingles(t.as_py() or "", width) for t in batch.column(1)]
-        cut = _lists([_prefix(v, names, counts, num, den) for v in values])
-        numbers = pa.array(np.arange(at, at + batch.num_rows, dtype=np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), numbers, pa.array(list(map(_class, values)), pa.binary()), pa.array(list(map(len, values)), pa.int64()), cut], ["id", "c", "digest", "n", "keys"])
-
-    rows = written(_mapped(docs, [F.col(id_col).alias("id"), text.alias("text")], schema, prefixes), "shingle-prefixes")
-    keys = rows.select("c", "n", F.explode("keys").alias("key"))
-    shared = written(keys.groupBy("key").count().filter("count > 1").select("key"), "shared-keys")
+def linked(docs: DataFrame, rows: DataFrame, near: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
+    """The id of every row of ``shingled`` and ``component_id``, the smallest id of its component; near: pairs (a, b) to be compared first."""
+    keys = rows.select("c", "n", F.posexplode("keys").alias("i", "key"))
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "shared-keys")
     hashed = F.col("key")
-    maybe = marked(keys, hashed, bit_table(shared, hashed, FILTER_WORDS), FILTER_WORDS).filter("__maybe").select("key", "c", "n")
-    keys = written(maybe.join(shared, "key"), "near-keys")
-
-    def sets_of(batch, at):
-        values = [shingles(t.as_py() or "", width) for t in batch.column(0)]
-        return pa.RecordBatch.from_arrays([pa.array(list(map(_class, values)), pa.binary()), _lists(values)], ["digest", "s"])
-
-    wanted = written(rows.select("c", "digest").join(keys.select("c").distinct(), "c", "left_semi"), "near-candidates")
-    hashed = F.xxhash64("digest")
-    sets = marked(_mapped(docs, [text.alias("text")], "digest binary, s array<long>", sets_of), hashed, bit_table(wanted, hashed, FILTER_WORDS), FILTER_WORDS)
-    sets = written(sets.filter("__maybe").select("digest", "s").dropDuplicates(["digest"]).join(wanted, "digest").select("c", "s"), "near-sets")
-
-    roots = components(links(keys, sets, num, den)).withColumnRenamed("node", "c")
+    maybe = marked(keys, hashed, bit_table(shared, hashed, FILTER_WORDS), FILTER_WORDS).filter("__maybe").select("key", "c", "n", "i")
+    keys = written(by_class(maybe, shared, "key", "many").select("key", "c", "n", "i"), "near-keys")
+
+    def sets_of(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(hashes(t.as_py(), width)) for t in batch.column(1)])], ["said", "s"])
+
+    asked = keys.select("c").unionAll(near.select("a")).unionAll(near.select("b")).distinct()
+    wanted = written(rows.select("c", "said").join(asked, "c", "left_semi"), "near-candidates")
+    hashed = F.xxhash64("said")
+    told = docs.select(_said(text_col).alias("said"), text_or_empty(text_col).alias("text"))
+    told = marked(told, hashed, bit_table(wanted, hashed, FILTER_WORDS), FILTER_WORDS).filter("__maybe").select("said", "text")
+    sets = _mapped(told, "said binary, s array<long>", sets_of).dropDuplicates(["said"])
+    sets = written(sets.join(wanted, "said").select("c", "s"), "near-sets")
+
+    first = written(_verified(near, sets, num, den), "near-links")
+    roots = components(links(keys, sets, first, num, den)).withColumnRenamed("node", "c")
+    void = F.struct(F.col("id").isNull().alias("void"), "id")
     least = rows.select("c", "id").join(roots, "c")
-    known = least.join(least.groupBy("root").agg(F.min("id").alias("linked")), "root").select("c", "linked")
-    return rows.join(known, "c", "left").select(F.col("id").alias(id_col), F.coalesce("linked", "id").alias("component_id"))
+    known = least.join(least.groupBy("root").agg(F.min(void).alias("first")), "root").select("c", "first")
+    return rows.join(known, "c", "left").select(F.col("id").alias(id_col), F.when(F.col("first").isNotNull(), F.col("first.id")).otherwise(F.col("id")).alias("component_id"))

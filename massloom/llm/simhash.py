@@ -10,33 +10,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massloom.llm.common import written
+from massloom.llm import jaccard
+from massloom.llm.common import by_class, written
 from massloom.llm.components import components
 
 #: Shingles whose bits are counted at once, and fingerprints under one key above which links go over midpoints.
 BLOCK, DENSE = 65_536, 4096
 
 
-def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half of the unsigned 64-bit values, as an unsigned number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(values), BLOCK):
+        part = values[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(values), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, width: int = 4) -> int:
     """The SimHash of the text's word shingles as an unsigned number; 0 without words.
 
     A-Z is lower-cased, words stand between ASCII white space, a text of fewer than ``width`` words is one shingle. A bit
     is 1 if it is set in over half of the shingles' XXH64 values, repeats included.
     """
-    import xxhash
-
-    hash64 = xxhash.xxh64_intdigest
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        part = words[at : at + BLOCK + width - 1] if n > 1 else words
-        shingles = zip(*(part[k:] for k in range(width)), strict=False) if n > 1 else [part]
-        values = np.fromiter((hash64(b" ".join(s), seed) for s in shingles), np.uint64)
-        ones += np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    values = jaccard.hashes(text, width)
+    return majority(values) if len(values) else 0
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -147,10 +145,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows; extra columns are ignored.
     """
     rows = written(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    prints = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    prints = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(links(prints.select("fp"), bits=bits)).withColumnRenamed("node", "fp")
     linked = prints.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("linked"))
     known = roots.join(least, "root").select("fp", "linked")
-    classes = prints.join(known, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    classes = written(prints.join(known, "fp", "left").select("fp", "n", F.coalesce("linked", "least").alias("component_id")), "fingerprint-classes")
+    return by_class(rows, classes, "fp", "n").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, bits: int = 4) -> DataFrame:
+    """One row per input row: the id and ``component_id``, the smallest id reachable over texts whose shingle sets have a Jaccard similarity of num / den or more.
+
+    Fingerprints come first: rows with equal ones, and the pigeonring's pairs at ``bits`` or fewer differing bits, are
+    candidates whose whole sets are compared, which joins most members of a group of copies at a cost linear in the
+    group. A fingerprint cannot find the rest (at a similarity of 0.8 two of them differ in 10 of 64 bits on average), so
+    every other pair that can reach the similarity is found by the rarest shingles of its sets (``jaccard.links``).
+    Nothing is sampled or capped.
+
+    Null and empty texts are copies of each other. Null ids count as larger than any other. Repeated rows are copies. An
+    empty table gives no rows; extra columns are ignored.
+    """
+    rows = written(jaccard.shingled(docs, id_col, text_col, width, num, den, majority), "shingle-prefixes")
+    prints = written(rows.groupBy("fp").agg(F.min("c").alias("hub"), F.count("*").alias("n")), "distinct-fingerprints")
+    hubs = lambda side: prints.select(F.col("fp").alias(side), F.col("hub").alias(f"hub_{side}"))
+    near = links(prints.select("fp"), bits=bits).join(hubs("a"), "a").join(hubs("b"), "b")
+    near = near.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b"))
+    same = by_class(rows.select("c", "fp"), prints.filter("n > 1"), "fp", "n").filter("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"))
+    return jaccard.linked(docs, rows, written(near.unionAll(same), "near-prints"), id_col, text_col, width, num, den)

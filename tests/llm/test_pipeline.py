@@ -4,7 +4,9 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline as pipeline
-from massloom.llm import quality, simhash
+from massloom.llm import quality
+
+from test_near_copies import kept
 
 
 def test_stages(spark, sf):
@@ -23,20 +25,9 @@ def test_stages(spark, sf):
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(min(g) for g in groups.values())
 
     apart = stages["near_dedup"](spark, single, sf)
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"] or "") for r in single.collect()}
-    ids, root = sorted(prints), {i: i for i in prints}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    assert {r["doc_id"] for r in apart.collect()} == {i for i in ids if find(i) == i}
+    ids = sorted(r["doc_id"] for r in single.collect())
+    texts = {r["doc_id"]: r["text"] for r in single.collect()}
+    assert {r["doc_id"] for r in apart.collect()} == {ids[k] for k in kept([texts[i] for i in ids])}
 
     clean = stages["decontaminate"](spark, apart, sf)
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -70,8 +61,8 @@ def test_odd_rows(spark, tmp_path):
     assert seen(single) == sorted([(1, said), (2, said), (3, ""), (-1, leak), (-1, own), (4, leak + " x"), (4, "another text of the same id")])
     apart = stages["near_dedup"](spark, single, sf)
     assert apart.columns == docs.columns
-    prints = {simhash.fingerprint(t) for _, t in seen(single)}
-    assert (2, said) not in seen(apart) and {(-1, own), (4, "another text of the same id"), (3, "")} <= set(seen(apart)) and len(seen(apart)) <= len(prints)
+    # The text that ends in white space has the words of document 1, and 8 of 9 shingles of one leak are the other's.
+    assert seen(apart) == [r for r in seen(single) if r not in ((2, said), (-1, leak))]
     clean = stages["decontaminate"](spark, single, sf)
     assert clean.columns == docs.columns
     assert seen(clean) == [r for r in seen(single) if "leak1" not in r[1]]
