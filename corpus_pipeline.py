@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import decontaminate, exact_dedup, jaccard, packing, quality
+from massloom.llm import decontaminate, exact_dedup, packing, quality, simhash
 from massloom.llm.common import read, without_ids, written
 from massloom.llm.queries import BYTE_BPE, BYTE_RANKS, GOOD
 
@@ -38,7 +38,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the document with the smallest id stays (null ids last; of the same id, one text)."""
     keyed = _keyed(docs)
-    found = jaccard.near_copies(keyed, id_col=KEY)
+    found = simhash.near_copies(keyed, id_col=KEY)
     return without_ids(keyed, found.filter(~F.col(KEY).eqNullSafe(F.col("component_id"))), KEY).drop(KEY)
 
 
