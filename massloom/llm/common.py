@@ -93,8 +93,8 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> Dat
 HOT_SHARE = 1000
 
 
-def by_class(rows: DataFrame, classes: DataFrame, key: str, size: str) -> DataFrame:
-    """The inner join of rows with their class (one row per ``key``, holding its number of rows ``size``), however large a class is.
+def by_class(rows: DataFrame, classes: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """The join (inner or left) of rows with their class (one row per ``key``, holding its number of rows ``size``), however large a class is.
 
     Classes that hold over a thousandth of the rows are at most a thousand, and broadcast; the other rows are shuffled
     by key, with at most a thousandth of them under one key. ``classes`` should be a written table, it is read three times.
@@ -103,5 +103,5 @@ def by_class(rows: DataFrame, classes: DataFrame, key: str, size: str) -> DataFr
     hot = F.col(size) * HOT_SHARE > F.lit(total)
     large, small = classes.filter(hot), classes.filter(~hot)
     near = rows.join(F.broadcast(large), key)
-    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key, how)
     return near.unionByName(rest)

@@ -86,7 +86,16 @@ def common(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.n
             yield counted()
 
     said = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "s long, n long")
-    found = said.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    totals = written(said.groupBy("s").agg(F.sum("n").alias("n")), "common-shingles")
+    # The least count of which at most COMMON shingles are: a table of counts, which are few.
+    upto = totals.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).limit(COMMON).collect()
+    least, held = 0, 0
+    for row in upto:
+        held += row["m"]
+        if held > COMMON:
+            break
+        least = row["n"]
+    found = totals.filter(F.col("n") >= (least or 1 << 62)).toArrow()
     names, counts = (found.column(c).to_numpy() for c in ("s", "n"))
     order = np.argsort(names.view(np.uint64))
     return names[order].view(np.uint64), counts[order]
@@ -125,13 +134,31 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, width: int, num: int,
     return _mapped(told, T.StructType([T.StructField(*k) for k in kinds]), rows_of)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets have a similarity of num / den or more."""
-    left = sets.select(F.col("c").alias("a"), F.col("s").alias("x"))
-    right = sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    held = pairs.join(left, "a").join(right, "b")
-    return held.filter(both * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b")
+Verify = Callable[[DataFrame], DataFrame]
+
+
+def verifier(docs: DataFrame, rows: DataFrame, text_col: str, width: int, num: int, den: int) -> Verify:
+    """A function of written pairs (a, b) that gives those whose sets have a similarity of num / den or more.
+
+    Only the texts that the pairs name are made sets again and shuffled.
+    """
+
+    def sets_of(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(hashes(t.as_py(), width)) for t in batch.column(1)])], ["said", "s"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("c")).unionAll(pairs.select(F.col("b").alias("c"))).distinct()
+        wanted = written(rows.select("c", "said").join(asked, "c", "left_semi"), "near-asked")
+        hashed = F.xxhash64("said")
+        told = docs.select(_said(text_col).alias("said"), text_or_empty(text_col).alias("text"))
+        told = marked(told, hashed, bit_table(wanted, hashed, FILTER_WORDS), FILTER_WORDS).filter("__maybe").select("said", "text")
+        sets = _mapped(told, "said binary, s array<long>", sets_of).dropDuplicates(["said"]).join(wanted, "said")
+        sets = written(sets.select("c", "s"), "near-sets")
+        held = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return held.filter(both * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b")
+
+    return verify
 
 
 def _can_reach(num: int, den: int) -> Column:
@@ -149,7 +176,7 @@ def _rooted(keys: DataFrame, found: DataFrame) -> DataFrame:
     return by_class(rest, mixed, "key", "many")
 
 
-def links(keys: DataFrame, sets: DataFrame, found: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
+def links(keys: DataFrame, verify: Verify, found: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
     """Pairs (a, b) of sets at num / den or more that, with the links found before, form the same components as all such pairs.
 
     keys: ``key``, ``c``, ``n``, ``i`` (prefix shingle, set, its size, the shingle's place in it). In each of the first
@@ -165,12 +192,12 @@ def links(keys: DataFrame, sets: DataFrame, found: DataFrame, num: int, den: int
         pairs = written(pairs.groupBy(F.col("c").alias("b")).agg(F.min("f.c").alias("a")), "near-pairs")
         if pairs.isEmpty():
             break
-        found = written(found.unionAll(_verified(pairs, sets, num, den)), "near-links")
+        found = written(found.unionAll(verify(pairs)), "near-links")
     left = written(_rooted(keys, found).select("key", "c", "n", "i", "root"), "near-left")
     one = left.select("key", F.col("c").alias("a"), "n", "i", F.col("root").alias("r"))
     two = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("q"))
     pairs = one.join(two, "key").filter("a < b and r <> q").filter(_can_reach(num, den)).select("a", "b").distinct()
-    return found.unionAll(_verified(pairs, sets, num, den))
+    return found.unionAll(verify(written(pairs, "near-pairs")))
 
 
 def linked(docs: DataFrame, rows: DataFrame, near: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
@@ -181,19 +208,8 @@ def linked(docs: DataFrame, rows: DataFrame, near: DataFrame, id_col: str, text_
     maybe = marked(keys, hashed, bit_table(shared, hashed, FILTER_WORDS), FILTER_WORDS).filter("__maybe").select("key", "c", "n", "i")
     keys = written(by_class(maybe, shared, "key", "many").select("key", "c", "n", "i"), "near-keys")
 
-    def sets_of(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(hashes(t.as_py(), width)) for t in batch.column(1)])], ["said", "s"])
-
-    asked = keys.select("c").unionAll(near.select("a")).unionAll(near.select("b")).distinct()
-    wanted = written(rows.select("c", "said").join(asked, "c", "left_semi"), "near-candidates")
-    hashed = F.xxhash64("said")
-    told = docs.select(_said(text_col).alias("said"), text_or_empty(text_col).alias("text"))
-    told = marked(told, hashed, bit_table(wanted, hashed, FILTER_WORDS), FILTER_WORDS).filter("__maybe").select("said", "text")
-    sets = _mapped(told, "said binary, s array<long>", sets_of).dropDuplicates(["said"])
-    sets = written(sets.join(wanted, "said").select("c", "s"), "near-sets")
-
-    first = written(_verified(near, sets, num, den), "near-links")
-    roots = components(links(keys, sets, first, num, den)).withColumnRenamed("node", "c")
+    verify = verifier(docs, rows, text_col, width, num, den)
+    roots = components(links(keys, verify, written(verify(near), "near-links"), num, den)).withColumnRenamed("node", "c")
     void = F.struct(F.col("id").isNull().alias("void"), "id")
     least = rows.select("c", "id").join(roots, "c")
     known = least.join(least.groupBy("root").agg(F.min(void).alias("first")), "root").select("c", "first")
