@@ -78,7 +78,7 @@ ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op4_exact_dedup": OP4_SQL}
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     index = warc.archive(spark, pages)
-    found = index.read(index.entries())
+    found = index.read(index.lookup(pages, "url", "page_id"))
     kind = pages.schema["page_id"].dataType  # archives hold ids as text
     page = lambda c: F.col(c).cast(kind)
     return found.select(page("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
