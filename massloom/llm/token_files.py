@@ -16,63 +16,89 @@ from pyspark.sql import functions as F
 from massloom.llm.common import filesystem, shared_dir, written
 from massloom.llm.tokens import WordBpe, encoder
 
-MAGIC = b"RPTOK1\n"
-#: Ids after which a task starts another shard, and rounds and new rules of a round of its grammar.
-SHARD_IDS, ROUNDS, RULES = 4 << 20, 6, 2048
-#: Nonterminals start here, so that symbols of a vocabulary of up to 49,664 ids and its rules fit 16 bits.
+MAGIC = b"RPTOK2\n"
+#: Ids after which a task starts another shard.
+SHARD_IDS = 4 << 20
+#: A pair makes a rule if it occurs so often, or in one of so many symbols: a rule takes 12 bytes, and each use saves a symbol.
+LEAST, SHARE = 24, 20_000
 _BUCKETS = 1 << 20
 
 
-def _frequent(symbols: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
-    """Packed neighbouring pairs within documents that occur ``least`` times or more, most frequent first.
+def _starts(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether a pair may be replaced at each place: within a document, and of a run of equal symbols at every other place from its start."""
+    ok = ~last[:-1]
+    same = (symbols[:-1] == symbols[1:]) & ok
+    if same.any():
+        at = np.flatnonzero(same)
+        opens = np.concatenate(([True], np.diff(at) > 1))
+        first = np.maximum.accumulate(np.where(opens, at, 0))
+        ok[at[(at - first) % 2 == 1]] = False
+    return ok
 
-    Pairs are hashed to buckets, and the exact count is that of the pair that a bucket holds; of pairs that share a
-    bucket, the others wait for a later round.
+
+def _frequent(symbols: np.ndarray, last: np.ndarray, least: int, exact: bool) -> np.ndarray:
+    """Packed neighbouring pairs that can be replaced ``least`` times or more, most frequent first.
+
+    Pairs are hashed to buckets, and the count is that of the pair that a bucket holds; of pairs that share a bucket,
+    the others wait for a later round. ``exact`` counts every pair.
     """
-    left, right = symbols[:-1], symbols[1:]
-    at = ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(12)).astype(np.intp)
-    at[last[:-1]] = _BUCKETS
+    ok = _starts(symbols, last)
+    left, right = symbols[:-1][ok], symbols[1:][ok]
     key = left.astype(np.uint64) << np.uint64(32) | right
-    held = np.zeros(_BUCKETS + 1, np.uint64)
-    held[at] = key
-    counts = np.bincount(at[held[at] == key], minlength=_BUCKETS + 1)
-    counts[_BUCKETS] = 0
+    if exact:
+        pairs, counts = np.unique(key, return_counts=True)
+    else:
+        at = ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(12)).astype(np.intp)
+        pairs = np.zeros(_BUCKETS, np.uint64)
+        pairs[at] = key
+        counts = np.bincount(at[pairs[at] == key], minlength=_BUCKETS)
     often = np.flatnonzero(counts >= least)
-    return held[often[np.lexsort((held[often], -counts[often]))]]
+    return pairs[often[np.lexsort((pairs[often], -counts[often]))]]
+
+
+def _chosen(pairs: np.ndarray) -> list[int]:
+    """Pairs that cannot overlap: no symbol is the left part of one and the right part of another; a pair of equal symbols stands alone."""
+    side: dict[int, int] = {}
+    chosen = []
+    for pair in pairs.tolist():
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        if a == b:
+            if a not in side:
+                side[a] = 2
+                chosen.append(pair)
+        elif side.get(a, 0) == 0 and side.get(b, 1) == 1:
+            side[a], side[b] = 0, 1
+            chosen.append(pair)
+    return chosen
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, *, rounds: int = ROUNDS, rules: int = RULES, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, *, least: int = LEAST, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as rows of two symbols, symbols up to the end of each document).
 
-    Each round replaces the most frequent pairs by new nonterminals. Pairs of one round never overlap: no symbol is the
-    left part of one and the right part of another. Pairs do not cross documents. Rounds stop when no pair occurs
-    ``least`` times (or in one of 20,000 symbols).
+    Rounds go on as long as some pair occurs ``least`` times (and in one of ``share`` symbols); each replaces the
+    frequent pairs that cannot overlap by new nonterminals, from left to right. Pairs do not cross documents. Before the
+    rounds end, all pairs are counted exactly.
     """
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[ends[ends > 0] - 1] = True
     made: list[tuple[int, int]] = []
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        pairs = _frequent(symbols, last, max(least, len(symbols) // 20_000))
-        side: dict[int, bool] = {}
-        chosen: list[int] = []
-        for pair in pairs.tolist():
-            a, b = pair >> 32, pair & 0xFFFFFFFF
-            if a != b and side.get(a, True) and not side.get(b, False):
-                side[a], side[b] = True, False
-                chosen.append(pair)
-                if len(chosen) == rules:
-                    break
+    least = max(least, 2, len(symbols) // share)
+    exact = False
+    while len(symbols) > 1:
+        chosen = _chosen(_frequent(symbols, last, least, exact))
         if not chosen:
-            break
+            if exact:
+                break
+            exact = True
+            continue
+        exact = False
         first = vocabulary + len(made)
         made += [(p >> 32, p & 0xFFFFFFFF) for p in chosen]
         lefts, rights = np.zeros(first, bool), np.zeros(first, bool)
         lefts[[p >> 32 for p in chosen]] = True
         rights[[p & 0xFFFFFFFF for p in chosen]] = True
-        at = np.flatnonzero(lefts[symbols[:-1]] & rights[symbols[1:]] & ~last[:-1])
+        at = np.flatnonzero(lefts[symbols[:-1]] & rights[symbols[1:]] & _starts(symbols, last))
         keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         table = np.array(chosen, np.uint64)
         order = np.argsort(table)
@@ -91,17 +117,24 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, *, rounds: int
 
 
 class Grammar:
-    """Rules with their expansion lengths; decodes any run of symbols."""
-
-    def __init__(self, vocabulary: int, rules: np.ndarray):
-        parts: list[np.ndarray] = []
-        size = np.ones(vocabulary + len(rules), np.int64)
-        for i, (a, b) in enumerate(rules.tolist()):
-            parts.append(np.concatenate([parts[s - vocabulary] if s >= vocabulary else np.array([s], np.uint32) for s in (a, b)]))
-            size[vocabulary + i] = len(parts[-1])
-        self.size = size
-        self.start = np.cumsum(size) - size
-        self.flat = np.concatenate([np.arange(vocabulary, dtype=np.uint32), *parts])
+    """Rules with their expansion lengths; decodes any run of symbols, or a part of what it stands for."""
+
+    def __init__(self, vocabulary: int, rules: np.ndarray, lengths: np.ndarray | None = None):
+        if lengths is None:
+            lengths = np.zeros(len(rules), np.int64)
+            known = [1] * vocabulary
+            for i, (a, b) in enumerate(rules.tolist()):
+                known.append(known[a] + known[b])
+                lengths[i] = known[-1]
+        self.size = np.concatenate((np.ones(vocabulary, np.int64), lengths.astype(np.int64)))
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.empty(int(self.size.sum()), np.uint32)
+        self.flat[:vocabulary] = np.arange(vocabulary, dtype=np.uint32)
+        start, size = self.start.tolist(), self.size.tolist()
+        for i, (a, b) in enumerate(rules.tolist(), vocabulary):
+            at, n = start[i], size[a]
+            self.flat[at : at + n] = self.flat[start[a] : start[a] + n]
+            self.flat[at + n : at + size[i]] = self.flat[start[b] : start[b] + size[b]]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         size = self.size[symbols]
@@ -110,19 +143,29 @@ class Grammar:
             return np.empty(0, np.uint32)
         return self.flat[np.repeat(self.start[symbols] - (upto - size), size) + np.arange(upto[-1])]
 
+    def part(self, symbols: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Ids low to high (exclusive) of the expansion: the lengths tell the symbols that hold them, and only those are expanded."""
+        upto = np.cumsum(self.size[symbols])
+        if low >= high or not len(upto):
+            return np.empty(0, np.uint32)
+        first, end = int(np.searchsorted(upto, low, "right")), int(np.searchsorted(upto, high, "left")) + 1
+        before = int(upto[first - 1]) if first else 0
+        return self.expand(symbols[first:end])[low - before : high - before]
+
 
 def dump(names: list[str | None], ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> bytes:
     """A shard: header, then document names, ids and symbols up to each document's end, rules, expansion lengths, symbols."""
     symbols, rules, stops = compress(ids, ends, vocabulary)
     kind = "<u2" if vocabulary + len(rules) <= 1 << 16 else "<u4"
     lengths = Grammar(vocabulary, rules).size[vocabulary:]
-    parts = [json.dumps(names).encode(), ends.astype("<i8").tobytes(), stops.astype("<i8").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<i8").tobytes(), symbols.astype(kind).tobytes()]
+    arrays = [(ends, "<i8"), (stops, "<i8"), (rules, "<u4"), (lengths, "<u4"), (symbols, kind)]
+    parts = [json.dumps(names).encode(), *(a.astype(k).tobytes() for a, k in arrays)]
     head = json.dumps({"vocabulary": vocabulary, "kind": kind, "docs": len(names), "sizes": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
 
 
 class Shard:
-    """An open shard file; ``document(i)`` reads only the symbols of that document."""
+    """An open shard file; ``document(i)`` and ``part(i, low, high)`` read only the symbols of that document."""
 
     def __init__(self, source):
         self.source = source
@@ -137,13 +180,20 @@ class Shard:
             at += n
         self.symbols_at, self.symbols_size = at, about["sizes"][-1]
         self.names = json.loads(raw[0])
-        self.ends, self.stops, rules, self.lengths = (np.frombuffer(r, k) for r, k in zip(raw[1:], ("<i8", "<i8", "<u4", "<i8"), strict=True))
-        self.grammar = Grammar(about["vocabulary"], rules.reshape(-1, 2))
+        self.ends, self.stops, rules, lengths = (np.frombuffer(r, k) for r, k in zip(raw[1:], ("<i8", "<i8", "<u4", "<u4"), strict=True))
+        self.grammar = Grammar(about["vocabulary"], rules.reshape(-1, 2), lengths)
 
-    def document(self, i: int) -> np.ndarray:
+    def _symbols(self, i: int) -> np.ndarray:
         low, high = (int(self.stops[i - 1]) if i else 0), int(self.stops[i])
         width = int(self.kind[-1])
-        return self.grammar.expand(np.frombuffer(self.source.read_at((high - low) * width, self.symbols_at + low * width), self.kind))
+        return np.frombuffer(self.source.read_at((high - low) * width, self.symbols_at + low * width), self.kind)
+
+    def document(self, i: int) -> np.ndarray:
+        return self.grammar.expand(self._symbols(i))
+
+    def part(self, i: int, low: int, high: int) -> np.ndarray:
+        """Ids low to high (exclusive) of a document."""
+        return self.grammar.part(self._symbols(i), low, high)
 
     def all(self) -> np.ndarray:
         return self.grammar.expand(np.frombuffer(self.source.read_at(self.symbols_size, self.symbols_at), self.kind))
