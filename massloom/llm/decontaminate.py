@@ -9,8 +9,8 @@ from massloom.llm.common import ascii_lower, text_or_empty, written
 
 #: Characters between words, A-Z counted as word characters: their case is dealt with word by word.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Windows of the benchmark that may be broadcast; beyond, the join is shuffled.
-BROADCAST_WINDOWS = 200_000
+#: Bytes of the benchmark's windows (words, and 16 for each item of a window) that may be broadcast; beyond, the join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def _shingle(a: Column, b: Column) -> Column:
@@ -81,20 +81,22 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, seed, add)["n"]
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of docs: the id, ``n_words``, ``n_hit``, ``items`` (sorted ids as strings) and ``spans`` (start, end).
 
     A window is ``width`` consecutive words of an item, or all words of an item with fewer; a word of a document inside
     any occurrence of a window is hit. Each window joins by its rarest two-word shingle (counted over all documents); a
-    match must lie within the document and is then compared word for word. Windows that are few are broadcast; beyond
-    ``broadcast_windows`` the join is shuffled on narrow rows and the documents are joined back for the comparison.
+    match must lie within the document and is then compared word for word. Windows of up to
+    ``broadcast_bytes`` are broadcast; beyond, the join is shuffled on narrow rows and the documents are joined back for
+    the comparison.
 
     Null and empty texts have no words; an item without words has no windows. Repeated rows and ids stay one row each.
     An empty table of documents gives no rows, an empty benchmark no hits; extra columns are ignored.
     """
     windows = written(_windows(items, item_id_col, item_text_col, width), "windows")
-    n, single = windows.agg(F.count("*"), F.coalesce(F.max(F.size("words") == 1), F.lit(False))).first()
-    small = n <= broadcast_windows
+    size = F.octet_length(F.array_join("words", " ")) + 16 * F.size("items") + 64
+    held, single = windows.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)), F.coalesce(F.max(F.size("words") == 1), F.lit(False))).first()
+    small = held <= broadcast_bytes
     hint = F.broadcast if small else (lambda df: df)
 
     keys = windows.select(F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 2))).alias("i"), "words")
