@@ -118,7 +118,8 @@ def training_ids(labels: DataFrame, *, id_col: str, label_col: str, most: int) -
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_ROWS) -> Model:
     """Fit on the texts of a bounded sample of the labelled rows given; without both classes the model says their share."""
     wanted = training_ids(labels, id_col=id_col, label_col=label_col, most=most)
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(wanted), "__id").dropDuplicates(["__id"])
+    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(wanted), "__id")
+    sample = sample.groupBy("__id", "__label").agg(F.min("__text").alias("__text"))  # of rows that repeat an id, one text whatever their order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
