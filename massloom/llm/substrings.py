@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from massloom.llm.common import bit_table, marked, written
 
-#: 64-bit words of the filters that tasks hold: 8 MB each, whatever the input.
-FILTER_WORDS = 1 << 20
+#: 64-bit words of the filters that tasks hold: 8 MB each, and with more than 4 million documents up to 32 MB.
+FILTER_WORDS, MOST_FILTER_WORDS = 1 << 20, 1 << 22
 #: Words of the seed k-mer whose minimum anchors a window.
 SEED = 5
 
@@ -104,7 +104,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Windows are aggregated to edges with their source coordinates (smallest document and a place in it) and a fingerprint
     of all their occurrences, as they are and moved by one word. (3) An edge continues in the next one along the source
     if all occurrences of the one go on in the other and none joins from elsewhere, which is when they are as many and
-    the moved fingerprint of the first equals the second's: such nonbranching paths compact to one row. (4) Occurrences of the paths' first
+    the moved fingerprint of the first equals the second's: such nonbranching paths compact to one row. A node (width - 1
+    words) branches exactly where this fails, so the runs of steps along the sources are the graph's unbranched paths,
+    and no table of nodes is built. (4) Occurrences of the paths' first
     edges are joined with the paths, again behind a filter.
     """
     k = min(SEED, width)
@@ -225,7 +227,7 @@ def spans_by_words(docs: DataFrame, paths: DataFrame, *, id_col: str = "doc_id",
     return found.join(first, digest).filter("doc > src").select("doc", "start", F.lit(width).cast("long").alias("length"), "src", "src_start")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, filter_words: int = FILTER_WORDS, hash_bits: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 13, filter_words: int | None = None, hash_bits: int = 64) -> DataFrame:
     """One row per input row: the id, ``n_words``, ``n_removed``, ``spans`` (start, length, src, src_start) and ``kept`` (the words left, joined by one space).
 
     A word goes if a window of ``width`` words that covers it also starts in a document with a smaller id; windows are
@@ -239,6 +241,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gives no rows; extra columns are ignored.
     """
     names = {"id_col": id_col, "text_col": text_col}
+    filter_words = filter_words or min(max(FILTER_WORDS, 1 << (docs.count() // 4).bit_length()), MOST_FILTER_WORDS)
     spans = written(repeated_spans(docs, **names, width=width, filter_words=filter_words, hash_bits=hash_bits), "spans")
     odd = odd_paths(docs, spans, **names, filter_words=filter_words >> 3)
     if not odd.isEmpty():
