@@ -15,7 +15,10 @@ RESIDUES = {
 
 #: Neutral mass of an ion beyond its residues; prefix ions count from the n-terminus.
 PREFIX = {"b": 0.0, "a": -CARBONYL, "c": AMMONIA, "c_dot": AMMONIA + 1.00782503207, "a_plus_1": -CARBONYL + 1.00782503207}
-SUFFIX = {"y": WATER, "x": WATER + CARBONYL - 2 * 1.00782503207, "z": WATER - AMMONIA, "z_dot": WATER - AMMONIA + 1.00782503207, "z_prime": WATER - AMMONIA + 2 * 1.00782503207, "x_plus_1": WATER + CARBONYL - 1.00782503207}
+SUFFIX = {
+    "y": WATER, "x": WATER + CARBONYL - 2 * 1.00782503207, "z": WATER - AMMONIA, "z_dot": WATER - AMMONIA + 1.00782503207,
+    "z_prime": WATER - AMMONIA + 2 * 1.00782503207, "x_plus_1": WATER + CARBONYL - 1.00782503207,
+}
 LOSSES = {"H2O": WATER, "NH3": AMMONIA}
 IMMONIUM = -26.99
 
@@ -32,15 +35,28 @@ def masses(letters: Column) -> Column:
     return F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), lambda c: F.element_at(table, c))
 
 
+def whole_mass(letters: Column) -> Column:
+    """Sum of the residue masses, by how often each letter occurs."""
+    total = F.lit(0.0)
+    for residue, mass in RESIDUES.items():
+        total += (F.length(letters) - F.length(F.replace(letters, F.lit(residue), F.lit("")))) * mass
+    return total
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
 
-def digest(proteins: DataFrame, *, key: str = "protein", sequence: str = "sequence", lengths: tuple[int, int] = (7, 50), range_: tuple[float, float] = (500.0, 5000.0)) -> DataFrame:
-    """peptide, protein, mass: peptides inside the bounds, without B, X and Z, that belong to exactly one protein."""
+def digest(proteins: DataFrame, *, key: str = "protein", sequence: str = "sequence", lengths: tuple[int, int] = (7, 50), range_: tuple[float, float] = (500.0, 5000.0), decoy_tag: str | None = "rev_") -> DataFrame:
+    """peptide, protein, mass: peptides inside the bounds, without B, X and Z, that belong to exactly one protein.
+
+    Proteins whose key starts with ``decoy_tag`` are left out.
+    """
+    if decoy_tag:
+        proteins = proteins.filter(~F.col(key).cast("string").startswith(decoy_tag))
     rows = proteins.select(key, F.explode(pieces(F.col(sequence))).alias("peptide")).filter(F.length("peptide").between(*lengths) & ~F.col("peptide").rlike("[BXZ]"))
-    rows = rows.withColumn("mass", total(masses(F.col("peptide"))) + WATER).filter(F.col("mass").between(*range_))
-    return rows.groupBy("peptide").agg(F.min(key).alias(key), F.max(key).alias("__last"), F.first("mass").alias("mass")).filter(F.col(key) == F.col("__last")).drop("__last")
+    single = rows.groupBy("peptide").agg(F.min(key).alias(key), F.max(key).alias("__last")).filter(F.col(key) == F.col("__last")).drop("__last")
+    return single.withColumn("mass", whole_mass(F.col("peptide")) + WATER).filter(F.col("mass").between(*range_))
 
 
 def running(values: Column) -> Column:
@@ -54,6 +70,10 @@ def mz(mass: Column, charge: Column, isotope: Column | None = None, loss: Column
     return (m + charge * PROTON) / charge
 
 
+def _lost(losses: tuple[str, ...]) -> Column:
+    return F.array(*(F.struct(F.lit(name).alias("name"), F.lit(LOSSES.get(name, 0.0)).alias("mass")) for name in ("", *losses)))
+
+
 def ladder(peptides: DataFrame, ions: list[str], charges: list[int], isotopes: tuple[int, ...] = (0,), losses: tuple[str, ...] = (), *, key: str = "peptide", residues: str = "residues") -> DataFrame:
     """(key, ion, number, charge, isotope, loss, mz) of prefix and suffix ions at every inner position.
 
@@ -61,26 +81,27 @@ def ladder(peptides: DataFrame, ions: list[str], charges: list[int], isotopes: t
     """
     n = F.size(residues)
     offsets = F.array(*(F.struct(F.lit(i).alias("ion"), F.lit(i in PREFIX).alias("prefix"), F.lit({**PREFIX, **SUFFIX}[i]).alias("offset")) for i in ions))
-    lost = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(LOSSES.get(name, 0.0)).alias("mass")) for name in ("", *losses)))
     rows = peptides.select(key, running(F.col(residues)).alias("sums"), n.alias("n")).filter("n > 1")
-    rows = rows.select(key, "sums", "n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("number")).select("*", F.explode(offsets).alias("o"))
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, charges))).alias("charge"), ).select("*", F.explode(F.array(*map(F.lit, isotopes))).alias("isotope")).select("*", F.explode(lost).alias("l"))
-    rows = rows.filter(~((F.col("o.ion") == "c") & (F.col("l.name") == "NH3")))
+    rows = rows.select(key, "sums", "n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("number"))
     whole = F.element_at("sums", F.col("n"))
-    part = F.when(F.col("o.prefix"), F.element_at("sums", F.col("number"))).otherwise(whole - F.element_at("sums", F.col("n") - F.col("number")))
-    return rows.select(key, F.col("o.ion").alias("ion"), "number", "charge", "isotope", F.col("l.name").alias("loss"), mz(part + F.col("o.offset"), F.col("charge"), F.col("isotope"), F.col("l.mass")).alias("mz"))
+    rows = rows.select(key, "number", F.element_at("sums", F.col("number")).alias("front"), (whole - F.element_at("sums", F.col("n") - F.col("number"))).alias("back"))
+    rows = rows.select("*", F.explode(offsets).alias("o")).select("*", F.explode(F.array(*map(F.lit, charges))).alias("charge"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, isotopes))).alias("isotope")).select("*", F.explode(_lost(losses)).alias("l"))
+    rows = rows.filter(~((F.col("o.ion") == "c") & (F.col("l.name") == "NH3")))
+    part = F.when(F.col("o.prefix"), F.col("front")).otherwise(F.col("back"))
+    value = mz(part + F.col("o.offset"), F.col("charge"), F.col("isotope"), F.col("l.mass"))
+    return rows.select(key, F.col("o.ion").alias("ion"), "number", "charge", "isotope", F.col("l.name").alias("loss"), value.alias("mz"))
 
 
-def internal(peptides: DataFrame, losses: tuple[str, ...] = (), *, key: str = "peptide", residues: str = "residues", first: int = 2) -> DataFrame:
+def internal(peptides: DataFrame, losses: tuple[str, ...] = ("H2O", "NH3"), *, key: str = "peptide", residues: str = "residues", first: int = 2) -> DataFrame:
     """(key, ion, start, stop, loss, mz): inner parts of two residues or more, from the ``first`` residue to the last but one, as b and a types of charge 1."""
     rows = peptides.select(key, running(F.col(residues)).alias("sums"), F.size(residues).alias("n")).filter(F.col("n") >= first + 2)
     rows = rows.select(key, "sums", "n", F.explode(F.sequence(F.lit(first), F.col("n") - 2)).alias("start"))
     rows = rows.select("*", F.explode(F.sequence(F.col("start") + 1, F.col("n") - 1)).alias("stop"))
     part = F.element_at("sums", F.col("stop")) - F.element_at("sums", F.col("start") - 1)
     kinds = F.array(F.struct(F.lit("b").alias("ion"), F.lit(0.0).alias("offset")), F.struct(F.lit("a").alias("ion"), F.lit(-CARBONYL).alias("offset")))
-    lost = F.array(*(F.struct(F.lit(x).alias("name"), F.lit(LOSSES.get(x, 0.0)).alias("mass")) for x in ("", *losses)))
-    rows = rows.select("*", F.explode(kinds).alias("o")).select("*", F.explode(lost).alias("l"))
-    return rows.select(key, F.col("o.ion").alias("ion"), "start", "stop", F.col("l.name").alias("loss"), (part + F.col("o.offset") - F.col("l.mass") + PROTON).alias("mz"))
+    rows = rows.select(key, "start", "stop", part.alias("part")).select("*", F.explode(kinds).alias("o")).select("*", F.explode(_lost(losses)).alias("l"))
+    return rows.select(key, F.col("o.ion").alias("ion"), "start", "stop", F.col("l.name").alias("loss"), (F.col("part") + F.col("o.offset") - F.col("l.mass") + PROTON).alias("mz"))
 
 
 def immonium(peptides: DataFrame, *, key: str = "peptide", letters: str = "peptide", residues: str = "residues") -> DataFrame:
@@ -90,10 +111,16 @@ def immonium(peptides: DataFrame, *, key: str = "peptide", letters: str = "pepti
     return rows.groupBy(key, F.col("r.c").alias("residue")).agg((F.min_by("r.m", "pos") + IMMONIUM).alias("mz"))
 
 
+def immonium_of_table(peptides: DataFrame, table: DataFrame, *, key: str = "peptide", letters: str = "peptide") -> DataFrame:
+    """(key, name, mz): the immonium and related ions of the residues that occur. table: name, residue, mass; a parameter table, broadcast."""
+    chars = F.array_distinct(F.filter(F.split(F.col(letters), ""), lambda c: c != ""))
+    rows = peptides.select(key, F.explode(chars).alias("residue"))
+    return rows.join(F.broadcast(table), "residue").select(key, "name", F.col("mass").alias("mz"))
+
+
 def precursors(peptides: DataFrame, charges: list[int], isotopes: tuple[int, ...] = (0,), losses: tuple[str, ...] = (), *, key: str = "peptide", residues: str = "residues") -> DataFrame:
-    lost = F.array(*(F.struct(F.lit(x).alias("name"), F.lit(LOSSES.get(x, 0.0)).alias("mass")) for x in ("", *losses)))
     rows = peptides.select(key, (total(F.col(residues)) + WATER).alias("m"), F.explode(F.array(*map(F.lit, charges))).alias("charge"))
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, isotopes))).alias("isotope")).select("*", F.explode(lost).alias("l"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, isotopes))).alias("isotope")).select("*", F.explode(_lost(losses)).alias("l"))
     return rows.select(key, "charge", "isotope", F.col("l.name").alias("loss"), mz(F.col("m"), F.col("charge"), F.col("isotope"), F.col("l.mass")).alias("mz"))
 
 
@@ -103,7 +130,9 @@ def mod_shift(old: Column, new: Column, ion: Column, number: Column, charge: Col
     Prefix ions hold positions 0..number, suffix ions the last number + 1, the precursor all, internal ions start..stop; others do not move.
     """
     n = F.size(new)
-    part = lambda a: F.when(ion.isin(*PREFIX), total(F.slice(a, F.lit(1), number + 1))).when(ion.isin(*SUFFIX), total(F.slice(a, F.greatest(F.lit(1), n - number), number + 1))).when(ion == "p", total(a))
+    front = lambda a: total(F.slice(a, F.lit(1), number + 1))
+    back = lambda a: total(F.slice(a, F.greatest(F.lit(1), n - number), number + 1))
+    part = lambda a: F.when(ion.isin(*PREFIX), front(a)).when(ion.isin(*SUFFIX), back(a)).when(ion == "p", total(a))
     if start is not None:
         inner = lambda a: total(F.slice(a, start + 1, stop - start + 1))
         diff = F.when(ion == "int", inner(new) - inner(old)).otherwise(F.coalesce(part(new) - part(old), F.lit(0.0)))

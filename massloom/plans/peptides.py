@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from massloom.functions import ions, peptides
 from massloom.operators import library
+from massloom.plans import tables
 from massloom.plans.adapters import FRAGS, PSM, frags, psm, read, with_views
-from massloom.plans.tables import MODS, hierarchy, mod_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,21 +20,18 @@ def _pieces(text: str) -> str:
     return f"string_split(replace(regexp_replace({text}, '([KR])', '\\1|', 'g'), '|P', 'P'), '|')"
 
 
-def _pep(table: str, name: str) -> str:
-    return f"""{name} as (select peptide, case when length(peptide) % 3 = 0 then '[42.0106]' else '' end || replace(replace(regexp_replace(peptide, '([ST])', '\\1[79.9663]', 'g'), 'C', 'C[57.0215]'), 'M', 'M[15.9949]') as base,
-  1 + length(peptide) % 4 as charge from (select distinct unnest({_pieces(LETTERS)}) as peptide from {table} where text is not null) where length(peptide) between 7 and 50)"""
+PEP = f"""pep as (select peptide, case when length(peptide) % 3 = 0 then '[42.0106]' else '' end
+    || replace(replace(regexp_replace(peptide, '([ST])', '\\1[79.9663]', 'g'), 'C', 'C[57.0215]'), 'M', 'M[15.9949]') as base, 1 + length(peptide) % 4 as charge
+  from (select distinct unnest({_pieces(LETTERS)}) as peptide from documents where text is not null) where length(peptide) between 7 and 50)"""
 
 
-PEP = _pep("documents", "pep")
-ITEM = _pep("benchmark", "pep")
-
-
-def pep(spark, sf_dir, table: str = "documents") -> DataFrame:
-    """Distinct peptides of 7 to 50 residues of all texts, with modifications written in."""
-    rows = read(spark, sf_dir, table).filter("text is not null").select(F.explode(ions.pieces(peptides.residual_letters(F.col("text")))).alias("peptide")).distinct()
-    rows = rows.filter(F.length("peptide").between(7, 50))
+def pep(spark, sf_dir) -> DataFrame:
+    """Distinct peptides of 7 to 50 residues of all documents, with modifications written in."""
+    texts = read(spark, sf_dir, "documents").filter("text is not null")
+    rows = texts.select(F.explode(ions.pieces(peptides.residual_letters(F.col("text")))).alias("peptide")).filter(F.length("peptide").between(7, 50)).distinct()
     marked = F.replace(F.replace(F.regexp_replace("peptide", "([ST])", "$1[79.9663]"), F.lit("C"), F.lit("C[57.0215]")), F.lit("M"), F.lit("M[15.9949]"))
-    return rows.select("peptide", F.concat(F.when(F.length("peptide") % 3 == 0, "[42.0106]").otherwise(""), marked).alias("base"), (1 + F.length("peptide") % 4).cast("long").alias("charge"))
+    base = F.concat(F.when(F.length("peptide") % 3 == 0, "[42.0106]").otherwise(""), marked)
+    return rows.select("peptide", base.alias("base"), (1 + F.length("peptide") % 4).cast("long").alias("charge"))
 
 
 def register(name: str, body: str | None = None, *views: str):
@@ -64,7 +61,12 @@ def strip_mods(spark, sf_dir):
     return pep(spark, sf_dir).select("base", peptides.strip_mods(F.col("base")).alias("stripped"))
 
 
-@register("delta_masses", r"select base, len(d) as n, round(coalesce(list_sum(d), 0), 4) as total from (select base, list_transform(regexp_extract_all(base, '\[([^\]]*)\]', 1), lambda x: cast(x as double)) as d from pep)", PEP)
+@register(
+    "delta_masses",
+    r"""select base, len(d) as n, round(coalesce(list_sum(d), 0), 4) as total
+from (select base, list_transform(regexp_extract_all(base, '\[([^\]]*)\]', 1), lambda x: cast(x as double)) as d from pep)""",
+    PEP,
+)
 def delta_masses(spark, sf_dir):
     rows = pep(spark, sf_dir).select("base", peptides.delta_masses(F.col("base")).alias("d"))
     return rows.select("base", F.size("d").cast("long").alias("n"), F.round(ions.total(F.col("d")), 4).alias("total"))
@@ -72,7 +74,8 @@ def delta_masses(spark, sf_dir):
 
 TOKENS = r"""tokens as (select peptide, unnest(regexp_extract_all(base, '([A-Za-z]|\[[^\]]*\])')) as t, generate_subscripts(regexp_extract_all(base, '([A-Za-z]|\[[^\]]*\])'), 1) as i from pep),
 mods as (select peptide, apos as position, coalesce(res, '[') as residue, try_cast(trim(t, '[]') as double) as mass from (
-  select *, sum(case when t like '[%' then 0 else 1 end) over w as apos, last_value(case when t not like '[%' then t end ignore nulls) over w as res from tokens window w as (partition by peptide order by i)) where t like '[%')"""
+  select *, sum(case when t like '[%' then 0 else 1 end) over w as apos, last_value(case when t not like '[%' then t end ignore nulls) over w as res
+  from tokens window w as (partition by peptide order by i)) where t like '[%')"""
 
 
 @register("mod_positions", "select peptide, cast(position as int) as position, residue, mass from mods", PEP, TOKENS)
@@ -80,37 +83,53 @@ def mod_positions(spark, sf_dir):
     return peptides.mod_positions(pep(spark, sf_dir), key="peptide")
 
 
-NAMED = f"""modtab as (select * from (values {', '.join(f"('{r}', {u}, {m}::double)" for r, u, m in MODS)}) t(r, u, dm)),
-named as (select peptide, position, min(u) as u from mods join modtab on r = residue and abs(mass - dm) < 1e-3 and u in (1, 4, 35) group by all),
-lets as (select peptide, generate_subscripts(string_split(peptide, ''), 1) as i, unnest(string_split(peptide, '')) as c from pep),
-shownp as (select p.peptide, any_value(case when n0.u is null then '' else '[UNIMOD:' || n0.u || ']' end) || string_agg(c || case when n.u is not null then '[UNIMOD:' || n.u || ']' else '' end, '' order by i) as model_peptide
-from pep p join lets l on l.peptide = p.peptide left join named n on n.peptide = p.peptide and n.position = l.i left join named n0 on n0.peptide = p.peptide and n0.position = 0 group by p.peptide)"""
+def _named(start: str, c: str, m: str, p: str) -> str:
+    """The text of ``base`` with each of its four modifications as given."""
+    return f"replace(replace(replace(replace(base, '[42.0106]', '{start}'), 'C[57.0215]', 'C{c}'), 'M[15.9949]', 'M{m}'), '[79.9663]', '{p}')"
 
 
-def model_peptides(spark, sf_dir):
-    return peptides.to_model_peptide(pep(spark, sf_dir), mod_table(spark), [1, 4, 35], key="peptide")
+#: How each target writes the modifications of ``base``: of the n-terminus, of C, of M, of S and T.
+WRITTEN = {
+    "prosit": _named("", "[UNIMOD:4]", "[UNIMOD:35]", ""),
+    "prosit_tmt": "'[UNIMOD:737]-' || " + _named("", "[UNIMOD:4]", "[UNIMOD:35]", ""),
+    "unispec": _named("[UNIMOD:1]", "[UNIMOD:4]", "[UNIMOD:35]", "[UNIMOD:21]"),
+    "diann": _named("[UniMod:1]", "[UniMod:4]", "[UniMod:35]", "[UniMod:21]"),
+    "predfull": _named("", "", "[UNIMOD:35]", ""),
+    "alphapept": _named("[UNIMOD:1]-", "[UNIMOD:4]", "[UNIMOD:35]", "[UNIMOD:21]"),
+    "librarytsv": _named("_(UniMod:1)", "(UniMod:4)", "(UniMod:35)", "(UniMod:21)"),
+}
 
 
-@register("to_model_peptide", "select * from shownp", PEP, TOKENS, NAMED)
+@register("to_model_peptide", f"select peptide, {', '.join(f'{sql} as {name}' for name, sql in WRITTEN.items())} from pep", PEP)
 def to_model_peptide(spark, sf_dir):
-    return model_peptides(spark, sf_dir).select("peptide", "model_peptide")
+    texts = (peptides.model_text(F.col("base"), peptides.TARGETS[name], tables.MODS).alias(name) for name in WRITTEN)
+    return pep(spark, sf_dir).select("peptide", *texts)
 
 
-@register("from_model_peptide", "select peptide, replace(replace(replace(model_peptide, '[UNIMOD:1]', '[42.0106]'), '[UNIMOD:4]', '[57.0215]'), '[UNIMOD:35]', '[15.9949]') as base_again from shownp", PEP, TOKENS, NAMED)
+@register("from_model_peptide", "select peptide, base as base_again from pep", PEP)
 def from_model_peptide(spark, sf_dir):
-    rows = model_peptides(spark, sf_dir).select("peptide", "model_peptide")
-    return peptides.from_model_peptide(rows, mod_table(spark), key="peptide").select("peptide", "base_again")
+    rows = peptides.to_model_peptide(pep(spark, sf_dir).select("peptide", "base"), tables.MODS, "alphapept")
+    return peptides.from_model_peptide(rows, tables.MASSES).select("peptide", "base_again")
 
 
-@register("eligible_for_model", "select peptide from pep where not regexp_matches(peptide, '[OUBZJX]') and length(peptide) <= 30 and charge <= 6 and length(base) <= 1000", PEP)
+MODELS = ["prosit", "ms2pip", "deeplc", "unispec", "predfull", "im2deep", "alphapept", "diann"]
+
+
+@register(
+    "eligible_for_model",
+    """select peptide, length(peptide) <= 30 and charge <= 6 as prosit, length(peptide) <= 30 as ms2pip, length(peptide) <= 60 and length(base) <= 60 as deeplc,
+  length(peptide) <= 40 and charge <= 5 as unispec, true as predfull, length(peptide) <= 60 as im2deep, true as alphapept, true as diann from pep""",
+    PEP,
+)
 def eligible_for_model(spark, sf_dir):
-    return pep(spark, sf_dir).filter(peptides.eligible(F.col("peptide"), F.col("charge"), F.col("base"), "prosit")).select("peptide")
+    return pep(spark, sf_dir).select("peptide", *(peptides.eligible(F.col("peptide"), F.col("charge"), F.col("base"), m).alias(m) for m in MODELS))
 
 
 @register("evalue", "select psm_id, case when psm_id % 2 = 0 then round(power(10.0::double, -hyperscore/5), 10) else round(exp(15 - hyperscore), 6) end as e from psm", PSM)
 def evalue(spark, sf_dir):
-    rows = psm(spark, sf_dir).select("psm_id", peptides.evalue(F.when(F.col("psm_id") % 2 == 0, -F.col("hyperscore") / 5), F.col("hyperscore")).alias("e"))
-    return rows.select("psm_id", F.when(F.col("psm_id") % 2 == 0, F.round("e", 10)).otherwise(F.round("e", 6)).alias("e"))
+    even = F.col("psm_id") % 2 == 0
+    rows = psm(spark, sf_dir).select("psm_id", peptides.evalue(F.when(even, -F.col("hyperscore") / 5), F.col("hyperscore")).alias("e"))
+    return rows.select("psm_id", F.when(even, F.round("e", 10)).otherwise(F.round("e", 6)).alias("e"))
 
 
 @register("label", "select psm_id, greatest(0, cast(2*label - 1 as int)) as label from psm", PSM)
@@ -125,31 +144,66 @@ def rank_fallback(spark, sf_dir):
     return psm(spark, sf_dir).select("psm_id", peptides.rank_or_suffix(rank, spec).alias("rank"))
 
 
+#: Ion types and methods that the fragments of the adapter view are given in turn.
+ION_NAMES = ["imm", "y", "b", "a", "y-NL", "b-NL", "a-NL", "int", "int-NL", "unknown", "zdot", "c", "z", "cdot", "zprime", "a+1", "x+1", "x"]
+METHODS = ["HCD", "CID", "ETD", "EThcD", "ECD", "EID", "UVPD", "ETciD", "other"]
+
+
+def _literals(names: list[str]) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+_PRIORITIES = ", ".join(f"('{m}', {_literals(names)})" for m, names in {**tables.HIERARCHY, "OTHER": tables.HIERARCHY["HCD"]}.items())
+
+
 @register(
     "ion_hierarchy",
-    with_views("select psm, pos, method, ion_type, cast(priority as int) as priority from (select *, case when psm % 2 = 0 then 'HCD' else 'ETD' end as method from frags) join (values ('HCD', 'y', 1), ('HCD', 'b', 2), ('HCD', 'a', 3), ('ETD', 'z_dot', 1), ('ETD', 'c', 2), ('ETD', 'y', 3)) t(method, ion_type, priority) using (method, ion_type)", FRAGS),
+    with_views(
+        f"""select psm, pos, method, ion, list_position(names, ion) as priority
+from (select psm, pos, {_literals(METHODS)}[1 + psm % {len(METHODS)}] as method, {_literals(ION_NAMES)}[1 + pos % {len(ION_NAMES)}] as ion from frags)
+join (values {_PRIORITIES}) t(m, names) on m = upper(method) where list_contains(names, ion)""",
+        FRAGS,
+    ),
 )
 def ion_hierarchy(spark, sf_dir):
-    rows = frags(spark, sf_dir).withColumn("method", F.when(F.col("psm") % 2 == 0, "HCD").otherwise("ETD"))
-    return rows.join(F.broadcast(hierarchy(spark).withColumnRenamed("ion", "ion_type")), ["method", "ion_type"]).select("psm", "pos", "method", "ion_type", "priority")
+    pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (1 + F.col(c) % len(names)).cast("int"))
+    rows = frags(spark, sf_dir).select("psm", "pos", pick(METHODS, "psm").alias("method"), pick(ION_NAMES, "pos").alias("ion"))
+    known = tables.hierarchy(spark).withColumnRenamed("method", "__method")
+    found = rows.withColumn("__method", tables.known_method(F.col("method"))).join(F.broadcast(known), ["__method", "ion"])
+    return found.select("psm", "pos", "method", "ion", F.col("priority").cast("int").alias("priority"))
 
 
-HEADERS = """hd as (select doc_id, case doc_id % 4 when 0 then 'rev_sp|P' || doc_id || '|NAME_X desc GN=G' || doc_id || ' PE=1' when 1 then 'contam_tr|Q' || doc_id || '|N OS=h' when 2 then 'ENSP000' || doc_id || ' pep gene_symbol:AB' || doc_id || ' d' else 'NP_' || doc_id || '.1 text [gene=zz] ' || lang end as header from documents)"""
+#: Headers of ten kinds, and what is in them: header, database, id, gene ({d}: the document's number).
+HEADER_KINDS = [
+    ("rev_sp|P{d}|NAME_X desc GN=G{d} PE=1", "uniprot", "P{d}", "G{d}"),
+    ("contam_tr|Q{d}|N OS=h", "uniprot", "Q{d}", ""),
+    ("ENSP000{d} pep chromosome:GRCh38 gene:ENSG000{d}.7", "ensembl", "ENSP000{d}", "ENSG000{d}.7"),
+    ("NP_000{d}.3 tumor protein GN=TP{d} [Homo sapiens]", "ncbi", "NP_000{d}.3", "TP{d}"),
+    ("ENSP000{d}|ENST0001|ENSG00{d}.17|TP53", "cptac_ensembl", "ENSP000{d}", "ENSG00{d}.17"),
+    ("AT1G0{d} | Symbols: NAC{d} | NAC domain protein | chr1:3760-5630", "tair", "", "NAC{d}"),
+    ("nxp|NX_P{d}|TP{d} Tumor protein", "nextprot", "NX_P{d}", "TP{d} Tumor protein"),
+    ("UniRef100_{d} a cluster", "uniref", "", ""),
+    ("db|X{d}|N GN=A{d}", "uniprot", "db|X{d}|N GN=A{d}", "A{d}"),
+    ("SomeRandom{d} description", "generic", "SomeRandom{d} description", ""),
+]
+
+
+def _by_kind(part: int) -> str:
+    filled = lambda k: "'" + HEADER_KINDS[k][part].replace("{d}", "' || doc_id || '") + "'"
+    return f"case doc_id % {len(HEADER_KINDS)} " + " ".join(f"when {k} then {filled(k)}" for k in range(len(HEADER_KINDS))) + " end"
+
+
+HEADERS = f"hd as (select doc_id, {_by_kind(0)} as header, {_by_kind(1)} as database, {_by_kind(2)} as id, {_by_kind(3)} as gene from documents)"
 
 
 def headers(spark, sf_dir):
-    d = F.col("doc_id").cast("string")
-    k = F.col("doc_id") % 4
-    header = F.when(k == 0, F.concat(F.lit("rev_sp|P"), d, F.lit("|NAME_X desc GN=G"), d, F.lit(" PE=1"))).when(k == 1, F.concat(F.lit("contam_tr|Q"), d, F.lit("|N OS=h"))).when(k == 2, F.concat(F.lit("ENSP000"), d, F.lit(" pep gene_symbol:AB"), d, F.lit(" d"))).otherwise(F.concat(F.lit("NP_"), d, F.lit(".1 text [gene=zz] "), "lang"))
+    d, header = F.col("doc_id").cast("string"), F.lit(None).cast("string")
+    for k, (text, *_) in enumerate(HEADER_KINDS):
+        header = F.when(F.col("doc_id") % len(HEADER_KINDS) == k, F.replace(F.lit(text), F.lit("{d}"), d)).otherwise(header)
     return read(spark, sf_dir, "documents").select("doc_id", header.alias("header"))
 
 
-@register(
-    "protein_header",
-    r"""select doc_id, case doc_id % 4 when 2 then 'ensembl' when 3 then 'ncbi' else 'uniprot' end as database, case doc_id % 4 when 0 then 'P' || doc_id when 1 then 'Q' || doc_id else regexp_extract(header, '^(\S+)', 1) end as id,
-case doc_id % 4 when 0 then 'G' || doc_id when 1 then '' when 2 then 'AB' || doc_id else 'zz' end as gene, doc_id % 4 = 0 as decoy from hd""",
-    HEADERS,
-)
+@register("protein_header", "select doc_id, database, id, gene, header like 'rev!_%' escape '!' as decoy, string_split(header, ' ')[1] as part from hd", HEADERS)
 def protein_header(spark, sf_dir):
     cols = peptides.protein_header(F.col("header"))
     return headers(spark, sf_dir).select("doc_id", *(c.alias(k) for k, c in cols.items()))
@@ -160,18 +214,47 @@ def accession(spark, sf_dir):
     return headers(spark, sf_dir).select("doc_id", peptides.accession(F.col("header")).alias("accession"))
 
 
-@register("ccs_to_mobility", "select psm_id, round((300 + pred_rt)*sqrt(m*28/(m + 28))/charge/1059.62245::double + 1.3e-9, 6) as mobility from (select *, 800 + exp_rt*10 + charge*1.007276466::double as m from psm)", PSM)
+@register(
+    "ccs_to_mobility",
+    """select psm_id, round((300 + pred_rt)*sqrt(m*28/(m + 28))/charge/1059.62245::double + 1.3e-9, 6) as mobility
+from (select *, 800 + exp_rt*10 + charge*1.007276466::double as m from psm)""",
+    PSM,
+)
 def ccs_to_mobility(spark, sf_dir):
     value = peptides.ccs_to_mobility(300 + F.col("pred_rt"), 800 + F.col("exp_rt") * 10, F.col("charge"))
     return psm(spark, sf_dir).select("psm_id", F.round(value + 1.3e-9, 6).alias("mobility"))
 
 
-@register("instrument_class", "select conv_id, turn, case when regexp_matches(lower(text), 'lumos') then 'LUMOS' when regexp_matches(lower(text), 'astral|exploris|eclipse|fusion|velos|elite') then 'ELITE' when regexp_matches(lower(text), 'timstof|ims') then 'TIMSTOF' when regexp_matches(lower(text), 'sciex|tripletof|zeno') then 'SCIEXTOF' else 'QE' end as instrument from conversations")
+#: Instruments, their class, and what two models are told instead of it (above charge 1).
+INSTRUMENTS = [
+    ("Orbitrap Fusion Lumos", "LUMOS", "LUMOS", "LUMOS"), ("Q Exactive HF-X", "QE", "QE", "QE"), ("Orbitrap Exploris 480", "QE", "QE", "QE"),
+    ("TripleTOF 6600", "SCIEXTOF", "NONE", "SCIEXTOF"), ("timsTOF Pro", "TIMSTOF", "NONE", "TIMSTOF"), ("time of flight", "TIMSTOF", "NONE", "TIMSTOF"),
+    ("Orbitrap Astral", "THERMOTOF", "NONE", "QE"), ("LTQ Orbitrap Velos", "LUMOS", "LUMOS", "LUMOS"), ("Orbitrap Eclipse", "LUMOS", "LUMOS", "LUMOS"),
+    ("an elite animal", "QE", "QE", "QE"), ("QE Plus", "QE", "QE", "QE"), ("Sciex 7600", "SCIEXTOF", "NONE", "SCIEXTOF"),
+]
+
+
+@register(
+    "instrument_class",
+    with_views(
+        f"""select psm_id, i[2] as instrument, case when charge = 1 and i[2] = 'QE' then 'NONE' else i[3] end as unispec, i[4] as alphapept
+from (select *, [{', '.join(_literals(list(i)) for i in INSTRUMENTS)}][1 + psm_id % {len(INSTRUMENTS)}] as i from psm)""",
+        PSM,
+    ),
+)
 def instrument_class(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", peptides.instrument_class(F.col("text")).alias("instrument"))
+    text = F.element_at(F.array(*(F.lit(i[0]) for i in INSTRUMENTS)), (1 + F.col("psm_id") % len(INSTRUMENTS)).cast("int"))
+    rows = psm(spark, sf_dir).select("psm_id", "charge", peptides.instrument_class(text).alias("instrument"))
+    told = (peptides.model_instrument(F.col("instrument"), m, F.col("charge")).alias(m) for m in ("unispec", "alphapept"))
+    return rows.select("psm_id", "instrument", *told)
 
 
-@register("filter_string_parse", "select psm_id, case psm_id % 3 when 0 then 'CID' when 1 then 'HCD' else 'HCD' end as method, case psm_id % 3 when 0 then 20 + charge + 0.5 when 1 then cast(20 + charge as double) else 25.0 end as energy from psm", PSM)
+@register(
+    "filter_string_parse",
+    """select psm_id, case psm_id % 3 when 0 then 'CID' when 1 then 'HCD' else 'HCD' end as method,
+  case psm_id % 3 when 0 then 20 + charge + 0.5 when 1 then cast(20 + charge as double) else 25.0 end as energy from psm""",
+    PSM,
+)
 def filter_string_parse(spark, sf_dir):
     z = (20 + F.col("charge")).cast("string")
     k = F.col("psm_id") % 3
@@ -180,125 +263,194 @@ def filter_string_parse(spark, sf_dir):
     return psm(spark, sf_dir).select("psm_id", text.alias("text")).select("psm_id", method.alias("method"), energy.alias("energy"))
 
 
-LOSS_ROWS = [("H2O", 18.010565), ("NH3", 17.026549), ("H3PO4", 97.976896)]
-
-
-@register("fragment_annotation_parse", "select psm_id as id, case psm_id % 3 when 0 then 'y' when 1 then 'b' else 'm' end as ion_type, cast(1 + scan_num % 9 as int) as number, cast(case when psm_id % 3 = 2 then 12 end as int) as stop, cast(case when psm_id % 3 = 1 then charge else 1 end as int) as charge, cast(case when psm_id % 3 = 1 then 1 else 0 end as int) as isotope, round(case psm_id % 3 when 0 then -2*18.010565::double - 17.026549::double when 1 then 97.976896::double*-1 else 0 end, 6) as loss from psm", PSM)
+@register(
+    "fragment_annotation_parse",
+    """select psm_id as id, case psm_id % 3 when 0 then 'y' when 1 then 'b' else 'm' end as ion_type, cast(1 + scan_num % 9 as int) as number,
+  cast(case when psm_id % 3 = 2 then 12 end as int) as stop, cast(case when psm_id % 3 = 1 then charge else 1 end as int) as charge, cast(case when psm_id % 3 = 1 then 1 else 0 end as int) as isotope,
+  round(case psm_id % 3 when 0 then -2*18.01057::double - 17.02655::double when 1 then -97.97689::double else 0 end, 6) as loss from psm""",
+    PSM,
+)
 def fragment_annotation_parse(spark, sf_dir):
     n = (1 + F.col("scan_num") % 9).cast("string")
     k = F.col("psm_id") % 3
-    text = F.when(k == 0, F.concat(F.lit("y"), n, F.lit("-2H2O-NH3"))).when(k == 1, F.concat(F.lit("b"), n, F.lit("-H3PO4^"), F.col("charge").cast("string"), F.lit("+i"))).otherwise(F.concat(F.lit("m"), n, F.lit(":12")))
-    rows = psm(spark, sf_dir).select(F.col("psm_id").alias("id"), text.alias("annotation"))
-    found = peptides.fragment_annotation(rows, spark.createDataFrame(LOSS_ROWS, "name string, mass double"))
+    ladder = F.when(k == 0, F.concat(F.lit("y"), n, F.lit("-2H2O-NH3"))).when(k == 1, F.concat(F.lit("b"), n, F.lit("-H3PO4^"), F.col("charge").cast("string"), F.lit("+i")))
+    rows = psm(spark, sf_dir).select(F.col("psm_id").alias("id"), ladder.otherwise(F.concat(F.lit("m"), n, F.lit(":12"))).alias("annotation"))
+    found = peptides.fragment_annotation(rows, tables.LOSS_MASSES)
     return found.select("id", "ion_type", "number", "stop", "charge", "isotope", F.round("loss", 6).alias("loss"))
 
 
-@register("response_unpack", "select vec_id as id, cast(floor(i/8) as int) as peptide, i % 8 as place, round(abs(v)*1000, 3) as mz, round(v, 6) as intensity from (select vec_id, generate_subscripts(embedding, 1) - 1 as i, cast(unnest(embedding) as double) as v from embeddings) where v > 0")
+@register(
+    "response_unpack",
+    """select vec_id as id, cast(floor(i/8) as int) as peptide, i % 8 as place, round(abs(v)*1000, 3) as mz, round(v, 6) as intensity
+from (select vec_id, generate_subscripts(embedding, 1) - 1 as i, cast(unnest(embedding) as double) as v from embeddings) where v > 0""",
+)
 def response_unpack(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
-    body = F.to_json(F.struct(F.array(F.struct(F.lit("mz").alias("name"), F.transform("v", lambda v: F.abs(v) * 1000).alias("data")), F.struct(F.lit("intensities").alias("name"), F.col("v").alias("data"))).alias("outputs")))
+    tensor = lambda name, data: F.struct(F.lit(name).alias("name"), data.alias("data"))
+    body = F.to_json(F.struct(F.array(tensor("mz", F.transform("v", lambda v: F.abs(v) * 1000)), tensor("intensities", F.col("v"))).alias("outputs")))
     found = peptides.response_unpack(rows.select("id", F.lit(8).alias("length"), body.alias("body")))
     return found.select("id", "peptide", F.col("i").cast("long").alias("place"), F.round("mz", 3).alias("mz"), F.round("intensity", 6).alias("intensity"))
 
 
-@register("fold_split", "select base, f as fold, unnest(range(3)) as set from (select base, cast((charge + list_sum(list_transform(string_split(base, ''), lambda c: ascii(c)))) % 3 as int) as f from pep)", PEP)
+@register(
+    "fold_split",
+    """select base, f as fold, unnest(range(3)) as set
+from (select base, cast((charge + list_sum(list_transform(string_split(base, ''), lambda c: ascii(c)))) % 3 as int) as f from pep)""",
+    PEP,
+)
 def fold_split(spark, sf_dir):
     rows = pep(spark, sf_dir).withColumn("fold", peptides.fold(F.col("base"), F.col("charge"), 3))
     return peptides.fold_split(rows, 3).select("base", "fold", F.col("set").cast("long").alias("set"))
 
 
-# Theoretical ions of the peptides of all benchmark items.
+# Theoretical ions of the peptides of all documents. Ladders are long, so their queries return the number of the ions of
+# each peptide and kind and the sum of their m/z in ten-thousandths.
 
 MASS = ions.RESIDUES
-WEIGH = f"rm as (select * from (values {', '.join(f"('{k}', {v}::double)" for k, v in MASS.items())}) t(aa, dm)), res as (select peptide, i, c, dm from (select peptide, generate_subscripts(string_split(peptide, ''), 1) as i, unnest(string_split(peptide, '')) as c, length(peptide) as n from pep) join rm on aa = c), sums as (select peptide, i, c, dm, sum(dm) over (partition by peptide order by i) as pre, sum(dm) over (partition by peptide) as whole, count(*) over (partition by peptide) as n from res)"
+WEIGH = f"""rm as (select * from (values {', '.join(f"('{k}', {v}::double)" for k, v in MASS.items())}) t(aa, dm)),
+res as (select peptide, i, c, dm from (select peptide, generate_subscripts(string_split(peptide, ''), 1) as i, unnest(string_split(peptide, '')) as c from pep) join rm on aa = c),
+sums as (select peptide, i, c, dm, sum(dm) over (partition by peptide order by i) as pre, sum(dm) over (partition by peptide) as whole, count(*) over (partition by peptide) as n from res)"""
 P, W_, A_, C_ = (f"{x!r}::double" for x in (ions.PROTON, ions.WATER, ions.AMMONIA, ions.CARBONYL))
 
 
-def weighed(spark, sf_dir, table="benchmark"):
-    return pep(spark, sf_dir, table).withColumn("residues", ions.masses(F.col("peptide")))
+def weighed(spark, sf_dir):
+    return pep(spark, sf_dir).withColumn("residues", ions.masses(F.col("peptide")))
+
+
+def summed(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy("peptide", *by).agg(F.count("*").alias("n"), F.sum(F.round(F.col("mz") * 10000).cast("long")).alias("mz"))
+
+
+def _summed(body: str, *by: str) -> str:
+    keys = ", ".join(("peptide", *by))
+    return f"select {keys}, count(*) as n, cast(sum(cast(round(mz*10000) as bigint)) as bigint) as mz from ({body}) group by {keys}"
+
+
+_OFFSETS = ", ".join(f"('{k}', {k in ions.PREFIX}, {v!r}::double)" for k, v in {**ions.PREFIX, **ions.SUFFIX}.items())
 
 
 @register(
     "fragment_ladder",
-    f"""select s.peptide, ion, cast(case when pre_ion then s.i else n - s.i end as int) as number, cast(z as int) as charge, cast(iso as int) as isotope, round(((case when pre_ion then pre else whole - pre end) + off + iso*{ions.ISOTOPE!r}::double + z*{P})/z, 4) as mz
-from sums s, (values {', '.join(f"('{k}', {k in ions.PREFIX}, {v!r}::double)" for k, v in {**ions.PREFIX, **ions.SUFFIX}.items())}) t(ion, pre_ion, off), (values (1), (2)) c(z), (values (0), (1)) k(iso) where s.i < n""",
-    ITEM,
+    _summed(
+        f"""select s.peptide, ion, z as charge, ((case when pre_ion then pre else whole - pre end) + off + iso*{ions.ISOTOPE!r}::double + z*{P})/z as mz
+from sums s, (values {_OFFSETS}) t(ion, pre_ion, off), (values (1), (2)) c(z), (values (0), (1)) k(iso) where s.i < n""",
+        "ion",
+        "charge",
+    ),
+    PEP,
     WEIGH,
 )
 def fragment_ladder(spark, sf_dir):
-    found = ions.ladder(weighed(spark, sf_dir), [*ions.PREFIX, *ions.SUFFIX], [1, 2], (0, 1))
-    return found.select("peptide", "ion", "number", "charge", "isotope", F.round("mz", 4).alias("mz"))
+    return summed(ions.ladder(weighed(spark, sf_dir), [*ions.PREFIX, *ions.SUFFIX], [1, 2], (0, 1)), "ion", "charge")
 
 
 @register(
     "neutral_loss_ions",
-    f"""select s.peptide, ion, cast(case when ion = 'y' then n - s.i else s.i end as int) as number, loss, round((case when ion = 'y' then whole - pre + {W_} when ion = 'c' then pre + {A_} else pre end) - lm + {P}, 4) as mz
+    _summed(
+        f"""select s.peptide, ion, loss, (case when ion = 'y' then whole - pre + {W_} when ion = 'c' then pre + {A_} else pre end) - lm + {P} as mz
 from sums s, (values ('b'), ('y'), ('c')) t(ion), (values ('', 0::double), ('H2O', {W_}), ('NH3', {A_})) l(loss, lm) where s.i < n and not (ion = 'c' and loss = 'NH3')""",
-    ITEM,
+        "ion",
+        "loss",
+    ),
+    PEP,
     WEIGH,
 )
 def neutral_loss_ions(spark, sf_dir):
-    found = ions.ladder(weighed(spark, sf_dir), ["b", "y", "c"], [1], (0,), ("H2O", "NH3"))
-    return found.select("peptide", "ion", "number", "loss", F.round("mz", 4).alias("mz"))
+    return summed(ions.ladder(weighed(spark, sf_dir), ["b", "y", "c"], [1], (0,), ("H2O", "NH3")), "ion", "loss")
 
 
 @register(
     "internal_ions",
-    f"""select a.peptide, ion, cast(a.i as int) as start, cast(b.i as int) as stop, loss, round(b.pre - a.pre + a.dm + off - lm + {P}, 4) as mz from sums a join sums b on a.peptide = b.peptide and b.i > a.i and a.i >= 2 and b.i <= a.n - 1,
-(values ('b', 0::double), ('a', -{C_})) t(ion, off), (values ('', 0::double), ('H2O', {W_})) l(loss, lm)""",
-    ITEM,
+    _summed(
+        f"""select a.peptide, ion, loss, b.pre - a.pre + a.dm + off - lm + {P} as mz from sums a join sums b on a.peptide = b.peptide and b.i > a.i and a.i >= 2 and b.i <= a.n - 1,
+(values ('b', 0::double), ('a', -{C_})) t(ion, off), (values ('', 0::double), ('H2O', {W_}), ('NH3', {A_})) l(loss, lm)""",
+        "ion",
+        "loss",
+    ),
+    PEP,
     WEIGH,
 )
 def internal_ions(spark, sf_dir):
-    return ions.internal(weighed(spark, sf_dir), ("H2O",)).withColumn("mz", F.round("mz", 4))
+    return summed(ions.internal(weighed(spark, sf_dir)), "ion", "loss")
 
 
-@register("immonium_ions", "select peptide, c as residue, round(arg_min(dm, i) - 26.99::double, 5) as mz from res group by peptide, c", ITEM, WEIGH)
+@register("immonium_ions", "select peptide, c as residue, round(arg_min(dm, i) - 26.99::double, 5) as mz from res group by peptide, c", PEP, WEIGH)
 def immonium_ions(spark, sf_dir):
     return ions.immonium(weighed(spark, sf_dir)).withColumn("mz", F.round("mz", 5))
 
 
-@register("precursor_ions", f"select peptide, cast(z as int) as charge, cast(iso as int) as isotope, loss, round((whole + {W_} + iso*{ions.ISOTOPE!r}::double - lm + z*{P})/z, 4) as mz from (select distinct peptide, max(pre) over (partition by peptide) as whole from sums), (values (1), (2), (3)) c(z), (values (0), (1)) k(iso), (values ('', 0::double), ('NH3', {A_})) l(loss, lm)", ITEM, WEIGH)
+@register(
+    "immonium_table_ions",
+    f"""select peptide, name, m as mz from pep, (values {', '.join(f"('{n}', {m}::double)" for n, m in tables.IMMONIUM.items())}) t(name, m) where contains(peptide, name[2])""",
+    PEP,
+)
+def immonium_table_ions(spark, sf_dir):
+    return ions.immonium_of_table(pep(spark, sf_dir), tables.immonium(spark))
+
+
+@register(
+    "precursor_ions",
+    f"""select peptide, cast(z as int) as charge, cast(iso as int) as isotope, loss, round((whole + {W_} + iso*{ions.ISOTOPE!r}::double - lm + z*{P})/z, 4) as mz
+from (select distinct peptide, max(pre) over (partition by peptide) as whole from sums), (values (1), (2), (3)) c(z), (values (0), (1)) k(iso), (values ('', 0::double), ('NH3', {A_})) l(loss, lm)""",
+    PEP,
+    WEIGH,
+)
 def precursor_ions(spark, sf_dir):
     return ions.precursors(weighed(spark, sf_dir), [1, 2, 3], (0, 1), ("NH3",)).withColumn("mz", F.round("mz", 4))
 
 
 @register(
     "digest",
-    f"""select peptide, min(doc_id) as protein, round(any_value(m), 4) as mass from (select doc_id, peptide, (select sum(dm) from rmass where true and instr(peptide, aa) > 0 and false) as z,
-  list_sum(list_transform(string_split(peptide, ''), lambda c: map_extract_value(mm, c))) + {W_} as m from (select doc_id, unnest({_pieces(LETTERS)}) as peptide from documents where text is not null), (select map([{', '.join(repr(k) for k in MASS)}], [{', '.join(f'{v}::double' for v in MASS.values())}]) as mm) where length(peptide) between 7 and 50)
-where m between 500 and 5000 group by peptide having count(distinct doc_id) = 1""".replace("(select sum(dm) from rmass where true and instr(peptide, aa) > 0 and false) as z,", ""),
+    f"""select peptide, min(protein) as protein, round(any_value(m), 4) as mass from (
+  select protein, peptide, list_sum(list_transform(string_split(peptide, ''), lambda c: map_extract_value(mm, c))) + {W_} as m
+  from (select case when doc_id % 10 = 3 then 'rev_' else 'doc_' end || doc_id as protein, unnest({_pieces(LETTERS)}) as peptide from documents where text is not null),
+    (select map([{', '.join(repr(k) for k in MASS)}], [{', '.join(f'{v}::double' for v in MASS.values())}]) as mm)
+  where length(peptide) between 7 and 50 and protein not like 'rev!_%' escape '!')
+where m between 500 and 5000 group by peptide having count(distinct protein) = 1""",
 )
 def digest(spark, sf_dir):
-    proteins = read(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("protein"), peptides.residual_letters(F.col("text")).alias("sequence"))
+    name = F.concat(F.when(F.col("doc_id") % 10 == 3, "rev_").otherwise("doc_"), F.col("doc_id").cast("string"))
+    proteins = read(spark, sf_dir, "documents").filter("text is not null").select(name.alias("protein"), peptides.residual_letters(F.col("text")).alias("sequence"))
     return ions.digest(proteins).withColumn("mass", F.round("mass", 4)).select("peptide", "protein", "mass")
 
 
-@register("rt_charge_fanout", "select peptide, unnest(range(1, 9)) as charge from pep", ITEM)
+@register("rt_charge_fanout", "select peptide, unnest(range(1, 9)) as charge from pep", PEP)
 def rt_charge_fanout(spark, sf_dir):
-    return ions.charge_fanout(pep(spark, sf_dir, "benchmark").select("peptide")).withColumn("charge", F.col("charge").cast("long"))
+    return ions.charge_fanout(pep(spark, sf_dir).select("peptide")).withColumn("charge", F.col("charge").cast("long"))
+
+
+def _letter_masses(first: str, letter: str, mass: float) -> str:
+    return f"list_concat([{first}::double], list_concat(list_transform(string_split(peptide, ''), lambda c: case when c = '{letter}' then {mass}::double else 0 end), [0::double]))"
 
 
 @register(
     "mod_shift",
-    """select peptide, ion, number, round(case when ion = 'b' then list_sum(nw[1:number + 1]) - list_sum(od[1:number + 1]) when ion = 'y' then list_sum(nw[len(nw) - number:]) - list_sum(od[len(od) - number:]) when ion = 'p' then list_sum(nw) - list_sum(od) else 0 end / 2, 4) as shift
-from (select peptide, list_concat([1.5::double], list_concat(list_transform(string_split(peptide, ''), lambda c: case when c = 'S' then 79.9663::double else 0 end), [0::double])) as nw, list_concat([0::double], list_concat(list_transform(string_split(peptide, ''), lambda c: case when c = 'M' then 15.9949::double else 0 end), [0::double])) as od from pep),
-(values ('b', 3), ('y', 4), ('p', 0), ('unknown', 2)) t(ion, number)""",
-    ITEM,
+    f"""select peptide, ion, number, round(case when ion = 'b' then list_sum(nw[1:number + 1]) - list_sum(od[1:number + 1])
+  when ion = 'y' then list_sum(nw[len(nw) - number:]) - list_sum(od[len(od) - number:]) when ion = 'p' then list_sum(nw) - list_sum(od) else 0 end / 2 + 1.3e-9, 4) as shift
+from (select peptide, {_letter_masses('1.5', 'S', 79.9663)} as nw, {_letter_masses('0', 'M', 15.9949)} as od from pep), (values ('b', 3), ('y', 4), ('p', 0), ('unknown', 2)) t(ion, number)""",
+    PEP,
 )
 def mod_shift(spark, sf_dir):
     chars = F.filter(F.split("peptide", ""), lambda c: c != "")
     arr = lambda first, letter, mass: F.concat(F.array(F.lit(first)), F.transform(chars, lambda c: F.when(c == letter, mass).otherwise(0.0)), F.array(F.lit(0.0)))
     which = F.explode(F.array(*(F.struct(F.lit(i).alias("ion"), F.lit(n).alias("number")) for i, n in (("b", 3), ("y", 4), ("p", 0), ("unknown", 2)))))
-    rows = pep(spark, sf_dir, "benchmark").select("peptide", arr(1.5, "S", 79.9663).alias("new"), arr(0.0, "M", 15.9949).alias("old"), which.alias("w")).select("*", "w.ion", "w.number")
-    return rows.select("peptide", "ion", "number", F.round(ions.mod_shift(F.col("old"), F.col("new"), F.col("ion"), F.col("number"), F.lit(2)), 4).alias("shift"))
+    rows = pep(spark, sf_dir).select("peptide", arr(1.5, "S", 79.9663).alias("new"), arr(0.0, "M", 15.9949).alias("old"), which.alias("w")).select("*", "w.ion", "w.number")
+    return rows.select("peptide", "ion", "number", F.round(ions.mod_shift(F.col("old"), F.col("new"), F.col("ion"), F.col("number"), F.lit(2)) + 1.3e-9, 4).alias("shift"))
+
 
+DICTIONARY = [("y12", 12, None, None, None), ("b3", 3, None, None, None), ("IMW", None, None, "W", None), ("p-H3PO4", None, None, None, 79.9663), ("int1", None, 1, None, None)]
 
-@register("theoretical_dictionary_filter", "select peptide, ion from pep, (values ('y12', 12, null, null, null), ('b3', 3, null, null, null), ('IMW', null, null, 'W', null), ('p-H3PO4', null, null, null, 79.9663::double), ('int1', null, 1, null, null)) t(ion, number, start, residue, needs) where (number is null or number < length(peptide)) and (start is null or start >= 2) and (residue is null or contains(peptide, residue)) and (needs is null or regexp_matches(peptide, '[ST]'))", ITEM)
+
+@register(
+    "theoretical_dictionary_filter",
+    """select peptide, ion from pep, (values ('y12', 12, null, null, null), ('b3', 3, null, null, null), ('IMW', null, null, 'W', null), ('p-H3PO4', null, null, null, 79.9663::double),
+  ('int1', null, 1, null, null)) t(ion, number, start, residue, needs)
+where (number is null or number < length(peptide)) and (start is null or start >= 2) and (residue is null or contains(peptide, residue)) and (needs is null or regexp_matches(peptide, '[ST]'))""",
+    PEP,
+)
 def theoretical_dictionary_filter(spark, sf_dir):
-    rows = [("y12", 12, None, None, None), ("b3", 3, None, None, None), ("IMW", None, None, "W", None), ("p-H3PO4", None, None, None, 79.9663), ("int1", None, 1, None, None)]
-    table = spark.createDataFrame(rows, "ion string, number int, start int, residue string, needs double")
-    return ions.possible_ions(pep(spark, sf_dir, "benchmark").withColumn("deltas", peptides.delta_masses(F.col("base"))), table)
+    table = spark.createDataFrame(DICTIONARY, "ion string, number int, start int, residue string, needs double")
+    return ions.possible_ions(pep(spark, sf_dir).withColumn("deltas", peptides.delta_masses(F.col("base"))), table)
 
 
 @register(
@@ -307,8 +459,8 @@ def theoretical_dictionary_filter(spark, sf_dir):
 select w.peptide, q, ion || number as name, case when ion = 'y' then 1 else 2 end as pri, min(case when ion = 'y' then 1 else 2 end) over (partition by w.peptide, q) as best
 from (select peptide, unnest([1, 2, 3]) as q, max(whole) as whole from sums group by peptide) w left join (
   select peptide, 'b' as ion, i as number, pre + {P} as mz from sums where i < n union all select peptide, 'y', n - i, whole - pre + {W_} + {P} from sums where i < n) l
-on l.peptide = w.peptide and l.mz between whole*q/4 - 15 and whole*q/4 + 15) where pri = best group by peptide, q)""",
-    ITEM,
+on l.peptide = w.peptide and l.mz between whole*q/4 - 15.0000003 and whole*q/4 + 15.0000003) where pri = best group by peptide, q)""",
+    PEP,
     WEIGH,
 )
 def ion_annotation(spark, sf_dir):
@@ -317,13 +469,14 @@ def ion_annotation(spark, sf_dir):
     rows = weighed(spark, sf_dir)
     theory = ions.ladder(rows, ["b", "y"], [1]).select("peptide", "ion", F.concat("ion", F.col("number").cast("string")).alias("name"), "mz")
     asked = rows.select("peptide", ions.total(F.col("residues")).alias("m"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("q")).select("peptide", "q", (F.col("m") * F.col("q") / 4).alias("mz"))
-    found = annotate(asked, theory, ["y", "b"], tolerance=15.0, unit="da", by=("peptide", "q"), keys=["peptide"], width=50.0)
+    found = annotate(asked, theory, ["y", "b"], tolerance=15.0000003, unit="da", by=("peptide", "q"), keys=["peptide"], width=50.0)
     return found.select("peptide", "q", "names")
 
 
 @register("aux_merge", "select psm as scan, cast(case when k <= 1 then m else k + m end as int) as n, k <= 1 as in_da from (select vec_id as psm, cast(vec_id % 4 as int) as k, 8 as m from embeddings)")
 def aux_merge(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("scan"), F.transform("embedding", lambda v, i: F.struct((100 + 10 * i).cast("double").alias("mz"), v.cast("double").alias("intensity"))).alias("f"))
+    fragment = lambda v, i: F.struct((100 + 10 * i).cast("double").alias("mz"), v.cast("double").alias("intensity"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("scan"), F.transform("embedding", fragment).alias("f"))
     both = rows.select("scan", F.slice("f", F.lit(1), (F.col("scan") % 4).cast("int")).alias("a"), F.slice("f", 5, 8).alias("b"))
     merged, poor = library.merge_aux(F.col("a"), F.col("b"))
     return both.select("scan", F.size(merged).alias("n"), poor.alias("in_da"))
