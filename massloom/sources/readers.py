@@ -27,8 +27,7 @@ def pin_scan(spark: SparkSession, path: str, columns: dict[str, str], protein_co
     cols = [F.try_element_at("fields", F.when(at(n) > 0, at(n))).try_cast(t).alias(n) for n, t in columns.items()]
     first = F.when(at(protein_column) > 0, at(protein_column)).otherwise(F.size("head"))
     proteins = F.slice("fields", first, F.greatest(F.lit(0), F.size("fields") - first + 1))
-    run = F.regexp_extract(F.substring_index("file", "/", -1), r"^([^.]*)", 1)
-    return rows.select(run.alias("run"), "seq", *cols, proteins.alias("proteins"))
+    return rows.select(run_name(F.col("file")).alias("run"), "seq", *cols, proteins.alias("proteins"))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -54,7 +53,7 @@ SPECTRUM = (
 
 
 def spectra_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Spectra of level 2 and up of mzML files: scan_num, rt (minutes), im, window bounds, peaks in m/z order.
+    """Spectra of level 2 and up of mzML files: run (of the file's name), scan_num, rt (minutes), im, window bounds, peaks in m/z order.
 
     XML is split by element, but decoding it is slow; convert raw spectra to Parquet by run once.
     """
@@ -64,7 +63,7 @@ def spectra_scan(spark: SparkSession, path: str) -> DataFrame:
     scans = F.col("scanList.scan")
     params = F.concat(own, flat(scans, lambda s: s["cvParam"]), flat(scans, lambda s: F.flatten(F.transform(s["scanWindowList"]["scanWindow"], lambda w: w["cvParam"]))))
     isolation = flat(F.col("precursorList.precursor"), lambda p: p["isolationWindow"]["cvParam"])
-    rows = rows.select("_id", F.filter(F.coalesce(params, own), lambda p: p.isNotNull()).alias("p"), isolation.alias("iso"), F.col("binaryDataArrayList.binaryDataArray").alias("arrays"))
+    rows = rows.select(run_name(F.col("_metadata.file_path")).alias("run"), "_id", F.filter(F.coalesce(params, own), lambda p: p.isNotNull()).alias("p"), isolation.alias("iso"), F.col("binaryDataArrayList.binaryDataArray").alias("arrays"))
     param = lambda name, of="p": F.try_element_at(F.filter(of, lambda p: p["_name"] == name), F.lit(1))["_value"]
     array = lambda name: F.try_element_at(F.filter("arrays", lambda a: F.exists(a["cvParam"], lambda p: p["_name"] == name)), F.lit(1))
     wide = lambda a: F.when(F.exists(f"{a}.cvParam", lambda p: p["_name"] == "32-bit float"), 32).otherwise(64)
@@ -73,6 +72,7 @@ def spectra_scan(spark: SparkSession, path: str) -> DataFrame:
     peaks = F.array_sort(F.arrays_zip(decode_array("m.binary", wide("m"), packed("m")).alias("mz"), decode_array("i.binary", wide("i"), packed("i")).alias("intensity")))
     target = param("isolation window target m/z", "iso").cast("double")
     return rows.select(
+        "run",
         F.regexp_extract("_id", r"scan=(\d+)", 1).cast("long").alias("scan_num"),
         param("scan start time").cast("double").alias("rt"),
         param("inverse reduced ion mobility").cast("double").alias("im"),
@@ -89,10 +89,20 @@ def spectra_pruned(scans: DataFrame, psms: DataFrame, keys: list[str]) -> DataFr
     return scans.join(psms.select(*keys).distinct(), keys, "left_semi")
 
 
+def run_name(path: Column) -> Column:
+    """The base name of a file, up to its first dot and without ``_uncalibrated``."""
+    return F.regexp_replace(F.regexp_extract(F.substring_index(path, "/", -1), r"^([^.]*)", 1), "_uncalibrated$", "")
+
+
+def _blocks(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """run, seq, value: the parts of text files between separators, with line feeds alone."""
+    rows = spark.read.text(path, lineSep=separator)
+    return rows.select(run_name(F.col("_metadata.file_path")).alias("run"), F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
+
+
 def _mgf_blocks(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, lineSep="END IONS\n").withColumn("seq", F.monotonically_increasing_id())
-    body = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"(?m)^#.*\n", "")
-    return text.select("seq", body.alias("value")).filter(F.col("value").contains("BEGIN IONS"))
+    rows = _blocks(spark, path, "END IONS").withColumn("value", F.regexp_replace("value", r"(?m)^#[^\n]*\n", ""))
+    return rows.filter(F.col("value").contains("BEGIN IONS"))
 
 
 def _field(name: str) -> Column:
@@ -112,28 +122,38 @@ def _mgf_peaks(value: Column, fields: list[str]) -> Column:
 
 
 def mgf_spectra(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks as spectra; the scan number is the second last dot-part of the title, or its ``Cmpd`` number. The first block of a scan wins."""
+    """Blocks as spectra of their file's ``run``; the scan number is the second last dot-part of the title, or its ``Cmpd`` number.
+
+    The first block of a scan of a run wins. Lines may end in CR LF.
+    """
     title = _field("TITLE")
     rows = _mgf_blocks(spark, path).select(
+        "run",
         "seq",
         F.coalesce(F.nullif(F.regexp_extract(title, r"Cmpd (\d+)", 1), F.lit("")), F.try_element_at(F.split(title, r"\."), F.lit(-2))).try_cast("long").alias("scan_num"),
-        (_field("RTINSECONDS").cast("double") / 60).alias("rt"),
+        F.coalesce(_field("RTINSECONDS").cast("double") / 60, _field("RT").try_cast("double")).alias("rt"),
         F.regexp_extract(title, r"1/K0=([0-9.]+)", 1).try_cast("double").alias("im"),
         F.array_sort(_mgf_peaks(F.col("value"), [])).alias("peaks"),
     )
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy("scan_num").orderBy("seq"))).filter("__r = 1").drop("__r", "seq")
+    first = Window.partitionBy("run", "scan_num").orderBy("seq")
+    return rows.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r", "seq")
 
 
 def mgf_library(spark: SparkSession, path: str, ignored: tuple[str, ...] = ()) -> DataFrame:
     """Blocks as predictions: precursor, rt, im and fragments with ion type and isotope; ignored ion types are left out."""
     rows = _mgf_blocks(spark, path)
-    peaks = F.filter(_mgf_peaks(F.col("value"), ["ion_type", "isotope"]), lambda p: F.coalesce(~p["ion_type"].isin(list(ignored)), F.lit(True)) if ignored else F.lit(True))
-    return rows.select(F.concat_ws("|", _field("TITLE"), F.regexp_extract(_field("CHARGE"), r"(\d+)", 1)).alias("precursor"), _field("RT").cast("double").alias("rt"), _field("1/K0").cast("double").alias("im"), peaks.alias("fragments"))
+    kept = lambda p: F.coalesce(~p["ion_type"].isin(list(ignored)), F.lit(True)) if ignored else F.lit(True)
+    peaks = F.filter(_mgf_peaks(F.col("value"), ["ion_type", "isotope"]), kept)
+    precursor = F.concat_ws("|", _field("TITLE"), F.regexp_extract(_field("CHARGE"), r"(\d+)", 1))
+    return rows.select(precursor.alias("precursor"), _field("RT").cast("double").alias("rt"), _field("1/K0").cast("double").alias("im"), peaks.alias("fragments"))
 
 
 def msp_library(spark: SparkSession, path: str, most_charge: int = 8, least_number: int = 1) -> DataFrame:
-    """precursor, mods, irt and fragments (mz, intensity, annotation) of blank-line blocks; without zero intensities, charges above and numbers below the bounds."""
-    rows = spark.read.text(path, lineSep="\n\n").filter(F.col("value").contains("Name:"))
+    """precursor, mods, irt and fragments (mz, intensity, annotation) of the blocks that start with ``Name:``; lines may end in CR LF.
+
+    Zero intensities, charges above and numbers below the bounds are left out.
+    """
+    rows = _blocks(spark, path, "Name:").filter(F.trim("value") != "")
     head = lambda rx: F.nullif(F.regexp_extract("value", rx, 1), F.lit(""))
     lines = F.filter(F.split("value", "\n"), lambda s: s.rlike(r"^[0-9.]"))
 
@@ -145,7 +165,8 @@ def msp_library(spark: SparkSession, path: str, most_charge: int = 8, least_numb
     z = lambda p: F.coalesce(F.regexp_extract(p["annotation"], r"\^(\d+)", 1).try_cast("int"), F.lit(1))
     n = lambda p: F.coalesce(F.regexp_extract(p["annotation"], r"^[a-z](\d+)", 1).try_cast("int"), F.lit(least_number))
     kept = F.filter(F.transform(lines, peak), lambda p: (p["intensity"] > 0) & (z(p) <= most_charge) & (n(p) >= least_number))
-    return rows.select(F.replace(head(r"(?m)Name: (.*)$"), F.lit("/"), F.lit("|")).alias("precursor"), head(r"Mods=(\S+)").alias("mods"), head(r"iRT=([-0-9.]+)").cast("double").alias("rt"), kept.alias("fragments"))
+    name = F.replace(F.trim(F.substring_index("value", "\n", 1)), F.lit("/"), F.lit("|"))
+    return rows.select(name.alias("precursor"), head(r"Mods=(\S+)").alias("mods"), head(r"iRT=([-0-9.]+)").cast("double").alias("rt"), kept.alias("fragments"))
 
 
 def library_tsv(spark: SparkSession, path: str, ignored: tuple[str, ...] = ()) -> DataFrame:
@@ -230,10 +251,13 @@ def pair_runs(results: DataFrame, spectra: DataFrame) -> DataFrame:
     Callers check for nulls; the order is by name without case.
     """
     base = lambda c: F.regexp_replace(F.regexp_extract(F.substring_index(c, "/", -1), r"^(.*)\.[^.]+$", 1), "_uncalibrated$", "")
+    from massloom.operators.ranks import group_ranks
+
     left = results.filter(~F.col("path").rlike("_edited|_rescore")).select(base(F.col("path")).alias("run"), F.col("path").alias("result"))
     right = spectra.select(base(F.col("path")).alias("run"), F.col("path").alias("spectrum"), F.when(F.lower("path").endswith(".mzml"), 0).otherwise(1).alias("__p"))
     best = right.withColumn("__r", F.row_number().over(Window.partitionBy("run").orderBy("__p", "spectrum"))).filter("__r = 1").drop("__p", "__r")
-    return left.join(best, "run", "left").withColumn("place", F.row_number().over(Window.orderBy(F.lower("run"), "result")).cast("long"))
+    paired = left.join(best, "run", "left").withColumns({"__all": F.lit(0), "__low": F.lower("run")})
+    return group_ranks(paired, ("__all",), ("__low", "result"), "place", "__size").select("run", "result", "spectrum", F.col("place").cast("long").alias("place"))
 
 
 def detectability(peptides: DataFrame, table: DataFrame) -> DataFrame:

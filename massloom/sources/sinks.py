@@ -12,12 +12,21 @@ def snake(name: str) -> str:
     return "".join(f"_{c.lower()}" if c.isupper() else c for c in name).lstrip("_")
 
 
-def edited_pin(rows: DataFrame, original: list[str], features: list[str], path: str, before: str = "Peptide", proteins: str = "proteins") -> None:
-    """Tab-separated files with the feature columns, as %.4f and in snake case, before ``before`` and the proteins spread out at the end; each file starts with the header."""
+def edited_pin(rows: DataFrame, original: list[str], features: list[str], path: str, before: str = "Peptide", proteins: str = "proteins", delta: str | None = None, limit: float | None = None) -> None:
+    """Tab-separated files with the feature columns, as %.4f and in snake case, before ``before`` and the proteins spread out at the end; each file starts with the header.
+
+    With a ``limit``, rows whose ``delta`` (a retention-time error) is above it are left out.
+    """
+    if limit is not None:
+        rows = rows.filter(F.col(delta).isNull() | ~(F.col(delta) > limit))
     at = original.index(before)
-    shown = [F.format_string("%.4f", F.col(f).cast("double")).alias(snake(f)) for f in features]
-    cols = [F.col(c).cast("string").alias(c) for c in original[:at]] + shown + [F.col(c).cast("string").alias(c) for c in original[at:]]
-    rows.select(*cols, F.concat_ws("\t", proteins).alias("Proteins")).write.options(sep="\t", header=True, quote="", emptyValue="", nullValue="").csv(path)
+    cols = {c: F.col(c).cast("string") for c in original[:at]}
+    cols |= {snake(f): F.format_string("%.4f", F.col(f).cast("double")) for f in features}
+    cols |= {c: F.col(c).cast("string") for c in original[at:]}
+    # One column that holds the whole line, so that nothing is quoted; its name is the header.
+    line = F.concat_ws("\t", *(F.coalesce(c, F.lit("")) for c in cols.values()), F.concat_ws("\t", proteins))
+    plain = {"sep": "\x01", "header": True, "quote": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.select(line.alias("\t".join([*cols, "Proteins"]))).write.options(**plain).csv(path)
 
 
 def mgf_blocks(library: DataFrame) -> DataFrame:
@@ -56,16 +65,45 @@ def even_batches(rows: DataFrame, k: int, key: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("batch", F.pmod(F.xxhash64(*key), F.lit(k)).cast("int"))
 
 
-def json_requests(batched: DataFrame, tensors: dict[str, tuple[str, str]], order: tuple[str, ...]) -> DataFrame:
-    """batch, body: one JSON document per batch with a named tensor per column. tensors: name -> (column, datatype)."""
-    held = batched.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c, _ in tensors.values() if c not in order)))).alias("rows"), F.count("*").alias("n"))
+#: Models that are told no collision energy, those that are told the instrument, and those that are told the fragmentation.
+NO_ENERGY, WITH_INSTRUMENT, WITH_FRAGMENTATION = ("Prosit_2020_intensity_CID", "ms2pip", "Prosit_2025_intensity_MultiFrag"), ("alphapept", "unispec"), ("predfull", "TMT", "Prosit_2024_intensity_cit", "Prosit_2025_intensity_MultiFrag")
+
+
+def request_tensors(model: str, prop: str) -> list[tuple[str, str, str]]:
+    """(tensor, column, datatype) that a model is sent for a property (rt, im, ms2): rt takes peptides, im charges too, ms2 what the model needs."""
+    tensors = [("peptide_sequences", "peptide", "BYTES")]
+    if prop in ("ms2", "im"):
+        tensors.append(("precursor_charges", "charge", "INT32"))
+    if prop == "ms2":
+        family = model.lower().split("_")[0]
+        if not any(name in model for name in NO_ENERGY):
+            tensors.append(("collision_energies", "energy", "FP32"))
+        if family in WITH_INSTRUMENT:
+            tensors.append(("instrument_types", "instrument", "BYTES"))
+        if any(name in model for name in WITH_FRAGMENTATION[1:]) or family == "predfull":
+            tensors.append(("fragmentation_types", "fragmentation", "BYTES"))
+    return tensors
+
+
+def request_batches(rows: DataFrame, model: str, size: int, order: tuple[str, ...] = ("peptide",)) -> DataFrame:
+    """Adds ``batch`` and ``place``: the model family that wants its batches by sequence length gets them so, the others in the order given."""
+    if model.lower().startswith("alphapept"):
+        rows = rows.withColumn("length", F.length(F.regexp_replace("peptide", r"\[[^\]]*\]|[^A-Za-z]", "")))
+        order = ("length", *order)
+    return batches(rows, size, order).withColumn("place", F.struct(*order))
+
+
+def json_requests(batched: DataFrame, tensors: list[tuple[str, str, str]]) -> DataFrame:
+    """batch, n, body: one JSON document per batch of ``request_batches`` with a named tensor of n rows and one column each."""
+    columns = [column for _, column, _ in tensors]
+    held = batched.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("place", *(F.col(c).alias(f"of_{c}") for c in columns)))).alias("rows"), F.count("*").alias("n"))
 
     def tensor(name: str, column: str, kind: str) -> Column:
-        data = F.transform("rows", lambda r: r[column].cast("string"))
-        return F.struct(F.lit(name).alias("name"), F.array(F.col("n"), F.lit(1).cast("long")).alias("shape"), F.lit(kind).alias("datatype"), data.alias("data"))
+        data = F.transform("rows", lambda r: F.array(r[f"of_{column}"]))
+        return F.to_json(F.struct(F.lit(name).alias("name"), F.array(F.col("n"), F.lit(1).cast("long")).alias("shape"), F.lit(kind).alias("datatype"), data.alias("data")))
 
-    one = [tensor(name, *about) for name, about in tensors.items()]
-    return held.select("batch", "n", F.to_json(F.struct(F.col("batch").cast("string").alias("id"), F.array(*one).alias("inputs"))).alias("body"))
+    inputs = F.concat_ws(",", *(tensor(*about) for about in tensors))
+    return held.select("batch", "n", F.concat(F.lit('{"id":"0","inputs":['), inputs, F.lit("]}")).alias("body"))
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: str | None = None, sep: str = ",") -> DataFrame:
