@@ -231,21 +231,52 @@ def line(x, y) -> Curve:
     return np.array([0.0]), np.array([[y.mean() - slope * x.mean(), slope]])
 
 
+def _hermite(u: Column, w: Column, v0: Column, s0: Column, v1: Column, s1: Column) -> Column:
+    v = u - 1
+    return (1 + 2 * u) * v * v * v0 + w * u * v * v * s0 + u * u * (1 - 2 * v) * v1 + w * u * u * v * s1
+
+
 def value_at(x: Column, knots: Column, coeffs: Column) -> Column:
     """The curve's value at x as a column; coeffs holds value and slope of each knot in turn."""
     n = F.size(knots)
     k = F.least(F.greatest(F.size(F.filter(knots, lambda p: p < x)), F.lit(1)), n - 1)
-    at = lambda a, i: F.element_at(a, i)
+    at = F.element_at
     p0 = at(knots, k)
     w = at(knots, k + 1) - p0
-    u = (x - p0) / w
-    v = u - 1
-    inner = (1 + 2 * u) * v * v * at(coeffs, 2 * k - 1) + w * u * v * v * at(coeffs, 2 * k) + u * u * (1 - 2 * v) * at(coeffs, 2 * k + 1) + w * u * u * v * at(coeffs, 2 * k + 2)
+    inner = _hermite((x - p0) / w, w, at(coeffs, 2 * k - 1), at(coeffs, 2 * k), at(coeffs, 2 * k + 1), at(coeffs, 2 * k + 2))
     first = at(coeffs, F.lit(1)) + at(coeffs, F.lit(2)) * (x - at(knots, F.lit(1)))
     last = at(coeffs, 2 * n - 1) + at(coeffs, 2 * n) * (x - at(knots, n))
     return F.when(x <= at(knots, F.lit(1)), first).when(x >= at(knots, n), last).otherwise(inner)
 
 
+def inverse_at(y: Column, knots: Column, coeffs: Column, steps: int = 60, near: float = 1e-4) -> Column:
+    """The column form of ``invert``: the same bisection between the outer knots.
+
+    The curve is monotone, so the piece that holds y follows from the knots' values, and a middle outside that piece is
+    judged by its place alone; the accumulator holds the piece, so each step is a few multiplications.
+    """
+    n, at = F.size(knots), F.element_at
+    k = F.least(F.greatest(F.size(F.filter(F.sequence(F.lit(1), n), lambda i: at(coeffs, 2 * i - 1) < y)), F.lit(1)), n - 1)
+    piece = {"p0": at(knots, k), "p1": at(knots, k + 1), "v0": at(coeffs, 2 * k - 1), "s0": at(coeffs, 2 * k), "v1": at(coeffs, 2 * k + 1), "s1": at(coeffs, 2 * k + 2), "y": y}
+    ends = {"low": at(knots, F.lit(1)), "high": at(knots, n)}
+    packed = lambda parts: F.struct(*(c.alias(name) for name, c in parts.items()))
+
+    def step(acc: Column, _: Column) -> Column:
+        low, high = acc["low"], acc["high"]
+        mid = (low + high) / 2
+        w = acc["p1"] - acc["p0"]
+        got = F.when(mid <= acc["p0"], F.lit(float("-inf"))).when(mid >= acc["p1"], F.lit(float("inf"))).otherwise(_hermite((mid - acc["p0"]) / w, w, acc["v0"], acc["s0"], acc["v1"], acc["s1"]))
+        hit = F.abs(got - acc["y"]) < near
+        held = {name: acc[name] for name in piece}
+        return F.when(low == high, acc).otherwise(packed({**held, "low": F.when(hit | (got < acc["y"]), mid).otherwise(low), "high": F.when(hit | (got >= acc["y"]), mid).otherwise(high)}))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), packed({**piece, **ends}), step, lambda acc: (acc["low"] + acc["high"]) / 2)
+    slope = at(coeffs, F.lit(2))
+    line = F.when(slope != 0, at(knots, F.lit(1)) + (y - at(coeffs, F.lit(1))) / slope).otherwise(at(knots, F.lit(1)))
+    inside = F.when(y <= at(coeffs, F.lit(1)), ends["low"]).when(y >= at(coeffs, 2 * n - 1), ends["high"]).otherwise(found)
+    return F.when(n == 1, line).when(n > 1, inside)
+
+
 def invert(curve: Curve, y, steps: int = 60, near: float = 1e-4) -> np.ndarray:
     """x with the curve's value y, by bisection between the outer knots, which also bound the answer. A line is solved outright."""
     knots, c = curve

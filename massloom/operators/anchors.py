@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from massloom.operators.ranks import first_rows, group_ranks
 
 FLT_MAX = 3.4028234663852886e38
+MOST_ANCHORS = 5000  #: of a group of retention times in a fit
 CUTOFF, RELAXED, FEWEST = 10**-3.5, 0.01, 10
 
 
@@ -20,14 +21,16 @@ def select(psms: DataFrame, *, predicted: str = "pred_rt", measured: str = "exp_
 
 
 def relax(psms: DataFrame, by: tuple[str, ...] = ("run",), *, cutoff: float = CUTOFF, relaxed: float = RELAXED, fewest: int = FEWEST, **columns) -> DataFrame:
-    """As ``select``; groups with fewer than ``fewest`` anchors fall back to the relaxed cutoff and then keep ``fewest`` at most."""
+    """As ``select``; groups with fewer than ``fewest`` anchors fall back to the relaxed cutoff and then keep ``fewest`` at most.
+
+    Groups are counted by an aggregate; only those with few anchors are ranked, and cut before they are shuffled.
+    """
     wide = select(psms, cutoff=max(cutoff, relaxed), **columns)
-    group = Window.partitionBy(*by)
-    strict = F.count_if(F.col("evalue") <= cutoff).over(group)
-    rank = F.row_number().over(group.orderBy("evalue", "psm_id"))
-    rows = wide.withColumns({"__strict": strict, "__rank": rank})
-    kept = F.when(F.col("__strict") >= fewest, F.col("evalue") <= cutoff).otherwise(F.col("__rank") <= fewest)
-    return rows.filter(kept).drop("__strict", "__rank")
+    strict = F.col("evalue") <= cutoff
+    counts = wide.groupBy(*by).agg(F.count_if(strict).alias("__strict"))
+    many = wide.filter(strict).join(counts.filter(F.col("__strict") >= fewest), list(by), "left_semi")
+    few = wide.join(counts.filter(F.col("__strict") < fewest), list(by), "left_semi")
+    return many.unionByName(first_rows(few, fewest, by, ("evalue", "psm_id")).select(*many.columns))
 
 
 def dedupe(anchors: DataFrame, by: tuple[str, ...] = ("run", "peptide", "charge"), order: tuple[str, ...] = ("scan_num", "psm_id")) -> DataFrame:
@@ -49,17 +52,18 @@ def linear_fit(anchors: DataFrame, by: tuple[str, ...] = ("run",), x: str = "exp
 
 
 def delta_linear(psms: DataFrame, fits: DataFrame, by: tuple[str, ...] = ("run",)) -> DataFrame:
-    return psms.join(F.broadcast(fits.select(*by, "slope", "intercept")), list(by), "left").withColumn("delta", F.abs(F.col("intercept") + F.col("slope") * F.col("exp_rt") - F.col("pred_rt")))
+    return psms.join(fits.select(*by, "slope", "intercept"), list(by), "left").withColumn("delta", F.abs(F.col("intercept") + F.col("slope") * F.col("exp_rt") - F.col("pred_rt")))
 
 
-def outlier_mask(anchors: DataFrame, by: tuple[str, ...] = ("run",), x: tuple[str, ...] = ("exp_rt", "psm_id"), y: str = "pred_rt") -> DataFrame:
+def outlier_mask(anchors: DataFrame, by: tuple[str, ...] = ("run",), x: tuple[str, ...] = ("exp_rt", "psm_id"), y: str = "pred_rt", most: int = MOST_ANCHORS) -> DataFrame:
     """Groups of 50 or more lose the anchors that lie under the 75th percentile of their rank window by more than 0.18 of the range.
 
-    The window is max(20, n / 80) ranks to each side. A frame of a window function has fixed bounds, so the rows are
+    Groups are first cut to the ``most`` anchors of a fit, so that the neighbours of a group are at most most^2 / 40. The window is max(20, n / 80) ranks to each side. A frame of a window function has fixed bounds, so the rows are
     matched with their neighbours by rank blocks: an equality join on block numbers, then the rank condition.
     """
+    anchors = top_n(anchors, most, by)
     spread = anchors.groupBy(*by).agg((F.max(y) - F.min(y)).alias("range"))
-    rows = group_ranks(anchors.select(*dict.fromkeys(["psm_id", *by, *x, y])), by, x, "r", "n").join(F.broadcast(spread), list(by))  # one row per group
+    rows = group_ranks(anchors.select(*dict.fromkeys(["psm_id", *by, *x, y])), by, x, "r", "n").join(spread, list(by))
     rows = rows.withColumn("half", F.greatest(F.lit(20), F.floor(F.col("n") / 80)).cast("int")).withColumn("block", F.floor(F.col("r") / F.col("half")).cast("int"))
     near = rows.select(*by, F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)).alias("block"), F.col("r").alias("at"), F.col(y).alias("value"))
     small = rows.filter("n < 50 or range <= 0")
@@ -103,7 +107,6 @@ def inverse_lookup(rows: DataFrame, table: DataFrame, by: tuple[str, ...], value
     """
     steps = intervals(table, by, x, y)
     ends = table.groupBy(*by).agg(F.min(x).alias("__low"), F.max(x).alias("__high"), F.min_by(y, x).alias("__first"), F.max_by(y, x).alias("__last"))
-    ends = F.broadcast(ends)  # one row per group
     place = lambda v: F.coalesce(F.floor(F.try_divide((v - F.col("__low")) * buckets, F.col("__high") - F.col("__low"))), F.lit(0)).cast("int")
     spans = steps.filter("x1 is not null").join(ends, list(by)).select(*by, "x0", "x1", "y0", "y1", F.explode(F.sequence(place(F.col("x0")), place(F.col("x1")))).alias("__b"))
     probe = rows.join(ends, list(by), "left").withColumn("__b", place(F.least(F.greatest(F.col(value), F.col("__low")), F.col("__high"))))
@@ -195,13 +198,13 @@ def rt_error_filter(psms: DataFrame, delta: str, limit: float, percent: bool = F
     """PSMs whose delta is at most ``limit``, minutes or percent of the run's last retention time."""
     if not percent:
         return psms.filter(F.col(delta) <= limit)
-    return psms.join(F.broadcast(last_rt(psms)), "run").filter(F.col(delta) <= F.col("last_rt") * (limit / 100)).drop("last_rt")
+    return psms.join(last_rt(psms), "run").filter(F.col(delta) <= F.col("last_rt") * (limit / 100)).drop("last_rt")
 
 
 def wash_cutoff(psms: DataFrame, n: int = 100) -> DataFrame:
     """run, cutoff: the first empty bin after the fullest one of an n-bin histogram of retention time; twice the maximum without one."""
     ends = psms.groupBy(F.col("run").alias("__run")).agg(F.min("exp_rt").alias("low"), F.max("exp_rt").alias("high"))
-    rows = psms.select("run", "exp_rt").join(F.broadcast(ends), F.col("run").eqNullSafe(F.col("__run")))  # one row per run
+    rows = psms.select("run", "exp_rt").join(ends, F.col("run").eqNullSafe(F.col("__run")))
     step = (F.col("high") - F.col("low")) / n
     at = F.least(F.lit(n - 1), F.floor(F.try_divide(F.col("exp_rt") - F.col("low"), step))).cast("int")
     counts = rows.groupBy("run", "low", "high", F.coalesce(at, F.lit(0)).alias("bin")).count()

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massloom.functions import curves
+from massloom.operators import anchors as anchor_rules
 from massloom.operators.ranks import first_rows
 
 #: Anchors of a group that take part in a fit at most (see anchors.top_n), and steps of a calibration grid.
-MOST_ANCHORS, GRID = {"rt": 5000, "im": 1000}, 10_000
+MOST_ANCHORS, GRID = {"rt": anchor_rules.MOST_ANCHORS, "im": 1000}, 10_000
 CAP_RT, CAP_IM = 1000.0, 0.5
 
 
@@ -42,19 +43,9 @@ def fit_curves(anchors: DataFrame, by: tuple[str, ...], prop: str = "rt", *, ord
     return bounded.groupBy(*by).applyInPandas(one, schema)
 
 
-@F.pandas_udf(T.DoubleType())
-def inverse_at(y: pd.Series, curve: pd.Series, knots: pd.Series, coeffs: pd.Series) -> pd.Series:
-    """Bulk inversion: the rows of an Arrow batch that share a curve are solved together."""
-    out = np.full(len(y), np.nan)
-    for at in y.groupby(curve).indices.values():
-        first = at[0]
-        out[at] = curves.invert((np.asarray(knots.iloc[first]), np.asarray(coeffs.iloc[first]).reshape(-1, 2)), y.to_numpy()[at])
-    return pd.Series(out)
-
-
-def _use(prop: str, by: tuple[str, ...], value: str) -> Column:
+def _use(prop: str, value: str) -> Column:
     if prop == "rt":
-        return inverse_at(F.col(value).cast("double"), F.concat_ws("|", *(F.col(b).cast("string") for b in by)), "knots", "coeffs")
+        return curves.inverse_at(F.col(value).cast("double"), F.col("knots"), F.col("coeffs"))
     return curves.value_at(F.col(value), F.col("knots"), F.col("coeffs"))
 
 
@@ -64,7 +55,7 @@ def calibrated(rows: DataFrame, fitted: DataFrame, by: tuple[str, ...], prop: st
     Curves are one row per group; Spark picks a broadcast or a shuffle by their size.
     """
     known = fitted.filter("kind <> 'none'").select(*by, "knots", "coeffs")
-    hit = rows.join(known, list(by)).withColumn("calibrated", _use(prop, by, measured)).drop("knots", "coeffs")
+    hit = rows.join(known, list(by)).withColumn("calibrated", _use(prop, measured)).drop("knots", "coeffs")
     miss = rows.join(known.select(*by), list(by), "left_anti").withColumn("calibrated", F.lit(None).cast("double"))
     return hit.unionByName(miss)
 
@@ -85,9 +76,9 @@ def mobility_delta(matched: DataFrame, *, predicted: str = "pred_im", key: str =
 def grid(psms: DataFrame, fitted: DataFrame, by: tuple[str, ...], prop: str = "rt", steps: int = GRID, measured: str = "exp_rt") -> DataFrame:
     """by, x (``steps`` equal steps over the run's measured range) and y, the calibrated value: the table for inverse lookups."""
     ends = psms.groupBy("run").agg(F.min(measured).alias("low"), F.max(measured).alias("high"))
-    rows = fitted.filter("kind <> 'none'").join(F.broadcast(ends), "run").select(*by, "knots", "coeffs", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
+    rows = fitted.filter("kind <> 'none'").join(ends, "run").select(*by, "knots", "coeffs", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
     x = F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / (steps - 1)
-    return rows.withColumn("x", x).select(*by, "i", "x", _use(prop, by, "x").alias("y"))
+    return rows.withColumn("x", x).select(*by, "i", "x", _use(prop, "x").alias("y"))
 
 
 def samples(anchors: DataFrame, fitted: DataFrame, by: tuple[str, ...], n: int = 1000) -> DataFrame:

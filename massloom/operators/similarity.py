@@ -7,6 +7,8 @@ Scores with fewer than ``least`` fragments, or without a matched peak, have the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,25 +147,40 @@ def bin_weights(matches: DataFrame, table: DataFrame, width: float) -> DataFrame
     return rows.join(table.select("bin", F.col("weight").alias("w")), "bin", "left").withColumn("w", F.coalesce("w", F.lit(0.0))).drop("bin")
 
 
-def hypergeometric(counts: DataFrame) -> DataFrame:
-    """-log10 P(X >= k): counts has psm, population, matched (of the population), draws and k (both capped here).
+#: ln(n!) of small n; beyond, Stirling's series.
+_SMALL = [math.lgamma(n + 1) for n in range(128)]
+
+
+def log_factorial(n: Column) -> Column:
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    stirling = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + series
+    return F.when(n < len(_SMALL), F.element_at(F.array(*map(F.lit, _SMALL)), F.greatest(n, F.lit(0)).cast("int") + 1)).otherwise(stirling)
 
-    Log-factorials are summed once per row as an array; the tail is a sum over k..min.
-    """
-    k = F.least("k", "matched")
-    draws = F.least("draws", "population")
-    lf = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("population").cast("int"))), F.array(F.lit(0.0)), lambda a, i: F.concat(a, F.array(F.element_at(a, -1) + F.ln(i.cast("double")))))
-    rows = counts.withColumns({"k": k.cast("int"), "draws": draws.cast("int"), "population": F.col("population").cast("int"), "matched": F.col("matched").cast("int")}).withColumn("lf", lf)
+
+def hypergeometric(counts: DataFrame) -> DataFrame:
+    """-log10 P(X >= k): counts has psm, population, matched (of the population), draws and k (both capped here). The tail is a sum over k..min."""
+    whole = {c: F.col(c).cast("int") for c in ("population", "matched", "draws", "k")}
+    rows = counts.withColumns(whole).withColumns({"k": F.least("k", "matched"), "draws": F.least("draws", "population")})
 
     def choose(n: Column, r: Column) -> Column:
-        at = lambda i: F.element_at("lf", i + 1)
-        return at(n) - at(r) - at(n - r)
+        return log_factorial(n) - log_factorial(r) - log_factorial(n - r)
 
-    low = F.greatest(F.col("k"), F.col("draws") - (F.col("population") - F.col("matched")))
+    rest = F.col("population") - F.col("matched")
+    low = F.greatest(F.col("k"), F.col("draws") - rest)
     high = F.least("matched", "draws")
-    term = lambda x: F.exp(choose(F.col("matched"), x) + choose(F.col("population") - F.col("matched"), F.col("draws") - x) - choose(F.col("population"), F.col("draws")))
-    tail = F.when(low > high, F.lit(0.0)).otherwise(F.aggregate(F.transform(F.sequence(low, F.greatest(low, high)), term), F.lit(0.0), lambda a, b: a + b))
-    return rows.select("psm", F.when((F.col("draws") <= 1) | (F.col("population") == 0), 0.0).otherwise(-F.log10(F.least(tail, F.lit(1.0)))).alias("hypergeometric_probability"))
+    rows = rows.withColumns({"low": low, "high": high, "all": choose(F.col("population"), F.col("draws"))})
+    term = lambda x: F.exp(choose(F.col("matched"), x) + choose(F.col("population") - F.col("matched"), F.col("draws") - x) - F.col("all"))
+    tail = F.when(F.col("low") > F.col("high"), F.lit(0.0)).otherwise(F.aggregate(F.sequence("low", F.greatest("low", "high")), F.lit(0.0), lambda a, x: a + term(x)))
+    score = F.when((F.col("draws") <= 1) | (F.col("population") == 0), 0.0).otherwise(F.lit(0.0) - F.log10(F.least(tail, F.lit(1.0))))
+    return rows.select("psm", score.alias("hypergeometric_probability"))
+
+
+def theoretical_ions(theory: DataFrame, predicted: DataFrame, scans: DataFrame) -> DataFrame:
+    """The theoretical ions (psm, scan, ion_type, mz and more) of the ion types that are predicted for their match, inside the scan's window (scan, ms2_lo, ms2_hi); of equal m/z, one."""
+    kinds = predicted.select("psm", "ion_type").distinct()
+    rows = theory.join(kinds, ["psm", "ion_type"], "left_semi").join(scans.select("scan", "ms2_lo", "ms2_hi"), "scan")
+    return rows.filter(F.col("mz").between(F.col("ms2_lo"), F.col("ms2_hi"))).drop("ms2_lo", "ms2_hi").dropDuplicates(["psm", "mz"])
 
 
 def intersection(theoretical: DataFrame, matches: DataFrame, top: int = 20) -> DataFrame:
@@ -193,13 +210,40 @@ def longest_run(matches: DataFrame) -> DataFrame:
     return runs.groupBy("psm").agg(F.coalesce(F.max(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("longest_match_run"))
 
 
+def _array_entropy(v: Column) -> Column:
+    return -F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x != 0, x * F.ln(x)).otherwise(0.0))
+
+
+def _share(v: Column) -> Column:
+    """The values of an array scaled to sum 1; a single value is 1."""
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(v) == 1, F.array(F.lit(1.0))).otherwise(F.transform(v, lambda x: F.when(total > 0, x / total).otherwise(0.0)))
+
+
+def array_entropy_score(p: Column, m: Column) -> Column:
+    """The unweighted entropy score of two arrays, as ``scores`` has it for rows."""
+    a, b = _share(p), _share(m)
+    both = F.zip_with(a, b, lambda x, y: (x + y) / 2)
+    score = 1 - (2 * _array_entropy(both) - _array_entropy(b) - _array_entropy(a)) / math.log(4.0)
+    return F.when((F.size(p) >= LEAST) & (F.size(F.filter(m, lambda x: x != 0)) >= LEAST), score).otherwise(0.0)
+
+
 def bootstrap(matches: DataFrame, replicates: int = 500, share: float = 0.5) -> DataFrame:
-    """Median entropy score over replicates of a random part of the fragments; the choice is a hash of psm, fragment and replicate."""
-    rows = matches.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    w = Window.partitionBy("psm", "replicate")
-    rows = rows.withColumns({"r": F.row_number().over(w.orderBy(F.xxhash64("psm", "pos", "replicate"), "pos")), "n": F.count("*").over(w)})
-    part = rows.filter(F.col("r") <= F.ceil(F.col("n") * F.lit(share))).drop("r", "n")
-    return similarity(part, ["unweighted_spectral_entropy"], ("psm", "replicate")).groupBy("psm").agg(F.percentile("unweighted_spectral_entropy", F.lit(0.5)).alias("bootstrap_similarity"))
+    """Median entropy score over replicates of a random part of the fragments; the choice is a hash (MD5) of psm, fragment and replicate.
+
+    The fragments of a match, a few dozen, meet in one array, and its replicates are evaluated in its row: nothing but
+    the fragments is shuffled.
+    """
+    held = matches.groupBy("psm").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("p").cast("double").alias("p"), F.col("m").cast("double").alias("m")))).alias("f"))
+    take = F.ceil(F.size("f") * F.lit(share)).cast("int")
+
+    def replicate(r: Column) -> Column:
+        named = lambda f: F.struct(F.md5(F.concat_ws("|", F.col("psm").cast("string"), f["pos"].cast("string"), r.cast("string"))).alias("h"), f["pos"].alias("pos"), f["p"].alias("p"), f["m"].alias("m"))
+        return F.slice(F.array_sort(F.transform("f", named)), F.lit(1), take)
+
+    rows = held.select("psm", "f", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).select("psm", replicate(F.col("replicate")).alias("part"))
+    rows = rows.select("psm", F.transform("part", lambda f: f["p"]).alias("p"), F.transform("part", lambda f: f["m"]).alias("m"))
+    return rows.select("psm", array_entropy_score(F.col("p"), F.col("m")).alias("score")).groupBy("psm").agg(F.percentile("score", F.lit(0.5)).alias("bootstrap_similarity"))
 
 
 def ion_shares(rows: DataFrame, value: str, ions: list[str]) -> DataFrame:

@@ -57,9 +57,9 @@ def anchor_dedupe(spark, sf_dir):
     return anchors.dedupe(anchors.select(psm(spark, sf_dir))).select("psm_id", "run", "peptide", "charge")
 
 
-@register("anchor_top_n", "select psm_id, run from ded qualify row_number() over (partition by run order by evalue, psm_id) <= 300", SEL, DED)
+@register("anchor_top_n", "select psm_id, run from sel qualify row_number() over (partition by run order by evalue, psm_id) <= 5000", SEL)
 def anchor_top_n(spark, sf_dir):
-    return anchors.top_n(anchors.dedupe(anchors.select(psm(spark, sf_dir))), 300).select("psm_id", "run")
+    return anchors.top_n(anchors.select(psm(spark, sf_dir)), anchors.MOST_ANCHORS).select("psm_id", "run")
 
 
 FIT = "fit as (select run, regr_slope(pred_rt, exp_rt) as slope, regr_intercept(pred_rt, exp_rt) as intercept, count(*) as n from sel group by run)"
@@ -78,7 +78,8 @@ def delta_rt_linear(spark, sf_dir):
 
 @register(
     "outlier_mask",
-    """, r as (select *, row_number() over (partition by run order by exp_rt, psm_id) as r, count(*) over (partition by run) as n, max(pred_rt) over (partition by run) - min(pred_rt) over (partition by run) as rng from ded),
+    """, r as (select *, row_number() over (partition by run order by exp_rt, psm_id) as r, count(*) over (partition by run) as n, max(pred_rt) over (partition by run) - min(pred_rt) over (partition by run) as rng
+  from (select * from ded qualify row_number() over (partition by run order by evalue, psm_id) <= 5000)),
 w as (select a.psm_id, a.pred_rt as y, a.rng, list(b.pred_rt order by b.pred_rt) as v from r a join r b on a.run = b.run and abs(a.r - b.r) <= greatest(20, floor(a.n/80)) group by all)
 select psm_id from w where y >= v[cast(floor((len(v) - 1)*0.75) as int) + 1] - 0.18::double*rng""",
     SEL,
