@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from massloom.functions import ions
 from massloom.operators import anchors, calibrate, library
+from massloom.plans import tables
 from massloom.plans.adapters import PEAKS, PSM, peaks, psm, read, with_views
 from massloom.plans.peptides import PEP, pep
 from massloom.sources import readers, sinks
@@ -41,9 +42,9 @@ def pin_rows(spark, sf_dir) -> DataFrame:
     )
 
 
-def pin_file(spark, sf_dir) -> str:
+def pin_file(spark, sf_dir, limit: float | None = None) -> str:
     path = shared_dir(spark, "pin")
-    sinks.edited_pin(pin_rows(spark, sf_dir), list(PIN_COLUMNS), ["predRT"], path)
+    sinks.edited_pin(pin_rows(spark, sf_dir), list(PIN_COLUMNS), ["predRT"], path, delta="retentiontime", limit=limit)
     return path
 
 
@@ -56,19 +57,20 @@ def pin_scan(spark, sf_dir):
     return rows.select(F.col("SpecId").alias("spec"), F.col("Label").alias("label"), F.col("ScanNr").alias("scan"), F.round("retentiontime", 6).alias("rt"), F.col("Peptide").alias("peptide"), F.size("proteins").alias("proteins"))
 
 
-@register("edited_pin", "select psm_id as spec, round(pred_rt + 1.3e-9, 4) as pred_rt, charge as proteins from psm", PSM)
+@register("edited_pin", "select psm_id as spec, round(pred_rt + 1.3e-9, 4) as pred_rt, charge as proteins from psm where exp_rt <= 40", PSM)
 def edited_pin(spark, sf_dir):
-    rows = readers.pin_scan(spark, pin_file(spark, sf_dir), PIN_COLUMNS | {"pred_r_t": "double"})
+    rows = readers.pin_scan(spark, pin_file(spark, sf_dir, 40.0), PIN_COLUMNS | {"pred_r_t": "double"})
     return rows.select(F.col("SpecId").cast("long").alias("spec"), F.round("pred_r_t", 4).alias("pred_rt"), F.size("proteins").cast("long").alias("proteins"))
 
 
 # Spectra.
 
 
-def write_xml(rows: DataFrame, text, key: str, root: str, path: str, parts: int = 64) -> None:
-    """One XML document per part of the rows, as one line of text with its root element."""
-    held = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")).agg(F.array_join(F.collect_list(text), "").alias("body"))
-    held.select(F.concat(F.lit(f"<{root}>"), "body", F.lit(f"</{root}>")).alias("value")).repartition(parts, "value").write.option("maxRecordsPerFile", 1).text(path)
+def write_xml(rows: DataFrame, text: str, key: str, root: str, path: str, size: int = 2000) -> None:
+    """XML documents of ``size`` elements each, one to a file with its root element; they are more with more rows, not larger."""
+    numbered = sinks.batches(rows.select(key, text), size, (key,))
+    held = numbered.groupBy("batch").agg(F.array_join(F.collect_list(text), "").alias("body"))
+    held.select(F.concat(F.lit(f"<{root}>"), "body", F.lit(f"</{root}>")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def spectra_file(spark, sf_dir) -> str:
@@ -250,19 +252,24 @@ def pepxml_scan(spark, sf_dir):
     return readers.pepxml(spark, path).select("scan_num", "peptide", "label", F.round("score", 6).alias("score"), F.round("rt_seconds", 4).alias("rt_seconds"), "missed", "isotope_error")
 
 
-@register("mod_table_scan", "select c as id, min(case when o = 0 then m end) as mass from (select cast(nationkey as varchar) as c, 0 as o, nationkey*1.5::double as m from (select n_nationkey as nationkey from nation)) group by c union all select n_name as id, n_regionkey + 0.25::double as mass from nation")
+@register(
+    "mod_table_scan",
+    """select id, min(m) filter (o = first) as mass from (select *, min(o) over (partition by id) as first from (
+  select cast(s_suppkey as varchar) as id, 0 as o, s_suppkey*1.5::double as m from supplier union all select cast(p_partkey as varchar), 1, p_partkey + 0.25::double from part)) group by id""",
+)
 def mod_table_scan(spark, sf_dir):
-    n = read(spark, sf_dir, "nation")
-    a = n.select(F.col("n_nationkey").cast("string").alias("unimod_id"), (F.col("n_nationkey") * 1.5).alias("mod_mass"))
-    b = n.select(F.col("n_name").alias("mod_name"), (F.col("n_regionkey") + 0.25).alias("mass"))
-    return readers.mod_tables([a, b])
+    """Two tables with other columns, of which the first wins where both have an id."""
+    s, p = F.col("s_suppkey"), F.col("p_partkey")
+    first = read(spark, sf_dir, "supplier").select(s.cast("string").alias("unimod_id"), (s * 1.5).alias("mod_mass"))
+    second = read(spark, sf_dir, "part").select(p.cast("string").alias("mod_name"), (p + 0.25).alias("mass"))
+    return readers.mod_tables([first, second])
 
 
-@register("unimod_obo_scan", "select cast(n_nationkey as int) as id, n_nationkey*2.5::double as mass from nation")
+@register("unimod_obo_scan", "select distinct cast(p_partkey as int) as id, p_partkey*2.5::double as mass from part")
 def unimod_obo_scan(spark, sf_dir):
     path = shared_dir(spark, "obo")
-    k = F.col("n_nationkey")
-    read(spark, sf_dir, "nation").select(F.concat(F.lit("[Term]\nid: UNIMOD:"), k.cast("string"), F.lit('\nxref: delta_mono_mass "'), (k * 2.5).cast("string"), F.lit('"'))).write.text(path)
+    k = F.col("p_partkey")
+    read(spark, sf_dir, "part").select(k).distinct().select(F.concat(F.lit("[Term]\nid: UNIMOD:"), k.cast("string"), F.lit('\nxref: delta_mono_mass "'), (k * 2.5).cast("string"), F.lit('"'))).write.text(path)
     return readers.unimod_obo(spark, path)
 
 
@@ -272,19 +279,42 @@ def peptide_list_scan(spark, sf_dir):
     return readers.peptide_list(rows).select("peptide", "charge")
 
 
-@register("constant_tables", f"select aa, count(*) as n, round(any_value(m), 5) as mass from (select unnest(string_split(peptide, '')) as aa from pep) join (values {', '.join(f"('{k}', {v}::double)" for k, v in ions.RESIDUES.items())}) t(a, m) on a = aa group by aa", PEP)
+_VALUES = lambda rows: ", ".join("(" + ", ".join("null" if v is None else repr(v) for v in r) + ")" for r in rows)
+
+
+@register(
+    "constant_tables",
+    f"""select 'residue' as kind, a as name, n, round(m::double, 5) as mass from letters join (values {_VALUES(ions.RESIDUES.items())}) t(a, m) on a = aa
+union all select 'immonium', name, n, m::double from letters join (values {_VALUES(tables.IMMONIUM.items())}) t(name, m) on name[2] = aa
+union all select 'loss', loss, sum(case class when 'phos' then cast(regexp_matches(peptide, '[STY]') as int) when 'ox' then cast(contains(peptide, 'M') as int) else 1 end), any_value(m)::double
+from pep, (values {_VALUES(tables.LOSSES)}) t(loss, m, class) group by loss""",
+    PEP,
+    "letters as (select aa, count(*) as n from (select unnest(string_split(peptide, '')) as aa from pep) group by aa)",
+)
 def constant_tables(spark, sf_dir):
-    table = spark.createDataFrame(list(ions.RESIDUES.items()), "aa string, mass double")
-    rows = pep(spark, sf_dir).select(F.explode(F.split("peptide", "")).alias("aa")).groupBy("aa").agg(F.count("*").alias("n"))
-    return rows.join(F.broadcast(table), "aa").select("aa", "n", F.round("mass", 5).alias("mass"))
+    """Residues and immonium ions with the number of their letters in all peptides, losses with the number of peptides that can have them."""
+    rows = pep(spark, sf_dir)
+    letters = rows.select(F.explode(F.split("peptide", "")).alias("aa")).groupBy("aa").agg(F.count("*").alias("n"))
+    named = lambda kind, table: letters.join(F.broadcast(table), "aa").select(F.lit(kind).alias("kind"), "name", "n", F.round("mass", 6).alias("mass"))
+    residues = named("residue", spark.createDataFrame([(a, a, m) for a, m in ions.RESIDUES.items()], "aa string, name string, mass double"))
+    immonium = named("immonium", tables.immonium(spark).withColumnRenamed("residue", "aa"))
+    able = {None: F.lit(True), "phos": F.col("peptide").rlike("[STY]"), "ox": F.col("peptide").contains("M")}
+    counts = rows.agg(*(F.count_if(able[c]).alias(f"n{i}") for i, (_, _, c) in enumerate(tables.LOSSES)))
+    lost = F.array(*(F.struct(F.lit("loss").alias("kind"), F.lit(name).alias("name"), F.col(f"n{i}").alias("n"), F.lit(m).alias("mass")) for i, (name, m, _) in enumerate(tables.LOSSES)))
+    return residues.unionByName(immonium).unionByName(counts.select(F.explode(lost).alias("l")).select("l.*"))
 
 
-@register("run_pairing", "select r as run, '/a/' || r || '.pin' as result, case when k % 3 = 2 then null when k % 3 = 1 then '/b/' || r || '.mzML' else '/b/' || r || '_uncalibrated.mgf' end as spectrum, row_number() over (order by lower(r), r) as place from (select n_nationkey as k, replace(n_name, ' ', '_') as r from nation)")
+@register(
+    "run_pairing",
+    """select r as run, '/a/' || r || '.pin' as result, case when k % 3 = 2 then null when k % 3 = 1 then '/b/' || r || '.mzML' else '/b/' || r || '_uncalibrated.mgf' end as spectrum,
+  row_number() over (order by lower(r), r) as place from (select c_custkey as k, replace(c_name, '#', '_') as r from customer)""",
+)
 def run_pairing(spark, sf_dir):
-    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.replace("n_name", F.lit(" "), F.lit("_")).alias("r"))
-    results = n.select(F.concat(F.lit("/a/"), "r", F.lit(".pin")).alias("path")).unionByName(n.select(F.concat(F.lit("/a/"), "r", F.lit("_edited.pin")).alias("path")))
-    calibrated = n.filter("k % 3 = 1").select(F.concat(F.lit("/b/"), "r", F.lit(".mzML")).alias("path"))
-    spectra = n.filter("k % 3 < 2").select(F.concat(F.lit("/b/"), "r", F.lit("_uncalibrated.mgf")).alias("path")).unionByName(calibrated)
+    """A run per customer: a third has an uncalibrated MGF, a third mzML besides, a third no spectra."""
+    runs = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.replace("c_name", F.lit("#"), F.lit("_")).alias("r"))
+    path = lambda rows, folder, end: rows.select(F.concat(F.lit(f"/{folder}/"), "r", F.lit(end)).alias("path"))
+    results = path(runs, "a", ".pin").unionByName(path(runs, "a", "_edited.pin"))
+    spectra = path(runs.filter("k % 3 < 2"), "b", "_uncalibrated.mgf").unionByName(path(runs.filter("k % 3 = 1"), "b", ".mzML"))
     return readers.pair_runs(results, spectra)
 
 
@@ -309,13 +339,25 @@ def input_batches(spark, sf_dir):
     return sinks.batches(pep(spark, sf_dir).select("base"), 1000, ("base",)).select("base", "batch")
 
 
-REQ = "req as (select base, charge, cast(floor((row_number() over (order by base) - 1)/500) as bigint) as batch from pep)"
+REQ = "req as (select base, charge, length(peptide) as length, cast(floor((row_number() over (order by length(peptide), base) - 1)/500) as bigint) as batch from pep)"
+
 
+def _tensor(name: str, kind: str, value: str) -> str:
+    return f"""'{{"name":"{name}","shape":[' || count(*) || ',1],"datatype":"{kind}","data":[' || string_agg({value}, ',' order by length, base) || ']}}'"""
 
-@register("json_request_batches", """select batch, count(*) as n, md5('{"id":"' || batch || '","inputs":[{"name":"peptide_sequences","shape":[' || count(*) || ',1],"datatype":"BYTES","data":["' || string_agg(base, '","' order by base) || '"]},{"name":"precursor_charges","shape":[' || count(*) || ',1],"datatype":"INT32","data":["' || string_agg(cast(charge as varchar), '","' order by base) || '"]}]}') as payload from req group by batch""", PEP, REQ)
+
+@register(
+    "json_request_batches",
+    f"""select batch, count(*) as n, md5('{{"id":"0","inputs":[' || {_tensor('peptide_sequences', 'BYTES', """'["' || base || '"]'""")} || ',' || {_tensor('precursor_charges', 'INT32', "'[' || charge || ']'")}
+  || ',' || {_tensor('collision_energies', 'FP32', "'[30.0]'")} || ',' || {_tensor('instrument_types', 'BYTES', """'["QE"]'""")} || ']}}') as payload from req group by batch""",
+    PEP,
+    REQ,
+)
 def json_request_batches(spark, sf_dir):
-    batched = sinks.batches(pep(spark, sf_dir).select("base", "charge"), 500, ("base",))
-    found = sinks.json_requests(batched, {"peptide_sequences": ("base", "BYTES"), "precursor_charges": ("charge", "INT32")}, ("base",))
+    """Requests of a spectrum model that wants its batches by sequence length."""
+    rows = pep(spark, sf_dir).select(F.col("base").alias("peptide"), "charge", F.lit(30.0).alias("energy"), F.lit("QE").alias("instrument"))
+    batched = sinks.request_batches(rows, "AlphaPept_ms2_generic", 500)
+    found = sinks.json_requests(batched, sinks.request_tensors("AlphaPept_ms2_generic", "ms2"))
     return found.select("batch", "n", F.md5("body").alias("payload"))
 
 
@@ -358,7 +400,8 @@ def parquet_merge(spark, sf_dir):
     return sinks.merge_parquet(spark, [a, b], target)
 
 
-# Curves over the anchors of each run; they are numpy fits, so these queries have no SQL.
+# Curves over the anchors of each run. Splines are numpy fits, so their queries have no SQL and the tests hold them against
+# plain versions; the same queries over small runs, whose curves are lines, have SQL.
 
 
 def _anchors(spark, sf_dir) -> DataFrame:
@@ -381,7 +424,17 @@ def fit_policy(spark, sf_dir):
     return _fits(spark, sf_dir)
 
 
-@register("isotonic_pool")
+_POOLED = """ranked as (select run, row_number() over (partition by run order by exp, pred) as i, pred from (
+    select *, row_number() over (partition by run order by evalue, psm_id) as nth from (
+      select *, row_number() over (partition by run, peptide, charge, exp_rt order by scan_num, psm_id) as r, count(*) over (partition by run, peptide, charge, exp_rt) as n
+      from (select *, min(evalue) over (partition by run, peptide, charge, exp_rt) as best, exp_rt as exp, sqrt(exp_rt + 1)*10 + (pred_rt % 1)*2 as pred from psm where evalue <= 1 and pred_rt <> 0) where evalue = best)
+    where r = floor(n/2) + 1) where nth <= 5000),
+upto as (select run, i, sum(pred) over (partition by run order by i) as s from ranked),
+means as (select a.run, a.i as j, b.i as k, (b.s - a.s + p.pred)/(b.i - a.i + 1) as m from upto a join upto b on a.run = b.run and b.i >= a.i join ranked p on p.run = a.run and p.i = a.i),
+least_after as (select run, j, k, min(m) over (partition by run, j order by k desc) as m from means)"""
+
+
+@register("isotonic_pool", "select run, k - 1 as i, round(max(m), 6) as level from least_after group by run, k", PSM, _POOLED)
 def isotonic_pool(spark, sf_dir):
     import pandas as pd
 
@@ -392,7 +445,7 @@ def isotonic_pool(spark, sf_dir):
         return pd.DataFrame({"run": key[0], "i": range(len(rows)), "level": curves.isotonic(rows["pred"].to_numpy())})
 
     bounded = anchors.top_n(_anchors(spark, sf_dir), calibrate.MOST_ANCHORS["rt"])
-    return bounded.select("run", "exp", "pred").groupBy("run").applyInPandas(one, "run string, i long, level double")
+    return bounded.select("run", "exp", "pred").groupBy("run").applyInPandas(one, "run string, i long, level double").withColumn("level", F.round("level", 6))
 
 
 def _step(name: str, fit_one):
@@ -498,6 +551,112 @@ def calibration_residuals(spark, sf_dir):
     return calibrate.residuals(rows.select("psm_id", "model", "exp", "pred")).select("psm_id", "model", "residual")
 
 
+# Runs of a dozen spectra each: their curves are lines, or none below ten anchors.
+
+SMALL = """small as (select psm_id, 'small_' || cast(floor(scan_num/12) as bigint) as run, charge, exp_rt, evalue, sqrt(exp_rt + 1)*10 + (pred_rt % 1)*2 as pred from psm where pred_rt <> 0),
+lines as (select run, count(*) as n, case when var_pop(pred) > 0 then regr_slope(exp_rt, pred) else 0 end as slope, case when var_pop(pred) > 0 then regr_intercept(exp_rt, pred) else avg(exp_rt) end as base
+  from small group by run)"""
+_CALIBRATED = "case when n >= 10 then case when slope <> 0 then (exp_rt - base)/slope else 0 end end"
+
+
+def _small(spark, sf_dir) -> DataFrame:
+    rows = psm(spark, sf_dir).filter("pred_rt <> 0")
+    pred = F.sqrt(F.col("exp_rt") + 1) * 10 + (F.col("pred_rt") % 1) * 2
+    run = F.concat(F.lit("small_"), F.floor(F.col("scan_num") / 12).cast("long").cast("string"))
+    return rows.select("psm_id", run.alias("run"), "charge", "exp_rt", "evalue", pred.alias("pred"), pred.alias("pred_rt"), F.col("exp_rt").alias("exp"))
+
+
+def _small_fits(spark, sf_dir) -> DataFrame:
+    return written(calibrate.fit_curves(_small(spark, sf_dir), ("run",)), "curves")
+
+
+@register("fit_policy_small_runs", "select run, case when n < 10 then 'none' else 'linear' end as kind, n, case when n >= 10 then round(base, 6) end as base, case when n >= 10 then round(slope, 6) end as slope from lines", PSM, SMALL)
+def fit_policy_small_runs(spark, sf_dir):
+    part = lambda i: F.round(F.try_element_at("coeffs", F.lit(i)), 6)
+    return _small_fits(spark, sf_dir).select("run", "kind", "n", part(1).alias("base"), part(2).alias("slope"))
+
+
+@register(
+    "calibrated_rt_small_runs",
+    f"""select psm_id, round(c, 6) as calibrated_rt, round(coalesce(least(abs(c - pred), 1000), 0), 6) as delta_rt_loess from (select *, {_CALIBRATED} as c from small join lines using (run))""",
+    PSM,
+    SMALL,
+)
+def calibrated_rt_small_runs(spark, sf_dir):
+    found = calibrate.pick(calibrate.calibrated(_small(spark, sf_dir), _small_fits(spark, sf_dir), ("run",)))
+    return found.select("psm_id", F.round("calibrated", 6).alias("calibrated_rt"), F.round("delta", 6).alias("delta_rt_loess"))
+
+
+@register(
+    "curve_eval_small_runs",
+    "select run, i, round(low + (high - low)*i/19 + 1.3e-9, 6) as x, round(base + slope*(low + (high - low)*i/19), 6) as y from lines join (select run, min(pred) as low, max(pred) as high from small group by run) using (run), range(20) t(i) where n >= 10",
+    PSM,
+    SMALL,
+)
+def curve_eval_small_runs(spark, sf_dir):
+    found = calibrate.samples(_small(spark, sf_dir), _small_fits(spark, sf_dir), ("run",), 20)
+    return found.select("run", F.col("i").cast("long").alias("i"), F.round(F.col("x") + 1.3e-9, 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@register(
+    "calibration_grid_small_runs",
+    """select run, i, round(x + 1.3e-9, 6) as x, round(case when slope <> 0 then (x - base)/slope else 0 end, 6) as y
+from (select run, i, base, slope, low + (high - low)*i/49 as x from lines join (select run, min(exp_rt) as low, max(exp_rt) as high from small group by run) using (run), range(50) t(i) where n >= 10)""",
+    PSM,
+    SMALL,
+)
+def calibration_grid_small_runs(spark, sf_dir):
+    found = calibrate.grid(_small(spark, sf_dir), _small_fits(spark, sf_dir), ("run",), steps=50)
+    return found.select("run", F.col("i").cast("long").alias("i"), F.round(F.col("x") + 1.3e-9, 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@register(
+    "adaptive_curve_pick_small_runs",
+    """, groups as (select run, charge % 2 as g, count(*) as n, case when var_pop(pred) > 0 then regr_slope(exp_rt, pred) else 0 end as slope, case when var_pop(pred) > 0 then regr_intercept(exp_rt, pred) else avg(exp_rt) end as base
+  from small group by run, charge % 2),
+tried as (select psm_id, least(abs(c - pred), 1000) as delta, c from (select psm_id, pred, case when slope <> 0 then (exp_rt - base)/slope else 0 end as c
+  from (select *, unnest([charge % 2, 0]) as g from small) join groups using (run, g) where n >= 10))
+select psm_id, round(coalesce(min(delta), 0), 6) as delta, round(arg_min(c, delta), 6) as calibrated from small left join tried using (psm_id) group by psm_id""",
+    PSM,
+    SMALL,
+)
+def adaptive_curve_pick_small_runs(spark, sf_dir):
+    """Every PSM is tried on the curve of its own mass group and on that of group 0."""
+    rows = _small(spark, sf_dir).withColumn("mass_group", (F.col("charge") % 2).cast("string"))
+    fitted = written(calibrate.fit_curves(rows, ("run", "mass_group")), "curves")
+    tried = rows.withColumn("mass_group", F.explode(F.array("mass_group", F.lit("0"))))
+    found = calibrate.pick(calibrate.calibrated(tried, fitted, ("run", "mass_group")))
+    return found.select("psm_id", F.round("delta", 6).alias("delta"), F.round("calibrated", 6).alias("calibrated"))
+
+
+@register(
+    "delta_im_small_runs",
+    """, mobile as (select psm_id, run, exp_rt/100 as im, exp_rt/100 + pred/5000 as pred_im from small),
+fits as (select run, count(*) as n, case when var_pop(im) > 0 then regr_slope(pred_im, im) else 0 end as slope, case when var_pop(im) > 0 then regr_intercept(pred_im, im) else avg(pred_im) end as base from mobile group by run)
+select psm_id, round(case when n >= 11 then least(abs(base + slope*im - pred_im), 0.5)*1000 else 500 end, 6) as delta_im_loess from mobile join fits using (run)""",
+    PSM,
+    SMALL,
+)
+def delta_im_small_runs(spark, sf_dir):
+    rows = _small(spark, sf_dir).withColumns({"im": F.col("exp_rt") / 100, "pred_im": F.col("exp_rt") / 100 + F.col("pred") / 5000})
+    fitted = written(calibrate.fit_curves(rows.withColumns({"exp": F.col("im"), "pred": F.col("pred_im")}), ("run",), "im"), "curves")
+    found = calibrate.mobility_delta(calibrate.calibrated(rows, fitted, ("run",), "im", "im"))
+    return found.select("psm_id", F.round("delta_im_loess", 6).alias("delta_im_loess"))
+
+
+@register(
+    "calibration_residuals_small_runs",
+    """, near as (select psm_id, run, round(exp_rt, 2) as e, round(pred, 2) as p from small),
+fits as (select run, count(*) as n, case when var_pop(p) > 0 then regr_slope(e, p) else 0 end as slope, case when var_pop(p) > 0 then regr_intercept(e, p) else avg(e) end as base from near group by run)
+select psm_id, round(case when n >= 10 then abs(e - base - slope*p) else 1e6 end, 6) as residual from near join fits using (run)""",
+    PSM,
+    SMALL,
+)
+def calibration_residuals_small_runs(spark, sf_dir):
+    found = calibrate.residuals(_small(spark, sf_dir).select("psm_id", "run", "exp", "pred"), ("run",))
+    return found.select("psm_id", F.round("residual", 6).alias("residual"))
+
+
 @register("streaming_run_qc", "select 'user_' || user_id % 8 as run, count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value), 4) as sd, quantile_disc(floor(value), 0.5) as median from events where value is not null group by 1")
 def streaming_run_qc(spark, sf_dir):
     path = shared_dir(spark, "scored")

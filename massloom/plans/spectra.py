@@ -241,6 +241,25 @@ def fragment_groups(spark, sf_dir):
     return found.groupBy("psm").pivot("grp", ["main", "b", "y"]).agg(F.round(F.first("cosine_similarity"), 6)).select("psm", F.col("main").alias("cosine_main"), F.col("b").alias("cosine_b"), F.col("y").alias("cosine_y"))
 
 
+# Theoretical ions: those of the predicted fragments and, 5 m/z above each, one of the other series. Windows of the scans
+# end at 650, so some lie outside.
+
+THEORY = f"""ions as (select psm, scan, 2*pos as pos, mz, intensity, ion_type from frags
+  union all select psm, scan, 2*pos + 1, mz + 5, intensity, case when ion_type = 'b' then 'y' else 'b' end from frags),
+possible as (select * from ions semi join (select distinct psm, ion_type from kept) using (psm, ion_type) where mz between 100 + scan % 40 and 650 qualify row_number() over (partition by psm, mz order by pos) = 1),
+theory as (select k.psm, k.scan, k.pos, k.mz, k.ion_type, k.intensity as p, coalesce(max(p.intensity), 0) as m from possible k left join peaks p on {WINDOW} group by all)"""
+
+
+def theory(spark, sf_dir) -> DataFrame:
+    """Every possible ion of a match with its matched intensity."""
+    found = adapters.frags(spark, sf_dir)
+    other = F.when(F.col("ion_type") == "b", "y").otherwise("b")
+    ions = found.withColumn("pos", 2 * F.col("pos")).unionByName(found.withColumns({"pos": 2 * F.col("pos") + 1, "mz": F.col("mz") + 5, "ion_type": other}))
+    scans = found.select("scan").distinct().select("scan", (100 + F.col("scan") % 40).alias("ms2_lo"), F.lit(650).alias("ms2_hi"))
+    possible = similarity.theoretical_ions(ions, kept(spark, sf_dir), scans)
+    return matched(spark, sf_dir, possible)
+
+
 COUNTS = """counts as (select psm, population, matched, least(draws, population) as draws, least(k, matched) as k from (
   select psm, count(*) as population, count(*) filter (m > 0) as matched from theory group by psm) join (
   select psm, count(*) as draws, count(*) filter (m > 0) as k from matched group by psm) using (psm))"""
@@ -252,16 +271,16 @@ COUNTS = """counts as (select psm, population, matched, least(draws, population)
         """, terms as (select psm, sum(exp(lgamma(matched+1) - lgamma(x+1) - lgamma(matched-x+1) + lgamma(population-matched+1) - lgamma(draws-x+1) - lgamma(population-matched-draws+x+1)
     - lgamma(population+1) + lgamma(draws+1) + lgamma(population-draws+1))) as tail
   from (select *, unnest(range(greatest(k, draws - (population - matched)), least(matched, draws) + 1)) as x from counts) group by psm)
-select psm, round(case when draws <= 1 then 0 else -log10(least(coalesce(tail, 0), 1)) end, 6) as hypergeometric_probability from counts left join terms using (psm)""",
+select psm, round(case when draws <= 1 then 0 else 0 - log10(least(coalesce(tail, 0), 1)) end, 6) as hypergeometric_probability from counts left join terms using (psm)""",
         *CHAIN[:3],
-        ALL_MATCHED,
+        THEORY,
         COUNTS,
     ),
 )
 def hypergeometric_probability(spark, sf_dir):
-    theory = matched(spark, sf_dir, adapters.frags(spark, sf_dir)).groupBy("psm").agg(F.count("*").alias("population"), F.count_if(F.col("m") > 0).alias("matched"))
+    possible = theory(spark, sf_dir).groupBy("psm").agg(F.count("*").alias("population"), F.count_if(F.col("m") > 0).alias("matched"))
     drawn = matched(spark, sf_dir).groupBy("psm").agg(F.count("*").alias("draws"), F.count_if(F.col("m") > 0).alias("k"))
-    found = similarity.hypergeometric(theory.join(drawn, "psm"))
+    found = similarity.hypergeometric(possible.join(drawn, "psm"))
     return found.select("psm", F.round("hypergeometric_probability", 6).alias("hypergeometric_probability"))
 
 
@@ -271,12 +290,11 @@ def hypergeometric_probability(spark, sf_dir):
         """select psm, count(*) filter (r <= 20 and r < n and m > 0 and exists (select 1 from matched x where x.psm = t.psm and x.m = t.m)) as intersection from (
 select *, row_number() over (partition by psm order by m desc, pos) as r, count(*) over (partition by psm) as n from theory) t group by psm""",
         *CHAIN[:3],
-        ALL_MATCHED,
+        THEORY,
     ),
 )
 def intersection(spark, sf_dir):
-    theory = matched(spark, sf_dir, adapters.frags(spark, sf_dir)).select("psm", "pos", F.col("m").alias("intensity"))
-    return similarity.intersection(theory, matched(spark, sf_dir))
+    return similarity.intersection(theory(spark, sf_dir).select("psm", "pos", F.col("m").alias("intensity")), matched(spark, sf_dir))
 
 
 @register(
@@ -293,7 +311,16 @@ def top6_matched_intensity(spark, sf_dir):
     return found.select("psm", F.round("top6_matched_intensity", 6).alias("top6_matched_intensity"))
 
 
-@register("bootstrap_similarity")
+_BOOT = """boot as (select psm, r, p, m from (select *, unnest(range(1, 501)) as r, count(*) over (partition by psm) as n from matched)
+  qualify row_number() over (partition by psm, r order by md5(psm || '|' || pos || '|' || r), pos) <= ceil(n*0.5::double)),
+shares as (select psm, r, case when count(*) over w = 1 then 1 when sum(p) over w > 0 then p/sum(p) over w else 0 end as p1, case when count(*) over w = 1 then 1 when sum(m) over w > 0 then m/sum(m) over w else 0 end as m1
+  from boot window w as (partition by psm, r))"""
+
+
+@register(
+    "bootstrap_similarity",
+    with_views(f"select psm, round(quantile_cont(s, 0.5), 6) as bootstrap_similarity from (select psm, r, {entropy_score('p1', 'm1')} as s from shares group by psm, r) group by psm", *CHAIN[:3], _BOOT),
+)
 def bootstrap_similarity(spark, sf_dir):
     found = similarity.bootstrap(matched(spark, sf_dir))
     return found.select("psm", F.round("bootstrap_similarity", 6).alias("bootstrap_similarity"))
