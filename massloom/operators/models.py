@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.operators.ranks import first_rows, group_ranks
+from massloom.sources.store import written
 
 FLT_MAX = 3.4028234663852886e38
 #: Padding rows that are made at once.
@@ -35,8 +36,8 @@ def best_energy(scores: DataFrame) -> DataFrame:
 
 def padded(scores: DataFrame, bigger_is_better: bool = True) -> DataFrame:
     """model, i, score: each model's scores ascending, filled up to the longest one with the worst value first or last."""
-    ranked = group_ranks(scores.select("model", "score"), ("model",), ("score",), "i", "n")
-    sizes = ranked.groupBy("model").agg(F.max("n").alias("n"))
+    ranked = written(group_ranks(scores.select("model", "score"), ("model",), ("score",), "i", "n"), "ranked")
+    sizes = written(ranked.groupBy("model").agg(F.max("n").alias("n")), "sizes")  # one row per model
     longest = sizes.agg(F.max("n").alias("longest"))
     short = sizes.join(F.broadcast(longest), F.lit(True), "cross")  # one row on the right
     gap = F.col("longest") - F.col("n")
@@ -44,7 +45,7 @@ def padded(scores: DataFrame, bigger_is_better: bool = True) -> DataFrame:
     blocks = short.filter(gap > 0).select("model", first.alias("first"), gap.alias("gap"), F.explode(F.sequence(F.lit(0), F.floor((gap - 1) / BLOCK))).alias("block"))
     places = F.sequence(F.col("block") * BLOCK + 1, F.least(F.col("gap"), (F.col("block") + 1) * BLOCK))
     fill = blocks.select("model", "first", F.explode(places).alias("k")).select("model", (F.col("first") + F.col("k")).alias("i"), F.lit(-FLT_MAX if bigger_is_better else FLT_MAX).alias("score"))
-    moved = ranked.join(F.broadcast(short.select("model", gap.alias("gap"))), "model")  # one row per model
+    moved = ranked.join(short.select("model", gap.alias("gap")), "model")
     place = F.col("i") + (F.col("gap") if bigger_is_better else F.lit(0))
     return moved.select("model", place.alias("i"), "score").unionByName(fill.select("model", "i", "score"))
 
