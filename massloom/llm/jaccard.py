@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massloom.llm.common import bit_table, by_class, marked, text_or_empty, written
+from massloom.llm.common import bit_table, marked, text_or_empty, written
 from massloom.llm.components import components
 
 #: Common shingles that tasks know the counts of, shingles that a task counts at once, and rounds before all pairs are compared.
@@ -63,8 +63,8 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 def common(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts hold, sorted, and their counts over all documents.
 
-    Each task counts the sets of all its texts, some millions of shingles at a time, and tells those that it saw three
-    times or more; the counts only order the shingles, and any order gives the same pairs. At most COMMON come back.
+    Each task counts the sets of all its texts, some millions of shingles at a time, and tells those that it saw
+    twice or more; the counts only order the shingles, and any order gives the same pairs. At most COMMON come back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def common(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.n
 
         def counted() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n > 2
+            often = n > 1
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["s", "n"])
 
         for batch in batches:
@@ -147,14 +147,14 @@ def verifier(docs: DataFrame, rows: DataFrame, text_col: str, width: int, num: i
         return pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(hashes(t.as_py(), width)) for t in batch.column(1)])], ["said", "s"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("c")).unionAll(pairs.select(F.col("b").alias("c"))).distinct()
-        wanted = written(rows.select("c", "said").join(asked, "c", "left_semi"), "near-asked")
+        named = lambda c, to: rows.select(F.col("c").alias(c), F.col("said").alias(to))
+        asked = written(pairs.join(named("a", "of_a"), "a").join(named("b", "of_b"), "b"), "near-asked")
+        wanted = asked.select(F.col("of_a").alias("said")).unionAll(asked.select(F.col("of_b").alias("said")))
         hashed = F.xxhash64("said")
         told = docs.select(_said(text_col).alias("said"), text_or_empty(text_col).alias("text"))
         told = marked(told, hashed, bit_table(wanted, hashed, FILTER_WORDS), FILTER_WORDS).filter("__maybe").select("said", "text")
-        sets = _mapped(told, "said binary, s array<long>", sets_of).dropDuplicates(["said"]).join(wanted, "said")
-        sets = written(sets.select("c", "s"), "near-sets")
-        held = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
+        sets = written(_mapped(told, "said binary, s array<long>", sets_of), "near-sets").dropDuplicates(["said"])
+        held = asked.join(sets.select(F.col("said").alias("of_a"), F.col("s").alias("x")), "of_a").join(sets.select(F.col("said").alias("of_b"), F.col("s").alias("y")), "of_b")
         both = F.size(F.array_intersect("x", "y"))
         return held.filter(both * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b")
 
@@ -168,32 +168,47 @@ def _can_reach(num: int, den: int) -> Column:
     return longest & (behind * (num + den) >= (F.col("n") + F.col("m")) * num)
 
 
-def _rooted(keys: DataFrame, found: DataFrame) -> DataFrame:
-    """keys with ``root``, the component of their set over the links found, less the keys whose sets are all of one."""
-    roots = written(components(found).select(F.col("node").alias("c"), F.col("root").alias("now")), "near-roots")
-    rest = written(keys.join(roots, "c", "left").select("key", "c", "n", "i", F.coalesce("now", "c").alias("root")), "near-keys")
-    mixed = written(rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).filter("lo <> hi").select("key", "many"), "mixed-keys")
-    return by_class(rest, mixed, "key", "many")
-
+def _shared(keys: DataFrame, num: int, den: int) -> DataFrame:
+    """The keys of two sets or more, without those of two sets that cannot reach the similarity: most chance meetings end here."""
+    held = F.struct("c", F.col("n").cast("long").alias("n"), F.col("i").cast("long").alias("i"))
+    found = keys.groupBy("key").agg(F.count("*").alias("many"), F.min(held).alias("lo"), F.max(held).alias("hi")).filter("many > 1")
+    ends = found.select("key", "many", "lo.n", "lo.i", F.col("hi.n").alias("m"), F.col("hi.i").alias("j"))
+    return ends.filter((F.col("many") > 2) | _can_reach(num, den)).select("key")
 
-def links(keys: DataFrame, verify: Verify, found: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
-    """Pairs (a, b) of sets at num / den or more that, with the links found before, form the same components as all such pairs.
 
-    keys: ``key``, ``c``, ``n``, ``i`` (prefix shingle, set, its size, the shingle's place in it). In each of the first
-    rounds a set is compared with one other only, the smallest under any of its keys, and a key whose sets are all of one
-    component is done: groups of copies fall together in a number of comparisons linear in their sets. Of the keys that
-    are left, all pairs of different components are compared that can reach the similarity.
+def _mixed(left: DataFrame, found: DataFrame, compared: DataFrame) -> DataFrame:
+    """left with ``root``, the component of each set over the links found, less the keys whose sets are all of one or are two that were compared."""
+    roots = written(components(found).select(F.col("node").alias("c"), F.col("root").alias("now")), "near-roots")
+    rest = written(left.join(roots, "c", "left").select("key", "c", "n", "i", F.coalesce("now", "c").alias("root")), "near-rooted")
+    held = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many"), F.min("c").alias("a"), F.max("c").alias("b"))
+    mixed = held.filter("lo <> hi")
+    two = mixed.filter("many = 2").join(compared, ["a", "b"], "left_anti")
+    mixed = mixed.filter("many > 2").select("key").unionAll(two.select("key"))
+    return written(rest.join(mixed, "key"), "near-left")
+
+
+def links(keys: DataFrame, verify: Verify, near: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
+    """Pairs (a, b) of sets at num / den or more that form the same components as all such pairs.
+
+    keys: ``key``, ``c``, ``n``, ``i`` (prefix shingle, set, its size, the shingle's place in it); near: pairs to compare
+    in the first round. In each of the first rounds a set is compared with one other only: of the sets under its keys,
+    one that has the fewest rarer shingles, which in a group of edited copies is the text that they were made of. A key
+    whose sets are then all of one component is done, so groups of copies fall together in a number of comparisons
+    linear in their sets. Of the keys that are left, all pairs of different components are compared that can reach the
+    similarity.
     """
-    for _ in range(rounds):
-        left = written(_rooted(keys, found).select("key", "c", "n", "i", "root"), "near-left")
-        first = written(left.groupBy("key").agg(F.min(F.struct("c", "n", "i", "root")).alias("f"), F.count("*").alias("many")), "near-first")
-        pairs = by_class(left, first, "key", "many").withColumns({"m": F.col("f.n"), "j": F.col("f.i")})
-        pairs = pairs.filter((F.col("root") != F.col("f.root")) & _can_reach(num, den))
-        pairs = written(pairs.groupBy(F.col("c").alias("b")).agg(F.min("f.c").alias("a")), "near-pairs")
-        if pairs.isEmpty():
-            break
+    left, found = keys, near.limit(0)
+    for k in range(max(1, rounds)):
+        pairs = near.limit(0) if k else near
+        if rounds:
+            left = left if k else left.withColumn("root", F.col("c"))
+            first = left.groupBy("key").agg(F.min(F.struct("i", F.xxhash64("c", F.lit(k)).alias("turn"), "c", "n", "root")).alias("f"))
+            met = left.join(first, "key").withColumns({"m": F.col("f.n"), "j": F.col("f.i")}).filter((F.col("root") != F.col("f.root")) & _can_reach(num, den))
+            met = met.groupBy("c").agg(F.min(F.struct("f.i", "f.turn", "f.c")).alias("f"))
+            pairs = pairs.unionAll(met.select(F.least("c", "f.c").alias("a"), F.greatest("c", "f.c").alias("b")))
+        pairs = written(pairs.distinct(), "near-pairs")
         found = written(found.unionAll(verify(pairs)), "near-links")
-    left = written(_rooted(keys, found).select("key", "c", "n", "i", "root"), "near-left")
+        left = _mixed(left.select("key", "c", "n", "i"), found, pairs)
     one = left.select("key", F.col("c").alias("a"), "n", "i", F.col("root").alias("r"))
     two = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("q"))
     pairs = one.join(two, "key").filter("a < b and r <> q").filter(_can_reach(num, den)).select("a", "b").distinct()
@@ -203,13 +218,13 @@ def links(keys: DataFrame, verify: Verify, found: DataFrame, num: int, den: int,
 def linked(docs: DataFrame, rows: DataFrame, near: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
     """The id of every row of ``shingled`` and ``component_id``, the smallest id of its component; near: pairs (a, b) to be compared first."""
     keys = rows.select("c", "n", F.posexplode("keys").alias("i", "key"))
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "shared-keys")
+    shared = written(_shared(keys, num, den), "shared-keys")
     hashed = F.col("key")
     maybe = marked(keys, hashed, bit_table(shared, hashed, FILTER_WORDS), FILTER_WORDS).filter("__maybe").select("key", "c", "n", "i")
-    keys = written(by_class(maybe, shared, "key", "many").select("key", "c", "n", "i"), "near-keys")
+    keys = written(maybe.join(shared, "key"), "near-keys")
 
     verify = verifier(docs, rows, text_col, width, num, den)
-    roots = components(links(keys, verify, written(verify(near), "near-links"), num, den)).withColumnRenamed("node", "c")
+    roots = components(links(keys, verify, near, num, den)).withColumnRenamed("node", "c")
     void = F.struct(F.col("id").isNull().alias("void"), "id")
     least = rows.select("c", "id").join(roots, "c")
     known = least.join(least.groupBy("root").agg(F.min(void).alias("first")), "root").select("c", "first")

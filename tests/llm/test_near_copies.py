@@ -41,7 +41,7 @@ def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-@pytest.mark.parametrize("rounds", [1, 0])
+@pytest.mark.parametrize("rounds", [1, 2, 0])
 def test_near_dedup_equals_brute_force(spark, sf, monkeypatch, rounds):
     """Copies with 1 to 6 words changed, most over 4 bits of a fingerprint apart; a crowd of copies of one text; texts that share a passage only."""
     monkeypatch.setattr(jaccard.links, "__defaults__", (rounds,))
