@@ -21,7 +21,6 @@ MAGIC = b"RPTOK2\n"
 SHARD_IDS = 4 << 20
 #: A pair makes a rule if it occurs so often, or in one of so many symbols: a rule takes 12 bytes, and each use saves a symbol.
 LEAST, SHARE = 24, 20_000
-_BUCKETS = 1 << 20
 
 
 def _starts(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -36,22 +35,10 @@ def _starts(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _frequent(symbols: np.ndarray, last: np.ndarray, least: int, exact: bool) -> np.ndarray:
-    """Packed neighbouring pairs that can be replaced ``least`` times or more, most frequent first.
-
-    Pairs are hashed to buckets, and the count is that of the pair that a bucket holds; of pairs that share a bucket,
-    the others wait for a later round. ``exact`` counts every pair.
-    """
-    ok = _starts(symbols, last)
-    left, right = symbols[:-1][ok], symbols[1:][ok]
-    key = left.astype(np.uint64) << np.uint64(32) | right
-    if exact:
-        pairs, counts = np.unique(key, return_counts=True)
-    else:
-        at = ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(12)).astype(np.intp)
-        pairs = np.zeros(_BUCKETS, np.uint64)
-        pairs[at] = key
-        counts = np.bincount(at[pairs[at] == key], minlength=_BUCKETS)
+def _frequent(symbols: np.ndarray, ok: np.ndarray, least: int) -> np.ndarray:
+    """Packed neighbouring pairs that can be replaced ``least`` times or more, most frequent first."""
+    key = symbols[:-1][ok].astype(np.uint64) << np.uint64(32) | symbols[1:][ok]
+    pairs, counts = np.unique(key, return_counts=True)
     often = np.flatnonzero(counts >= least)
     return pairs[often[np.lexsort((pairs[often], -counts[often]))]]
 
@@ -76,29 +63,24 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, *, least: int =
     """(symbols, rules as rows of two symbols, symbols up to the end of each document).
 
     Rounds go on as long as some pair occurs ``least`` times (and in one of ``share`` symbols); each replaces the
-    frequent pairs that cannot overlap by new nonterminals, from left to right. Pairs do not cross documents. Before the
-    rounds end, all pairs are counted exactly.
+    frequent pairs that cannot overlap by new nonterminals, from left to right. Pairs do not cross documents.
     """
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[ends[ends > 0] - 1] = True
     made: list[tuple[int, int]] = []
     least = max(least, 2, len(symbols) // share)
-    exact = False
     while len(symbols) > 1:
-        chosen = _chosen(_frequent(symbols, last, least, exact))
+        ok = _starts(symbols, last)
+        chosen = _chosen(_frequent(symbols, ok, least))
         if not chosen:
-            if exact:
-                break
-            exact = True
-            continue
-        exact = False
+            break
         first = vocabulary + len(made)
         made += [(p >> 32, p & 0xFFFFFFFF) for p in chosen]
         lefts, rights = np.zeros(first, bool), np.zeros(first, bool)
         lefts[[p >> 32 for p in chosen]] = True
         rights[[p & 0xFFFFFFFF for p in chosen]] = True
-        at = np.flatnonzero(lefts[symbols[:-1]] & rights[symbols[1:]] & _starts(symbols, last))
+        at = np.flatnonzero(lefts[symbols[:-1]] & rights[symbols[1:]] & ok)
         keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         table = np.array(chosen, np.uint64)
         order = np.argsort(table)
