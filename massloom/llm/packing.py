@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from massloom.llm.tokens import ByteBpe, encoder
 
-#: Windows that a task holds open at most before it merges them.
+#: Windows that a task holds open at most before it closes them by cutting; the rule alone keeps some hundreds open.
 MAX_OPEN = 4096
 _FLUSH = 2048
 
@@ -100,7 +100,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, *, id_col: str = "doc_id",
     """Pack every document's token ids into windows of at most ``capacity``.
 
     One row per piece: the id column, ``start`` (ids of the document before it), ``ids`` (binary, little-endian unsigned
-    32-bit), ``doc_tokens`` (with the end id), ``sequence_id`` and ``offset`` (place in the window, gapless from 0).
+    32-bit), ``doc_tokens`` (with the end id), ``sequence_id``, ``offset`` (place in the window, gapless from 0) and
+    ``filled`` (whether the window was closed by cutting, not completed by the rule or by a document of its own).
     Each input partition packs its own stream, so nothing is shuffled; ``sequence_id`` is unique over partitions. A
     document longer than a window is cut into full windows and a rest; rests are placed online by ``SumOfSquares``.
     When a partition ends, or holds ``max_open`` partial windows, pieces of the emptiest windows are cut to fill the
@@ -109,8 +110,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, *, id_col: str = "doc_id",
     Null and empty texts: the end id alone. A null id: kept as null. Repeated rows: packed once each. Empty table: no
     rows. Extra columns are ignored, whatever their names.
     """
-    fields = [docs.schema[id_col].dataType, T.LongType(), T.BinaryType(), T.LongType(), T.LongType(), T.LongType()]
-    names = [id_col, "start", "ids", "doc_tokens", "sequence_id", "offset"]
+    fields = [docs.schema[id_col].dataType, T.LongType(), T.BinaryType(), T.LongType(), T.LongType(), T.LongType(), T.BooleanType()]
+    names = [id_col, "start", "ids", "doc_tokens", "sequence_id", "offset", "filled"]
     schema = T.StructType([T.StructField(n, f) for n, f in zip(names, fields, strict=True)])
     end = int(end_id).to_bytes(4, "little")
 
@@ -119,18 +120,18 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, *, id_col: str = "doc_id",
         first = TaskContext.get().partitionId() << 40
         packing, rows, made, id_type = SumOfSquares(capacity), [], 0, pa.int64()
 
-        def emit(window: list) -> None:
+        def emit(window: list, filled: bool = False) -> None:
             nonlocal made
             at = 0
             for doc, start, size, ids, total in window:
-                rows.append((doc, start, ids, total, first + made, at))
+                rows.append((doc, start, ids, total, first + made, at, filled))
                 at += size
             made += 1
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * 6
+            cols = list(zip(*rows, strict=True)) or [()] * 7
             rows.clear()
-            kinds = [id_type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [id_type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for batch in batches:
@@ -148,14 +149,14 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, *, id_col: str = "doc_id",
                     if packing.n_open >= max_open:
                         *full, rest = _merged(list(packing.drain()), capacity, _cut)
                         for window in full:
-                            emit(window)
+                            emit(window, filled=True)
                         for piece in rest:
                             if (window := packing.place(piece, piece[2])) is not None:
                                 emit(window)
                 if len(rows) >= _FLUSH:
                     yield flush()
         for window in _merged(list(packing.drain()), capacity, _cut):
-            emit(window)
+            emit(window, filled=True)
             if len(rows) >= _FLUSH:
                 yield flush()
         if rows:
