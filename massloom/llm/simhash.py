@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,9 @@ from massloom.llm import jaccard
 from massloom.llm.common import by_class, written
 from massloom.llm.components import components
 
-#: Shingles whose bits are counted at once, and fingerprints under one key above which links go over midpoints.
-BLOCK, DENSE = 65_536, 4096
+#: Shingles whose bits are counted at once, fingerprints under one key above which links go over midpoints, and
+#: fingerprints from which keys of three segments (20 times the keys, 8,192 times fewer chance pairs) cost less than of two.
+BLOCK, DENSE, LONG_KEYS = 65_536, 4096, 1_000_000_000
 
 
 def majority(values: np.ndarray) -> int:
@@ -64,14 +66,25 @@ def _mask(n: int) -> Column:
     return F.lit((1 << n) - 1 if n < 64 else -1).cast("long")
 
 
-def links(prints: DataFrame, *, bits: int = 4, dense: int = DENSE) -> DataFrame:
+def _masks(ring: list[int], i: int, chain: int, bits: int) -> list[int]:
+    """The differences that a chain of ``chain`` segments from segment i may have, within the budget of each of its beginnings."""
+    n, at, found = len(ring) // 2, ring[i], [(0, 0)]
+    for length in range(2, chain + 1):
+        places = [1 << (at + t) for t in range(ring[i + length - 1])]
+        budget = length * bits // n
+        found = [(e + k, m | sum(more)) for e, m in found for k in range(budget - e + 1) for more in combinations(places, k)]
+        at += len(places)
+    return [m for _, m in found]
+
+
+def links(prints: DataFrame, *, bits: int = 4, dense: int = DENSE, chain: int | None = None) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints, linked at ``bits`` or fewer differing bits.
 
     prints: distinct ``fp``. The 64 bits form a ring of bits + 1 segments. By the pigeonring principle two linked
     fingerprints have a first segment from which every chain of l segments differs in at most l * bits / (bits + 1)
     bits. The first segment is thus equal and the chain of two differs in at most one bit: that is an equality join of
-    each fingerprint's two-segment keys with the same keys and their one-bit neighbours. Longer chains prune the pairs,
-    the whole ring is the full Hamming check.
+    each fingerprint's keys of ``chain`` segments with the same keys and all those within the budgets. ``chain`` is two,
+    or three from LONG_KEYS fingerprints on. Longer chains prune the pairs, the whole ring is the full Hamming check.
 
     Under a key with more than ``dense`` fingerprints, pairs are not listed: each fingerprint goes to all numbers within
     bits / 2 (rounded up) of it, and those that meet there, which are within the threshold or are linked over the
@@ -83,17 +96,15 @@ def links(prints: DataFrame, *, bits: int = 4, dense: int = DENSE) -> DataFrame:
     offsets = [sum(widths[:i]) for i in range(len(widths))]
     ring = widths + widths
     n = len(widths)
-    chain = 2  # its budget, 2 * bits // (bits + 1), is 1
+    chain = chain or (2 if prints.count() < LONG_KEYS else 3)
 
     def key(i: int, fp: Column) -> Column:
         return F.shiftleft(_turned(fp, offsets[i]).bitwiseAND(_mask(sum(ring[i : i + chain]))), 4).bitwiseOR(F.lit(i).cast("long"))
 
-    flips = [[0] + [1 << (ring[i] + t) for t in range(ring[i + 1])] for i in range(n)]
     base = prints.select(F.explode(F.array(*(key(i, F.col("fp")) for i in range(n)))).alias("key"), F.col("fp").alias("b"))
-    probe = prints.select(
-        F.explode(F.array(*(key(i, F.col("fp")).bitwiseXOR(F.lit(m << 4).cast("long")) for i in range(n) for m in flips[i]))).alias("key"),
-        F.col("fp").alias("a"),
-    )
+    flips = [F.array(*(F.lit(m << 4).cast("long") for m in _masks(ring, i, chain, bits))) for i in range(n)]
+    probe = prints.select("fp", F.explode(F.array(*(F.struct(key(i, F.col("fp")).alias("key"), flips[i].alias("flips")) for i in range(n)))).alias("p"))
+    probe = probe.select("fp", "p.key", F.explode("p.flips").alias("flip")).select(F.col("key").bitwiseXOR(F.col("flip")).alias("key"), F.col("fp").alias("a"))
     crowded = written(base.groupBy("key").count().filter(F.col("count") > dense).select("key"), "dense-keys")
     sparse_base = base if crowded.isEmpty() else base.join(crowded, "key", "left_anti")
 

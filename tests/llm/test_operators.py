@@ -65,6 +65,8 @@ def test_packing_is_whole_and_tight(spark, odd):
         assert (g.offset.to_numpy() == np.concatenate(([0], lengths.cumsum()[:-1]))).all()
         sizes.append(lengths.sum())
     assert max(sizes) <= 256 and sum(256 - s for s in sizes) <= 3 * 256
+    assert got.groupby("sequence_id").filled.nunique().max() == 1 and not got.filled.all()
+    assert packing.pack(table(spark, odd).limit(0), BYTE, RANKS).count() == 0
 
 
 def test_sum_of_squares_places_by_its_rule():
@@ -119,8 +121,8 @@ def brute_components(prints, bits):
     return {p: find(p) for p in prints}
 
 
-@pytest.mark.parametrize(("bits", "dense"), [(4, 4096), (4, 3), (3, 2), (2, 2)])
-def test_simhash_links(spark, bits, dense):
+@pytest.mark.parametrize(("bits", "dense", "chain"), [(4, 4096, None), (4, 4096, 3), (4, 3, 3), (3, 2, None), (2, 2, 3)])
+def test_simhash_links(spark, bits, dense, chain):
     rng = random.Random(bits)
     prints = [rng.getrandbits(64) for _ in range(40)]
     for p in prints[:10]:
@@ -130,7 +132,7 @@ def test_simhash_links(spark, bits, dense):
                 q ^= 1 << b
             prints.append(q)
     prints = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
-    pairs = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), bits=bits, dense=dense)
+    pairs = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), bits=bits, dense=dense, chain=chain)
     got = {r["node"]: r["root"] for r in components.components(pairs).collect()}
     want = brute_components([p & ((1 << 64) - 1) for p in prints], bits)
     groups = defaultdict(set)
@@ -227,12 +229,28 @@ def test_licenses(spark):
                     found.append((label, s, share))
         want.append((i, len(words), sorted(found)))
     assert sorted((r["doc_id"], r["n_words"], sorted((m["label"], m["start"], m["containment"]) for m in r["matches"])) for r in got) == sorted(want)
+    assert licenses.scan(table(spark, rows).limit(0)).count() == 0
+
+
+def test_license_texts_are_found_in_long_documents(spark):
+    """Whole texts with some words changed, among other words; half a text is not enough."""
+    rng = random.Random(8)
+    rows = []
+    for k, label in enumerate(("mit-text", "bsd-3-clause", "zlib", "unlicense")):
+        words = licenses.NOTICES[label].split()
+        for at in rng.sample(range(len(words)), len(words) // 20):
+            words[at] = f"other{at}"
+        rows += [(2 * k, prose(rng, 500) + " " + " ".join(words) + " " + prose(rng, 500)), (2 * k + 1, prose(rng, 300) + " " + " ".join(words[: len(words) // 2]))]
+    got = {r["doc_id"]: {m["label"] for m in r["matches"]} for r in licenses.scan(table(spark, rows)).collect()}
+    for k, label in enumerate(("mit-text", "bsd-3-clause", "zlib", "unlicense")):
+        assert label in got[2 * k] and label not in got[2 * k + 1]
 
 
 def test_warc_and_index(spark):
     big = "<p>" + "x" * 2000
     rows = [(1, "http://www.Example.com/a?b=1", big), (2, "https://m.example.com:8080/z", big), (3, None, None), (None, "http://[bad", big), (4, "http://e.com/\r\nX", "short"), (5, "http://e.com/", "short"), (6, "http://www.example.com/a?b=1", "é\r\n\r\nWARC/1.1\r\n" * 500), (2, "https://m.example.com:8080/z", big)]
-    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, file string, offset long")
+    clash = "file string, offset long, key string, id string, row long, digest string, first long, n long, at long"
+    pages = spark.createDataFrame([(*r, "x", 1, "k", "i", 7, "d", 1, 1, 1) for r in rows], f"page_id long, url string, html string, {clash}")
     index = warc.archive(spark, pages)
     index = warc.CaptureIndex.build(index.entries(), index.folder, lines=2)
     assert index.directory.count() >= 4
@@ -341,6 +359,31 @@ def test_quality_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_quality_fit_is_the_optimum_of_its_problem():
+    """The hinge-loss objective at the fitted weights is that of a plain projected gradient ascent on the dual."""
+    rng = np.random.default_rng(3)
+    good = rng.random(60) < 0.4
+    rows = [np.unique(np.concatenate((rng.integers(0, 40, 6), rng.integers(40 + 20 * g, 80 + 20 * g, 6)))).astype(np.int32) for g in good]
+    p, q = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for ids, g in zip(rows, good, strict=True):
+        (p if g else q)[ids] += 1
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    x = np.zeros((60, 121))
+    for i, ids in enumerate(rows):
+        x[i, ids] = ratio[ids] / np.linalg.norm(ratio[ids])
+    x[:, 120] = 1
+    y, cost = np.where(good, 1.0, -1.0), 4.0 * 60 / 2 / np.where(good, good.sum(), (~good).sum())
+    objective = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    kernel = (x @ x.T) * np.outer(y, y)
+    dual, step = np.zeros(60), 1 / np.linalg.eigvalsh(kernel)[-1]
+    for _ in range(60_000):
+        dual = np.clip(dual + step * (1 - kernel @ dual), 0, cost)
+    model = quality.fit(rows, good, epochs=5000)
+    weight = np.append(np.divide(model.product, ratio, out=np.zeros_like(ratio), where=ratio != 0)[:120], model.bias)
+    best = objective(x.T @ (dual * y))
+    assert best - 1e-6 <= objective(weight) <= best * 1.01
+
+
 def test_quality_without_labels(spark, odd):
     docs = table(spark, odd)
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -368,6 +411,10 @@ def test_substrings(spark, odd, filter_words, hash_bits):
     assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept"]) for r in got) == sorted(want)
 
 
+def test_substrings_of_no_documents(spark, odd):
+    assert substrings.remove_repeats(table(spark, odd).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
 def test_contamination(spark, odd, broadcast_bytes):
     rng = random.Random(9)
