@@ -113,15 +113,18 @@ def model_text(base: Column, target: Target, table: Iterable[tuple[str, int, flo
     the target takes, the smallest of several; a mass without one is dropped. ``c_terminal`` says that a bracket at the
     end belongs to the c-terminus. table: residue, id, mass; a parameter table.
     """
-    known, tokens = _mod_map(table, target.allowed), _tokens(base)
-    ended = F.lit(False) if c_terminal is None else c_terminal
+    known = _mod_map(table, target.allowed)
+    pieces = F.regexp_extract_all(base, F.lit(r"(^\[[^\]]*\]|[A-Za-z](?:\[[^\]]*\])?)"), 1)  # a bracket at the start, or a letter with its own
+    ended = F.lit(False) if c_terminal is None else c_terminal & (F.length(base) > 0)
+    tail = F.lit(-1) if c_terminal is None else F.size(pieces) - 1
     left, right = ("(", ")") if target.round_brackets else ("[", "]")
+    bare_c = f"C{left}{target.name}:4{right}"
 
-    def shown(token: Column, i: Column) -> Column:
-        before = _letters_before(tokens, i)
-        first, last = F.size(before) == 0, ended & (i == F.size(tokens) - 1)
-        residue = F.when(first | last, F.lit("[")).otherwise(F.element_at(before, -1))
-        mass = _inside(token).try_cast("double")
+    def shown(piece: Column, i: Column) -> Column:
+        first, last = _bracket(piece), ended & (i == tail)
+        letter = F.when(first, F.lit("")).otherwise(F.substring(piece, 1, 1))
+        residue = F.when(first | last, F.lit("[")).otherwise(letter)
+        mass = F.regexp_extract(piece, r"\[([^\]]*)", 1).try_cast("double")
         near = F.filter(F.coalesce(F.try_element_at(known, residue), F.element_at(known, F.lit(""))), lambda m: F.abs(m["mass"] - mass) < tolerance)
         ident = F.array_min(F.transform(near, lambda m: m["id"]))
         text = F.concat(F.lit(f"{left}{target.name}:"), ident.cast("string"), F.lit(right))
@@ -130,13 +133,11 @@ def model_text(base: Column, target: Target, table: Iterable[tuple[str, int, flo
         if target.label:
             text = F.when((ident == target.label) & (residue == "S"), F.lit("")).otherwise(text)
         text = F.when(first, F.concat(F.lit(target.before_n), text, F.lit(target.after_n))).when(last, F.concat(F.lit(target.before_c), text)).otherwise(text)
-        bare = token
-        if target.bare_c:
-            named = F.coalesce(_bracket(F.try_element_at(tokens, i + 2)), F.lit(False))
-            bare = F.when((token == "C") & ~named, F.concat(token, F.lit(f"{left}{target.name}:4{right}"))).otherwise(token)
-        return F.when(_bracket(token), F.coalesce(text, F.lit(""))).otherwise(bare)
+        dropped = F.when(letter == "C", F.lit(bare_c)).otherwise(letter) if target.bare_c else letter
+        alone = F.when(piece == "C", F.lit(bare_c)).otherwise(piece) if target.bare_c else piece
+        return F.when(F.length(piece) == 1, alone).otherwise(F.coalesce(F.concat(letter, text), dropped))
 
-    text = F.array_join(F.transform(tokens, shown), "")
+    text = F.array_join(F.transform(pieces, shown), "")
     if target.label:
         text = F.when(text.startswith(left), text).otherwise(F.concat(F.lit(f"{left}{target.name}:{target.label}{right}{target.after_n}"), text))
     return text
