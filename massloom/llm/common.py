@@ -6,6 +6,7 @@ import re
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,21 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a text whose words are lists at once.
+TEXT_BLOCK = 1 << 20
+_blank = re.compile(rb"[\x20\x09-\x0d]").search
+
+
+def word_lists(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text between ASCII white space, in order, as lists of a bounded part of it each."""
+    at = 0
+    while at < len(raw):
+        cut = _blank(raw, at + TEXT_BLOCK)
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
 def filesystem(uri: str):
     """pyarrow's file system and path of a URI; a path without a scheme is local."""
     from pyarrow import fs

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massloom.llm.common import bit_table, marked, text_or_empty, written
+from massloom.llm.common import bit_table, marked, text_or_empty, word_lists, written
 from massloom.llm.components import components
 
 #: Common shingles that tasks know the counts of, shingles that a task counts at once, and rounds before all pairs are compared.
-COMMON, BLOCK, ROUNDS = 200_000, 1 << 21, 1
+COMMON, BLOCK, ROUNDS = 200_000, 1 << 20, 1
 FILTER_WORDS = 1 << 17
 SEED = 42
 
@@ -27,12 +27,17 @@ def hashes(text: str, width: int) -> np.ndarray:
     """
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words) - width + 1
-    if n <= 1:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
-    said = zip(*(words[k:] for k in range(width)), strict=False)
-    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in said), np.uint64, n)
+    found, words = [], []
+    for part in word_lists(text.encode("utf-8", "surrogatepass").lower()):
+        words += part
+        n = len(words) - width + 1
+        if n > 0:
+            said = zip(*(words[k:] for k in range(width)), strict=False)
+            found.append(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in said), np.uint64, n))
+            words = words[n:]
+    if found:
+        return found[0] if len(found) == 1 else np.concatenate(found)
+    return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
 
 
 def shingles(values: np.ndarray) -> np.ndarray:

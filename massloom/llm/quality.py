@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from massloom.llm.common import word_lists
+
 #: Labelled rows that a fit reads at most (those with the smallest hashes of their ids), and hashed features.
 MOST_ROWS, BUCKETS = 10_000, 1 << 18
 #: Bytes hashed at once.
@@ -34,8 +36,11 @@ def features(text: str) -> np.ndarray:
     sizes = np.minimum(np.diff(np.concatenate(([-1], ends, [len(raw)]))) - 1, 60).astype(np.uint32)
     if len(sizes) > 1:
         seen.append(np.unique(sizes[:-1] * np.uint32(64) + sizes[1:] + np.uint32(3 << 24)))
-    words = raw.tobytes().split()
-    again = bytes(a == b for a, b in zip(words, words[1:], strict=False))
+    again, last = bytearray(), []
+    for words in word_lists(raw.tobytes()):
+        words = last + words
+        again += bytes(a == b for a, b in zip(words, words[1:], strict=False))
+        last = words[-1:]
     seen.append(np.array([(3 << 25) + k for k in range(1, 5) if b"\1" * k in again], np.uint32))
     if not len(raw):
         return np.empty(0, np.int32)

@@ -17,6 +17,8 @@ PLAIN = "\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-žА-я€‐-‧‰-⁕"
 _plain = re.compile(f"[{PLAIN}]*").fullmatch
 _uneven = re.compile(r"[\t\r]|[ \n][ \n]").search
 CACHE, LONGEST = 600_000, 48  #: entries of a worker's cache, and characters of its longest key
+BYTE_CACHE = 250_000  #: entries for byte-level chunks, which stand beside other stages' workers in a pipeline
+TEXT_BLOCK = 1 << 20  #: characters of a text whose chunks are a list at once
 
 
 def packed(ids) -> bytes:
@@ -44,14 +46,14 @@ def _added(tokenizer):
 
 
 class _Chunks(dict):
-    """chunk -> packed ids, filled on demand up to CACHE entries."""
+    """chunk -> packed ids, filled on demand up to ``most`` entries."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, most: int = CACHE):
+        self.encode, self.most = encode, most
 
     def __missing__(self, chunk: str) -> bytes:
         found = self.encode(chunk)
-        if len(chunk) <= LONGEST and len(self) < CACHE:
+        if len(chunk) <= LONGEST and len(self) < self.most:
             self[chunk] = found
         return found
 
@@ -68,7 +70,7 @@ class ByteBpe:
         self.plain = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.whole = _load(path)
         self.added = _added(self.whole)
-        self.chunks = _Chunks(lambda c: packed(self.plain(c if c[:1] == "\n" else f" {c}")))
+        self.chunks = _Chunks(lambda c: packed(self.plain(c if c[:1] == "\n" else f" {c}")), BYTE_CACHE)
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -77,8 +79,16 @@ class ByteBpe:
             return packed(self.whole.encode(text, add_special_tokens=False).ids)
         if _uneven(text):
             return packed(self.plain(text))
-        first, *rest = text.replace("\n", " \n").split(" ")  # each later chunk follows a blank or starts with its line feed
-        return packed(self.plain(first)) + b"".join(map(self.chunks.__getitem__, rest))
+        text = text.replace("\n", " \n")  # each chunk but the first follows a blank or starts with its line feed
+        at = text.find(" ")
+        if at < 0:
+            return packed(self.plain(text))
+        parts = [packed(self.plain(text[:at]))]
+        while at >= 0:
+            end = text.find(" ", at + TEXT_BLOCK)
+            parts.append(b"".join(map(self.chunks.__getitem__, (text[at + 1 : end] if end >= 0 else text[at + 1 :]).split(" "))))
+            at = end
+        return b"".join(parts)
 
 
 def _bytes_of() -> dict[str, int]:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from massloom.llm import chat, common, components, decontaminate, exact_dedup, licenses, packing, quality, queries, simhash, substrings, token_files, tokens, warc
+from massloom.llm import chat, common, components, decontaminate, exact_dedup, jaccard, licenses, packing, quality, queries, simhash, substrings, token_files, tokens, warc
 
 BYTE, RANKS, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, maybe string, word string, key string, id string, row long"
@@ -47,6 +47,20 @@ def test_tokens_equal_the_tokenizers(odd):
         assert (list(map(kind, texts)) if kind else word.batch(texts)) == want
 
 
+def test_long_texts_in_blocks(monkeypatch):
+    """Blocks of a few characters give the same ids, words, shingles and features as whole texts."""
+    rng = random.Random(11)
+    texts = [prose(rng, n) for n in (0, 1, 3, 40, 400)] + ["x" * 50 + " y " + "z" * 60, " lead", "a\n b c", "w w w w w w " * 30, "   ", "a  b"]
+    byte = tokens.ByteBpe(BYTE, RANKS)
+    whole = [(byte(t), jaccard.hashes(t, 5).tolist(), quality.features(t).tolist()) for t in texts]
+    monkeypatch.setattr(common, "TEXT_BLOCK", 7)
+    monkeypatch.setattr(tokens, "TEXT_BLOCK", 7)
+    assert [(byte(t), jaccard.hashes(t, 5).tolist(), quality.features(t).tolist()) for t in texts] == whole
+    assert [w for part in common.word_lists(texts[4].encode()) for w in part] == texts[4].encode().split()
+    slow = Tokenizer.from_file(BYTE)
+    assert [w[0] for w in whole] == [tokens.packed(slow.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_packing_is_whole_and_tight(spark, odd):
     got = packing.pack(table(spark, odd).repartition(3), BYTE, RANKS, capacity=256).toPandas()
     slow = Tokenizer.from_file(BYTE)
