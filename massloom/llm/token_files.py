@@ -36,7 +36,7 @@ def _starts(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _frequent(symbols: np.ndarray, ok: np.ndarray, least: int) -> np.ndarray:
-    """Packed neighbouring pairs that can be replaced ``least`` times or more, most frequent first."""
+    """Packed neighbouring pairs at the places given that can be replaced ``least`` times or more, most frequent first."""
     key = symbols[:-1][ok].astype(np.uint64) << np.uint64(32) | symbols[1:][ok]
     pairs, counts = np.unique(key, return_counts=True)
     often = np.flatnonzero(counts >= least)
@@ -63,19 +63,32 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, *, least: int =
     """(symbols, rules as rows of two symbols, symbols up to the end of each document).
 
     Rounds go on as long as some pair occurs ``least`` times (and in one of ``share`` symbols); each replaces the
-    frequent pairs that cannot overlap by new nonterminals, from left to right. Pairs do not cross documents.
+    frequent pairs that cannot overlap by new nonterminals, from left to right. Pairs do not cross documents. The counts
+    of old pairs only fall, so a round counts those with a symbol of the round before and those left over from it.
     """
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[ends[ends > 0] - 1] = True
     made: list[tuple[int, int]] = []
     least = max(least, 2, len(symbols) // share)
+    fresh, left_over = 0, np.empty(0, np.uint64)
     while len(symbols) > 1:
         ok = _starts(symbols, last)
-        chosen = _chosen(_frequent(symbols, ok, least))
+        asked = ok
+        if fresh:
+            young = symbols >= fresh
+            asked = young[:-1] | young[1:]
+            if len(left_over):
+                lefts, rights = np.zeros(vocabulary + len(made), bool), np.zeros(vocabulary + len(made), bool)
+                lefts[left_over >> np.uint64(32)], rights[left_over & np.uint64(0xFFFFFFFF)] = True, True
+                asked |= lefts[symbols[:-1]] & rights[symbols[1:]]
+            asked &= ok
+        pairs = _frequent(symbols, asked, least)
+        chosen = _chosen(pairs)
         if not chosen:
             break
-        first = vocabulary + len(made)
+        first = fresh = vocabulary + len(made)
+        left_over = pairs[~np.isin(pairs, np.array(chosen, np.uint64))]
         made += [(p >> 32, p & 0xFFFFFFFF) for p in chosen]
         lefts, rights = np.zeros(first, bool), np.zeros(first, bool)
         lefts[[p >> 32 for p in chosen]] = True
