@@ -96,7 +96,7 @@ def links(prints: DataFrame, *, bits: int = 4, dense: int = DENSE, chain: int |
     offsets = [sum(widths[:i]) for i in range(len(widths))]
     ring = widths + widths
     n = len(widths)
-    chain = chain or (2 if prints.count() < LONG_KEYS else 3)
+    chain = chain or (2 if prints.count() < LONG_KEYS else min(3, bits))
 
     def key(i: int, fp: Column) -> Column:
         return F.shiftleft(_turned(fp, offsets[i]).bitwiseAND(_mask(sum(ring[i : i + chain]))), 4).bitwiseOR(F.lit(i).cast("long"))
