@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from massloom.llm.common import bit_table, marked, text_or_empty, word_lists, written
 from massloom.llm.components import components
+from massloom.llm.tokens import let_go
 
 #: Common shingles that tasks know the counts of, shingles that a task counts at once, and rounds before all pairs are compared.
 COMMON, BLOCK, ROUNDS = 200_000, 1 << 20, 1
@@ -49,6 +50,7 @@ def _mapped(rows: DataFrame, schema: str | T.StructType, rows_of: Callable) -> D
     """rows_of each part of a batch and the number of its first row; numbers are unique over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -73,6 +75,7 @@ def common(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.n
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held, size = [], 0
 
         def counted() -> pa.RecordBatch:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massloom.llm.tokens import ByteBpe, encoder
+from massloom.llm.tokens import ByteBpe, encoder, let_go
 
 #: Windows that a task holds open at most before it closes them by cutting; the rule alone keeps some hundreds open.
 MAX_OPEN = 4096
@@ -116,6 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, *, id_col: str = "doc_id",
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(encoders=False)
         encode = encoder(ByteBpe, tokenizer, ranks)
         first = TaskContext.get().partitionId() << 40
         packing, rows, made, id_type = SumOfSquares(capacity), [], 0, pa.int64()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massloom.llm.common import word_lists
+from massloom.llm.tokens import let_go
 
 #: Labelled rows that a fit reads at most (those with the smallest hashes of their ids), and hashed features.
 MOST_ROWS, BUCKETS = 10_000, 1 << 18
@@ -151,6 +152,7 @@ def scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             found = [held.value.score(features(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], [id_col, "score"])
@@ -164,6 +166,7 @@ def keep(docs: DataFrame, model: Model, least: float, *, text_col: str = "text")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             mask = [held.value.score(features(t.as_py() or "")) >= least for t in batch.column(at)]
             yield batch.filter(pa.array(mask, pa.bool_()))

@@ -17,7 +17,7 @@ PLAIN = "\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-žА-я€‐-‧‰-⁕"
 _plain = re.compile(f"[{PLAIN}]*").fullmatch
 _uneven = re.compile(r"[\t\r]|[ \n][ \n]").search
 CACHE, LONGEST = 600_000, 48  #: entries of a worker's cache, and characters of its longest key
-BYTE_CACHE = 250_000  #: entries for byte-level chunks, which stand beside other stages' workers in a pipeline
+BYTE_CACHE = 150_000  #: entries for byte-level chunks, which stand beside other stages' workers in a pipeline
 TEXT_BLOCK = 1 << 20  #: characters of a text whose chunks are a list at once
 
 
@@ -136,6 +136,22 @@ class WordBpe:
 _made: dict[tuple, object] = {}
 
 
+def let_go(encoders: bool = True) -> None:
+    """Give back what a worker process has kept of other tasks: free memory and, for a task that encodes nothing, the encoders."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    if encoders:
+        _made.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)
+
+
 def encoder(kind: type, *args: str):
     """One encoder for each worker process, so that its cache serves all of the worker's tasks."""
     key = (kind.__name__, *args)
