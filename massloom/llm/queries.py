@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm import chat, decontaminate, exact_dedup, licenses, packing, quality, simhash, substrings, token_files, warc
+from massloom.llm import chat, collocations, decontaminate, exact_dedup, licenses, packing, quality, simhash, substrings, token_files, toxicity, variants, warc
 from massloom.llm.common import read
 
 BYTE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -180,3 +180,73 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_token_files": op7_token_files}
+
+
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with recursive crc as (
+  select list(v order by i) as t from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as v from range(256) r(i))),
+runs as (
+  select doc_id, run, count(*) as n from
+  (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as run from documents) group by all),
+hashed as (
+  select run, n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+    lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as h
+  from runs, crc),
+w as (
+  select word, sum(n)::bigint as n from
+  (select case when h % 97 = 0 then run[:(h % length(run))::bigint] || run[(h % length(run))::bigint + 2:] else run end as word, n from hashed)
+  where length(word) >= 5 group by word having sum(n) >= 3),
+cut as (select word, n, length(word) as size, i, word[:i - 1] || word[i + 1:] as less from (select *, unnest(range(1, length(word) + 1)) as i from w)),
+pairs as (
+  select a.word, b.word as other, b.n as m from cut a join cut b on a.less = b.less and a.i = b.i and a.word <> b.word and a.size = b.size
+  union select a.word, b.word, b.n from cut a join w b on a.less = b.word
+  union select b.word, a.word, a.n from cut a join w b on a.less = b.word),
+best as (select word, other, m, row_number() over (partition by word order by m desc, other) as k from pairs),
+forms as (select w.word, w.n, b.other as form, b.m as form_n from w left join best b on b.word = w.word and b.k = 1 and b.m >= 2 * w.n),
+chain as (select word, word as root, form as next from forms union all select c.word, f.word, f.form from chain c join forms f on f.word = c.next)
+select f.word, f.form, c.root, f.n, coalesce(p.n_near, 0) as n_near, f.form_n
+from forms f join chain c on c.word = f.word and c.next is null left join (select word, count(*) as n_near from pairs group by word) p on p.word = f.word"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with pieces as (
+  select row_number() over () as piece, lang, said from (select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as said from documents)),
+words as (select lang, list_filter(string_split_regex(said, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+totals as (select lang, sum(len(ws))::bigint as n from words group by lang),
+grams as (select lang, k, ws[i:i + k - 1] as g from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from words, range(1, 5) r(k) where len(ws) >= k)),
+f as (select lang, k, g, array_to_string(g, ' ') as phrase, count(*) as f from grams group by all having count(*) >= 30),
+cand as (select lang, k, g, phrase, f as a from f where k > 1),
+cuts as (select lang, phrase, a, k, g, unnest(range(1, k)) as c from cand),
+scored as (
+  select cuts.lang, cuts.phrase, a, x.f as l, y.f as r, cast((2000000::hugeint * a) // (x.f + y.f) as bigint) as score, c from cuts
+  join f x on x.lang = cuts.lang and x.phrase = array_to_string(cuts.g[:c], ' ') join f y on y.lang = cuts.lang and y.phrase = array_to_string(cuts.g[c + 1:], ' ')),
+low as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inner_parts as (select lang, array_to_string(g[i:i + m - 1], ' ') as phrase, max(a) as f from
+  (select lang, g, k, a, m, unnest(range(1, k - m + 2)) as i from cand, range(2, 4) r(m) where m < k) group by all),
+kept as (select low.* from low left join inner_parts p using (lang, phrase) where p.f is null or 100 * p.f < 80 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept join totals using (lang) qualify rank <= 2000"""
+
+
+#: A document whose score reaches it is toxic.
+TOXIC = 0.5
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").filter(~quality.held_out()))
+    found = toxicity.scores(docs, model)
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+QUERIES |= {"op11_variants": op11_variants, "op12_collocations": op12_collocations, "op13_toxicity": op13_toxicity}
+ORACLES |= {"op11_variants": OP11_SQL, "op12_collocations": OP12_SQL}
