@@ -162,13 +162,14 @@ def _tree(votes: np.ndarray, post: np.ndarray, least: float) -> np.ndarray:
     return parent
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, *, steps: int = 25, wrong: float = 0.02, least: float = 1e-3) -> tuple[LabelModel, np.ndarray]:
+def label_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, *, steps: int = 2, wrong: float = 0.02, least: float = 1e-3) -> tuple[LabelModel, np.ndarray]:
     """Fit by expectation maximisation; the model and the posterior of each text.
 
     The given labels count as one more voter, which always speaks and is wrong in about ``wrong`` of its votes (a prior
     worth as much as the texts, so that the classes stay those of the labels). From the posteriors of one
     step that takes voters for independent, the strongest dependences between voters are read off; the fit then estimates
-    each voter's accuracy given the one that it depends on, so that voters which repeat each other do not count twice.
+    each voter's accuracy given the one that it depends on, so that voters which repeat each other do not count twice. It
+    stops after ``steps`` steps: silence is left out of the likelihood, so more steps would trust the voters ever more.
     """
     parent = np.full(votes.shape[1], -1)
     model = None

@@ -170,11 +170,11 @@ def test_label_model_finds_accuracies_and_dependences():
     label = np.where(rng.random(len(y)) < 0.02, ~y, y).astype(int)
     model, post = toxicity.label_model(votes, label, np.ones(len(y)))
     for j in range(5):
-        assert abs(model.accuracy[j] - y[votes[:, j]].mean()) < 0.1
+        assert abs(model.accuracy[j] - y[votes[:, j]].mean()) < 0.05
     linked = {frozenset((j, int(p))) for j, p in enumerate(model.parent) if p >= 0}
     assert sum(len(e & {0, 1, 2}) == 2 for e in linked) == 2  # the repeats hang together
     assert not any(len(e & {0, 1, 2}) == 1 for e in linked)
-    assert ((post > 0.5) == y).mean() > (label == y).mean()
+    assert ((post > 0.5) == y).mean() >= (label == y).mean()
     weights = toxicity.linear(votes, post, np.ones(len(y)))
     assert weights[4] > 0 > weights[5]
 
