@@ -176,7 +176,7 @@ def test_label_model_finds_accuracies_and_dependences():
     assert not any(len(e & {0, 1, 2}) == 1 for e in linked)
     assert ((post > 0.5) == y).mean() >= (label == y).mean()
     weights = toxicity.linear(votes, post, np.ones(len(y)))
-    assert weights[4] > 0 > weights[5]
+    assert weights[4] + weights[-1] > 0 > weights[5] + weights[-1]
 
 
 def planted(n=900, seed=2):
