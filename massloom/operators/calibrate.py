@@ -61,15 +61,40 @@ def calibrated(rows: DataFrame, fitted: DataFrame, by: tuple[str, ...], prop: st
 
 
 def pick(matched: DataFrame, *, cap: float = CAP_RT, predicted: str = "pred_rt", key: str = "psm_id") -> DataFrame:
-    """Over all curves that a PSM matches, the smallest delta and its calibrated value; without a curve delta 0."""
-    delta = F.least(F.abs(F.col("calibrated") - F.col(predicted)), F.lit(cap))
-    found = matched.withColumn("delta", delta).groupBy(key).agg(F.min("delta").alias("delta"), F.min_by("calibrated", "delta").alias("calibrated"))
-    return found.withColumn("delta", F.coalesce("delta", F.lit(0.0)))
+    """Over all curves that a PSM matches, the smallest delta below ``cap`` and its calibrated value.
+
+    Where no curve comes below ``cap``, delta is ``cap`` and there is no calibrated value; without any curve delta is 0.
+    """
+    away = F.abs(F.col("calibrated") - F.col(predicted))
+    near = F.when(away < cap, F.struct(away.alias("delta"), F.col("calibrated").alias("calibrated")))  # null without a curve
+    found = matched.groupBy(key).agg(F.min(near).alias("best"), F.count("calibrated").alias("n"))
+    delta = F.when(F.col("n") > 0, F.coalesce("best.delta", F.lit(cap))).otherwise(0.0)
+    return found.select(key, delta.alias("delta"), F.col("best.calibrated").alias("calibrated"))
+
+
+def adaptive_pick(psms: DataFrame, groups: DataFrame, fitted: DataFrame, *, run: str = "run", group: str = "mass_group", others: str = "others", measured: str = "exp_rt", predicted: str = "pred_rt", key: str = "psm_id") -> DataFrame:
+    """key, delta and calibrated of each PSM, over the curves of the mass groups that it matches.
+
+    groups: key and group, a row for each group that a PSM matches (see anchors.mass_groups), perhaps none. A PSM that
+    matches no group with a curve in its run falls back to the curve of ``others``, whatever the delta; in a run
+    without that curve delta is 0. The matched curves are joined on run and group, the rest is an anti join on the key,
+    so each PSM is evaluated on the curves that count for it and no others.
+    """
+    tried = psms.join(groups.select(key, group).distinct(), key)
+    known = fitted.filter("kind <> 'none'").select(run, group, "knots", "coeffs")
+    matched = tried.join(known, [run, group]).withColumn("calibrated", _use("rt", measured))
+    found = pick(matched, predicted=predicted, key=key)
+    rest = psms.join(tried.join(known.select(run, group), [run, group], "left_semi").select(key).distinct(), key, "left_anti")
+    rest = rest.join(known.filter(F.col(group) == others).drop(group), run, "left")
+    fallback = F.when(F.col("knots").isNotNull(), _use("rt", measured))
+    rest = rest.withColumn("calibrated", fallback).select(key, F.coalesce(F.abs(F.col("calibrated") - F.col(predicted)), F.lit(0.0)).alias("delta"), "calibrated")
+    return found.unionByName(rest)
 
 
 def mobility_delta(matched: DataFrame, *, predicted: str = "pred_im", key: str = "psm_id") -> DataFrame:
     """min |f(measured) - predicted| * 1000, at most 500; 500 without a curve."""
-    delta = F.least(F.abs(F.col("calibrated") - F.col(predicted)), F.lit(CAP_IM)) * 1000
+    away = F.abs(F.col("calibrated") - F.col(predicted))
+    delta = F.when(away < CAP_IM, away) * 1000
     return matched.groupBy(key).agg(F.coalesce(F.min(delta), F.lit(CAP_IM * 1000)).alias("delta_im_loess"))
 
 

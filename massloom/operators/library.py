@@ -35,15 +35,30 @@ def ms2_window(fragments: Column, low: Column, high: Column) -> Column:
 
 
 def merge_close(fragments: DataFrame, gap: float = 1e-5, by: str = "psm") -> DataFrame:
-    """Neighbours in m/z closer than ``gap`` become one: the m/z by pairwise means in order, the intensity summed, the rest of the best-ranked ion.
+    """Neighbours closer than ``gap`` become one, from the lowest m/z up: the mean of the two, which the next fragment is then compared with, their summed intensity, and the type of the better-ranked (of equal rank, the earlier) one.
 
-    fragments: by, pos, mz, intensity, ion_type, priority (smaller is better).
+    fragments: by, pos, mz, intensity, ion_type, priority (smaller is better, null is worst; of two nulls the later
+    stays). The fold goes over one sorted array for each precursor, whose fragments are few.
     """
-    order = Window.partitionBy(by).orderBy("mz", "pos")
-    opens = (F.col("mz") - F.lag("mz").over(order) >= gap) | F.lag("mz").over(order).isNull()
-    island = fragments.withColumn("__island", F.sum(opens.cast("int")).over(order))
-    mean = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("mz", "pos"))), lambda s: s["mz"]), F.lit(None).cast("double"), lambda a, m: F.coalesce((a + m) / 2, m))
-    return island.groupBy(by, "__island").agg(mean.alias("mz"), F.sum("intensity").alias("intensity"), F.min_by("ion_type", F.struct("priority", "mz", "pos")).alias("ion_type"), F.count("*").alias("n")).drop("__island")
+    held = F.struct("mz", "pos", "intensity", "ion_type", "priority")
+    rows = fragments.groupBy(by).agg(F.array_sort(F.collect_list(held)).alias("f"))
+    state = "struct<mz:double,intensity:double,ion_type:string,priority:int,n:long>"
+    one = lambda f: F.struct(f["mz"].alias("mz"), f["intensity"].alias("intensity"), f["ion_type"].alias("ion_type"), f["priority"].cast("int").alias("priority"), F.lit(1).cast("long").alias("n")).cast(state)
+
+    def joined(last: Column, f: Column) -> Column:
+        stays = last["priority"].isNotNull() & (f["priority"].isNull() | (last["priority"] <= f["priority"]))
+        return F.struct(
+            ((last["mz"] + f["mz"]) / 2).alias("mz"), (last["intensity"] + f["intensity"]).alias("intensity"), F.when(stays, last["ion_type"]).otherwise(f["ion_type"]).alias("ion_type"),
+            F.when(stays, last["priority"]).otherwise(f["priority"].cast("int")).alias("priority"), (last["n"] + 1).alias("n"),
+        ).cast(state)
+
+    def step(done: Column, f: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        near = F.coalesce(f["mz"] - last["mz"] < gap, F.lit(False))
+        return F.when(near, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined(last, f)))).otherwise(F.concat(done, F.array(one(f))))
+
+    folded = F.aggregate("f", F.array().cast(f"array<{state}>"), step)
+    return rows.select(by, F.explode(folded).alias("f")).select(by, "f.mz", "f.intensity", "f.ion_type", "f.n")
 
 
 def merge_libraries(first: DataFrame, later: DataFrame, properties: list[str], key: str = "precursor") -> DataFrame:

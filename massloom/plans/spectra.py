@@ -207,14 +207,15 @@ def ms2_window_filter(spark, sf_dir):
 @register(
     "merge_close_mz",
     with_views(
-        """select psm, mz, round(intensity, 6) as intensity, ion_type, n from (
-select psm, island, list_reduce(list(mz order by mz, pos), lambda a, b: (a + b)/2) as mz, sum(intensity) as intensity,
-  first(ion_type order by pri, mz, pos) as ion_type, count(*) as n from (
-  select *, sum(case when prev is null or mz - prev >= 25 then 1 else 0 end) over (partition by psm order by mz, pos) as island from (
-    select *, case when ion_type = 'y' then 1 else 2 end as pri, lag(mz) over (partition by psm order by mz, pos) as prev from kept)) group by psm, island)""",
+        """, placed as (select psm, mz, intensity, ion_type, case when ion_type = 'y' then 1 else 2 end as pri, row_number() over (partition by psm order by mz, pos) as i from kept),
+walk as (select psm, i, mz, intensity, ion_type, pri, 1::bigint as n, false as joined from placed where i = 1
+  union all select p.psm, p.i, case when p.mz - w.mz < 25 then (w.mz + p.mz)/2 else p.mz end, case when p.mz - w.mz < 25 then w.intensity + p.intensity else p.intensity end,
+    case when p.mz - w.mz < 25 and w.pri <= p.pri then w.ion_type else p.ion_type end, case when p.mz - w.mz < 25 then least(w.pri, p.pri) else p.pri end,
+    case when p.mz - w.mz < 25 then w.n + 1 else 1 end, p.mz - w.mz < 25 from walk w join placed p on p.psm = w.psm and p.i = w.i + 1)
+select psm, mz, round(intensity, 6) as intensity, ion_type, n from (select *, lead(joined) over (partition by psm order by i) as goes_on from walk) where goes_on is not true""",
         FRAGS,
         KEPT,
-    ),
+    ).replace("with ", "with recursive ", 1),
 )
 def merge_close_mz(spark, sf_dir):
     rows = kept(spark, sf_dir).withColumn("priority", F.when(F.col("ion_type") == "y", 1).otherwise(2))
