@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.functions import ions
@@ -10,7 +10,7 @@ from massloom.operators import anchors, calibrate, library
 from massloom.plans import tables
 from massloom.plans.adapters import PEAKS, PSM, peaks, psm, read, with_views
 from massloom.plans.peptides import PEP, pep
-from massloom.sources import readers, sinks
+from massloom.sources import mzml, readers, sinks
 from massloom.sources.store import shared_dir, written
 from massloom.streaming import run_qc
 
@@ -73,7 +73,21 @@ def write_xml(rows: DataFrame, text: str, key: str, root: str, path: str, size:
     held.select(F.concat(F.lit(f"<{root}>"), "body", F.lit(f"</{root}>")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
-def spectra_file(spark, sf_dir) -> str:
+def write_mzml(rows: DataFrame, text: str, key: str, path: str, size: int = 2000) -> None:
+    """As write_xml, with the index list that tells the byte place of each spectrum."""
+    head = "<indexedmzML><mzML><spectrumList>"
+    numbered = sinks.batches(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), size, ("key",))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("batch").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    placed = numbered.withColumn("at", F.coalesce(before, F.lit(0)) + len(head))
+    held = placed.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("key", "at", "text"))).alias("s"))
+    body, end = F.array_join(F.transform("s", lambda x: x["text"]), ""), "</spectrumList></mzML>"
+    offsets = F.array_join(F.transform("s", lambda x: F.format_string('<offset idRef="controllerType=0 scan=%d">%d</offset>', x["key"], x["at"])), "")
+    after = (F.octet_length(body) + len(head) + len(end)).cast("string")
+    document = F.concat(F.lit(head), body, F.lit(f'{end}<indexList count="1"><index name="spectrum">'), offsets, F.lit("</index></indexList><indexListOffset>"), after, F.lit("</indexListOffset></indexedmzML>"))
+    held.select(document.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def spectra_file(spark, sf_dir, indexed: bool = False) -> str:
     path = shared_dir(spark, "spectra")
     arrays = peaks(spark, sf_dir).groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("p"))
     enc = lambda f: readers.encode_array(F.transform("p", lambda s: s[f]))
@@ -84,7 +98,11 @@ def spectra_file(spark, sf_dir) -> str:
         F.lit("<scanList><scan>"), cv("scan start time", (F.col("scan") / 60).cast("string")), F.lit("<scanWindowList><scanWindow>"), cv("scan window lower limit", F.lit("100.0")), cv("scan window upper limit", F.lit("2000.0")),
         F.lit("</scanWindow></scanWindowList></scan></scanList><binaryDataArrayList>"), arr("m/z array", enc("mz")), arr("intensity array", enc("intensity")), F.lit("</binaryDataArrayList></spectrum>"),
     )
-    write_xml(arrays.withColumn("text", text), "text", "scan", "mzML", path)
+    rows = arrays.withColumn("text", text)
+    if indexed:
+        write_mzml(rows, "text", "scan", path)
+    else:
+        write_xml(rows, "text", "scan", "mzML", path)
     return path
 
 
@@ -102,7 +120,9 @@ def spectra_scan(spark, sf_dir):
 
 @register("spectra_scan_pruned", f"select * from ({SPECTRA_SQL}) where scan_num in (select scan_num from psm)", PEAKS, PSM)
 def spectra_scan_pruned(spark, sf_dir):
-    return _spectra(readers.spectra_pruned(readers.spectra_scan(spark, spectra_file(spark, sf_dir)), psm(spark, sf_dir), ["scan_num"]))
+    """The index of all spectra is joined with the scans that search results name, and those are read by their bytes."""
+    index = mzml.spectra_index(spark, spectra_file(spark, sf_dir, indexed=True))
+    return _spectra(mzml.spectra_at(index.join(psm(spark, sf_dir).select("scan_num").distinct(), "scan_num", "left_semi")))
 
 
 @register("psm_scan_join", "select psm_id, scan_num, round(mz, 4) as mz from psm join peaks on scan = scan_num", PEAKS, PSM)

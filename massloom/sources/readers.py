@@ -52,28 +52,38 @@ SPECTRUM = (
 )
 
 
-def spectra_scan(spark: SparkSession, path: str) -> DataFrame:
+def spectra_scan(spark: SparkSession, path: str, only: DataFrame | None = None, keys: tuple[str, ...] = ("run", "scan_num")) -> DataFrame:
     """Spectra of level 2 and up of mzML files: run (of the file's name), scan_num, rt (minutes), im, window bounds, peaks in m/z order.
 
-    XML is split by element, but decoding it is slow; convert raw spectra to Parquet by run once.
+    XML is split by element, but decoding it is slow; convert raw spectra to Parquet by run once. For some of the scans of
+    large files, see ``mzml.spectra_at``.
     """
     rows = spark.read.format("xml").option("rowTag", "spectrum").schema(SPECTRUM).load(path)
+    return spectra(rows.select("*", F.col("_metadata.file_path").alias("path")), F.col("path"), only, keys)
+
+
+def spectra(rows: DataFrame, file: Column, only: DataFrame | None = None, keys: tuple[str, ...] = ("run", "scan_num")) -> DataFrame:
+    """Parsed spectrum elements as spectra. With ``only``, those whose keys it holds: the join stands before the arrays are decoded."""
     flat = lambda a, part: F.flatten(F.transform(F.coalesce(a, F.array()), part))
     own = F.coalesce("cvParam", F.array().cast(_PARAMS))
     scans = F.col("scanList.scan")
     params = F.concat(own, flat(scans, lambda s: s["cvParam"]), flat(scans, lambda s: F.flatten(F.transform(s["scanWindowList"]["scanWindow"], lambda w: w["cvParam"]))))
     isolation = flat(F.col("precursorList.precursor"), lambda p: p["isolationWindow"]["cvParam"])
-    rows = rows.select(run_name(F.col("_metadata.file_path")).alias("run"), "_id", F.filter(F.coalesce(params, own), lambda p: p.isNotNull()).alias("p"), isolation.alias("iso"), F.col("binaryDataArrayList.binaryDataArray").alias("arrays"))
+    scan = F.regexp_extract("_id", r"scan=(\d+)", 1).cast("long")
+    rows = rows.select(run_name(file).alias("run"), scan.alias("scan_num"), F.filter(F.coalesce(params, own), lambda p: p.isNotNull()).alias("p"), isolation.alias("iso"), F.col("binaryDataArrayList.binaryDataArray").alias("arrays"))
     param = lambda name, of="p": F.try_element_at(F.filter(of, lambda p: p["_name"] == name), F.lit(1))["_value"]
     array = lambda name: F.try_element_at(F.filter("arrays", lambda a: F.exists(a["cvParam"], lambda p: p["_name"] == name)), F.lit(1))
     wide = lambda a: F.when(F.exists(f"{a}.cvParam", lambda p: p["_name"] == "32-bit float"), 32).otherwise(64)
     packed = lambda a: F.exists(f"{a}.cvParam", lambda p: p["_name"] == "zlib compression")
-    rows = rows.filter(param("ms level").cast("int") != 1).withColumns({"m": array("m/z array"), "i": array("intensity array")})
+    rows = rows.filter(param("ms level").cast("int") != 1)
+    if only is not None:
+        rows = rows.join(only.select(*keys).distinct(), list(keys), "left_semi")
+    rows = rows.withColumns({"m": array("m/z array"), "i": array("intensity array")})
     peaks = F.array_sort(F.arrays_zip(decode_array("m.binary", wide("m"), packed("m")).alias("mz"), decode_array("i.binary", wide("i"), packed("i")).alias("intensity")))
     target = param("isolation window target m/z", "iso").cast("double")
     return rows.select(
         "run",
-        F.regexp_extract("_id", r"scan=(\d+)", 1).cast("long").alias("scan_num"),
+        "scan_num",
         param("scan start time").cast("double").alias("rt"),
         param("inverse reduced ion mobility").cast("double").alias("im"),
         (target - param("isolation window lower offset", "iso").cast("double")).alias("iso_lo"),
@@ -84,11 +94,6 @@ def spectra_scan(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def spectra_pruned(scans: DataFrame, psms: DataFrame, keys: list[str]) -> DataFrame:
-    """Only the scans that some search result names."""
-    return scans.join(psms.select(*keys).distinct(), keys, "left_semi")
-
-
 def run_name(path: Column) -> Column:
     """The base name of a file, up to its first dot and without ``_uncalibrated``."""
     return F.regexp_replace(F.regexp_extract(F.substring_index(path, "/", -1), r"^([^.]*)", 1), "_uncalibrated$", "")
