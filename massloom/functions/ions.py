@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROTON, WATER, AMMONIA, CARBONYL, ISOTOPE = 1.007276466, 18.010564684, 17.026549101, 27.994914620, 1.003354835
@@ -74,23 +74,56 @@ def _lost(losses: tuple[str, ...]) -> Column:
     return F.array(*(F.struct(F.lit(name).alias("name"), F.lit(LOSSES.get(name, 0.0)).alias("mass")) for name in ("", *losses)))
 
 
-def ladder(peptides: DataFrame, ions: list[str], charges: list[int], isotopes: tuple[int, ...] = (0,), losses: tuple[str, ...] = (), *, key: str = "peptide", residues: str = "residues") -> DataFrame:
-    """(key, ion, number, charge, isotope, loss, mz) of prefix and suffix ions at every inner position.
+def positions(peptides: DataFrame, *, key: str = "peptide", residues: str = "residues", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, keep, number, front and back: the residue masses of the first and of the last ``number`` residues, a row for each inner position."""
+    n = F.size(residues)
+    rows = peptides.select(key, *keep, running(F.col(residues)).alias("sums"), n.alias("n")).filter("n > 1")
+    inner = F.slice("sums", F.lit(1), F.col("n") - 1)
+    rows = rows.select(key, *keep, F.element_at("sums", -1).alias("whole"), F.posexplode(F.arrays_zip(inner.alias("front"), F.reverse(inner).alias("rest"))).alias("number", "p"))
+    return rows.select(key, *keep, (F.col("number") + 1).alias("number"), "p.front", (F.col("whole") - F.col("p.rest")).alias("back"))
+
+
+def _kinds(ions: list[str], charges: list[int], isotopes: tuple[int, ...], losses: tuple[str, ...]) -> list[tuple[str, int, int, str]]:
+    """ion, charge, isotope and loss of a ladder; a c ion loses water only."""
+    return [(i, z, k, name) for i in ions for z in charges for k in isotopes for name in ("", *losses) if not (i == "c" and name == "NH3")]
+
+
+def _of_kind(ion: str, charge: int, isotope: int, loss: str) -> Column:
+    """m/z of an ion at a position."""
+    part = F.col("front") if ion in PREFIX else F.col("back")
+    return mz(part + {**PREFIX, **SUFFIX}[ion], F.lit(charge), F.lit(isotope), F.lit(LOSSES.get(loss, 0.0)))
 
-    residues: array of residue masses with their modifications. A c ion loses water only.
+
+def ladder(peptides: DataFrame, ions: list[str], charges: list[int], isotopes: tuple[int, ...] = (0,), losses: tuple[str, ...] = (), *, key: str = "peptide", residues: str = "residues", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, ion, number, charge, isotope, loss, mz) of prefix and suffix ions at every inner position.
+
+    residues: array of residue masses with their modifications. A filter on mz or ion that follows is evaluated row by
+    row in the same stage, so ions outside a window are never shuffled.
     """
-    n = F.size(residues)
-    offsets = F.array(*(F.struct(F.lit(i).alias("ion"), F.lit(i in PREFIX).alias("prefix"), F.lit({**PREFIX, **SUFFIX}[i]).alias("offset")) for i in ions))
-    rows = peptides.select(key, running(F.col(residues)).alias("sums"), n.alias("n")).filter("n > 1")
-    rows = rows.select(key, "sums", "n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("number"))
-    whole = F.element_at("sums", F.col("n"))
-    rows = rows.select(key, "number", F.element_at("sums", F.col("number")).alias("front"), (whole - F.element_at("sums", F.col("n") - F.col("number"))).alias("back"))
-    rows = rows.select("*", F.explode(offsets).alias("o")).select("*", F.explode(F.array(*map(F.lit, charges))).alias("charge"))
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, isotopes))).alias("isotope")).select("*", F.explode(_lost(losses)).alias("l"))
-    rows = rows.filter(~((F.col("o.ion") == "c") & (F.col("l.name") == "NH3")))
-    part = F.when(F.col("o.prefix"), F.col("front")).otherwise(F.col("back"))
-    value = mz(part + F.col("o.offset"), F.col("charge"), F.col("isotope"), F.col("l.mass"))
-    return rows.select(key, F.col("o.ion").alias("ion"), "number", "charge", "isotope", F.col("l.name").alias("loss"), value.alias("mz"))
+    one = lambda i, z, k, name: F.struct(F.lit(i).alias("ion"), F.lit(z).alias("charge"), F.lit(k).alias("isotope"), F.lit(name).alias("loss"), _of_kind(i, z, k, name).alias("mz"))
+    rows = positions(peptides, key=key, residues=residues, keep=keep).select(key, *keep, "number", F.explode(F.array(*(one(*kind) for kind in _kinds(ions, charges, isotopes, losses)))).alias("x"))
+    return rows.select(key, *keep, "x.ion", "number", "x.charge", "x.isotope", "x.loss", "x.mz")
+
+
+def ladder_sums(peptides: DataFrame, value, by: tuple[str, ...], ions: list[str], charges: list[int], isotopes: tuple[int, ...] = (0,), losses: tuple[str, ...] = (), *, key: str = "peptide", residues: str = "residues") -> DataFrame:
+    """key, by (of ion, charge, isotope, loss), n and total: the number of a ladder's ions and the sum of value(mz) over them.
+
+    The kinds of a group are terms of one column, so a position is one row of the aggregation whatever the number of
+    kinds, and what is shuffled is one row a peptide.
+    """
+    at = {"ion": 0, "charge": 1, "isotope": 2, "loss": 3}
+    groups: dict[tuple, list[tuple]] = {}
+    for kind in _kinds(ions, charges, isotopes, losses):
+        groups.setdefault(tuple(kind[at[b]] for b in by), []).append(kind)
+    terms = []
+    for k, kinds in enumerate(groups.values()):
+        term = value(_of_kind(*kinds[0]))
+        for kind in kinds[1:]:
+            term = term + value(_of_kind(*kind))
+        terms.append(F.sum(term).alias(f"t{k}"))
+    sums = positions(peptides, key=key, residues=residues).groupBy(key).agg(F.count("*").alias("n"), *terms)
+    one = lambda k, names, kinds: F.struct(*(F.lit(v).alias(b) for b, v in zip(by, names, strict=True)), (F.col("n") * len(kinds)).alias("n"), F.col(f"t{k}").alias("total"))
+    return sums.select(key, F.explode(F.array(*(one(k, *group) for k, group in enumerate(groups.items())))).alias("x")).select(key, "x.*")
 
 
 def internal(peptides: DataFrame, losses: tuple[str, ...] = ("H2O", "NH3"), *, key: str = "peptide", residues: str = "residues", first: int = 2) -> DataFrame:
@@ -146,12 +179,48 @@ def charge_fanout(predictions: DataFrame, most: int = 8) -> DataFrame:
     return predictions.withColumn("charge", F.explode(F.sequence(F.lit(1), F.lit(most))))
 
 
-def possible_ions(peptides: DataFrame, dictionary: DataFrame, *, key: str = "peptide", letters: str = "peptide") -> DataFrame:
-    """(key, ion) of the dictionary ions that a peptide can have: number below its length, start of 2 or more, the residue present, a phospho or oxidation loss only with that modification.
+#: An entry of the dictionary index holds so many ions at most.
+ENTRY = 256
 
-    dictionary: ion, number, start, residue, needs (a mass that must be among the peptide's deltas); a parameter table, broadcast.
+
+def possible_ions(peptides: DataFrame, dictionary: DataFrame, *, activation: str = "HCD", key: str = "peptide", letters: str = "peptide", residues: str = "residues", charge: str = "charge") -> DataFrame:
+    """(key, ion, number, charge, start, extent, loss, mz) of the dictionary ions that a peptide can have.
+
+    A ladder ion (b, y, a) needs a number below the length; an inner ion (int) a start of 2 or more below the length and
+    an end before the last residue; an immonium ion (imm) its residue; a charged precursor (p) electron-based
+    activation, as HCD and CID take no charge off (charge 0 means the peptide's own); and a loss that ``needs`` a
+    modification that mass among the peptide's ``deltas`` (within 0.0002, ends included).
+
+    dictionary: ion, number, charge, start, extent, residue, loss, lost (its mass), needs, mass (of immonium ions). It
+    is indexed by what an ion needs: its ladder number or its inner end or its residue, and its modification. A
+    peptide looks its own needs up by equality, so it meets the ions that it can have and no others. Both sides are joined
+    by these keys, in any size.
     """
-    rule = (F.col("number").isNull() | (F.col("number") < F.length(letters))) & (F.col("start").isNull() | (F.col("start") >= 2))
-    rule &= F.col("residue").isNull() | (F.instr(F.col(letters), F.col("residue")) > 0)
-    rule &= F.col("needs").isNull() | F.exists("deltas", lambda d: F.abs(d - F.col("needs")) < 1e-3)
-    return peptides.join(F.broadcast(dictionary), rule).select(key, "ion")
+    electron = activation not in ("HCD", "CID")
+    last = F.col("start") + F.col("extent") - 1
+    need = F.when(F.col("ion") == "imm", F.concat(F.lit("r"), "residue")).when(F.col("ion") == "int", F.concat(F.lit("e"), last.cast("string"))).when(F.col("ion") == "p", F.lit("p")).otherwise(F.concat(F.lit("n"), F.col("number").cast("string")))
+    usable = (F.col("ion") != "p") | (F.col("charge") == 0) | F.lit(electron)
+    usable &= (F.col("ion") != "int") | (F.col("start") >= 2)
+    fields = ["ion", "number", "charge", "start", "extent", "loss", "lost", "mass"]
+    entries = dictionary.filter(usable).withColumn("need", need).withColumn("mod", F.coalesce(F.floor(F.col("needs") * 1000), F.lit(-1)))
+    entries = entries.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("need", "mod").orderBy(*fields)) - 1) / ENTRY))
+    entries = entries.groupBy("need", "mod", "part").agg(F.first("needs").alias("needs"), F.collect_list(F.struct(*fields)).alias("found"))  # at most ENTRY ions each
+
+    size = F.length(letters)
+    chars = F.array_distinct(F.filter(F.split(F.col(letters), ""), lambda c: c != ""))
+    inner = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
+    asks = F.concat(F.transform(inner, lambda i: F.concat(F.lit("n"), i.cast("string"))), F.transform(inner, lambda i: F.concat(F.lit("e"), i.cast("string"))), F.transform(chars, lambda c: F.concat(F.lit("r"), c)), F.array(F.lit("p")))
+    around = F.transform("deltas", lambda d: F.array(F.floor((d - 0.0002) * 1000), F.floor((d + 0.0002) * 1000)))  # a modification mass lies in one of both
+    marks = F.array_distinct(F.concat(F.array(F.lit(-1).cast("long")), F.flatten(around)))
+    rows = peptides.select(key, F.col(charge).alias("__z"), "deltas", running(F.col(residues)).alias("__sums"), size.alias("__size"), asks.alias("__asks"), marks.alias("__marks"))
+    rows = rows.select("*", F.explode("__marks").alias("mod")).select("*", F.explode("__asks").alias("need")).drop("__asks", "__marks")
+    held = F.col("needs").isNull() | F.exists("deltas", lambda d: F.abs(d - F.col("needs")) <= 0.0002)
+    met = rows.join(entries, ["need", "mod"]).filter(held).select(key, "__z", "__sums", "__size", F.explode("found").alias("d")).select(key, "__z", "__sums", "__size", "d.*")
+
+    upto = lambda i: F.when(i < 1, 0.0).otherwise(F.get("__sums", (i - 1).cast("int")))
+    whole = upto(F.col("__size"))
+    z = F.when((F.col("ion") == "p") & (F.col("charge") == 0), F.col("__z")).otherwise(F.col("charge"))
+    mass = F.when(F.col("ion") == "p", whole + WATER).when(F.col("ion") == "int", upto(last) - upto(F.col("start") - 1)).when(F.col("ion") == "y", whole - upto(F.col("__size") - F.col("number")) + WATER)
+    mass = mass.otherwise(upto(F.col("number")) + F.when(F.col("ion") == "a", -CARBONYL).otherwise(0.0))
+    value = F.when(F.col("ion") == "imm", F.col("mass")).otherwise((mass - F.col("lost") + z * PROTON) / z)
+    return met.select(key, "ion", "number", z.alias("charge"), "start", "extent", "loss", value.alias("mz"))

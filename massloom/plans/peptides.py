@@ -318,7 +318,12 @@ def weighed(spark, sf_dir):
 
 
 def summed(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.groupBy("peptide", *by).agg(F.count("*").alias("n"), F.sum(F.round(F.col("mz") * 10000).cast("long")).alias("mz"))
+    return rows.groupBy("peptide", *by).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("mz") * 10000 + 0.5)).alias("mz"))
+
+
+def ladder_summed(rows: DataFrame, by: tuple[str, ...], *kinds) -> DataFrame:
+    """As summed, by ions.ladder_sums."""
+    return ions.ladder_sums(rows, lambda mz: F.floor(mz * 10000 + 0.5), by, *kinds).withColumnRenamed("total", "mz")
 
 
 def _summed(body: str, *by: str) -> str:
@@ -341,7 +346,7 @@ from sums s, (values {_OFFSETS}) t(ion, pre_ion, off), (values (1), (2)) c(z), (
     WEIGH,
 )
 def fragment_ladder(spark, sf_dir):
-    return summed(ions.ladder(weighed(spark, sf_dir), [*ions.PREFIX, *ions.SUFFIX], [1, 2], (0, 1)), "ion", "charge")
+    return ladder_summed(weighed(spark, sf_dir), ("ion", "charge"), [*ions.PREFIX, *ions.SUFFIX], [1, 2], (0, 1))
 
 
 @register(
@@ -356,7 +361,7 @@ from sums s, (values ('b'), ('y'), ('c')) t(ion), (values ('', 0::double), ('H2O
     WEIGH,
 )
 def neutral_loss_ions(spark, sf_dir):
-    return summed(ions.ladder(weighed(spark, sf_dir), ["b", "y", "c"], [1], (0,), ("H2O", "NH3")), "ion", "loss")
+    return ladder_summed(weighed(spark, sf_dir), ("ion", "loss"), ["b", "y", "c"], [1], (0,), ("H2O", "NH3"))
 
 
 @register(
@@ -438,19 +443,53 @@ def mod_shift(spark, sf_dir):
     return rows.select("peptide", "ion", "number", F.round(ions.mod_shift(F.col("old"), F.col("new"), F.col("ion"), F.col("number"), F.lit(2)) + 1.3e-9, 4).alias("shift"))
 
 
-DICTIONARY = [("y12", 12, None, None, None), ("b3", 3, None, None, None), ("IMW", None, None, "W", None), ("p-H3PO4", None, None, None, 79.9663), ("int1", None, 1, None, None)]
+# A dictionary of ions: prefix and suffix ions up to number 40 in two charges, with losses, inner ions by start and extent,
+# immonium ions and precursors, some of which no peptide of the given tables can have.
+
+NEEDS = {"H3PO4": 79.9663, "CH4SO": 15.9949, "ICCAM": 57.0215}
+DICT_LOSSES = {"": 0.0, "H2O": ions.WATER, "NH3": ions.AMMONIA, "H3PO4": 97.976896, "CH4SO": 63.998285}
+DICTIONARY_SQL = f"""losses as (select * from (values {', '.join(f"('{k}', {v!r}::double, {f'{NEEDS[k]}::double' if k in NEEDS else 'null'})" for k, v in DICT_LOSSES.items())}) t(loss, lost, needs)),
+dictionary as (
+  select ion, number, z as charge, null as start, null as extent, null as residue, loss, lost, needs, null::double as mass from losses, (values ('b'), ('y'), ('a')) i(ion), range(1, 41) n(number), range(1, 3) c(z)
+  union all select 'int', null, 1, s, e, null, loss, lost, needs, null from losses, range(1, 13) a(s), range(2, 7) b(e)
+  union all select 'p', null, z, null, null, null, loss, lost, needs, null from losses, range(0, 3) c(z)
+  union all select 'imm', null, 1, null, null, name[2], name, 0, case when name = 'ICCAM' then 57.0215::double end, m from (values {', '.join(f"('{n}', {m!r}::double)" for n, m in tables.IMMONIUM.items())}) t(name, m))"""
+
+
+def dictionary(spark) -> DataFrame:
+    """The same table, of some thousand rows."""
+    losses = F.explode(F.array(*(F.struct(F.lit(k).alias("loss"), F.lit(v).alias("lost"), F.lit(NEEDS.get(k)).cast("double").alias("needs")) for k, v in DICT_LOSSES.items())))
+    every = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high)))
+    none = lambda kind: F.lit(None).cast(kind)
+    one = spark.range(1)
+    lost = lambda rows: rows.select("*", losses.alias("l")).select("*", "l.*")
+    columns = ["ion", "number", "charge", "start", "extent", "residue", "loss", "lost", "needs", "mass"]
+    ladder = lost(one.select(F.explode(F.array(*map(F.lit, "bya"))).alias("ion")).select("ion", every(1, 40).alias("number")).select("*", every(1, 2).alias("charge")))
+    inner = lost(one.select(F.lit("int").alias("ion"), every(1, 12).alias("start")).select("*", every(2, 6).alias("extent"))).withColumn("charge", F.lit(1))
+    whole = lost(one.select(F.lit("p").alias("ion"), every(0, 2).alias("charge")))
+    imm = tables.immonium(spark).select(F.lit("imm").alias("ion"), F.lit(1).alias("charge"), "residue", F.col("name").alias("loss"), F.lit(0.0).alias("lost"), F.when(F.col("name") == "ICCAM", NEEDS["ICCAM"]).alias("needs"), "mass")
+    kinds = dict.fromkeys(("number", "charge", "start", "extent"), "int") | dict.fromkeys(("ion", "residue", "loss"), "string")
+    full = lambda rows: rows.select(*(F.col(c).cast(kinds.get(c, "double")) if c in rows.columns else none(kinds.get(c, "double")).alias(c) for c in columns))
+    return full(ladder).unionByName(full(inner)).unionByName(full(whole)).unionByName(full(imm))
 
 
 @register(
     "theoretical_dictionary_filter",
-    """select peptide, ion from pep, (values ('y12', 12, null, null, null), ('b3', 3, null, null, null), ('IMW', null, null, 'W', null), ('p-H3PO4', null, null, null, 79.9663::double),
-  ('int1', null, 1, null, null)) t(ion, number, start, residue, needs)
-where (number is null or number < length(peptide)) and (start is null or start >= 2) and (residue is null or contains(peptide, residue)) and (needs is null or regexp_matches(peptide, '[ST]'))""",
+    f"""select peptide, ion, count(*) as n, cast(sum(cast(floor(mz*10000 + 0.5) as bigint)) as bigint) as mz from (
+select peptide, ion, case ion when 'p' then (pre[size] + {W_} - lost + (case when charge = 0 then z else charge end)*{P})/(case when charge = 0 then z else charge end) when 'imm' then mass
+  when 'int' then pre[start + extent - 1] - pre[start - 1] - lost + {P} when 'y' then (pre[size] - pre[size - number] + {W_} - lost + charge*{P})/charge
+  else (pre[number] + case when ion = 'a' then -{C_} else 0 end - lost + charge*{P})/charge end as mz
+from (select peptide, list(pre order by i) as pre, any_value(n) as size, 1 + any_value(n) % 4 as z from sums group by peptide) t join dictionary d on (number is null or number < size) and (start is null or start + extent - 1 < size)
+where (ion <> 'p' or charge = 0) and (start is null or (start >= 2 and start < size))
+  and (residue is null or contains(peptide, residue)) and (needs is null or regexp_matches(peptide, case when needs > 70 then '[ST]' when needs > 50 then 'C' else 'M' end))) group by peptide, ion""",
     PEP,
+    WEIGH,
+    DICTIONARY_SQL,
 )
 def theoretical_dictionary_filter(spark, sf_dir):
-    table = spark.createDataFrame(DICTIONARY, "ion string, number int, start int, residue string, needs double")
-    return ions.possible_ions(pep(spark, sf_dir).withColumn("deltas", peptides.delta_masses(F.col("base"))), table)
+    rows = weighed(spark, sf_dir).withColumn("deltas", peptides.delta_masses(F.col("base")))
+    found = ions.possible_ions(rows, dictionary(spark), activation="HCD")
+    return summed(found, "ion")
 
 
 @register(

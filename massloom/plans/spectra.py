@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massloom.functions import ions
+from massloom.functions.ions import PROTON, RESIDUES, WATER
 from massloom.operators import library, match, similarity
 from massloom.plans import adapters
 from massloom.plans.adapters import FRAGS, with_views
@@ -242,28 +244,43 @@ def fragment_groups(spark, sf_dir):
     return found.groupBy("psm").pivot("grp", ["main", "b", "y"]).agg(F.round(F.first("cosine_similarity"), 6)).select("psm", F.col("main").alias("cosine_main"), F.col("b").alias("cosine_b"), F.col("y").alias("cosine_y"))
 
 
-# Theoretical ions: those of the predicted fragments and, 5 m/z above each, one of the other series. Windows of the scans
-# end at 650, so some lie outside.
-
-THEORY = f"""ions as (select psm, scan, 2*pos as pos, mz, intensity, ion_type from frags
-  union all select psm, scan, 2*pos + 1, mz + 5, intensity, case when ion_type = 'b' then 'y' else 'b' end from frags),
-possible as (select * from ions semi join (select distinct psm, ion_type from kept) using (psm, ion_type) where mz between 100 + scan % 40 and 650 qualify row_number() over (partition by psm, mz order by pos) = 1),
-theory as (select k.psm, k.scan, k.pos, k.mz, k.ion_type, k.intensity as p, coalesce(max(p.intensity), 0) as m from possible k left join peaks p on {WINDOW} group by all)"""
-
-
-def theory(spark, sf_dir) -> DataFrame:
-    """Every possible ion of a match with its matched intensity."""
-    found = adapters.frags(spark, sf_dir)
-    other = F.when(F.col("ion_type") == "b", "y").otherwise("b")
-    ions = found.withColumn("pos", 2 * F.col("pos")).unionByName(found.withColumns({"pos": 2 * F.col("pos") + 1, "mz": F.col("mz") + 5, "ion_type": other}))
-    scans = found.select("scan").distinct().select("scan", (100 + F.col("scan") % 40).alias("ms2_lo"), F.lit(650).alias("ms2_hi"))
-    possible = similarity.theoretical_ions(ions, kept(spark, sf_dir), scans)
-    return matched(spark, sf_dir, possible)
+# Each match has a peptide of its own. Its theoretical ions are the ladder of that peptide; two thirds of them are observed,
+# moved by up to 30 ppm, and some of them predicted, of every fifth match only b ions. Windows of the scans end at 650.
+
+_LETTERS = "ACDEFGHIKLMNPQRSTVWY"
+THEORY = f"""mass_of as (select * from (values {', '.join(f"('{k}', {v}::double)" for k, v in RESIDUES.items())}) t(aa, dm)),
+residues as (select psm, i, count(*) over (partition by psm) as n, sum(dm) over (partition by psm order by i) as pre, sum(dm) over (partition by psm) as whole from (
+  select psm, generate_subscripts(string_split(peptide, ''), 1) as i, unnest(string_split(peptide, '')) as aa from (select vec_id as psm, substr(repeat('{_LETTERS}', 3), 1 + vec_id % 20, 7 + vec_id % 10) as peptide from embeddings)) join mass_of using (aa)),
+ladder as (select psm, number, ion as ion_type, z as charge, 4*number + (case when ion = 'y' then 2 else 0 end) + z - 1 as pos, (part + (case when ion = 'y' then {WATER!r}::double else 0 end) + z*{PROTON!r}::double)/z as mz from (
+  select psm, i as number, 'b' as ion, pre as part from residues where i < n union all select psm, n - i, 'y', whole - pre from residues where i < n), range(1, 3) c(z)),
+placed as (select l.*, abs(cast(embedding[number + 1] as double))*1000 as seen, abs(cast(embedding[64 - number] as double))*1000 + charge as told from ladder l join embeddings on vec_id = psm),
+observed as (select psm as scan, mz*(1 + ((number + psm) % 5 - 2)*0.000015::double) as mz, seen as intensity from placed where (number + psm) % 3 <> 0),
+told as (select psm, psm as scan, pos, mz, ion_type, told as p from placed where (7*number + psm) % 4 <> 0 and (psm % 5 <> 0 or ion_type = 'b') qualify row_number() over (partition by psm order by told desc, mz, pos) <= 20),
+possible as (select psm, psm as scan, pos, mz, ion_type from placed semi join (select distinct psm, ion_type from told) using (psm, ion_type) where mz between 100 + psm % 40 and 650 qualify row_number() over (partition by psm, mz order by pos) = 1),
+theory as (select k.psm, k.pos, coalesce(max(p.intensity), 0) as m from possible k left join observed p on {WINDOW} group by all),
+drawn as (select k.psm, k.pos, coalesce(max(p.intensity), 0) as m from told k left join observed p on {WINDOW} group by all)"""
+
+
+def own_ladders(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Theoretical ions of each match (with their matched intensity), its predicted fragments (likewise), and the observed peaks."""
+    rows = adapters.read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "psm")
+    peptide = F.substring(F.repeat(F.lit(_LETTERS), 3), (1 + F.col("psm") % 20).cast("int"), (7 + F.col("psm") % 10).cast("int"))
+    placed = ions.ladder(rows.withColumn("residues", ions.masses(peptide)), ["b", "y"], [1, 2], key="psm", keep=("embedding",)).withColumnRenamed("ion", "ion_type")
+    pos = 4 * F.col("number") + F.when(F.col("ion_type") == "y", 2).otherwise(0) + F.col("charge") - 1
+    value = lambda at: F.abs(F.element_at("embedding", at.cast("int")).cast("double")) * 1000
+    placed = placed.withColumns({"scan": F.col("psm"), "pos": pos.cast("long"), "seen": value(F.col("number") + 1), "intensity": value(64 - F.col("number")) + F.col("charge")}).drop("embedding")
+    moved = F.col("mz") * (1 + ((F.col("number") + F.col("psm")) % 5 - 2) * F.lit(0.000015))
+    observed = placed.filter((F.col("number") + F.col("psm")) % 3 != 0).select("scan", moved.alias("mz"), F.col("seen").alias("intensity"))
+    told = library.top_fragments(placed.filter(((7 * F.col("number") + F.col("psm")) % 4 != 0) & ((F.col("psm") % 5 != 0) | (F.col("ion_type") == "b"))), 20)
+    scans = rows.select(F.col("psm").alias("scan"), (100 + F.col("psm") % 40).alias("ms2_lo"), F.lit(650).alias("ms2_hi"))
+    possible = similarity.theoretical_ions(placed, told, scans)
+    met = lambda some: match.peak_match(some.select("psm", "scan", "pos", "mz", "ion_type"), observed).withColumnRenamed("matched", "m")
+    return met(possible), met(told), observed
 
 
 COUNTS = """counts as (select psm, population, matched, least(draws, population) as draws, least(k, matched) as k from (
   select psm, count(*) as population, count(*) filter (m > 0) as matched from theory group by psm) join (
-  select psm, count(*) as draws, count(*) filter (m > 0) as k from matched group by psm) using (psm))"""
+  select psm, count(*) as draws, count(*) filter (m > 0) as k from drawn group by psm) using (psm))"""
 
 
 @register(
@@ -273,14 +290,14 @@ COUNTS = """counts as (select psm, population, matched, least(draws, population)
     - lgamma(population+1) + lgamma(draws+1) + lgamma(population-draws+1))) as tail
   from (select *, unnest(range(greatest(k, draws - (population - matched)), least(matched, draws) + 1)) as x from counts) group by psm)
 select psm, round(case when draws <= 1 then 0 else 0 - log10(least(coalesce(tail, 0), 1)) end, 6) as hypergeometric_probability from counts left join terms using (psm)""",
-        *CHAIN[:3],
         THEORY,
         COUNTS,
     ),
 )
 def hypergeometric_probability(spark, sf_dir):
-    possible = theory(spark, sf_dir).groupBy("psm").agg(F.count("*").alias("population"), F.count_if(F.col("m") > 0).alias("matched"))
-    drawn = matched(spark, sf_dir).groupBy("psm").agg(F.count("*").alias("draws"), F.count_if(F.col("m") > 0).alias("k"))
+    theory, told, _ = own_ladders(spark, sf_dir)
+    possible = theory.groupBy("psm").agg(F.count("*").alias("population"), F.count_if(F.col("m") > 0).alias("matched"))
+    drawn = told.groupBy("psm").agg(F.count("*").alias("draws"), F.count_if(F.col("m") > 0).alias("k"))
     found = similarity.hypergeometric(possible.join(drawn, "psm"))
     return found.select("psm", F.round("hypergeometric_probability", 6).alias("hypergeometric_probability"))
 
@@ -288,14 +305,14 @@ def hypergeometric_probability(spark, sf_dir):
 @register(
     "intersection",
     with_views(
-        """select psm, count(*) filter (r <= 20 and r < n and m > 0 and exists (select 1 from matched x where x.psm = t.psm and x.m = t.m)) as intersection from (
+        """select psm, count(*) filter (r <= 20 and r < n and m > 0 and exists (select 1 from drawn x where x.psm = t.psm and x.m = t.m)) as intersection from (
 select *, row_number() over (partition by psm order by m desc, pos) as r, count(*) over (partition by psm) as n from theory) t group by psm""",
-        *CHAIN[:3],
         THEORY,
     ),
 )
 def intersection(spark, sf_dir):
-    return similarity.intersection(theory(spark, sf_dir).select("psm", "pos", F.col("m").alias("intensity")), matched(spark, sf_dir))
+    theory, told, _ = own_ladders(spark, sf_dir)
+    return similarity.intersection(theory.select("psm", "pos", F.col("m").alias("intensity")), told)
 
 
 @register(
