@@ -160,11 +160,12 @@ def precursors(peptides: DataFrame, charges: list[int], isotopes: tuple[int, ...
 def mod_shift(old: Column, new: Column, ion: Column, number: Column, charge: Column, start: Column | None = None, stop: Column | None = None) -> Column:
     """m/z shift of an ion when modification masses change: old and new are arrays of n + 2 masses (n-term, residues, c-term).
 
-    Prefix ions hold positions 0..number, suffix ions the last number + 1, the precursor all, internal ions start..stop; others do not move.
+    Prefix ions hold positions 0..number, suffix ions the last number + 1, ions of all residues and the precursor all, internal ions start..stop; others do not move.
     """
     n = F.size(new)
-    front = lambda a: total(F.slice(a, F.lit(1), number + 1))
-    back = lambda a: total(F.slice(a, F.greatest(F.lit(1), n - number), number + 1))
+    whole = number >= n - 2
+    front = lambda a: total(F.when(whole, a).otherwise(F.slice(a, F.lit(1), number + 1)))
+    back = lambda a: total(F.when(whole, a).otherwise(F.slice(a, F.greatest(F.lit(1), n - number), number + 1)))
     part = lambda a: F.when(ion.isin(*PREFIX), front(a)).when(ion.isin(*SUFFIX), back(a)).when(ion == "p", total(a))
     if start is not None:
         inner = lambda a: total(F.slice(a, start + 1, stop - start + 1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massloom.functions import ions
+
 
 def max_normalize(fragments: DataFrame, by: str = "psm") -> DataFrame:
     """intensity divided by the largest one of the precursor."""
@@ -87,11 +89,35 @@ def attach(psms: DataFrame, library: DataFrame, key: str = "precursor") -> DataF
     return psms.join(library.withColumn("__hit", F.lit(True)), key, "left").withColumns(zero | {"missing": F.col("__hit").isNull()}).drop("__hit")
 
 
-def transfer(wanted: DataFrame, predictions: DataFrame, *, key: str = "precursor", alternative: str = "translated") -> DataFrame:
-    """Each wanted precursor with the prediction of its own key, else that of its translated key; ``source`` tells which (exact, translated, missing)."""
+def transfer(wanted: DataFrame, predictions: DataFrame, *, key: str = "precursor", alternative: str = "translated", new: str = "masses", old: str = "translated_masses", eligible: str = "eligible", strict: bool = False) -> DataFrame:
+    """Each wanted precursor with the prediction of its own key, else that of its translated key; ``source`` tells which.
+
+    wanted: key, alternative, ``new`` and ``old`` (modification masses of both, see ions.mod_shift) and ``eligible``
+    (whether the model takes the peptide). A prediction of the translated key (source translated) keeps its values, and
+    its ``fragments`` (mz, ion_type, frag_num, charge and more), if it has some, are moved by the difference of the masses.
+    Without any prediction a peptide that the model does not take (skipped) has no fragments and zeros; one that it takes
+    (missing) is an error: ``missing`` lists them, and ``strict`` raises at the first one.
+    """
+    values = [c for c in predictions.columns if c != key]
     own = predictions.withColumn("__own", F.lit(True))
-    other = predictions.select(F.col(key).alias(alternative), *(F.col(c).alias(f"__{c}") for c in predictions.columns if c != key), F.lit(True).alias("__other"))
+    other = predictions.select(F.col(key).alias(alternative), *(F.col(c).alias(f"__{c}") for c in values), F.lit(True).alias("__other"))
     joined = wanted.join(own, key, "left").join(other, alternative, "left")
-    cols = {c: F.when(F.col("__own"), F.col(c)).otherwise(F.col(f"__{c}")) for c in predictions.columns if c != key}
-    source = F.when(F.col("__own"), "exact").when(F.col("__other"), "translated").otherwise("missing")
-    return joined.withColumns(cols | {"source": source}).select(*wanted.columns, *cols, "source")
+    source = F.when(F.col("__own"), "exact").when(F.col("__other"), "translated").when(F.coalesce(eligible, F.lit(False)), "missing").otherwise("skipped")
+    if strict:
+        source = F.when(source == "missing", F.raise_error(F.concat(F.lit("no prediction of "), key, F.lit(" or "), F.coalesce(alternative, F.lit("none"))))).otherwise(source)
+
+    def value(c: str) -> Column:
+        theirs, kind = F.col(f"__{c}"), predictions.schema[c].dataType
+        none = F.array().cast(kind) if c == "fragments" else F.lit(0).cast(kind)
+        if c == "fragments":
+            shift = lambda f: ions.mod_shift(F.col(old), F.col(new), f["ion_type"], f["frag_num"], f["charge"])
+            theirs = F.transform(theirs, lambda f: f.withField("mz", f["mz"] + shift(f)))
+        return F.when(F.col("__own"), F.col(c)).when(F.col("__other"), theirs).when(F.col("source") == "skipped", none)
+
+    found = joined.withColumn("source", source)
+    return found.select(*wanted.columns, *(value(c).alias(c) for c in values), "source")
+
+
+def missing(transferred: DataFrame) -> DataFrame:
+    """The precursors that should have a prediction and have none."""
+    return transferred.filter("source = 'missing'")

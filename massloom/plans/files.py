@@ -239,16 +239,35 @@ def library_merge(spark, sf_dir):
     return library.merge_libraries(first, later, ["rt"]).select("precursor", F.round("rt", 6).alias("rt"), F.round("im", 6).alias("im"))
 
 
+def _wanted_masses(peptide: str, mass: str, letter: str, first: float) -> str:
+    return f"list_concat(list_concat([{first}::double], list_transform(string_split({peptide}, ''), lambda c: case when c = '{letter}' then {mass} else 0 end)), [0.25::double])"
+
+
 @register(
     "prediction_transfer",
-    "select w.precursor, round(coalesce(a.rt, b.rt), 6) as rt, case when a.rt is not null then 'exact' when b.rt is not null then 'translated' else 'missing' end as source from (select distinct peptide || '|' || charge as precursor, peptide || '|1' as translated from psm) w left join (select distinct precursor, rt from lib) a on a.precursor = w.precursor left join (select distinct precursor, rt from lib) b on b.precursor = w.translated",
+    f"""select precursor, source, round(case when source = 'skipped' then 0 else rt end, 6) as rt, case when source <> 'missing' then n else null end as n, round(total + 1.3e-9, 4) as total from (
+select w.precursor, case when a.hit then 'exact' when b.hit then 'translated' when eligible then 'missing' else 'skipped' end as source, coalesce(a.rt, b.rt) as rt,
+  coalesce(a.n, b.n, 0) as n, case when a.hit then a.total when b.hit then b.total when not eligible then 0 end as total
+from (select *, length(peptide) > 5 as eligible from (select distinct peptide, charge, peptide || '|' || charge as precursor, peptide || '|1' as translated from psm)) w
+left join (select precursor, true as hit, any_value(rt) as rt, count(*) as n, sum(mz) as total from lib group by precursor) a using (precursor)
+left join (select w.precursor, true as hit, any_value(rt) as rt, count(*) as n, sum(mz + case when pos >= length(peptide) then list_sum(nw) - list_sum(od)
+    when ion_type = 'b' then list_sum(nw[1:pos + 1]) - list_sum(od[1:pos + 1]) else list_sum(nw[len(nw) - pos:]) - list_sum(od[len(od) - pos:]) end) as total
+  from (select distinct peptide, charge, peptide || '|' || charge as precursor, {_wanted_masses('peptide', 'charge*0.5::double', 'P', 1.5)} as nw, {_wanted_masses('peptide', '0.125::double', 'E', 0)} as od from psm) w
+  join lib on lib.precursor = w.peptide || '|1' group by w.precursor) b on b.precursor = w.precursor)""",
     LIB,
     PSM,
 )
 def prediction_transfer(spark, sf_dir):
-    wanted = psm(spark, sf_dir).select(F.concat_ws("|", "peptide", F.col("charge").cast("string")).alias("precursor"), F.concat("peptide", F.lit("|1")).alias("translated")).distinct()
-    found = library.transfer(wanted, lib(spark, sf_dir).select("precursor", "rt"))
-    return found.select("precursor", F.round("rt", 6).alias("rt"), "source")
+    p = psm(spark, sf_dir).select("peptide", "charge").distinct()
+    masses = lambda letter, mass, first: F.concat(F.array(F.lit(first)), F.transform(F.filter(F.split("peptide", ""), lambda c: c != ""), lambda c: F.when(c == letter, mass).otherwise(0.0)), F.array(F.lit(0.25)))
+    wanted = p.select(
+        F.concat_ws("|", "peptide", F.col("charge").cast("string")).alias("precursor"), F.concat("peptide", F.lit("|1")).alias("translated"), (F.length("peptide") > 5).alias("eligible"),
+        masses("P", F.col("charge") * 0.5, 1.5).alias("masses"), masses("E", F.lit(0.125), 0.0).alias("translated_masses"),
+    )
+    found = library.transfer(wanted, lib(spark, sf_dir).select("precursor", "rt", "fragments"))
+    total = ions.total(F.transform("fragments", lambda f: f["mz"]))
+    n = F.when(F.col("source") != "missing", F.size("fragments").cast("long"))
+    return found.select("precursor", "source", F.round("rt", 6).alias("rt"), n.alias("n"), F.round(total + 1.3e-9, 4).alias("total"))
 
 
 @register("fasta_scan", "select 'doc_' || doc_id as header, regexp_replace(text, '\\s', '', 'g') as sequence from documents where text is not null and doc_id is not null".replace("\\s", "[ \\t\\n\\r\\f\\x0B]"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,24 +10,29 @@ from massloom.sources.store import shared_dir
 
 
 def stream_moments(scored: DataFrame, value: str, by: str = "run", width: float = 1.0) -> DataFrame:
-    """Running count, sum and sum of squares per run, and a histogram of ``width`` as map: state is bounded by the runs and their bins.
+    """n, mean and m2 (sum of squares around the mean) of each run and bin of a histogram of ``width``: state is bounded by the runs and their bins.
 
-    Works on a stream (update or complete mode) and on a batch alike.
+    Spark keeps and merges the three as central moments, so large values with a small spread lose nothing. Works on a
+    stream (update or complete mode) and on a batch alike.
     """
     rows = scored.select(F.col(by).alias("run"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    return rows.groupBy("run", F.floor(F.col("v") / width).alias("bin")).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
+    return rows.groupBy("run", F.floor(F.col("v") / width).alias("bin")).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("*")).alias("m2"))
 
 
 def summary(state: DataFrame, width: float = 1.0) -> DataFrame:
-    """n, mean, sd and binned median of each run from the state of ``stream_moments``."""
-    from pyspark.sql import Window
+    """n, mean, sd and binned median of each run from the state of ``stream_moments``.
 
+    Bins merge as central moments do: their own squares, and those of their means around the run's mean, which is
+    itself summed as differences from the run's first mean.
+    """
     w = Window.partitionBy("run")
-    rows = state.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w)})
-    mean = F.sum("s") / F.sum("n")
-    var = F.when(F.sum("n") > 1, (F.sum("ss") - F.sum("n") * mean * mean) / (F.sum("n") - 1))
+    rows = state.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "total": F.sum("n").over(w), "base": F.min("mean").over(w)})
+    rows = rows.withColumn("whole", F.col("base") + F.sum(F.col("n") * (F.col("mean") - F.col("base"))).over(w) / F.col("total"))
+    away = F.col("mean") - F.col("whole")
+    m2 = F.sum(F.col("m2") + F.col("n") * away * away)
     median = F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bin"))) * width
-    return rows.groupBy("run").agg(F.sum("n").alias("n"), mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"), median.alias("median"))
+    sd = F.when(F.sum("n") > 1, F.sqrt(m2 / (F.sum("n") - 1)))
+    return rows.groupBy("run").agg(F.sum("n").alias("n"), F.first("whole").alias("mean"), sd.alias("sd"), median.alias("median"))
 
 
 def run_available(spark: SparkSession, source: str, schema: T.StructType, value: str, by: str = "run", width: float = 1.0) -> DataFrame:
@@ -40,5 +45,5 @@ def run_available(spark: SparkSession, source: str, schema: T.StructType, value:
 
     query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
-    state = spark.read.parquet(*[f"{target}/batch=*"]).groupBy("run", "bin").agg(*(F.max_by(c, "batch").alias(c) for c in ("n", "s", "ss")))
+    state = spark.read.parquet(*[f"{target}/batch=*"]).groupBy("run", "bin").agg(*(F.max_by(c, "batch").alias(c) for c in ("n", "mean", "m2")))
     return summary(state, width)
