@@ -77,18 +77,32 @@ def outlier_mask(anchors: DataFrame, by: tuple[str, ...] = ("run",), x: tuple[st
     return anchors.join(ok, keys, "left_semi")
 
 
+#: Tokens of mass groups that are words, at most: they are a parameter and become literals.
+MOST_WORDS = 1000
+
+
 def mass_groups(psms: DataFrame, groups: DataFrame, *, tolerance: float = 1e-3, exclusive: bool = False) -> DataFrame:
     """(psm_id, group_key): a PSM belongs to a group if one of its delta masses is within ``tolerance`` of one of the group's.
 
     groups: group_key, tokens array<string>. A token that is no number matches as part of the peptide, the empty token
     matches all; ``others`` takes the PSMs of no other group. With ``exclusive``, single-token groups leave out PSMs that a
-    group of several tokens matches. Groups are a parameter table and broadcast.
+    group of several tokens matches. Masses meet by an equality join on buckets of the tolerance's width, of which a delta
+    visits three; words (at most MOST_WORDS) are looked for in each row.
     """
     tokens = groups.filter("group_key <> 'others'").select("group_key", F.size("tokens").alias("width"), F.explode("tokens").alias("token")).withColumn("mass", F.expr("try_cast(token as double)"))
-    deltas = psms.select("psm_id", "peptide", F.explode_outer("deltas").alias("delta"))
-    number = F.col("mass").isNotNull() & F.col("delta").isNotNull() & (F.abs(F.col("delta") - F.col("mass")) <= tolerance)
-    word = F.col("mass").isNull() & (F.instr(F.col("peptide"), F.col("token")) > 0)
-    found = deltas.join(F.broadcast(tokens), number | word | (F.col("token") == "")).select("psm_id", "group_key", "width").distinct()
+    bucket = lambda mass: F.floor(mass / tolerance)
+    masses = tokens.filter("mass is not null").select("group_key", "width", "mass", bucket(F.col("mass")).alias("bucket"))
+    deltas = psms.select("psm_id", F.explode("deltas").alias("delta")).filter("delta is not null")
+    deltas = deltas.select("psm_id", "delta", F.explode(F.sequence(bucket(F.col("delta")) - 1, bucket(F.col("delta")) + 1)).alias("bucket"))
+    found = deltas.join(masses, "bucket").filter(F.abs(F.col("delta") - F.col("mass")) <= tolerance).select("psm_id", "group_key", "width")
+    words = tokens.filter("mass is null").select("group_key", "width", "token").distinct().limit(MOST_WORDS + 1).collect()
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words in mass groups")
+    if words:
+        known = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in r.asDict().items())) for r in sorted(words)))
+        said = F.filter(known, lambda w: F.instr(F.col("peptide"), w["token"]) > 0)
+        found = found.unionByName(psms.select("psm_id", F.explode(said).alias("w")).select("psm_id", "w.group_key", "w.width"))
+    found = found.distinct()
     if exclusive:
         several = found.filter("width > 1").select("psm_id").distinct()
         found = found.filter("width > 1").unionByName(found.filter("width = 1").join(several, "psm_id", "left_anti"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LEAST = 2
@@ -141,6 +141,48 @@ def similarity(matches: DataFrame, names: list[str], by: tuple[str, ...] = ("psm
     return rows.groupBy(*by).agg(*(known[n].alias(n) for n in names))
 
 
+def fragment_groups(mode: str, ions: list[str], aux: tuple[str, ...] = ()) -> dict[str, list[str]]:
+    """The ion types of each group of a mode, by the group's name (its types in order, joined by _).
+
+    ions: the types of the method's hierarchy; aux: those of the auxiliary model. Modes: all (one group), aux (primary
+    and auxiliary types), yb (y and b; the rest), yb_unknown (y and b; the rest; unknown), each (one group a type) and
+    electron (c, y, z and zdot; unknown). Types without a group take no part, and a group without types has no name and goes.
+    """
+    rest = [i for i in ions if i not in ("y", "b")]
+    sets = {
+        "all": [ions],
+        "aux": [[i for i in ions if i not in aux], list(aux)],
+        "yb": [["y", "b"], rest],
+        "yb_unknown": [["y", "b"], [i for i in rest if i != "unknown"], ["unknown"]],
+        "each": [[i] for i in ions],
+        "electron": [["zdot", "z", "c", "y"], ["unknown"]],
+    }
+    if mode not in sets:
+        raise ValueError(f"{mode}: not one of {', '.join(sets)}")
+    return {"_".join(sorted(set(g))): sorted(set(g)) for g in sets[mode] if g}
+
+
+def group_table(spark: SparkSession, modes: list[str], ions: list[str], aux: tuple[str, ...] = ()) -> DataFrame:
+    """mode, grp and ion_type; a parameter table of a few rows a mode."""
+    rows = [(m, g, i) for m in modes for g, members in fragment_groups(m, ions, aux).items() for i in members]
+    return spark.createDataFrame(rows, "mode string, grp string, ion_type string")
+
+
+def grouped_similarity(matches: DataFrame, names: list[str], groups: DataFrame) -> DataFrame:
+    """psm, mode, grp and the named scores over the fragments of each group: rows fan out to their groups once, before the one shuffle."""
+    return similarity(matches.join(F.broadcast(groups), "ion_type"), names, ("psm", "mode", "grp"))
+
+
+def group_columns(matches: DataFrame, names: list[str], mode: str, ions: list[str], aux: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
+    """psm and a column ``name^group`` for each score and group of a mode (``name`` alone if there is one group); 0 for a group without fragments."""
+    found = grouped_similarity(matches, names, group_table(matches.sparkSession, [mode], ions, aux))
+    groups = list(fragment_groups(mode, ions, aux))
+    label = lambda n, g: n if len(groups) == 1 else f"{n}^{g}"
+    one = lambda n, g: F.coalesce(F.max(F.when(F.col("grp") == g, F.col(n))), F.lit(0.0))
+    made = {label(n, g): one(n, g) if digits is None else F.round(one(n, g), digits) for n in names for g in groups}
+    return found.groupBy("psm").agg(*(c.alias(n) for n, c in made.items()))
+
+
 def bin_weights(matches: DataFrame, table: DataFrame, width: float) -> DataFrame:
     """Adds w: the weight of the fragment's m/z bin, 0 past the end of the table (bin, weight)."""
     rows = matches.withColumn("bin", F.floor(F.col("mz") / width).cast("long"))

@@ -224,24 +224,35 @@ def merge_close_mz(spark, sf_dir):
     return library.merge_close(rows, 25.0).select("psm", "mz", F.round("intensity", 6).alias("intensity"), "ion_type", "n")
 
 
-GROUPS = [("yb", "b", "main"), ("yb", "y", "main"), ("each", "b", "b"), ("each", "y", "y")]
+# Fragments of six types by their place; x is in no hierarchy here and so in no group.
 
+GROUP_IONS, GROUP_AUX = ["y", "b", "a", "c", "unknown"], ("a", "c")
+MODES = {
+    "all": {"a_b_c_unknown_y": "y b a c unknown"}, "aux": {"b_unknown_y": "y b unknown", "a_c": "a c"}, "yb": {"b_y": "y b", "a_c_unknown": "a c unknown"},
+    "yb_unknown": {"b_y": "y b", "a_c": "a c", "unknown": "unknown"}, "each": {i: i for i in GROUP_IONS}, "electron": {"c_y_z_zdot": "c y z zdot", "unknown": "unknown"},
+}
+TYPED = f"""typed as (select * exclude (ion_type), ['y', 'b', 'a', 'c', 'unknown', 'x'][pos % 6 + 1] as ion from matched),
+groups as (select * from (values {', '.join(f"('{m}', '{g}', '{i}')" for m, groups in MODES.items() for g, members in groups.items() for i in members.split())}) t(mode, grp, ion)),
+scored as (select psm, mode, grp, {cosine("1.0")} as cosine_similarity from typed join groups using (ion) group by psm, mode, grp)"""
 
-@register(
-    "fragment_groups",
-    with_views(
-        """select psm, max(case when grp = 'main' then c end) as cosine_main, max(case when grp = 'b' then c end) as cosine_b, max(case when grp = 'y' then c end) as cosine_y
-from (select psm, grp, round("""
-        + cosine("1.0")
-        + """, 6) as c from matched join (values ('b', 'main'), ('y', 'main'), ('b', 'b'), ('y', 'y')) g(ion, grp) on ion = ion_type group by psm, grp) group by psm""",
-        *CHAIN[:3],
-    ),
-)
+
+def typed(spark, sf_dir) -> DataFrame:
+    names = F.array(*map(F.lit, [*GROUP_IONS, "x"]))
+    return matched(spark, sf_dir).withColumn("ion_type", F.element_at(names, (F.col("pos") % 6 + 1).cast("int")))
+
+
+@register("fragment_groups", with_views("select psm, mode, grp, round(cosine_similarity, 6) as cosine_similarity from scored", *CHAIN[:3], TYPED))
 def fragment_groups(spark, sf_dir):
-    groups = spark.createDataFrame(GROUPS, "mode string, ion_type string, grp string")
-    rows = matched(spark, sf_dir).join(F.broadcast(groups), "ion_type")
-    found = similarity.similarity(rows, ["cosine_similarity"], ("psm", "grp"))
-    return found.groupBy("psm").pivot("grp", ["main", "b", "y"]).agg(F.round(F.first("cosine_similarity"), 6)).select("psm", F.col("main").alias("cosine_main"), F.col("b").alias("cosine_b"), F.col("y").alias("cosine_y"))
+    groups = similarity.group_table(spark, list(MODES), GROUP_IONS, GROUP_AUX)
+    return similarity.grouped_similarity(typed(spark, sf_dir), ["cosine_similarity"], groups).withColumn("cosine_similarity", F.round("cosine_similarity", 6))
+
+
+_WIDE = ", ".join(f"""round(coalesce(max(case when grp = '{g}' then cosine_similarity end), 0), 6) as "cosine_similarity^{g}\"""" for g in MODES["yb_unknown"])
+
+
+@register("fragment_group_columns", with_views(f"select psm, {_WIDE} from scored where mode = 'yb_unknown' group by psm", *CHAIN[:3], TYPED))
+def fragment_group_columns(spark, sf_dir):
+    return similarity.group_columns(typed(spark, sf_dir), ["cosine_similarity"], "yb_unknown", GROUP_IONS, GROUP_AUX, digits=6)
 
 
 # Each match has a peptide of its own. Its theoretical ions are the ladder of that peptide; two thirds of them are observed,
