@@ -17,6 +17,11 @@ MOST_ANCHORS, GRID = {"rt": anchor_rules.MOST_ANCHORS, "im": 1000}, 10_000
 CAP_RT, CAP_IM = 1000.0, 0.5
 
 
+def fit_anchors(anchors: DataFrame, by: tuple[str, ...], prop: str = "rt", *, order: str = "evalue") -> DataFrame:
+    """The anchors that take part in the fit of their group: at most MOST_ANCHORS of each, cut before they are shuffled."""
+    return first_rows(anchors, MOST_ANCHORS[prop], by, (order, "exp", "pred"))
+
+
 def fit_curves(anchors: DataFrame, by: tuple[str, ...], prop: str = "rt", *, order: str = "evalue") -> DataFrame:
     """One curve per group: by, kind (none, linear, spline), n, knots, coeffs.
 
@@ -24,7 +29,7 @@ def fit_curves(anchors: DataFrame, by: tuple[str, ...], prop: str = "rt", *, ord
     else a monotone spline. Retention time is fitted from predicted to experimental and used inverted, mobility from
     experimental to predicted. Each group is cut to MOST_ANCHORS before it reaches its task.
     """
-    bounded = first_rows(anchors, MOST_ANCHORS[prop], by, (order, "exp", "pred")).select(*by, "exp", "pred")
+    bounded = fit_anchors(anchors, by, prop, order=order).select(*by, "exp", "pred")
     kinds = [anchors.schema[b] for b in by]
     schema = T.StructType([*kinds, T.StructField("kind", T.StringType()), T.StructField("n", T.LongType()), T.StructField("knots", T.ArrayType(T.DoubleType())), T.StructField("coeffs", T.ArrayType(T.DoubleType()))])
     fewest = 11 if prop == "im" else 10

@@ -542,9 +542,12 @@ def calibration_grid(spark, sf_dir):
 
 @register("calibration_table")
 def calibration_table(spark, sf_dir):
+    """Curves and the peptides that they were fitted on, written at once and read back."""
     path = shared_dir(spark, "calibration")
-    calibrate.grid(_psms(spark, sf_dir), _fits(spark, sf_dir), ("run",)).select("run", "y", "x").write.options(header=True).csv(path)
-    return spark.read.schema("run string, y double, x double").options(header=True).csv(path)
+    anchors_ = written(calibrate.fit_anchors(_anchors(spark, sf_dir), ("run",)), "anchors")
+    sinks.calibration_files(calibrate.grid(_psms(spark, sf_dir), calibrate.fit_curves(anchors_, ("run",)), ("run",)), anchors_, ("run",), path)
+    table, used = sinks.read_calibration(spark, path, ("run",))
+    return table.join(used.groupBy("run").agg(F.count("*").alias("peptides")), "run")
 
 
 @register("calibrated_rt")
@@ -602,7 +605,7 @@ def calibration_residuals(spark, sf_dir):
 
 # Runs of a dozen spectra each: their curves are lines, or none below ten anchors.
 
-SMALL = """small as (select psm_id, 'small_' || cast(floor(scan_num/12) as bigint) as run, charge, exp_rt, evalue, sqrt(exp_rt + 1)*10 + (pred_rt % 1)*2 as pred from psm where pred_rt <> 0),
+SMALL = """small as (select psm_id, 'small_' || cast(floor(scan_num/12) as bigint) as run, peptide, charge, exp_rt, evalue, sqrt(exp_rt + 1)*10 + (pred_rt % 1)*2 as pred from psm where pred_rt <> 0),
 lines as (select run, count(*) as n, case when var_pop(pred) > 0 then regr_slope(exp_rt, pred) else 0 end as slope, case when var_pop(pred) > 0 then regr_intercept(exp_rt, pred) else avg(exp_rt) end as base
   from small group by run)"""
 _CALIBRATED = "case when n >= 10 then case when slope <> 0 then (exp_rt - base)/slope else 0 end end"
@@ -612,7 +615,7 @@ def _small(spark, sf_dir) -> DataFrame:
     rows = psm(spark, sf_dir).filter("pred_rt <> 0")
     pred = F.sqrt(F.col("exp_rt") + 1) * 10 + (F.col("pred_rt") % 1) * 2
     run = F.concat(F.lit("small_"), F.floor(F.col("scan_num") / 12).cast("long").cast("string"))
-    return rows.select("psm_id", run.alias("run"), "charge", "exp_rt", "evalue", pred.alias("pred"), pred.alias("pred_rt"), F.col("exp_rt").alias("exp"))
+    return rows.select("psm_id", run.alias("run"), "peptide", "charge", "exp_rt", "evalue", pred.alias("pred"), pred.alias("pred_rt"), F.col("exp_rt").alias("exp"))
 
 
 def _small_fits(spark, sf_dir) -> DataFrame:
@@ -659,6 +662,24 @@ def calibration_grid_small_runs(spark, sf_dir):
     return found.select("run", F.col("i").cast("long").alias("i"), F.round(F.col("x") + 1.3e-9, 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+@register(
+    "calibration_table_small_runs",
+    """, points as (select run, low + (high - low)*i/49 as x, base, slope from lines join (select run, min(exp_rt) as low, max(exp_rt) as high from small group by run) using (run), range(50) t(i) where n >= 10)
+select run, points.n as points, points.x, points.y, used.n as peptides, used.said from (select run, count(*) as n, round(sum(x) + 1.3e-9, 4) as x, round(sum(case when slope <> 0 then (x - base)/slope else 0 end) + 1.3e-9, 4) as y from points group by run) points
+join (select run, count(*) as n, md5(string_agg(peptide, ',' order by peptide)) as said from small group by run) used using (run)""",
+    PSM,
+    SMALL,
+)
+def calibration_table_small_runs(spark, sf_dir):
+    path = shared_dir(spark, "calibration")
+    rows = written(calibrate.fit_anchors(_small(spark, sf_dir), ("run",)), "anchors")
+    sinks.calibration_files(calibrate.grid(_small(spark, sf_dir), calibrate.fit_curves(rows, ("run",)), ("run",), steps=50), rows, ("run",), path)
+    table, used = sinks.read_calibration(spark, path, ("run",))
+    points = table.groupBy("run").agg(F.count("*").alias("points"), F.round(F.sum("x") + 1.3e-9, 4).alias("x"), F.round(F.sum("y") + 1.3e-9, 4).alias("y"))
+    lists = used.groupBy("run").agg(F.count("*").alias("peptides"), F.md5(F.array_join(F.sort_array(F.collect_list("peptide")), ",")).alias("said"))
+    return points.join(lists, "run")
+
+
 @register(
     "adaptive_curve_pick_small_runs",
     """, fits as (select run, g, case when var_pop(pred) > 0 then regr_slope(exp_rt, pred) else 0 end as slope, case when var_pop(pred) > 0 then regr_intercept(exp_rt, pred) else avg(exp_rt) end as base

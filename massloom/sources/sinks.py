@@ -133,3 +133,24 @@ def merge_parquet(spark: SparkSession, paths: list[str], target: str) -> DataFra
         out = out.unionByName(spark.read.parquet(p), allowMissingColumns=True)
     out.write.parquet(target)
     return spark.read.parquet(target)
+
+
+def calibration_files(grid: DataFrame, anchors: DataFrame, by: tuple[str, ...], path: str) -> None:
+    """The two outputs of a fit below one path, for each group: ``part=table`` holds its curve's grid (y and x, tab-separated), ``part=peptides`` the peptides that it was fitted on, one a line, repeats included.
+
+    Both are one table, written by one job with one commit, so a reader never finds the one without the other. Groups
+    without a curve have neither. The folders are named by part and group; a part of a group, which a fit bounds, is one file.
+    """
+    table = grid.select(F.lit("table").alias("part"), *by, F.concat_ws("\t", F.col("y").cast("string"), F.col("x").cast("string")).alias("value"))
+    curves = grid.select(*by).distinct()
+    used = anchors.join(curves, list(by), "left_semi").select(F.lit("peptides").alias("part"), *by, F.col("peptide").alias("value"))
+    table.unionByName(used).repartition("part", *by).write.partitionBy("part", *by).text(path)
+
+
+def read_calibration(spark: SparkSession, path: str, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The table (by, y, x) and the peptides (by, peptide) of ``calibration_files``."""
+    kinds = ", ".join(f"{b} string" for b in by)
+    rows = spark.read.schema(f"value string, part string, {kinds}").text(path)
+    cells = F.split("value", "\t")
+    table = rows.filter("part = 'table'").select(*by, cells[0].cast("double").alias("y"), cells[1].cast("double").alias("x"))
+    return table, rows.filter("part = 'peptides'").select(*by, F.col("value").alias("peptide"))
