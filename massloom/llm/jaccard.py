@@ -6,17 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massloom.llm.common import bit_table, marked, text_or_empty, word_lists, written
+from massloom.llm.common import bit_table, by_class, marked, text_or_empty, word_lists, written
 from massloom.llm.components import components
-from massloom.llm.tokens import let_go
 
 #: Common shingles that tasks know the counts of, shingles that a task counts at once, and rounds before all pairs are compared.
 COMMON, BLOCK, ROUNDS = 200_000, 1 << 20, 1
+#: Bytes of texts that are sets at once in a task, and texts that meet one copy of the text they are compared with.
+TEXT_BYTES, FAN = 4 << 20, 256
 FILTER_WORDS = 1 << 17
 SEED = 42
 
@@ -46,15 +48,21 @@ def shingles(values: np.ndarray) -> np.ndarray:
     return np.unique(values) if len(values) else np.zeros(1, np.uint64)
 
 
-def _mapped(rows: DataFrame, schema: str | T.StructType, rows_of: Callable) -> DataFrame:
+def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of some TEXT_BYTES of its text column; a longer text is a part with those before it."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64) // TEXT_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    for at, end in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(at, end - at)
+
+
+def _mapped(rows: DataFrame, schema: str | T.StructType, column: int, rows_of: Callable) -> DataFrame:
     """rows_of each part of a batch and the number of its first row; numbers are unique over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in _blocks(batch, column):
                 yield rows_of(part, number)
                 number += part.num_rows
 
@@ -75,7 +83,6 @@ def common(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.n
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         held, size = [], 0
 
         def counted() -> pa.RecordBatch:
@@ -130,41 +137,71 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, width: int, num: int,
     kinds = [("id", docs.schema[id_col].dataType), ("c", T.LongType()), ("said", T.BinaryType()), ("n", T.LongType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
 
     def rows_of(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
-        values = [hashes(t.as_py(), width) for t in batch.column(2)]
-        prints = np.array([print_of(v) if len(v) else 0 for v in values], np.uint64)
-        sets = [shingles(v) for v in values]
+        prints, sizes, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
+        for k, text in enumerate(batch.column(2)):
+            values = hashes(text.as_py(), width)
+            prints[k] = print_of(values) if len(values) else 0
+            values = shingles(values)
+            sizes[k] = len(values)
+            keys.append(_prefix(values, names, counts, num, den))
         numbers = pa.array(np.arange(at, at + batch.num_rows, dtype=np.int64))
-        sizes = pa.array([len(s) for s in sets], pa.int64())
-        keys = _lists([_prefix(s, names, counts, num, den) for s in sets])
-        return pa.RecordBatch.from_arrays([batch.column(0), numbers, batch.column(1), sizes, pa.array(prints.view(np.int64)), keys], [n for n, _ in kinds])
+        return pa.RecordBatch.from_arrays([batch.column(0), numbers, batch.column(1), pa.array(sizes), pa.array(prints.view(np.int64)), _lists(keys)], [n for n, _ in kinds])
 
     told = docs.select(F.col(id_col).alias("id"), _said(text_col).alias("said"), text_or_empty(text_col).alias("text"))
-    return _mapped(told, T.StructType([T.StructField(*k) for k in kinds]), rows_of)
+    return _mapped(told, T.StructType([T.StructField(*k) for k in kinds]), 2, rows_of)
 
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
+def _compared(width: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of texts in the order of their groups, each led by the text (``leads``) that the group's others are compared with, the pairs that are near.
+
+    A task holds the set of the leading text and that of one other at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.empty(0, np.uint64)
+        for batch in batches:
+            near = np.zeros(batch.num_rows, bool)
+            for k, (leads, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+                values = shingles(hashes(text.as_py(), width))
+                if leads.as_py():
+                    first = values
+                else:
+                    both = len(np.intersect1d(first, values, assume_unique=True))
+                    near[k] = both * (num + den) >= (len(first) + len(values)) * num
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return run
+
+
 def verifier(docs: DataFrame, rows: DataFrame, text_col: str, width: int, num: int, den: int) -> Verify:
     """A function of written pairs (a, b) that gives those whose sets have a similarity of num / den or more.
 
-    Only the texts that the pairs name are made sets again and shuffled.
+    Of a pair, the text that is in more pairs leads; a text that leads many is sent once for some FAN others, which are
+    a group in one task's order. Only texts that the pairs name are shuffled, as texts, and no row holds a set.
     """
-
-    def sets_of(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(hashes(t.as_py(), width)) for t in batch.column(1)])], ["said", "s"])
+    told = docs.select(_said(text_col).alias("said"), text_or_empty(text_col).alias("text"))
+    repeated = rows.agg((F.count("*") > F.countDistinct("said")).alias("any")).first()["any"]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        named = lambda c, to: rows.select(F.col("c").alias(c), F.col("said").alias(to))
-        asked = written(pairs.join(named("a", "of_a"), "a").join(named("b", "of_b"), "b"), "near-asked")
-        wanted = asked.select(F.col("of_a").alias("said")).unionAll(asked.select(F.col("of_b").alias("said")))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+        ends = written(ends.join(rows.select("c", "said"), "c"), "near-ends")
+        of = lambda c: ends.select(F.col("c").alias(c), F.col("n").alias(f"n_{c}"), F.col("said").alias(f"of_{c}"))
+        asked = by_class(by_class(pairs.select("a", "b"), of("a"), "a", "n_a"), of("b"), "b", "n_b")
+        more = F.col("n_a") >= F.col("n_b")
+        asked = asked.select("a", "b", F.when(more, F.col("of_a")).otherwise(F.col("of_b")).alias("lead"), F.when(more, F.col("of_b")).otherwise(F.col("of_a")).alias("said"), F.greatest("n_a", "n_b").alias("n"))
+        asked = written(asked.withColumn("part", F.pmod(F.xxhash64("said"), F.ceil(F.col("n") / FAN))).drop("n"), "near-asked")
+        none = F.lit(None).cast("long")
+        leads = asked.select("lead", "part").distinct().select(F.col("lead").alias("said"), "lead", "part", F.lit(True).alias("leads"), none.alias("a"), none.alias("b"))
+        sides = leads.unionAll(asked.select("said", "lead", "part", F.lit(False), "a", "b"))
         hashed = F.xxhash64("said")
-        told = docs.select(_said(text_col).alias("said"), text_or_empty(text_col).alias("text"))
-        told = marked(told, hashed, bit_table(wanted, hashed, FILTER_WORDS), FILTER_WORDS).filter("__maybe").select("said", "text")
-        sets = written(_mapped(told, "said binary, s array<long>", sets_of), "near-sets").dropDuplicates(["said"])
-        held = asked.join(sets.select(F.col("said").alias("of_a"), F.col("s").alias("x")), "of_a").join(sets.select(F.col("said").alias("of_b"), F.col("s").alias("y")), "of_b")
-        both = F.size(F.array_intersect("x", "y"))
-        return held.filter(both * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b")
+        texts = marked(told, hashed, bit_table(ends, hashed, FILTER_WORDS), FILTER_WORDS).filter("__maybe").select("said", "text")
+        if repeated:
+            texts = texts.dropDuplicates(["said"])
+        groups = sides.join(texts.hint("shuffle_merge"), "said").repartition("lead", "part").sortWithinPartitions("lead", "part", F.desc("leads"))
+        return groups.select("leads", "text", "a", "b").mapInArrow(_compared(width, num, den), "a long, b long")
 
     return verify
 
@@ -176,12 +213,23 @@ def _can_reach(num: int, den: int) -> Column:
     return longest & (behind * (num + den) >= (F.col("n") + F.col("m")) * num)
 
 
-def _shared(keys: DataFrame, num: int, den: int) -> DataFrame:
-    """The keys of two sets or more, without those of two sets that cannot reach the similarity: most chance meetings end here."""
+def _enough(num: int, den: int) -> Column:
+    """Bound of two sets that share ``both`` shingles of their prefixes: of the one whose prefix ends first, only what follows it can be shared beside."""
+    behind = F.greatest(F.ceil(F.col("n") * num / den), F.ceil(F.col("m") * num / den)) - 1
+    return (F.col("both") + behind) * (num + den) >= (F.col("n") + F.col("m")) * num
+
+
+def _shared(keys: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The keys of two sets or more, without those of two sets that cannot reach the similarity there: most chance meetings end here.
+
+    The second table tells the keys left out: ``lost`` of each pair (a, b).
+    """
     held = F.struct("c", F.col("n").cast("long").alias("n"), F.col("i").cast("long").alias("i"))
     found = keys.groupBy("key").agg(F.count("*").alias("many"), F.min(held).alias("lo"), F.max(held).alias("hi")).filter("many > 1")
-    ends = found.select("key", "many", "lo.n", "lo.i", F.col("hi.n").alias("m"), F.col("hi.i").alias("j"))
-    return ends.filter((F.col("many") > 2) | _can_reach(num, den)).select("key")
+    ends = found.select("key", "many", F.col("lo.c").alias("a"), F.col("hi.c").alias("b"), "lo.n", "lo.i", F.col("hi.n").alias("m"), F.col("hi.i").alias("j"))
+    stays = F.when(F.col("many") > 2, True).otherwise(_can_reach(num, den))
+    seen = written(ends.select("key", "a", "b", stays.alias("stays")), "shared-keys")
+    return seen.filter("stays").select("key"), seen.filter("not stays").groupBy("a", "b").agg(F.count("*").alias("lost"))
 
 
 def _mixed(left: DataFrame, found: DataFrame, compared: DataFrame) -> DataFrame:
@@ -195,15 +243,16 @@ def _mixed(left: DataFrame, found: DataFrame, compared: DataFrame) -> DataFrame:
     return written(rest.join(mixed, "key"), "near-left")
 
 
-def links(keys: DataFrame, verify: Verify, near: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
+def links(keys: DataFrame, lost: DataFrame, verify: Verify, near: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
     """Pairs (a, b) of sets at num / den or more that form the same components as all such pairs.
 
     keys: ``key``, ``c``, ``n``, ``i`` (prefix shingle, set, its size, the shingle's place in it); near: pairs to compare
-    in the first round. In each of the first rounds a set is compared with one other only: of the sets under its keys,
+    in the first round; lost: how many keys of a pair are left out of keys. In each of the first rounds a set is compared with one other only: of the sets under its keys,
     one that has the fewest rarer shingles, which in a group of edited copies is the text that they were made of. A key
     whose sets are then all of one component is done, so groups of copies fall together in a number of comparisons
     linear in their sets. Of the keys that are left, all pairs of different components are compared that can reach the
-    similarity.
+    similarity by their lengths, by the place of a shared shingle and by the number of shingles that their prefixes share
+    (a key that both hold is left, or lost, or was dropped because they are of one component or were compared).
     """
     left, found = keys, near.limit(0)
     for k in range(max(1, rounds)):
@@ -219,20 +268,22 @@ def links(keys: DataFrame, verify: Verify, near: DataFrame, num: int, den: int,
         left = _mixed(left.select("key", "c", "n", "i"), found, pairs)
     one = left.select("key", F.col("c").alias("a"), "n", "i", F.col("root").alias("r"))
     two = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("q"))
-    pairs = one.join(two, "key").filter("a < b and r <> q").filter(_can_reach(num, den)).select("a", "b").distinct()
+    met = one.join(two, "key").filter("a < b and r <> q").groupBy("a", "b", "n", "m").agg(F.count("*").alias("both"), F.max(_can_reach(num, den)).alias("reach"))
+    met = met.filter("reach").join(lost, ["a", "b"], "left").withColumn("both", F.col("both") + F.coalesce("lost", F.lit(0)))
+    pairs = met.filter(_enough(num, den)).select("a", "b")
     return found.unionAll(verify(written(pairs, "near-pairs")))
 
 
 def linked(docs: DataFrame, rows: DataFrame, near: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
     """The id of every row of ``shingled`` and ``component_id``, the smallest id of its component; near: pairs (a, b) to be compared first."""
     keys = rows.select("c", "n", F.posexplode("keys").alias("i", "key"))
-    shared = written(_shared(keys, num, den), "shared-keys")
+    shared, lost = _shared(keys, num, den)
     hashed = F.col("key")
     maybe = marked(keys, hashed, bit_table(shared, hashed, FILTER_WORDS), FILTER_WORDS).filter("__maybe").select("key", "c", "n", "i")
     keys = written(maybe.join(shared, "key"), "near-keys")
 
     verify = verifier(docs, rows, text_col, width, num, den)
-    roots = components(links(keys, verify, near, num, den)).withColumnRenamed("node", "c")
+    roots = components(links(keys, lost, verify, near, num, den)).withColumnRenamed("node", "c")
     void = F.struct(F.col("id").isNull().alias("void"), "id")
     least = rows.select("c", "id").join(roots, "c")
     known = least.join(least.groupBy("root").agg(F.min(void).alias("first")), "root").select("c", "first")

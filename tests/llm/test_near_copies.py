@@ -73,3 +73,32 @@ def test_near_copies_of_odd_rows(spark):
     assert got == [(-1, 7), (3, 3), (4, 3), (7, 7), (9, 7), (9, 7)]
     assert simhash.near_copies(docs).count() == len(rows)
     assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_large_texts_and_crowds_of_one_text(spark, sf, monkeypatch):
+    """A text over a block, copies of it, and a text that leads more others than one copy of it serves; tiny blocks and groups."""
+    monkeypatch.setattr(jaccard, "TEXT_BYTES", 2000)
+    monkeypatch.setattr(jaccard, "FAN", 8)
+    rng = random.Random(5)
+    long = [f"l{k % 70_001}x{k}" for k in range(120_000)]
+    assert len(" ".join(long)) > 1 << 20
+    crowd = [f"c{k}" for k in range(90)]
+    texts = [" ".join(long), edited(rng, long, 900), edited(rng, long, 5000)]
+    texts += [edited(rng, crowd, 1) for _ in range(60)] + [edited(rng, crowd, 20) for _ in range(20)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in dict(pipeline.STAGES)["near_dedup"](spark, docs, sf).collect()}
+    assert got == kept(texts)
+
+
+def test_pairs_that_share_part_of_a_prefix(spark, sf):
+    """Pairs near the threshold among texts with common passages of all lengths: the number of shared rare shingles loses none."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(25):
+        words = [f"s{rng.randrange(400)}" for _ in range(rng.randrange(20, 120))]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            cut = rng.randrange(len(words) // 3 + 1)
+            texts.append(" ".join(words[cut:] + [f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(1 + len(words) // 6))]))
+    got = {r["doc_id"] for r in dict(pipeline.STAGES)["near_dedup"](spark, frame(spark, texts), sf).collect()}
+    assert got == kept(texts)
