@@ -243,6 +243,26 @@ def _mixed(left: DataFrame, found: DataFrame, compared: DataFrame) -> DataFrame:
     return written(rest.join(mixed, "key"), "near-left")
 
 
+def _near_roots(left: DataFrame, lost: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (r, q) of components with sets that may reach the similarity, by the bounds of ``links`` over the sizes and places of each one's sets.
+
+    A key holds a component once, so a group of copies under a common key is one row there.
+    """
+    held = left.groupBy("key", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("i").alias("at"))
+    held = written(held, "near-held")
+    one, two = (held.select("key", F.col("root").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("lo", "hi", "at"))) for x in "rq")
+    sizes = (F.col("hi_r") * den >= F.col("lo_q") * num) & (F.col("hi_q") * den >= F.col("lo_r") * num)
+    place = lambda x, y: F.col(f"hi_{x}") * den - F.col(f"at_{x}") * (num + den) >= F.col(f"lo_{y}") * num
+    ends = [F.min("lo_r").alias("lo_r"), F.max("hi_r").alias("hi_r"), F.min("lo_q").alias("lo_q"), F.max("hi_q").alias("hi_q")]
+    met = one.join(two, "key").filter((F.col("r") < F.col("q")) & sizes).groupBy("r", "q").agg(F.count("*").alias("both"), F.max(place("r", "q") & place("q", "r")).alias("reach"), *ends).filter("reach")
+    root = left.select("c", "root").distinct()
+    gone = lost.join(root.select(F.col("c").alias("a"), F.col("root").alias("x")), "a").join(root.select(F.col("c").alias("b"), F.col("root").alias("y")), "b")
+    gone = gone.groupBy(F.least("x", "y").alias("r"), F.greatest("x", "y").alias("q")).agg(F.sum("lost").alias("lost"))
+    both = (F.col("both") + F.coalesce("lost", F.lit(0))) * den * (num + den)
+    enough = lambda x, y: both + F.col(f"hi_{x}") * num * num >= F.col(f"lo_{y}") * num * den
+    return met.join(gone, ["r", "q"], "left").filter(enough("r", "q") | enough("q", "r")).select("r", "q")
+
+
 def links(keys: DataFrame, lost: DataFrame, verify: Verify, near: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
     """Pairs (a, b) of sets at num / den or more that form the same components as all such pairs.
 
@@ -250,7 +270,8 @@ def links(keys: DataFrame, lost: DataFrame, verify: Verify, near: DataFrame, num
     in the first round; lost: how many keys of a pair are left out of keys. In each of the first rounds a set is compared with one other only: of the sets under its keys,
     one that has the fewest rarer shingles, which in a group of edited copies is the text that they were made of. A key
     whose sets are then all of one component is done, so groups of copies fall together in a number of comparisons
-    linear in their sets. Of the keys that are left, all pairs of different components are compared that can reach the
+    linear in their sets. Of the keys that are left, pairs of different components meet once a key, and of those that may
+    be near by their sizes and the keys that they share, all pairs of sets are compared that can reach the
     similarity by their lengths, by the place of a shared shingle and by the number of shingles that their prefixes share
     (a key that both hold is left, or lost, or was dropped because they are of one component or were compared).
     """
@@ -266,11 +287,13 @@ def links(keys: DataFrame, lost: DataFrame, verify: Verify, near: DataFrame, num
         pairs = written(pairs.distinct(), "near-pairs")
         found = written(found.unionAll(verify(pairs)), "near-links")
         left = _mixed(left.select("key", "c", "n", "i"), found, pairs)
-    one = left.select("key", F.col("c").alias("a"), "n", "i", F.col("root").alias("r"))
+    near = written(_near_roots(left, lost, num, den), "near-roots-pairs")
+    one = left.select("key", F.col("c").alias("a"), "n", "i", F.col("root").alias("r")).join(near, "r")
     two = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("q"))
-    met = one.join(two, "key").filter("a < b and r <> q").groupBy("a", "b", "n", "m").agg(F.count("*").alias("both"), F.max(_can_reach(num, den)).alias("reach"))
-    met = met.filter("reach").join(lost, ["a", "b"], "left").withColumn("both", F.col("both") + F.coalesce("lost", F.lit(0)))
-    pairs = met.filter(_enough(num, den)).select("a", "b")
+    met = one.join(two, ["key", "q"]).groupBy("a", "b", "n", "m").agg(F.count("*").alias("both"), F.max(_can_reach(num, den)).alias("reach"))
+    either = lost.unionAll(lost.select(F.col("b").alias("a"), F.col("a").alias("b"), "lost"))
+    met = met.filter("reach").join(either, ["a", "b"], "left").withColumn("both", F.col("both") + F.coalesce("lost", F.lit(0)))
+    pairs = met.filter(_enough(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.unionAll(verify(written(pairs, "near-pairs")))
 
 
