@@ -17,7 +17,10 @@ from massloom.llm.queries import BYTE_BPE, BYTE_RANKS, GOOD
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labelled rows outside the held-out fold, scores below GOOD go."""
+    """Documents that the classifier, fitted on labelled rows outside the held-out fold, scores below GOOD go.
+
+    Null texts are scored as empty ones; rows that repeat are each scored; an empty table gives no rows.
+    """
     model = quality.train(docs, read(spark, sf_dir, "labels").filter(~quality.held_out()))
     return quality.keep(docs, model, GOOD)
 
@@ -50,7 +53,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in windows of 2048."""
+    """Pieces of token ids in windows of 2048. Null and empty texts are the end id alone; null ids stay; rows that repeat are each packed; an empty table gives no rows."""
     return packing.pack(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(BYTE_RANKS))
 
 
