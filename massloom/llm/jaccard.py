@@ -21,6 +21,8 @@ COMMON, BLOCK, ROUNDS = 200_000, 1 << 20, 1
 TEXT_BYTES, FAN = 4 << 20, 256
 FILTER_WORDS = 1 << 17
 SEED = 42
+#: Words of 64 bits of a set's bitmap.
+MAP_WORDS = 8
 
 
 def hashes(text: str, width: int) -> np.ndarray:
@@ -69,6 +71,12 @@ def _mapped(rows: DataFrame, schema: str | T.StructType, column: int, rows_of: C
     return rows.mapInArrow(run, schema)
 
 
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """A set as MAP_WORDS numbers: each shingle turns one bit over, so two bitmaps differ in at most as many bits as the sets in shingles."""
+    odd = np.bincount((values % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0] + [len(v) for v in values]).astype(np.int32)
     flat = np.concatenate(values) if values else np.empty(0, np.uint64)
@@ -132,20 +140,21 @@ def _said(text_col: str) -> Column:
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, print_of: Callable[[np.ndarray], int]) -> DataFrame:
-    """id, c (a number of the row), said (digest of the text), n (size of its set), fp (print_of its hashes) and keys (the prefix of its set)."""
+    """id, c (a number of the row), said (digest of the text), n (size of its set), fp (print_of its hashes), keys (the prefix of its set) and map (its bitmap)."""
     names, counts = common(docs, text_col, width)
-    kinds = [("id", docs.schema[id_col].dataType), ("c", T.LongType()), ("said", T.BinaryType()), ("n", T.LongType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
+    kinds = [("id", docs.schema[id_col].dataType), ("c", T.LongType()), ("said", T.BinaryType()), ("n", T.LongType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType())), ("map", T.ArrayType(T.LongType()))]
 
     def rows_of(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
-        prints, sizes, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), []
+        prints, sizes, keys, maps = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), [], []
         for k, text in enumerate(batch.column(2)):
             values = hashes(text.as_py(), width)
             prints[k] = print_of(values) if len(values) else 0
             values = shingles(values)
             sizes[k] = len(values)
             keys.append(_prefix(values, names, counts, num, den))
+            maps.append(bitmap(values))
         numbers = pa.array(np.arange(at, at + batch.num_rows, dtype=np.int64))
-        return pa.RecordBatch.from_arrays([batch.column(0), numbers, batch.column(1), pa.array(sizes), pa.array(prints.view(np.int64)), _lists(keys)], [n for n, _ in kinds])
+        return pa.RecordBatch.from_arrays([batch.column(0), numbers, batch.column(1), pa.array(sizes), pa.array(prints.view(np.int64)), _lists(keys), _lists(maps)], [n for n, _ in kinds])
 
     told = docs.select(F.col(id_col).alias("id"), _said(text_col).alias("said"), text_or_empty(text_col).alias("text"))
     return _mapped(told, T.StructType([T.StructField(*k) for k in kinds]), 2, rows_of)
@@ -243,18 +252,35 @@ def _mixed(left: DataFrame, found: DataFrame, compared: DataFrame) -> DataFrame:
     return written(rest.join(mixed, "key"), "near-left")
 
 
+MAP = [f"x{k}" for k in range(MAP_WORDS)]
+
+
+def _differ(words: list[Column]) -> Column:
+    return sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
+
+
+def _few(differ: Column, n: Column, m: Column, num: int, den: int) -> Column:
+    """Bound of two sets of at most n and m shingles that differ in ``differ`` ones at least."""
+    return differ * (num + den) <= (n + m) * (den - num)
+
+
 def _near_roots(left: DataFrame, lost: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (r, q) of components with sets that may reach the similarity, by the bounds of ``links`` over the sizes and places of each one's sets.
+    """Pairs (r, q) of components with sets that may reach the similarity, by the bounds of ``links`` over the sizes, places and bitmaps of each one's sets.
 
-    A key holds a component once, so a group of copies under a common key is one row there.
+    A key holds a component once, so a group of copies under a common key is one row there. Of a component's bitmaps
+    there are the bits that all have and those that some have: a bit that all of one have and none of the other differs
+    in every pair of their sets.
     """
-    held = left.groupBy("key", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("i").alias("at"))
+    every, some = ([f"{w}{c}" for c in MAP] for w in ("all_", "any_"))
+    held = left.groupBy("key", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("i").alias("at"), *(F.bit_and(c).alias(e) for c, e in zip(MAP, every, strict=True)), *(F.bit_or(c).alias(e) for c, e in zip(MAP, some, strict=True)))
     held = written(held, "near-held")
-    one, two = (held.select("key", F.col("root").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("lo", "hi", "at"))) for x in "rq")
+    one, two = (held.select("key", F.col("root").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("lo", "hi", "at", *every, *some))) for x in "rq")
+    apart = lambda x, y: [F.col(f"{e}_{x}").bitwiseAND(F.bitwise_not(f"{s}_{y}")) for e, s in zip(every, some, strict=True)]
+    few = _few(_differ(apart("r", "q") + apart("q", "r")), F.col("hi_r"), F.col("hi_q"), num, den)
     sizes = (F.col("hi_r") * den >= F.col("lo_q") * num) & (F.col("hi_q") * den >= F.col("lo_r") * num)
     place = lambda x, y: F.col(f"hi_{x}") * den - F.col(f"at_{x}") * (num + den) >= F.col(f"lo_{y}") * num
     ends = [F.min("lo_r").alias("lo_r"), F.max("hi_r").alias("hi_r"), F.min("lo_q").alias("lo_q"), F.max("hi_q").alias("hi_q")]
-    met = one.join(two, "key").filter((F.col("r") < F.col("q")) & sizes).groupBy("r", "q").agg(F.count("*").alias("both"), F.max(place("r", "q") & place("q", "r")).alias("reach"), *ends).filter("reach")
+    met = one.join(two, "key").filter((F.col("r") < F.col("q")) & sizes & few).groupBy("r", "q").agg(F.count("*").alias("both"), F.max(place("r", "q") & place("q", "r")).alias("reach"), *ends).filter("reach")
     root = left.select("c", "root").distinct()
     gone = lost.join(root.select(F.col("c").alias("a"), F.col("root").alias("x")), "a").join(root.select(F.col("c").alias("b"), F.col("root").alias("y")), "b")
     gone = gone.groupBy(F.least("x", "y").alias("r"), F.greatest("x", "y").alias("q")).agg(F.sum("lost").alias("lost"))
@@ -263,16 +289,18 @@ def _near_roots(left: DataFrame, lost: DataFrame, num: int, den: int) -> DataFra
     return met.join(gone, ["r", "q"], "left").filter(enough("r", "q") | enough("q", "r")).select("r", "q")
 
 
-def links(keys: DataFrame, lost: DataFrame, verify: Verify, near: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
+def links(keys: DataFrame, lost: DataFrame, maps: DataFrame, verify: Verify, near: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
     """Pairs (a, b) of sets at num / den or more that form the same components as all such pairs.
 
     keys: ``key``, ``c``, ``n``, ``i`` (prefix shingle, set, its size, the shingle's place in it); near: pairs to compare
-    in the first round; lost: how many keys of a pair are left out of keys. In each of the first rounds a set is compared with one other only: of the sets under its keys,
-    one that has the fewest rarer shingles, which in a group of edited copies is the text that they were made of. A key
-    whose sets are then all of one component is done, so groups of copies fall together in a number of comparisons
-    linear in their sets. Of the keys that are left, pairs of different components meet once a key, and of those that may
-    be near by their sizes and the keys that they share, all pairs of sets are compared that can reach the
-    similarity by their lengths, by the place of a shared shingle and by the number of shingles that their prefixes share
+    in the first round; lost: how many keys of a pair are left out of keys; maps: ``c`` and the words of its bitmap. In
+    each of the first rounds a set is compared with one other only: of the sets under its keys, one that has the fewest
+    rarer shingles, which in a group of edited copies is the text that they were made of. A key whose sets are then all
+    of one component is done, so groups of copies fall together in a number of comparisons linear in their sets. Of the
+    keys that are left, pairs of different components meet once a key, and of those that may be near by their sizes,
+    their bitmaps and the keys that they share, all pairs of sets are compared that can reach the similarity by their
+    lengths, by their bitmaps (near sets differ in few shingles, so in few bits), by the place of a shared shingle and by
+    the number of shingles that their prefixes share
     (a key that both hold is left, or lost, or was dropped because they are of one component or were compared).
     """
     left, found = keys, near.limit(0)
@@ -287,10 +315,13 @@ def links(keys: DataFrame, lost: DataFrame, verify: Verify, near: DataFrame, num
         pairs = written(pairs.distinct(), "near-pairs")
         found = written(found.unionAll(verify(pairs)), "near-links")
         left = _mixed(left.select("key", "c", "n", "i"), found, pairs)
+    left = written(left.join(maps, "c"), "near-mapped")
     near = written(_near_roots(left, lost, num, den), "near-roots-pairs")
-    one = left.select("key", F.col("c").alias("a"), "n", "i", F.col("root").alias("r")).join(near, "r")
-    two = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("q"))
-    met = one.join(two, ["key", "q"]).groupBy("a", "b", "n", "m").agg(F.count("*").alias("both"), F.max(_can_reach(num, den)).alias("reach"))
+    one = left.select("key", F.col("c").alias("a"), "n", "i", F.col("root").alias("r"), *MAP).join(near, "r")
+    two = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("q"), *(F.col(c).alias(f"y{c}") for c in MAP))
+    long = F.least("n", "m") * den >= F.greatest("n", "m") * num
+    few = _few(_differ([F.col(c).bitwiseXOR(F.col(f"y{c}")) for c in MAP]), F.col("n"), F.col("m"), num, den)
+    met = one.join(two, ["key", "q"]).filter(long & few).groupBy("a", "b", "n", "m").agg(F.count("*").alias("both"), F.max(_can_reach(num, den)).alias("reach"))
     either = lost.unionAll(lost.select(F.col("b").alias("a"), F.col("a").alias("b"), "lost"))
     met = met.filter("reach").join(either, ["a", "b"], "left").withColumn("both", F.col("both") + F.coalesce("lost", F.lit(0)))
     pairs = met.filter(_enough(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -306,7 +337,8 @@ def linked(docs: DataFrame, rows: DataFrame, near: DataFrame, id_col: str, text_
     keys = written(maybe.join(shared, "key"), "near-keys")
 
     verify = verifier(docs, rows, text_col, width, num, den)
-    roots = components(links(keys, lost, verify, near, num, den)).withColumnRenamed("node", "c")
+    maps = rows.select("c", *(F.col("map")[k].alias(c) for k, c in enumerate(MAP)))
+    roots = components(links(keys, lost, maps, verify, near, num, den)).withColumnRenamed("node", "c")
     void = F.struct(F.col("id").isNull().alias("void"), "id")
     least = rows.select("c", "id").join(roots, "c")
     known = least.join(least.groupBy("root").agg(F.min(void).alias("first")), "root").select("c", "first")

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as pipeline
+import numpy as np
 import pytest
 from massloom.llm import jaccard, simhash
 
@@ -102,3 +103,13 @@ def test_pairs_that_share_part_of_a_prefix(spark, sf):
             texts.append(" ".join(words[cut:] + [f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(1 + len(words) // 6))]))
     got = {r["doc_id"] for r in dict(pipeline.STAGES)["near_dedup"](spark, frame(spark, texts), sf).collect()}
     assert got == kept(texts)
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 40, 900, 20_000):
+        every = np.unique(rng.integers(0, 2**64, 2 * n, np.uint64))
+        one, two = every[: n + n // 2], every[n // 4 :]
+        apart = sum(int(x).bit_count() for x in jaccard.bitmap(one) ^ jaccard.bitmap(two))
+        assert jaccard.bitmap(one).shape == (jaccard.MAP_WORDS,)
+        assert apart <= len(np.setxor1d(one, two)) and (apart == 0) == (len(np.setxor1d(one, two)) == 0)
