@@ -265,7 +265,7 @@ def _few(differ: Column, n: Column, m: Column, num: int, den: int) -> Column:
 
 
 def _near_roots(left: DataFrame, lost: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (r, q) of components with sets that may reach the similarity, by the bounds of ``links`` over the sizes, places and bitmaps of each one's sets.
+    """key, r, q: the keys of pairs of components with sets that may reach the similarity, by the bounds of ``links`` over the sizes, places and bitmaps of each one's sets.
 
     A key holds a component once, so a group of copies under a common key is one row there. Of a component's bitmaps
     there are the bits that all have and those that some have: a bit that all of one have and none of the other differs
@@ -280,13 +280,16 @@ def _near_roots(left: DataFrame, lost: DataFrame, num: int, den: int) -> DataFra
     sizes = (F.col("hi_r") * den >= F.col("lo_q") * num) & (F.col("hi_q") * den >= F.col("lo_r") * num)
     place = lambda x, y: F.col(f"hi_{x}") * den - F.col(f"at_{x}") * (num + den) >= F.col(f"lo_{y}") * num
     ends = [F.min("lo_r").alias("lo_r"), F.max("hi_r").alias("hi_r"), F.min("lo_q").alias("lo_q"), F.max("hi_q").alias("hi_q")]
-    met = one.join(two, "key").filter((F.col("r") < F.col("q")) & sizes & few).groupBy("r", "q").agg(F.count("*").alias("both"), F.max(place("r", "q") & place("q", "r")).alias("reach"), *ends).filter("reach")
+    under = one.join(two, "key").filter((F.col("r") < F.col("q")) & sizes & few)
+    under = written(under.select("key", "r", "q", *(f"{c}_{x}" for x in "rq" for c in ("lo", "hi", "at"))), "near-under")
+    met = under.groupBy("r", "q").agg(F.count("*").alias("both"), F.max(place("r", "q") & place("q", "r")).alias("reach"), *ends).filter("reach")
     root = left.select("c", "root").distinct()
     gone = lost.join(root.select(F.col("c").alias("a"), F.col("root").alias("x")), "a").join(root.select(F.col("c").alias("b"), F.col("root").alias("y")), "b")
     gone = gone.groupBy(F.least("x", "y").alias("r"), F.greatest("x", "y").alias("q")).agg(F.sum("lost").alias("lost"))
     both = (F.col("both") + F.coalesce("lost", F.lit(0))) * den * (num + den)
     enough = lambda x, y: both + F.col(f"hi_{x}") * num * num >= F.col(f"lo_{y}") * num * den
-    return met.join(gone, ["r", "q"], "left").filter(enough("r", "q") | enough("q", "r")).select("r", "q")
+    near = met.join(gone, ["r", "q"], "left").filter(enough("r", "q") | enough("q", "r")).select("r", "q")
+    return under.select("key", "r", "q").join(near, ["r", "q"], "left_semi")
 
 
 def links(keys: DataFrame, lost: DataFrame, maps: DataFrame, verify: Verify, near: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
@@ -317,7 +320,7 @@ def links(keys: DataFrame, lost: DataFrame, maps: DataFrame, verify: Verify, nea
         left = _mixed(left.select("key", "c", "n", "i"), found, pairs)
     left = written(left.join(maps, "c"), "near-mapped")
     near = written(_near_roots(left, lost, num, den), "near-roots-pairs")
-    one = left.select("key", F.col("c").alias("a"), "n", "i", F.col("root").alias("r"), *MAP).join(near, "r")
+    one = left.select("key", F.col("c").alias("a"), "n", "i", F.col("root").alias("r"), *MAP).join(near, ["key", "r"])
     two = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("q"), *(F.col(c).alias(f"y{c}") for c in MAP))
     long = F.least("n", "m") * den >= F.greatest("n", "m") * num
     few = _few(_differ([F.col(c).bitwiseXOR(F.col(f"y{c}")) for c in MAP]), F.col("n"), F.col("m"), num, den)
