@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from massloom.llm.common import bit_table, by_class, marked, text_or_empty, word_lists, written
 from massloom.llm.components import components
+from massloom.llm.tokens import let_go, tidied
 
 #: Common shingles that tasks know the counts of, shingles that a task counts at once, and rounds before all pairs are compared.
 COMMON, BLOCK, ROUNDS = 200_000, 1 << 20, 1
@@ -68,7 +69,7 @@ def _mapped(rows: DataFrame, schema: str | T.StructType, column: int, rows_of: C
                 yield rows_of(part, number)
                 number += part.num_rows
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -108,7 +109,7 @@ def common(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.n
         if held:
             yield counted()
 
-    said = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "s long, n long")
+    said = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(tidied(run), "s long, n long")
     totals = written(said.groupBy("s").agg(F.sum("n").alias("n")), "common-shingles")
     # The least count of which at most COMMON shingles are: a table of counts, which are few.
     upto = totals.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).limit(COMMON).collect()
@@ -121,6 +122,7 @@ def common(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.n
     found = totals.filter(F.col("n") >= (least or 1 << 62)).toArrow()
     names, counts = (found.column(c).to_numpy() for c in ("s", "n"))
     order = np.argsort(names.view(np.uint64))
+    let_go()
     return names[order].view(np.uint64), counts[order]
 
 
@@ -210,7 +212,7 @@ def verifier(docs: DataFrame, rows: DataFrame, text_col: str, width: int, num: i
         if repeated:
             texts = texts.dropDuplicates(["said"])
         groups = sides.join(texts.hint("shuffle_merge"), "said").repartition("lead", "part").sortWithinPartitions("lead", "part", F.desc("leads"))
-        return groups.select("leads", "text", "a", "b").mapInArrow(_compared(width, num, den), "a long, b long")
+        return groups.select("leads", "text", "a", "b").mapInArrow(tidied(_compared(width, num, den)), "a long, b long")
 
     return verify
 
@@ -264,32 +266,62 @@ def _few(differ: Column, n: Column, m: Column, num: int, den: int) -> Column:
     return differ * (num + den) <= (n + m) * (den - num)
 
 
-def _near_roots(left: DataFrame, lost: DataFrame, num: int, den: int) -> DataFrame:
-    """key, r, q: the keys of pairs of components with sets that may reach the similarity, by the bounds of ``links`` over the sizes, places and bitmaps of each one's sets.
+def _near_roots(left: DataFrame, sets: DataFrame, lost: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of components (r, q) with sets that may reach the similarity, by the bounds of ``links`` over the sizes, places and bitmaps of each one's sets.
+
+    First the pairs with at most as many pairs of their sets as these meet under the keys, then key, r, q of the others.
 
     A key holds a component once, so a group of copies under a common key is one row there. Of a component's bitmaps
     there are the bits that all have and those that some have: a bit that all of one have and none of the other differs
     in every pair of their sets.
     """
     every, some = ([f"{w}{c}" for c in MAP] for w in ("all_", "any_"))
-    held = left.groupBy("key", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("i").alias("at"), *(F.bit_and(c).alias(e) for c, e in zip(MAP, every, strict=True)), *(F.bit_or(c).alias(e) for c, e in zip(MAP, some, strict=True)))
+    held = left.groupBy("key", "root").agg(F.count("*").alias("many"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("i").alias("at"), *(F.bit_and(c).alias(e) for c, e in zip(MAP, every, strict=True)), *(F.bit_or(c).alias(e) for c, e in zip(MAP, some, strict=True)))
     held = written(held, "near-held")
-    one, two = (held.select("key", F.col("root").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("lo", "hi", "at", *every, *some))) for x in "rq")
+    one, two = (held.select("key", F.col("root").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("many", "lo", "hi", "at", *every, *some))) for x in "rq")
     apart = lambda x, y: [F.col(f"{e}_{x}").bitwiseAND(F.bitwise_not(f"{s}_{y}")) for e, s in zip(every, some, strict=True)]
     few = _few(_differ(apart("r", "q") + apart("q", "r")), F.col("hi_r"), F.col("hi_q"), num, den)
     sizes = (F.col("hi_r") * den >= F.col("lo_q") * num) & (F.col("hi_q") * den >= F.col("lo_r") * num)
     place = lambda x, y: F.col(f"hi_{x}") * den - F.col(f"at_{x}") * (num + den) >= F.col(f"lo_{y}") * num
     ends = [F.min("lo_r").alias("lo_r"), F.max("hi_r").alias("hi_r"), F.min("lo_q").alias("lo_q"), F.max("hi_q").alias("hi_q")]
     under = one.join(two, "key").filter((F.col("r") < F.col("q")) & sizes & few)
-    under = written(under.select("key", "r", "q", *(f"{c}_{x}" for x in "rq" for c in ("lo", "hi", "at"))), "near-under")
-    met = under.groupBy("r", "q").agg(F.count("*").alias("both"), F.max(place("r", "q") & place("q", "r")).alias("reach"), *ends).filter("reach")
-    root = left.select("c", "root").distinct()
+    under = written(under.select("key", "r", "q", *(f"{c}_{x}" for x in "rq" for c in ("many", "lo", "hi", "at"))), "near-under")
+    met = under.groupBy("r", "q").agg(F.count("*").alias("both"), F.sum(F.col("many_r") * F.col("many_q")).alias("meet"), F.max(place("r", "q") & place("q", "r")).alias("reach"), *ends).filter("reach")
+    root = sets.select("c", "root")
     gone = lost.join(root.select(F.col("c").alias("a"), F.col("root").alias("x")), "a").join(root.select(F.col("c").alias("b"), F.col("root").alias("y")), "b")
     gone = gone.groupBy(F.least("x", "y").alias("r"), F.greatest("x", "y").alias("q")).agg(F.sum("lost").alias("lost"))
     both = (F.col("both") + F.coalesce("lost", F.lit(0))) * den * (num + den)
     enough = lambda x, y: both + F.col(f"hi_{x}") * num * num >= F.col(f"lo_{y}") * num * den
-    near = met.join(gone, ["r", "q"], "left").filter(enough("r", "q") | enough("q", "r")).select("r", "q")
-    return under.select("key", "r", "q").join(near, ["r", "q"], "left_semi")
+    near = met.join(gone, ["r", "q"], "left").filter(enough("r", "q") | enough("q", "r"))
+    size = lambda x: sets.groupBy(F.col("root").alias(x)).agg(F.count("*").alias(f"size_{x}"))
+    near = near.join(size("r"), "r").join(size("q"), "q").select("r", "q", (F.col("size_r") * F.col("size_q") <= F.col("meet")).alias("whole"))
+    near = written(near, "near-roots-pairs")
+    return near.filter("whole").select("r", "q"), under.select("key", "r", "q").join(near.filter("not whole"), ["r", "q"], "left_semi")
+
+
+def _candidates(left: DataFrame, maps: DataFrame, lost: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that may reach the similarity; left: key, c, n, i, root.
+
+    The sets of two components share most of their keys, so they would meet once a key. All their pairs are listed once
+    instead, without the keys, unless the components are so large and meet under so few keys that these list fewer.
+    """
+    sets = written(left.select("c", "n", "root").distinct().join(maps, "c"), "near-sets")
+    left = written(left.join(sets.select("c", *MAP), "c"), "near-mapped")
+    whole, keyed = _near_roots(left, sets, lost, num, den)
+    keyed = written(keyed, "near-keyed")
+    one = lambda t, *more: t.select(*more, F.col("c").alias("a"), "n", F.col("root").alias("r"), *MAP)
+    two = lambda t, *more: t.select(*(F.col(c).alias({"i": "j"}.get(c, c)) for c in more), F.col("c").alias("b"), F.col("n").alias("m"), F.col("root").alias("q"), *(F.col(c).alias(f"y{c}") for c in MAP))
+    long = F.least("n", "m") * den >= F.greatest("n", "m") * num
+    few = _few(_differ([F.col(c).bitwiseXOR(F.col(f"y{c}")) for c in MAP]), F.col("n"), F.col("m"), num, den)
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pairs = one(sets).join(whole, "r").join(two(sets), "q").filter(long & few).select(*ends)
+    if keyed.isEmpty():
+        return pairs
+    met = one(left, "key", "i").join(keyed, ["key", "r"]).join(two(left, "key", "i"), ["key", "q"]).filter(long & few)
+    met = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("both"), F.max(_can_reach(num, den)).alias("reach"))
+    either = lost.unionAll(lost.select(F.col("b").alias("a"), F.col("a").alias("b"), "lost"))
+    met = met.filter("reach").join(either, ["a", "b"], "left").withColumn("both", F.col("both") + F.coalesce("lost", F.lit(0)))
+    return pairs.unionAll(met.filter(_enough(num, den)).select(*ends))
 
 
 def links(keys: DataFrame, lost: DataFrame, maps: DataFrame, verify: Verify, near: DataFrame, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
@@ -302,8 +334,9 @@ def links(keys: DataFrame, lost: DataFrame, maps: DataFrame, verify: Verify, nea
     of one component is done, so groups of copies fall together in a number of comparisons linear in their sets. Of the
     keys that are left, pairs of different components meet once a key, and of those that may be near by their sizes,
     their bitmaps and the keys that they share, all pairs of sets are compared that can reach the similarity by their
-    lengths, by their bitmaps (near sets differ in few shingles, so in few bits), by the place of a shared shingle and by
-    the number of shingles that their prefixes share
+    lengths and by their bitmaps (near sets differ in few shingles, so in few bits). Pairs are listed once for two
+    components, or, of those that meet under few keys, once a key; then the place of a shared shingle and the number of
+    shingles that their prefixes share tell too
     (a key that both hold is left, or lost, or was dropped because they are of one component or were compared).
     """
     left, found = keys, near.limit(0)
@@ -318,16 +351,7 @@ def links(keys: DataFrame, lost: DataFrame, maps: DataFrame, verify: Verify, nea
         pairs = written(pairs.distinct(), "near-pairs")
         found = written(found.unionAll(verify(pairs)), "near-links")
         left = _mixed(left.select("key", "c", "n", "i"), found, pairs)
-    left = written(left.join(maps, "c"), "near-mapped")
-    near = written(_near_roots(left, lost, num, den), "near-roots-pairs")
-    one = left.select("key", F.col("c").alias("a"), "n", "i", F.col("root").alias("r"), *MAP).join(near, ["key", "r"])
-    two = left.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("q"), *(F.col(c).alias(f"y{c}") for c in MAP))
-    long = F.least("n", "m") * den >= F.greatest("n", "m") * num
-    few = _few(_differ([F.col(c).bitwiseXOR(F.col(f"y{c}")) for c in MAP]), F.col("n"), F.col("m"), num, den)
-    met = one.join(two, ["key", "q"]).filter(long & few).groupBy("a", "b", "n", "m").agg(F.count("*").alias("both"), F.max(_can_reach(num, den)).alias("reach"))
-    either = lost.unionAll(lost.select(F.col("b").alias("a"), F.col("a").alias("b"), "lost"))
-    met = met.filter("reach").join(either, ["a", "b"], "left").withColumn("both", F.col("both") + F.coalesce("lost", F.lit(0)))
-    pairs = met.filter(_enough(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = _candidates(left, maps, lost, num, den)
     return found.unionAll(verify(written(pairs, "near-pairs")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massloom.llm.common import word_lists
-from massloom.llm.tokens import let_go
+from massloom.llm.tokens import let_go, tidied
 
 #: Labelled rows that a fit reads at most (those with the smallest hashes of their ids), and hashed features.
 MOST_ROWS, BUCKETS = 10_000, 1 << 18
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("label", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-    rows = sample.select("__id", "__text", "__label").mapInArrow(run, schema).drop("id").toArrow()  # bounded by ``most``
+    rows = sample.select("__id", "__text", "__label").mapInArrow(tidied(run), schema).drop("id").toArrow()  # bounded by ``most``
     good = np.array(rows.column("label").to_pylist(), np.int64) > 0
     ids = [np.frombuffer(v.as_buffer(), "<i4") for v in rows.column("ids")]  # views, no copies
     order = sorted(range(len(ids)), key=lambda i: (hashlib.sha256(ids[i]).digest(), good[i]))  # the same model however the rows arrive
@@ -143,7 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         share = float(good.mean()) if len(good) else 0.5
         share = min(max(share, 0.01), 0.99)
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS + 1), 1.0, float(np.log(share / (1 - share))))
-    return fit(ids, good)
+    model = fit(ids, good)
+    del rows, ids, good
+    let_go()  # the driver goes on with the model alone
+    return model
 
 
 def scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,12 +155,11 @@ def scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         for batch in batches:
             found = [held.value.score(features(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], [id_col, "score"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def keep(docs: DataFrame, model: Model, least: float, *, text_col: str = "text") -> DataFrame:
@@ -166,12 +168,11 @@ def keep(docs: DataFrame, model: Model, least: float, *, text_col: str = "text")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         for batch in batches:
             mask = [held.value.score(features(t.as_py() or "")) >= least for t in batch.column(at)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
+from collections.abc import Callable, Iterator
 
 #: Letters, digits, marks and blanks that every Unicode version classes alike.
 PLAIN = "\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-žА-я€‐-‧‰-⁕"
@@ -152,6 +153,17 @@ def let_go(encoders: bool = True) -> None:
         trim(0)
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a task's function of batches, in a worker process that lets go of other tasks' memory before it and of its own after it."""
+
+    def within(batches: Iterator) -> Iterator:
+        let_go()
+        yield from run(batches)
+        let_go()
+
+    return within
+
+
 def encoder(kind: type, *args: str):
     """One encoder for each worker process, so that its cache serves all of the worker's tasks."""
     key = (kind.__name__, *args)

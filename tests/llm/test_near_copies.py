@@ -113,3 +113,19 @@ def test_bitmaps_differ_in_no_more_bits_than_sets_in_shingles():
         apart = sum(int(x).bit_count() for x in jaccard.bitmap(one) ^ jaccard.bitmap(two))
         assert jaccard.bitmap(one).shape == (jaccard.MAP_WORDS,)
         assert apart <= len(np.setxor1d(one, two)) and (apart == 0) == (len(np.setxor1d(one, two)) == 0)
+
+
+def test_sets_of_two_components_meet_once(spark, monkeypatch):
+    """40 sets and one share 60 keys: 40 pairs are listed, not 40 a key. Two large components that meet in one key list that key's pairs only."""
+    listed = []
+    monkeypatch.setattr(jaccard, "written", lambda df, name: listed.append((name, df.localCheckpoint())) or listed[-1][1])
+    shared = list(range(60))
+    rows = [(k, c, 300, k, 0) for c in range(40) for k in shared] + [(k, 1000, 300, k, 1000) for k in shared]
+    rows += [(500 + c // 9, c, 9, 0, 2000) for c in range(2000, 2018)] + [(600 + c // 9, c, 9, 0, 3000) for c in range(3000, 3018)] + [(700, 2000, 9, 0, 2000), (700, 3000, 9, 0, 3000)]
+    left = spark.createDataFrame(rows, "key long, c long, n long, i long, root long")
+    maps = left.select("c").distinct().selectExpr("c", *(f"0L as {w}" for w in jaccard.MAP))
+    lost = spark.createDataFrame([], "a long, b long, lost long")
+    got = sorted(tuple(r) for r in jaccard._candidates(left, maps, lost, 4, 5).collect())
+    assert got == [(c, 1000) for c in range(40)] + [(2000, 3000)]
+    found = {name: df for name, df in listed}
+    assert [tuple(r) for r in found["near-keyed"].select("key", "r", "q").collect()] == [(700, 2000, 3000)]
