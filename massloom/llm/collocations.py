@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,44 +67,89 @@ def _numbers(words: list[bytes | None]) -> tuple[np.ndarray, list[bytes | None]]
     return ids, list(known)
 
 
-def _pairs(lang: str, ids: np.ndarray, names: list[bytes | None]) -> np.ndarray:
-    """A hash of each two neighbouring words; where a piece ends it means nothing."""
+def _single(lang: str, names: list[bytes | None]) -> np.ndarray:
+    """A hash of each word of the language."""
     import xxhash
 
     said = lang.encode("utf-8", "surrogatepass") + b"\0"
-    h = np.fromiter((xxhash.xxh3_64_intdigest(said + (w or b"")) for w in names), np.uint64, len(names))
-    mixed = h[ids[:-1]] * np.uint64(0x9E3779B97F4A7C15) + h[ids[1:]]
+    return np.fromiter((xxhash.xxh3_64_intdigest(said + (w or b"")) for w in names), np.uint64, len(names))
+
+
+def _longer(phrase: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one more word each."""
+    mixed = phrase * np.uint64(0x9E3779B97F4A7C15) + last
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def frequent_pairs(texts: DataFrame, least: int) -> DataFrame:
-    """h: hashes under which at least ``least`` neighbouring words stand. Every pair that is so frequent is among them."""
+Counts = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def _frequent(texts: DataFrame, counts: Counts, least: int) -> DataFrame:
+    """h: the hashes that the tasks' counts (hashes and their numbers, by parts) sum to ``least`` or more of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values, n in counts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
+
+
+def frequent_pairs(texts: DataFrame, least: int) -> DataFrame:
+    """h: hashes under which at least ``least`` words or two neighbouring ones stand. Every word and pair that is so frequent is among them."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for lang, words in blocks(batches, 1):
             ids, names = _numbers(words)
+            h, n = _single(lang, names), np.bincount(ids[:-1], minlength=len(names))
+            said = np.flatnonzero(n[1:]) + 1
+            yield h[said], n[said]
             inside = (ids[:-1] > 0) & (ids[1:] > 0)
-            values, n = np.unique(_pairs(lang, ids, names)[inside], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            yield np.unique(_longer(h[ids[:-1]], h[ids[1:]])[inside], return_counts=True)
 
-    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
+    return _frequent(texts, counts, least)
 
 
-def windows(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """lang, w1 to w4 (lead columns) and n: the windows that begin at each word, counted by parts of the input.
+def frequent_triples(texts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """h: hashes under which at least ``least`` three neighbouring words stand; of those over pairs that are frequent, every triple that is so too is among them."""
+    held = _filter(pairs)
 
-    A window is padded with nulls from where its piece ends, and from the first pair of neighbours that is not frequent:
-    no phrase over such a pair is. The pairs reach the tasks as a bit filter of a size that follows their number, up to
-    32 MB; beyond some 10^8 pairs it lets more windows through whole and loses none.
-    """
-    size, many = LEAST_FILTER, pairs.count()
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lang, words in blocks(batches, 2):
+            ids, names = _numbers(words)
+            h = _single(lang, names)
+            two = _longer(h[ids[:-1]], h[ids[1:]])
+            on = _often(held.value, two) & (ids[:-1] > 0) & (ids[1:] > 0)
+            yield np.unique(_longer(two[:-1], h[ids[2:]])[on[:-1] & on[1:]], return_counts=True)
+
+    return _frequent(texts, counts, least)
+
+
+def _filter(hashes: DataFrame) -> Broadcast:
+    """A bit filter of the hashes, of a size that follows their number, up to 32 MB."""
+    size, many = LEAST_FILTER, hashes.count()
     while size < MOST_FILTER and size * 4 < many:
         size *= 2
-    rows = bit_table(pairs, F.col("h"), size).toArrow()  # at most ``size`` rows
+    rows = bit_table(hashes, F.col("h"), size).toArrow()  # at most ``size`` rows
     bits = np.zeros(size, np.uint64)
     bits[np.asarray(rows.column("word"), np.int64)] = np.asarray(rows.column("bits"), np.int64).view(np.uint64)
-    held = texts.sparkSession.sparkContext.broadcast(bits)
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
+
+def _often(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash is perhaps in the filter."""
+    at = h & np.uint64(64 * len(table) - 1)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def windows(texts: DataFrame, frequent: DataFrame) -> DataFrame:
+    """lang, w1 to w4 (lead columns) and n: the windows that begin at each word, counted by parts of the input.
+
+    A window is padded with nulls from where its piece ends, and from the first word, pair or triple of neighbours that
+    is not frequent: no phrase over such a one is. These reach the tasks as one bit filter of their hashes, of up to
+    32 MB; beyond some 10^8 hashes it lets more windows through whole and loses none.
+    """
+    held = _filter(frequent)
     columns = ["lang", *(f"w{k + 1}" for k in range(ORDER)), "n"]
 
     def told(lang: str, names: pa.Array, ids: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
@@ -115,16 +161,19 @@ def windows(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         for lang, words in blocks(batches, ORDER - 1):
             ids, words = _numbers(words)
             m = len(ids) - ORDER + 1
-            h = _pairs(lang, ids, words)
-            at = h & np.uint64(64 * len(table) - 1)
-            often = (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-            often &= (ids[:-1] > 0) & (ids[1:] > 0)
+            h = _single(lang, words)
+            two = _longer(h[ids[:-1]], h[ids[1:]])
+            often = _often(table, two) & (ids[:-1] > 0) & (ids[1:] > 0)
+            three = _often(table, _longer(two[:-1], h[ids[2:]])) & often[:-1] & often[1:]
             names, lead, on = pa.array(words, pa.binary()).cast(pa.string()), [ids[:m]], ids[:m] > 0
             for k in range(1, ORDER):
-                on = on & often[k - 1 : k - 1 + m]
+                on = on & (often[:m] if k == 1 else three[k - 2 : k - 2 + m])
                 lead.append(np.where(on, ids[k : k + m], 0))
             single = (lead[0] > 0) & (lead[1] == 0)
             n = np.bincount(lead[0][single], minlength=len(words))
+            known = _often(table, h)
+            n[0], known[0] = n[~known].sum(), True  # words that are rare count for their language alone
+            n[~known] = 0
             alone = np.flatnonzero(n)
             yield told(lang, names, [alone] + [np.zeros(len(alone), np.int64)] * (ORDER - 1), n[alone])
             code = np.zeros(1, np.int64)
@@ -141,12 +190,14 @@ def windows(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def phrases(texts: DataFrame, least: int) -> DataFrame:
     """lang, size, words, phrase and f: every phrase of 1 to 4 words with f >= ``least`` occurrences in its language, and with size 0 the number of all its words.
 
-    The windows are counted by one ROLLUP: its levels are the windows' prefixes, so each phrase's count is the sum of
+    The distinct windows are counted by one ROLLUP: its levels are the windows' prefixes, so each phrase's count is the sum of
     the windows that begin with it. Levels whose last word is padding are left out.
     """
     pairs = written(frequent_pairs(texts, least), "frequent-pairs")
+    frequent = pairs.unionAll(written(frequent_triples(texts, pairs, least), "frequent-triples"))
     lead = [f"w{k + 1}" for k in range(ORDER)]
-    summed = windows(texts, pairs).rollup("lang", *lead).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    counted = windows(texts, frequent).groupBy("lang", *lead).agg(F.sum("n").alias("n"))
+    summed = counted.rollup("lang", *lead).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # Of the grouping bits, one for lang and each word, the low ones are set for the columns that a level sums over.
     size = ORDER - F.round(F.log2(F.col("level") + 1)).cast("int")
     rows = summed.filter(F.col("level") < 2**ORDER).withColumn("size", size).withColumn("words", F.slice(F.array(*lead), 1, F.greatest("size", F.lit(0))))

@@ -160,6 +160,24 @@ def test_windows_in_blocks(monkeypatch, said):
     assert (windows(1), windows(3)) == whole
 
 
+def test_windows_end_before_rare_phrases(spark, monkeypatch):
+    """Words, pairs and triples below the least frequency are in no window, those of it in all, and every word counts for its language."""
+    monkeypatch.setattr(collocations, "LEAST_FILTER", 1 << 16)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", f"r{rng.randrange(900)}"]) for _ in range(200)) for _ in range(20)]
+    f = Counter(tuple(w[i : i + k]) for w in map(str.split, texts) for k in range(1, 4) for i in range(len(w) - k + 1))
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    pairs = collocations.frequent_pairs(docs, 30)
+    frequent = pairs.unionAll(collocations.frequent_triples(docs, pairs, 30))
+    assert frequent.count() == sum(n >= 30 for n in f.values())
+    got = collocations.windows(docs, frequent).collect()
+    said = [(tuple(w for w in r[1:5] if w is not None), r["n"]) for r in got]
+    assert sum(n for _, n in said) == 20 * 200
+    assert min(f[w[at : at + k]] for w, _ in said for k in range(1, 4) for at in range(len(w) - k + 1)) >= 30
+    for words, n in f.items():
+        assert n < 30 or n == sum(m for w, m in said if w[: len(words)] == words)
+
+
 def test_label_model_finds_accuracies_and_dependences():
     """Voters of known accuracy, one of which is repeated by two others, and labels of which some are wrong."""
     rng = np.random.default_rng(4)
