@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from massloom.functions import curves
+from massloom.functions import curves, ions, ladders
 from massloom.operators import calibrate
+from massloom.plans import peptides as peptide_plans
 from massloom.sources import sinks
 
 
@@ -74,3 +75,25 @@ def test_calibration_files_are_few_and_whole(spark, tmp_path):
     table, used = sinks.read_calibration(spark, path, ("run", "charge"))
     assert sorted(map(tuple, table.collect())) == sorted((g, str(k), x / 3, float(x)) for k, g in enumerate(names) for x in range(1, 21))
     assert sorted(map(tuple, used.collect())) == sorted((g, str(k), p) for k, g in enumerate(names) for p in ("AAA", "AAA", "P\tEP"))
+
+
+PEPTIDES = ["PEPTWIDEK", "CWMK", "CCMMMK", "AAA", "AA", "G", "", "MKKKMMMMMKKKKKKKKKKK", "ACDEFGHIKLMNPQRSTVWY" * 3, "WWWWK"]
+
+
+def test_internal_sums_equal_the_ions(spark):
+    """From letters and from arrays of masses, without a row for an ion and without a shuffle."""
+    rows = spark.createDataFrame([(p,) for p in PEPTIDES], "peptide string")
+    moved = rows.withColumn("residues", F.transform(ions.masses(F.col("peptide")), lambda m: m + 0.123456))
+    for table, residues in ((rows.withColumn("residues", ions.masses(F.col("peptide"))), "peptide"), (moved, "residues")):
+        for losses in (("H2O", "NH3"), ()):
+            want = {tuple(r) for r in ions.internal(table, losses).groupBy("peptide", "ion", "loss").agg(F.count("*"), F.sum(F.floor(F.col("mz") * 10000 + 0.5))).collect()}
+            found = ladders.internal_sums(table, losses, residues=residues)
+            got = found.collect()
+            assert {tuple(r) for r in got} == want and len(got) == len(want) == 6 * 2 * (len(losses) + 1)
+    assert "Exchange" not in plan(found) and ladders.internal_sums(rows.limit(0)).count() == 0
+    assert ladders.internal_sums(spark.createDataFrame([(None,), ("XXXXX",)], "peptide string")).select("total").distinct().collect() == [(None,)]
+
+
+def test_internal_ions_query_makes_no_row_of_an_ion(spark, sf):
+    made = plan(peptide_plans.QUERIES["internal_ions"](spark, sf))
+    assert "MapInArrow" in made and made.count("Generate explode") <= 2 * 2  # the peptides of a text and the kinds of a peptide
