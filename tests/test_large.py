@@ -77,7 +77,7 @@ def test_calibration_files_are_few_and_whole(spark, tmp_path):
     assert sorted(map(tuple, used.collect())) == sorted((g, str(k), p) for k, g in enumerate(names) for p in ("AAA", "AAA", "P\tEP"))
 
 
-PEPTIDES = ["PEPTWIDEK", "CWMK", "CCMMMK", "AAA", "AA", "G", "", "MKKKMMMMMKKKKKKKKKKK", "ACDEFGHIKLMNPQRSTVWY" * 3, "WWWWK"]
+PEPTIDES = ["PEPTWIDEK", "CWMK", "CCMMMK", "AAA", "AA", "G", "", "MKKKMMMMMKKKKKKKKKKK", "ACDEFGHIKLMNPQRSTVWY" * 15, "WWWWK"]
 
 
 def test_internal_sums_equal_the_ions(spark):
@@ -97,3 +97,25 @@ def test_internal_sums_equal_the_ions(spark):
 def test_internal_ions_query_makes_no_row_of_an_ion(spark, sf):
     made = plan(peptide_plans.QUERIES["internal_ions"](spark, sf))
     assert "MapInArrow" in made and made.count("Generate explode") <= 2 * 2  # the peptides of a text and the kinds of a peptide
+
+
+@pytest.mark.parametrize("activation", ["HCD", "ETD"])
+def test_possible_ion_sums_equal_the_ions(spark, activation, monkeypatch):
+    rows = [(p, d, 2 + len(p) % 3) for p, d in zip(PEPTIDES, [[79.9663], [], [57.0215, 15.9949], [79.96651], [79.96649], [15.9951], [], [15.9949, 79.9663, 15.9949], [57.0215], [57.0214]], strict=True)]
+    table = spark.createDataFrame(rows, "peptide string, deltas array<double>, charge int").withColumn("residues", ions.masses(F.col("peptide")))
+    given = peptide_plans.dictionary(spark)
+    dictionary = given.unionByName(given.filter("number = 3 or start = 4")).unionByName(given.limit(1).withColumn("number", F.lit(0)))
+    want = {tuple(r) for r in ions.possible_ions(table, dictionary, activation=activation).groupBy("peptide", "ion").agg(F.count("*"), F.sum(F.floor(F.col("mz") * 10000 + 0.5))).collect()}
+    for residues in ("peptide", "residues"):
+        found = ladders.possible_ion_sums(table, dictionary, activation=activation, residues=residues)
+        assert {tuple(r) for r in found.collect()} == want and len(want) > 40
+        assert "Exchange" not in plan(found)
+    assert ladders.possible_ion_sums(table.limit(0), dictionary).count() == 0 and ladders.possible_ion_sums(table, dictionary.limit(0)).count() == 0
+    assert ladders.possible_ion_sums(table.withColumn("deltas", F.lit(None).cast("array<double>")), dictionary).count() > 40
+    monkeypatch.setattr(ladders, "MOST_ENTRIES", 10)
+    assert {tuple(r) for r in ladders.possible_ion_sums(table, dictionary, activation=activation).collect()} == want
+
+
+def test_dictionary_query_makes_no_row_of_an_ion(spark, sf):
+    made = plan(peptide_plans.QUERIES["theoretical_dictionary_filter"](spark, sf))
+    assert "MapInArrow" in made and "Join" not in made
