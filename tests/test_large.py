@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from massloom.functions import curves, ions, ladders
 from massloom.operators import calibrate
+from massloom.operators.annotate import annotate
 from massloom.plans import peptides as peptide_plans
 from massloom.sources import sinks
 
@@ -119,3 +120,24 @@ def test_possible_ion_sums_equal_the_ions(spark, activation, monkeypatch):
 def test_dictionary_query_makes_no_row_of_an_ion(spark, sf):
     made = plan(peptide_plans.QUERIES["theoretical_dictionary_filter"](spark, sf))
     assert "MapInArrow" in made and "Join" not in made
+
+
+@pytest.mark.parametrize("tolerance, unit", [(15.0, "da"), (200.0, "da"), (20_000.0, "ppm")])
+def test_ladder_names_equal_the_join(spark, tolerance, unit):
+    """Single and several hits, types by priority, peptides without a ladder, without m/z and with a null among them."""
+    ends = [None, [], [500.0], [100.0, None, 700.0, 1e6], [250.0, 251.0, 252.0], *([40.0 + 31 * k for k in range(30)] for _ in range(5))]
+    table = spark.createDataFrame(list(zip(PEPTIDES, ends, strict=True)), "peptide string, asked array<double>").withColumn("residues", ions.masses(F.col("peptide")))
+    theory = ions.ladder(table, ["b", "y"], [1]).select("peptide", "ion", F.concat("ion", F.col("number").cast("string")).alias("name"), "mz")
+    rows = table.select("peptide", F.posexplode("asked").alias("q", "mz"))
+    want = sorted(map(tuple, annotate(rows.filter("mz is not null"), theory, ["y", "b"], tolerance=tolerance, unit=unit, by=("peptide", "q"), keys=["peptide"], width=500.0).select("peptide", "q", "names").collect()))
+    for residues in ("peptide", "residues"):
+        found = ladders.ladder_names(table, F.col("asked"), ["y", "b"], tolerance=tolerance, unit=unit, residues=residues)
+        got = sorted(map(tuple, found.select("peptide", F.posexplode("names")).collect()))
+        assert (PEPTIDES[3], 1, "unknown") in got
+        assert [r for r in got if not (r[0] == PEPTIDES[3] and r[1] == 1)] == want and len({r[2] for r in got}) > 9
+        assert found.count() == len(PEPTIDES) and "Exchange" not in plan(found)
+    assert any(";" in r[2] for r in want) == (tolerance == 200.0)
+
+
+def test_annotation_query_joins_no_ladder(spark, sf):
+    assert "Join" not in plan(peptide_plans.QUERIES["ion_annotation"](spark, sf))
